@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions.classes import PREEMPTION_REASONS, WAIT_STATES
 from ..functions.labels import contention_site, mentions_lock
 from ..functions.times import MICROS
-from ..plans.lookup import lookup
-from ..plans.quantiles import exact_quantiles, null_safe_join, with_share
+from ..plans.lookup import counted_lookup, lookup
+from ..plans.quantiles import exact_quantiles, null_safe_join, quantiles_of_counts, with_share
 from ..plans.sequence import DEFAULT_SLICE_US, slice_of, with_neighbours
+from ..session import durable
 from .attribution import with_process_name
 from .filters import apply_filters, contains_text, cpu_predicate, matches_module
 from .grouping import top
@@ -90,7 +91,7 @@ def thread_intervals(
         F.max(F.coalesce(F.length(F.trim("old_state")) > 0, F.lit(False))).alias("has_state"),
         F.max(window_end).alias("window_end"),
     )
-    events = lookup(_thread_events(switches), has_state, ["trace_id"], spread=["ts_us", "seq"])
+    events = counted_lookup(_thread_events(switches), has_state, ["trace_id"], spread=["ts_us", "seq"])
     state, reason = F.lower(F.coalesce("state", F.lit(""))), F.lower(F.coalesce("reason", F.lit("")))
     is_wait = (F.col("kind") == 1) & F.when(F.col("has_state"), state.isin(*WAIT_STATES)).otherwise(
         (reason != "") & ~reason.isin(*PREEMPTION_REASONS)
@@ -166,7 +167,7 @@ def thread_cpu_precise(
         "_whole_wait": F.col("is_wait") & F.coalesce(F.col("next_kind") == 0, F.lit(False))
         & (t >= F.col("_w0")) & (following <= F.col("_w1")),
     })
-    e = lookup(e, thread_identities(rows), ["trace_id", "tid"], spread=["ts_us", "seq"]).withColumns({
+    e = counted_lookup(e, thread_identities(rows), ["trace_id", "tid"], spread=["ts_us", "seq"]).withColumns({
         "pid": F.coalesce("own_pid", "pid", F.lit(0).cast("bigint")),
         "process_name": F.coalesce("own_process", "process_name", F.lit("")),
     })
@@ -175,30 +176,39 @@ def thread_cpu_precise(
     def total(flag: Column) -> Column:
         return F.sum(F.when(flag, F.col("_dur")).otherwise(F.lit(0.0)))
 
-    aggs = [
-        total(F.col("_run")).alias("_running"),
-        total(F.col("is_wait")).alias("_waiting"),
-        total((F.col("kind") == 1) & ~F.col("is_wait")).alias("_other"),
-        F.count(F.when(F.col("_in"), True)).alias("switch_ins"),
-        F.count(F.when(F.col("_in") & F.coalesce("prev_wait", F.lit(False)), True)).alias("wait_to_run"),
-        F.count(F.when(F.col("_lost"), True)).alias("lost_intervals"),
-        F.max(F.col("_w1") - F.col("_w0")).alias("_window"),
-    ]
-    if group_by != "process":
-        first = F.struct("ts_us", "seq", "kind")
-        aggs += [F.min_by("pid", first).alias("pid"), F.min_by("process_name", first).alias("process_name")]
-        sums = e.groupBy(*keys).agg(*aggs)
+    # events become one row per thread and distinct length of a whole wait, written once; sums
+    # and quantiles both start from there
+    first = F.struct("ts_us", "seq", "kind")
+    reduced = durable(
+        e.groupBy("trace_id", "tid", *(keys[1:] if group_by == "process" else []),
+                  F.when(F.col("_whole_wait"), F.col("_dur")).alias("_v"))
+        .agg(
+            total(F.col("_run")).alias("_running"),
+            total(F.col("is_wait")).alias("_waiting"),
+            total((F.col("kind") == 1) & ~F.col("is_wait")).alias("_other"),
+            F.count(F.when(F.col("_in"), True)).alias("switch_ins"),
+            F.count(F.when(F.col("_in") & F.coalesce("prev_wait", F.lit(False)), True)).alias("wait_to_run"),
+            F.count(F.when(F.col("_lost"), True)).alias("lost_intervals"),
+            F.max(F.col("_w1") - F.col("_w0")).alias("_window"),
+            F.count(F.lit(1)).alias("_n"),
+            *([] if group_by == "process" else [
+                F.min_by(F.struct("pid", "process_name"), first).alias("_who"), F.min(first).alias("_first"),
+            ]),
+        )
+    )
+    summed = ("_running", "_waiting", "_other", "switch_ins", "wait_to_run", "lost_intervals")
+    sums = [*[F.sum(c).alias(c) for c in summed], F.max("_window").alias("_window")]
+    if group_by == "process":
+        sums = reduced.groupBy(*keys, "tid").agg(*sums).groupBy(*keys).agg(
+            *sums, F.count(F.lit(1)).alias("threads")
+        )
     else:
-        # threads are merged per thread first, so the thread count needs no distinct of all rows
-        per_thread = e.groupBy(*keys, "tid").agg(*aggs)
-        sums = per_thread.groupBy(*keys).agg(
-            *[F.sum(c).alias(c) for c in
-              ("_running", "_waiting", "_other", "switch_ins", "wait_to_run", "lost_intervals")],
-            F.max("_window").alias("_window"), F.count(F.lit(1)).alias("threads"),
+        sums = reduced.groupBy(*keys).agg(*sums, F.min_by("_who", "_first").alias("_who")).select(
+            "*", "_who.pid", "_who.process_name"
         )
-    waits = exact_quantiles(
-        e.where("_whole_wait"), keys, "_dur",
-        {"p50_wait_us": 0.5, "p90_wait_us": 0.9, "p99_wait_us": 0.99}, mean="mean_wait_us",
+    waited = reduced.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
+    waits = quantiles_of_counts(
+        waited, keys, {"p50_wait_us": 0.5, "p90_wait_us": 0.9, "p99_wait_us": 0.99}, mean="mean_wait_us",
     )
     result = null_safe_join(sums, waits, keys, "left")
     seconds = F.col("_window") / float(MICROS)

@@ -436,6 +436,10 @@ def count_stacks_exact(
 
     refs = [split_frame_ref(r) for r in contains]
     frames = F.col("frames")
+
+    def has(ref: tuple[str | None, str]) -> Column:
+        return F.exists(frames, lambda label: hit(label, ref))
+
     if in_order:
         starts = F.sequence(F.lit(0), F.size(frames) - len(refs))
         chain = F.exists(starts, lambda i: reduce(
@@ -443,10 +447,8 @@ def count_stacks_exact(
         ))
         matched = (F.size(frames) >= len(refs)) & F.when(F.size(frames) >= len(refs), chain).otherwise(F.lit(False))
     else:
-        matched = reduce(lambda a, b: a & b, [F.exists(frames, lambda x, r=ref: hit(x, r)) for ref in refs])
-    barred = F.lit(False)
-    for ref in map(split_frame_ref, excludes):
-        barred = barred | F.exists(frames, lambda x, r=ref: hit(x, r))
+        matched = reduce(lambda a, b: a & b, [has(ref) for ref in refs])
+    barred = reduce(lambda a, b: a | b, [has(split_frame_ref(r)) for r in excludes], F.lit(False))
     return stacks.groupBy("trace_id").agg(
         F.sum(F.when(matched & ~barred, F.col("weight")).otherwise(F.lit(0))).alias("matching"),
         F.sum(F.when(matched & barred, F.col("weight")).otherwise(F.lit(0))).alias("excluded"),

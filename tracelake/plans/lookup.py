@@ -7,7 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import durable
+
 SALTS = 16
+BROADCAST_ROWS = 100_000
 
 
 def lookup(
@@ -33,3 +36,22 @@ def lookup(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
     )
     return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
+
+
+def counted_lookup(
+    facts: DataFrame,
+    dimension: DataFrame,
+    keys: Sequence[str],
+    *,
+    spread: Sequence[str],
+    rows: int = BROADCAST_ROWS,
+) -> DataFrame:
+    """:func:`lookup` for an aggregated dimension that is usually small.
+
+    The dimension is written once and counted. Up to ``rows`` rows it is broadcast, so the
+    facts are not shuffled; beyond that the salted join takes over.
+    """
+    kept = durable(dimension)
+    if kept.count() <= rows:
+        return facts.join(F.broadcast(kept), list(keys), "left")
+    return lookup(facts, kept, keys, spread=spread)

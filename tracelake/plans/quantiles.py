@@ -53,13 +53,30 @@ def exact_quantiles(
     ``index`` (element ``round_half_even(q*(n-1))``). The other names ask for plain statistics
     of the same group.
     """
-    keys = list(keys)
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_bin", log_bin(F.col("_v")))
     )
+    return quantiles_of_counts(
+        counted, keys, quantiles, kind=kind, count=count, mean=mean, minimum=minimum, maximum=maximum
+    )
+
+
+def quantiles_of_counts(
+    counted: DataFrame,
+    keys: Sequence[str],
+    quantiles: Mapping[str, float],
+    *,
+    kind: str = "linear",
+    count: str | None = None,
+    mean: str | None = None,
+    minimum: str | None = None,
+    maximum: str | None = None,
+) -> DataFrame:
+    """:func:`exact_quantiles` of values ``_v`` that occur ``_n`` times, one row per key and value."""
+    keys = list(keys)
+    counted = counted.withColumn("_bin", log_bin(F.col("_v")))
     over_group = Window.partitionBy(*keys)
     bins = (
         counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))

@@ -33,14 +33,16 @@ def with_neighbours(
     following: Mapping[str, str] | None = None,
     ts: str = "ts_us",
     slice_us: int = DEFAULT_SLICE_US,
+    slice_by: str | None = None,
 ) -> DataFrame:
     """Add columns of the previous / following row of the same key.
 
-    ``previous`` and ``following`` map output names to source columns. ``order`` must start
-    with ``ts`` and be unique within a key.
+    ``previous`` and ``following`` map output names to source columns. ``order`` must be unique
+    within a key and start with ``ts``, or agree with the slice column named by ``slice_by``.
     """
     previous, following = dict(previous or {}), dict(following or {})
-    sliced = df.withColumn(SLICE, slice_of(F.col(ts), slice_us))
+    cut = F.col(slice_by) if slice_by else slice_of(F.col(ts), slice_us)
+    sliced = df.withColumn(SLICE, cut)
     part = [*keys, SLICE]
     inside = Window.partitionBy(*part).orderBy(*order)
     across = Window.partitionBy(*keys).orderBy(SLICE)
@@ -56,7 +58,7 @@ def with_neighbours(
     if following:
         sliced = sliced.withColumn("_next", F.lead(packed(following)).over(inside))
         edges.append(F.min_by(packed(following), position).alias("_head"))
-    border = df.withColumn(SLICE, slice_of(F.col(ts), slice_us)).groupBy(*part).agg(*edges)
+    border = df.withColumn(SLICE, cut).groupBy(*part).agg(*edges)
     carried = [F.lag("_tail").over(across).alias("_carry_prev")] if previous else []
     carried += [F.lead("_head").over(across).alias("_carry_next")] if following else []
     joined = sliced.join(border.select(*part, *carried), part, "left")
@@ -74,6 +76,7 @@ def with_running(
     *,
     ts: str = "ts_us",
     slice_us: int = DEFAULT_SLICE_US,
+    slice_by: str | None = None,
     floor_at_zero: Mapping[str, str] | None = None,
 ) -> DataFrame:
     """Add running sums up to and including each row.
@@ -83,7 +86,7 @@ def with_running(
     """
     floored = dict(floor_at_zero or {})
     steps = {**{f"_s_{o}": c for o, c in sums.items()}, **{f"_s_{o}": c for o, c in floored.items()}}
-    sliced = df.withColumn(SLICE, slice_of(F.col(ts), slice_us))
+    sliced = df.withColumn(SLICE, F.col(slice_by) if slice_by else slice_of(F.col(ts), slice_us))
     part = [*keys, SLICE]
     inside = (
         Window.partitionBy(*part).orderBy(*order)
@@ -117,3 +120,34 @@ def with_running(
         lowest = F.least(F.lit(0), F.col(f"_lo_{o}"), F.col(f"_b_s_{o}") + F.col(f"_m_{o}"))
         out.append((running - lowest).alias(o))
     return joined.select(*out)
+
+
+def fill_forward(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    fills: Mapping[str, str],
+    *,
+    slice_by: str,
+) -> DataFrame:
+    """Add, per output name, the last value of the source column that is not null so far."""
+    sliced = df.withColumn(SLICE, F.col(slice_by))
+    part = [*keys, SLICE]
+    inside = (
+        Window.partitionBy(*part).orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    before = (
+        Window.partitionBy(*keys).orderBy(SLICE)
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    position = F.struct(*order)
+    ends = sliced.groupBy(*part).agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), position)).alias(f"_e_{o}") for o, c in fills.items()]
+    ).select(*part, *[F.last(f"_e_{o}", ignorenulls=True).over(before).alias(f"_c_{o}") for o in fills])
+    filled = sliced.select(
+        "*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_f_{o}") for o, c in fills.items()]
+    )
+    return filled.join(ends, part, "left").select(
+        *df.columns, *[F.coalesce(f"_f_{o}", f"_c_{o}").alias(o) for o in fills]
+    )
