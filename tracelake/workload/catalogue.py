@@ -1,4 +1,4 @@
 """Imports every query module, so that the registry is complete."""
 
-from . import cpu_queries, network_queries, stack_queries  # noqa: F401
+from . import cpu_queries, network_queries, packet_queries, report_queries, stack_queries  # noqa: F401
 from .registry import CHECKS, QUERIES  # noqa: F401

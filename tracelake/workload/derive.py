@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.sequence import with_neighbours
+from ..session import durable
 
 DAY = 86_400_000_000
 START = 1_704_067_200_000_000  # 2024-01-01, before the first event
@@ -284,7 +285,7 @@ class Tables:
             previous={"_tid": "tid", "_pid": "pid"}, slice_us=DAY,
         )
         kind = F.col("event_type")
-        return linked.select(
+        return durable(linked.select(
             "trace_id", "seq", "ts_us", "qpc", "cpu", F.col("tid").alias("new_tid"), F.col("pid").alias("new_pid"),
             F.concat(F.lit("proc"), "pid").alias("new_process"),
             F.coalesce("_tid", F.lit(0)).alias("old_tid"), F.coalesce("_pid", F.lit(0)).alias("old_pid"),
@@ -292,7 +293,7 @@ class Tables:
             F.when(kind == "error", "Waiting").otherwise("Ready").alias("old_state"),
             F.when(kind == "error", "WrQueue").when(kind == "signup", "WrPreempted").when(kind == "view", "")
             .otherwise("UserRequest").alias("wait_reason"),
-        )
+        ))
 
     def _stacks(self) -> DataFrame:
         # the lines of one order: at most some dozen frames

@@ -192,12 +192,12 @@ def _(t):
 
 
 @query("count_stacks_any_order", f"""
-WITH {WEIGHTS} SELECT t.trace_id, least(max(CASE WHEN function ILIKE '%bolt%' AND module ILIKE '%#3%' THEN inclusive END), max(CASE WHEN function ILIKE '%ring%' THEN inclusive END)) AS matching,
-  round(least(max(CASE WHEN function ILIKE '%bolt%' AND module ILIKE '%#3%' THEN inclusive END), max(CASE WHEN function ILIKE '%ring%' THEN inclusive END)) * 100.0 / any_value(total), 4) AS pct, 0 AS excluded
-FROM tot t JOIN sw USING (trace_id) GROUP BY t.trace_id""")
+WITH {WEIGHTS}, m AS (SELECT t.trace_id, any_value(total) AS total, least(coalesce(max(CASE WHEN function ILIKE '%bolt%' AND module ILIKE '%#1%' THEN inclusive END), 0),
+   coalesce(max(CASE WHEN function ILIKE '%ring%' THEN inclusive END), 0)) AS hit FROM tot t JOIN sw USING (trace_id) GROUP BY t.trace_id)
+SELECT trace_id, hit AS matching, round(hit * 100.0 / total, 4) AS pct, 0 AS excluded FROM m""")
 def _(t):
     weights, edges = _aggregates(t)
-    return stacks.count_stacks(weights, edges, ["#3!bolt", "ring"], in_order=False)
+    return stacks.count_stacks(weights, edges, ["#1!bolt", "ring"], in_order=False)
 
 
 @query("count_stacks_exact", f"""
