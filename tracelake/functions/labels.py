@@ -90,29 +90,23 @@ def socket_port(raw: Column) -> Column:
     return F.conv(F.substring(F.hex(raw), 5, 4), 16, 10).cast("int")
 
 
+def ipv6_groups(hex32: Column) -> Column:
+    """32 hex digits as ``:g:g:g:g:g:g:g:g:``, lower case and without leading zeros."""
+    cut = F.concat(F.lit(":"), F.regexp_replace(F.lower(hex32), "(.{4})", "$1:"))
+    return F.regexp_replace(cut, "(?<![0-9a-f])0{1,3}(?=[0-9a-f])", "")
+
+
+def ipv6_squeezed(guarded: Column) -> Column:
+    """IPv6 text of :func:`ipv6_groups`: the first longest run of at least two zero groups
+    becomes ``::``."""
+    text = F.regexp_replace(guarded, r"^(.*?):((?:0:){2,}+)(?!.*:\2(?:0:))", "$1::")
+    return F.regexp_replace(text, "^:(?!:)|(?<!:):$", "")
+
+
 def ipv6_text(hex32: Column) -> Column:
-    """32 hex digits as IPv6 text: lower case, no leading zeros, the first longest run of at
-    least two zero groups written as ``::``."""
-    groups = F.transform(
-        F.sequence(F.lit(0), F.lit(7)),
-        lambda i: F.lower(F.regexp_replace(F.substring(hex32, i * 4 + 1, F.lit(4)), "^0{1,3}", "")),
-    )
-    full = F.concat(F.lit(":"), F.array_join(groups, ":"), F.lit(":"))
-    squeezed = F.lit(None).cast("string")
-    for run in range(8, 1, -1):
-        zeros = ":" + "0:" * run
-        at = F.locate(zeros, full)
-        cut = F.concat(
-            F.substring(full, F.lit(1), at - 1),
-            F.lit("::"),
-            F.substring(full, at + F.lit(len(zeros)), F.lit(64)),
-        )
-        squeezed = F.coalesce(squeezed, F.when(at > 0, cut))
-    text = F.coalesce(squeezed, full)
-    text = F.regexp_replace(text, "^:(?!:)", "")
-    text = F.regexp_replace(text, "(?<!:):$", "")
+    """32 hex digits as IPv6 text; embedded IPv4 addresses keep their dotted form."""
     quad = F.concat_ws(
-        ".", *[F.conv(F.substring(hex32, 25 + 2 * i, 2), 16, 10) for i in range(4)]
+        ".", *[F.conv(F.substring(hex32, F.lit(25 + 2 * i), F.lit(2)), 16, 10) for i in range(4)]
     )
     mapped = F.lower(hex32).startswith("0" * 20 + "ffff")
     embedded = hex32.startswith("0" * 24) & (F.substring(hex32, 25, 4) != "0000")
@@ -120,7 +114,7 @@ def ipv6_text(hex32: Column) -> Column:
         F.length(hex32) == 32,
         F.when(mapped, F.concat(F.lit("::ffff:"), quad))
         .when(embedded, F.concat(F.lit("::"), quad))
-        .otherwise(text),
+        .otherwise(ipv6_squeezed(ipv6_groups(hex32))),
     )
 
 

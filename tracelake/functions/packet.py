@@ -55,77 +55,89 @@ def tcp_flag_names(flags: Column) -> Column:
     )
 
 
+def _stage(df: DataFrame, **columns: Column) -> DataFrame:
+    """Compute columns once: a one-row generator keeps the optimiser from copying a stage's
+    expressions into each expression and filter that uses them."""
+    kept = [c for c in df.columns if c not in columns]
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def decode_packets(df: DataFrame, packet_hex: str = "packet_hex") -> DataFrame:
     """Add the columns listed in ``DECODED`` for the frame in ``packet_hex``."""
-    kept = df.columns
+    given = [c for c in df.columns if c not in DECODED]
     p, n = F.col("_p"), F.col("_n")
-    d = df.withColumn("_p", clean_hex(F.coalesce(F.col(packet_hex), F.lit(""))))
-    d = d.withColumn("_n", (F.length("_p") / 2).cast("int"))
-    has_eth = n >= 14
-    d = d.withColumn("ethertype", F.when(has_eth, _field(p, 12, 2)))
-    tagged = F.coalesce(F.col("ethertype") == VLAN, F.lit(False))
-    d = d.withColumns({
-        "eth_dst": F.when(has_eth, _mac(p, 0)),
-        "eth_src": F.when(has_eth, _mac(p, 6)),
-        "vlan_ethertype": F.when(tagged & (n >= 18), _field(p, 16, 2)),
-        "_ip": F.when(tagged, F.lit(18)).otherwise(F.lit(14)),
-    })
-    d = d.withColumn("_l3", F.when(tagged, F.col("vlan_ethertype")).otherwise(F.col("ethertype")))
-    ip, l3 = F.col("_ip"), F.col("_l3")
-    v4, v6 = F.coalesce(l3 == IPV4, F.lit(False)), F.coalesce(l3 == IPV6, F.lit(False))
-    d = d.withColumn("_vihl", F.when(v4 & (n >= ip + 20), _field(p, ip, 1)))
-    d = d.withColumns({
-        "_ver": F.shiftright("_vihl", 4),
-        "_hl": F.col("_vihl").bitwiseAND(15) * 4,
-    })
-    ok4 = F.coalesce(
-        v4 & (F.col("_ver") == 4) & (F.col("_hl") >= 20) & (n >= ip + F.col("_hl")), F.lit(False)
+    d = df.select(*dict.fromkeys([*given, packet_hex]))
+    d = _stage(d, _p=clean_hex(F.coalesce(F.col(packet_hex), F.lit(""))))
+    d = _stage(d, _n=(F.length("_p") / 2).cast("int"), _et=F.when(F.length("_p") >= 28, _field(p, 12, 2)))
+    has_eth, tagged = n >= 14, F.coalesce(F.col("_et") == VLAN, F.lit(False))
+    d = _stage(
+        d, ethertype=F.col("_et"), eth_dst=F.when(has_eth, _mac(p, 0)), eth_src=F.when(has_eth, _mac(p, 6)),
+        vlan_ethertype=F.when(tagged & (n >= 18), _field(p, 16, 2)), _tagged=tagged,
+        _ip=F.when(tagged, F.lit(18)).otherwise(F.lit(14)),
+    )
+    ip = F.col("_ip")
+    d = _stage(
+        d, _l3=F.when(F.col("_tagged"), F.col("vlan_ethertype")).otherwise(F.col("ethertype")),
+        _vihl=F.when(n >= ip + 20, _field(p, ip, 1)),
+    )
+    v4 = F.coalesce(F.col("_l3") == IPV4, F.lit(False))
+    v6 = F.coalesce(F.col("_l3") == IPV6, F.lit(False))
+    hl = F.col("_vihl").bitwiseAND(15) * 4
+    ver = F.shiftright("_vihl", 4)
+    d = _stage(
+        d, _v4=v4, _v6=v6, _hl=hl.cast("int"), _ver=F.when(v4, ver).cast("int"),
+        _ok4=F.coalesce(v4 & (ver == 4) & (hl >= 20) & (n >= ip + hl), F.lit(False)), _ok6=v6 & (n >= ip + 40),
     )
-    ok6 = v6 & (n >= ip + 40)
-    d = d.withColumns({"_ok4": ok4, "_ok6": ok6})
     ok4, ok6 = F.col("_ok4"), F.col("_ok6")
 
     def either(four: Column, six: Column) -> Column:
         return F.when(ok4, four).when(ok6, six)
 
-    d = d.withColumns({
-        "ip_version": F.when(F.col("_ver").isNotNull(), F.col("_ver")).when(ok6, F.lit(6)).cast("int"),
-        "ip_header_len": F.when(ok4, F.col("_hl")).cast("int"),
-        "ip_id": F.when(ok4, _field(p, ip + 4, 2)),
-        "ip_ttl": either(_field(p, ip + 8, 1), _field(p, ip + 7, 1)).cast("int"),
-        "ip_proto": either(_field(p, ip + 9, 1), _field(p, ip + 6, 1)).cast("int"),
-        "ip_length": either(_field(p, ip + 2, 2), _field(p, ip + 4, 2)),
-        "ip_src": either(_quad(p, ip + 12), ipv6_text(F.substring(p, (ip + 8) * 2 + 1, F.lit(32)))),
-        "ip_dst": either(_quad(p, ip + 16), ipv6_text(F.substring(p, (ip + 24) * 2 + 1, F.lit(32)))),
-        "_l4": either(ip + F.col("_hl"), ip + 40).cast("int"),
-    })
+    d = _stage(
+        d, ip_version=F.when(F.col("_ver").isNotNull(), F.col("_ver")).when(ok6, F.lit(6)),
+        ip_header_len=F.when(ok4, F.col("_hl")),
+        ip_id=F.when(ok4, _field(p, ip + 4, 2)),
+        ip_ttl=either(_field(p, ip + 8, 1), _field(p, ip + 7, 1)).cast("int"),
+        ip_proto=either(_field(p, ip + 9, 1), _field(p, ip + 6, 1)).cast("int"),
+        ip_length=either(_field(p, ip + 2, 2), _field(p, ip + 4, 2)),
+        _src=either(_quad(p, ip + 12), F.substring(p, (ip + 8) * 2 + 1, F.lit(32))),
+        _dst=either(_quad(p, ip + 16), F.substring(p, (ip + 24) * 2 + 1, F.lit(32))),
+        _l4=either(ip + F.col("_hl"), ip + 40).cast("int"),
+    )
     l4, proto = F.col("_l4"), F.col("ip_proto")
-    is_tcp = F.coalesce(proto == TCP, F.lit(False))
-    is_udp = F.coalesce(proto == UDP, F.lit(False))
-    is_icmp = F.coalesce(proto.isin(ICMP, ICMPV6), F.lit(False))
-    has_tcp, has_udp, has_icmp = is_tcp & (n >= l4 + 20), is_udp & (n >= l4 + 8), is_icmp & (n >= l4 + 4)
-    d = d.withColumn("_thl", F.when(has_tcp, F.shiftright(_field(p, l4 + 12, 1), 4) * 4))
-    real_tcp = F.coalesce(F.col("_thl") >= 20, F.lit(False))
-    full_tcp = real_tcp & F.coalesce(n >= l4 + F.col("_thl"), F.lit(False))
-    d = d.withColumns({
-        "src_port": F.when(has_tcp | has_udp, _field(p, l4, 2)),
-        "dst_port": F.when(has_tcp | has_udp, _field(p, l4 + 2, 2)),
-        "tcp_seq": F.when(real_tcp, _field(p, l4 + 4, 4)),
-        "tcp_ack": F.when(real_tcp, _field(p, l4 + 8, 4)),
-        "tcp_header_len": F.when(full_tcp, F.col("_thl")),
-        "tcp_flags": F.when(real_tcp, _field(p, l4 + 12, 2).bitwiseAND(0x1FF)),
-        "tcp_window": F.when(full_tcp, _field(p, l4 + 14, 2)),
-        "udp_length": F.when(has_udp, _field(p, l4 + 4, 2)),
-        "icmp_type": F.when(has_icmp, _field(p, l4, 1)),
-        "icmp_code": F.when(has_icmp, _field(p, l4 + 1, 1)),
-        "truncated_at": F.when(~has_eth, F.lit("eth"))
-        .when(tagged & (n < 18), F.lit("vlan"))
-        .when((v4 & ~ok4) | (v6 & ~ok6), F.lit("ip"))
-        .when(is_tcp & ~full_tcp, F.lit("tcp"))
-        .when(is_udp & ~has_udp, F.lit("udp"))
-        .when(is_icmp & ~has_icmp, F.when(proto == ICMP, F.lit("icmp")).otherwise(F.lit("icmpv6"))),
-    })
-    return d.select(*[c for c in kept if c not in DECODED], *DECODED)
+
+    def is_proto(*numbers: int) -> Column:
+        return F.coalesce(proto.isin(*numbers), F.lit(False))
+
+    d = _stage(
+        d, ip_src=F.when(ok6, ipv6_text(F.col("_src"))).otherwise(F.col("_src")),
+        ip_dst=F.when(ok6, ipv6_text(F.col("_dst"))).otherwise(F.col("_dst")),
+        _tcp=is_proto(TCP), _udp=is_proto(UDP), _icmp=is_proto(ICMP, ICMPV6),
+        _has_tcp=is_proto(TCP) & (n >= l4 + 20), _has_udp=is_proto(UDP) & (n >= l4 + 8),
+        _has_icmp=is_proto(ICMP, ICMPV6) & (n >= l4 + 4),
+        _thl=F.when(is_proto(TCP) & (n >= l4 + 20), F.shiftright(_field(p, l4 + 12, 1), 4) * 4),
+    )
+    has_tcp, has_udp, has_icmp = F.col("_has_tcp"), F.col("_has_udp"), F.col("_has_icmp")
+    real = F.coalesce(F.col("_thl") >= 20, F.lit(False))
+    d = _stage(d, _real=real, _full=real & F.coalesce(n >= l4 + F.col("_thl"), F.lit(False)))
+    real, full = F.col("_real"), F.col("_full")
+    d = _stage(
+        d, src_port=F.when(has_tcp | has_udp, _field(p, l4, 2)),
+        dst_port=F.when(has_tcp | has_udp, _field(p, l4 + 2, 2)),
+        tcp_seq=F.when(real, _field(p, l4 + 4, 4)), tcp_ack=F.when(real, _field(p, l4 + 8, 4)),
+        tcp_header_len=F.when(full, F.col("_thl")),
+        tcp_flags=F.when(real, _field(p, l4 + 12, 2).bitwiseAND(0x1FF)),
+        tcp_window=F.when(full, _field(p, l4 + 14, 2)),
+        udp_length=F.when(has_udp, _field(p, l4 + 4, 2)),
+        icmp_type=F.when(has_icmp, _field(p, l4, 1)), icmp_code=F.when(has_icmp, _field(p, l4 + 1, 1)),
+        truncated_at=F.when(~(n >= 14), F.lit("eth"))
+        .when(F.col("_tagged") & (n < 18), F.lit("vlan"))
+        .when((F.col("_v4") & ~ok4) | (F.col("_v6") & ~ok6), F.lit("ip"))
+        .when(F.col("_tcp") & ~full, F.lit("tcp"))
+        .when(F.col("_udp") & ~has_udp, F.lit("udp"))
+        .when(F.col("_icmp") & ~has_icmp, F.when(proto == ICMP, F.lit("icmp")).otherwise(F.lit("icmpv6"))),
+    )
+    return d.select(*given, *DECODED)
 
 
 def with_flow(df: DataFrame) -> DataFrame:
@@ -139,14 +151,15 @@ def with_flow(df: DataFrame) -> DataFrame:
         .otherwise(F.lit("other"))
     )
     zero = F.lit(0).cast("bigint")
-    d = df.withColumn("proto", proto)
-    return d.withColumn(
-        "flow",
-        packet_flow_label(
-            F.col("ip_src"), F.coalesce("src_port", zero), F.col("ip_dst"),
-            F.coalesce("dst_port", zero), F.col("proto"),
-        ),
-    )
+    d = _stage(df, proto=proto)
+    return _stage(d, flow=packet_flow_label(
+        F.col("ip_src"), F.coalesce("src_port", zero), F.col("ip_dst"), F.coalesce("dst_port", zero), F.col("proto"),
+    ))
+
+
+def with_keys(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """Add the ``fingerprint`` and ``match`` keys to decoded packets."""
+    return _stage(df, fingerprint=fingerprint(F.col("size") if size is None else size), match=match_key())
 
 
 def ip_payload_length() -> Column:

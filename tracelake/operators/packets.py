@@ -10,10 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import journey_confidence
-from ..functions.packet import decode_packets, fingerprint, match_key, tcp_flag_names, with_flow
+from ..functions.packet import decode_packets, tcp_flag_names, with_flow, with_keys
 from ..plans.quantiles import exact_quantiles
 from ..plans.replay import Rows, key_runs, scan_sorted, settle
 from ..plans.sequence import SLICE, slice_of
+from ..session import durable
 from .filters import contains_text, flow_predicate, nearest_event
 
 MATCH_WINDOW_US = 10_000
@@ -117,6 +118,8 @@ def pair_sends_with_receipts(
         "trace_id", F.col(key).alias("_key"), F.col("ts_us").cast("bigint").alias("ts_us"),
         F.col("seq").cast("bigint").alias("seq"), F.lower("direction").alias("_way"), *keep,
     ).where(F.col("_way").isin("send", "recv")).withColumn("_send", F.col("_way") == "send").drop("_way")
+    # read three times below; what decoding and key building cost is paid once
+    rows = durable(rows)
     own = slice_of(F.col("ts_us"), width)
     part = ["trace_id", "_key", SLICE]
     local = rows.withColumn(SLICE, own).withColumn("_guest", F.lit(False))
@@ -213,7 +216,7 @@ def pair_sends_with_receipts(
 
 def send_recv_pairs(packets: DataFrame, *, window_us: int = MATCH_WINDOW_US, slice_us: int | None = None) -> DataFrame:
     """Pairs of captured sends and receipts of the same packet."""
-    rows = decoded_flows(packets).withColumn("match", match_key()).where(F.col("match").isNotNull())
+    rows = with_keys(decoded_flows(packets)).where(F.col("match").isNotNull())
     return pair_sends_with_receipts(rows, window_us=window_us, slice_us=slice_us)
 
 
@@ -289,9 +292,7 @@ def packet_journeys(
         predicate = flow_predicate(flow)
         if predicate is not None:
             rows = rows.where(predicate)
-    rows = rows.withColumn("fingerprint", fingerprint(F.coalesce("size", F.lit(0)))).where(
-        F.col("fingerprint").isNotNull()
-    )
+    rows = with_keys(rows, F.coalesce("size", F.lit(0))).where(F.col("fingerprint").isNotNull())
     # protocol label: the transport's name only where its ports were decoded
     label = F.when(F.col("fingerprint").startswith("ip|"), F.concat(F.lit("proto-"), F.col("ip_proto").cast("string"))).otherwise(F.col("proto"))
     rows = rows.withColumn("proto", label)

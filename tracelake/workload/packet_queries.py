@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.packet import fingerprint, match_key, tcp_flag_names
+from ..functions.packet import tcp_flag_names, with_keys
 from ..operators import filters, packets
 from .registry import query
 
@@ -82,8 +82,8 @@ WITH {PACKETS} SELECT trace_id, seq,
   CASE WHEN cut OR kind = 1 THEN NULL WHEN kind = 6 THEN 'tcp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no
    ELSE 'udp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no % 60000 END AS match_key FROM pf""")
 def _(t):
-    rows = packets.decoded_flows(_frames(t))
-    return rows.select("trace_id", "seq", fingerprint(F.col("size")).alias("fingerprint"), match_key().alias("match_key"))
+    rows = with_keys(packets.decoded_flows(_frames(t)))
+    return rows.select("trace_id", "seq", "fingerprint", F.col("match").alias("match_key"))
 
 
 @query("capture_summary", f"""
@@ -129,7 +129,7 @@ once AS (SELECT trace_id, key FROM sd GROUP BY ALL HAVING count(*) = 1)"""
 @query("send_recv_pairs", f"""
 WITH {PAIRS} SELECT sd.trace_id, flow, ts_us AS send_us, ts_us + gap AS recv_us, seq AS send_seq, seq + (CAST(1 AS BIGINT) << 50) AS recv_seq, gap AS latency_us FROM sd JOIN once USING (trace_id, key) WHERE gap <= 10000""")
 def _(t):
-    rows = packets.decoded_flows(_echo(t)).withColumn("match", match_key()).where("match IS NOT NULL")
+    rows = with_keys(packets.decoded_flows(_echo(t))).where("match IS NOT NULL")
     once = rows.where("direction = 'Send'").groupBy("trace_id", "match").count().where("count = 1")
     return packets.pair_sends_with_receipts(rows.join(once, ["trace_id", "match"], "left_semi"))
 
