@@ -1,4 +1,6 @@
 """Imports every query module, so that the registry is complete."""
 
-from . import cpu_queries, network_queries, packet_queries, report_queries, stack_queries  # noqa: F401
+from . import (  # noqa: F401
+    cpu_queries, network_queries, packet_queries, report_queries, scalar_queries, stack_queries, text_queries,
+)
 from .registry import CHECKS, QUERIES  # noqa: F401
