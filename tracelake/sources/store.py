@@ -130,9 +130,12 @@ def validate(spark: SparkSession, root: str, event_class: str) -> DataFrame:
     """Violations of a stored class: columns, types, missing, damaged or stray files, row counts."""
     name = canonical_event_class(event_class)
     path = class_path(root, name)
-    found = {f.name: f.dataType.simpleString() for f in spark.read.option("ignoreCorruptFiles", "true").parquet(path).schema}
     problems = []
-    for field in event_schema(name).fields:
+    try:
+        found = {f.name: f.dataType.simpleString() for f in spark.read.parquet(path).schema}
+    except Exception:  # a damaged file was picked for its schema; the file check names it
+        found = None
+    for field in event_schema(name).fields if found is not None else []:
         kind = found.get(field.name)
         if kind is None:
             problems.append((name, "missing column", field.name))
@@ -144,7 +147,7 @@ def validate(spark: SparkSession, root: str, event_class: str) -> DataFrame:
     )
     # the reader skips a damaged file, so it shows up as missing rows
     current = file_statistics(
-        spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+        spark.read.schema(event_schema(name)).option("ignoreCorruptFiles", "true").parquet(path)
     ).select("file", F.col("rows").alias("actual"))
     joined = recorded.join(current, "file", "full")
     problem = (

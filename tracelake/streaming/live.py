@@ -20,8 +20,18 @@ from ..session import shared_folder
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+# Trace time zero as an event time. Rows at or before 1970 count as late from the start, so zero
+# lies 1001 days later: a whole number of days, hours, minutes and of 1 to 16 seconds.
+ZERO_US = 86_486_400_000_000
+
+
 def with_event_time(df: DataFrame, ts: str = "ts_us") -> DataFrame:
-    return df.withColumn("event_time", F.timestamp_micros(F.col(ts)))
+    """Add ``event_time`` for a time in microseconds since the start of the trace."""
+    return df.withColumn("event_time", F.timestamp_micros(F.col(ts) + ZERO_US))
+
+
+def _start_us():
+    return (F.unix_micros("window.start") - ZERO_US).alias("start_us")
 
 
 def live_timeline(
@@ -34,7 +44,7 @@ def live_timeline(
     ).agg(F.count(F.lit(1)).alias("samples"))
     util = F.least(F.col("samples") / F.lit(bucket_seconds * sample_rate_hz) * 100.0, F.lit(100.0))
     return counts.select(
-        "trace_id", "cpu", F.unix_micros("window.start").alias("start_us"), "samples", F.round(util, 2).alias("util_pct")
+        "trace_id", "cpu", _start_us(), "samples", F.round(util, 2).alias("util_pct")
     )
 
 
@@ -47,7 +57,7 @@ def live_traffic(
         "trace_id", *by, F.window("event_time", width, slide)
     ).agg(F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"))
     return sums.select(
-        "trace_id", *by, F.unix_micros("window.start").alias("start_us"), "packets", "bytes",
+        "trace_id", *by, _start_us(), "packets", "bytes",
         (F.col("packets") / seconds).alias("pps"), (F.col("bytes") / seconds).alias("bytes_per_s"),
     )
 
@@ -67,7 +77,7 @@ def live_histogram(interrupts: DataFrame, *, width: str = "10 seconds", delay: s
         "trace_id", "module", bucket_low(bucket).alias("low_us"), bucket_high(bucket).alias("high_us"),
         F.window("event_time", width),
     ).agg(F.count(F.lit(1)).alias("events")).select(
-        "trace_id", "module", "low_us", "high_us", F.unix_micros("window.start").alias("start_us"), "events"
+        "trace_id", "module", "low_us", "high_us", _start_us(), "events"
     )
 
 
@@ -76,7 +86,7 @@ def live_drops(drops: DataFrame, *, width: str = "10 seconds", delay: str = "10
     return drops.withWatermark("event_time", delay).groupBy(
         "trace_id", "miniport", "reason", F.window("event_time", width)
     ).agg(F.count(F.lit(1)).alias("drops"), F.sum("size").alias("bytes")).select(
-        "trace_id", "miniport", "reason", F.unix_micros("window.start").alias("start_us"), "drops", "bytes"
+        "trace_id", "miniport", "reason", _start_us(), "drops", "bytes"
     )
 
 
@@ -109,13 +119,13 @@ class _InOrder(StatefulProcessor):
             values = list(zip(*[frame[f].tolist() for f in self.FIELDS]))
             if values:
                 self.waiting.appendList([(int(t), int(s), bool(c)) for t, s, c in values])
-                due.update(int(t) // 1000 + 1 for t, _, _ in values)
+                due.update((int(t) + ZERO_US) // 1000 + 1 for t, _, _ in values)
         for when in due:
             self.handle.registerTimer(when)
         yield pd.DataFrame({"opened_us": [], "closed_us": [], "opened_seq": [], "closed_seq": []}, dtype="int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 - ZERO_US
         waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
         ready = [r for r in waiting if r[0] < limit]
         later = [r for r in waiting if r[0] >= limit]
