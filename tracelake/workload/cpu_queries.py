@@ -275,7 +275,7 @@ def _usage(t):
     return cpu.cpu_usage_scalars(_timeline(t), t["meta"])
 
 
-@query("cpu_usage_scalars", USE + " SELECT trace_id, total_lps, active_lps, round(active_avg, 4) AS active_avg, 2592000.0 AS duration_s FROM use_")
+@query("cpu_usage_scalars", USE + " SELECT trace_id, total_lps, active_lps, round(active_avg, 6) AS active_avg, 2592000.0 AS duration_s FROM use_", digits=6)
 def _(t):
     return _usage(t)
 
@@ -341,13 +341,18 @@ p AS (SELECT {keys}, avg(dur) AS mean_wait_us, quantile_cont(dur, 0.5) AS p50_wa
 SELECT g.trace_id, g.process_name, g.pid, {"g.tid" if group == "thread" else "threads"}, round(r / 1000.0, 3) AS running_ms, round(r / {w1 - w0} * 100.0, 3) AS running_pct,
   round(wt / 1000.0, 3) AS waiting_ms, round(wt / {w1 - w0} * 100.0, 3) AS waiting_pct, round(o / 1000.0, 3) AS other_ms,
   switch_ins, round(switch_ins / ({w1 - w0} / 1000000.0), 3) AS cswitch_per_s, wait_to_run, round(wait_to_run / ({w1 - w0} / 1000000.0), 3) AS wait_to_run_per_s,
-  round(coalesce(mean_wait_us, 0), 3) AS mean_wait_us, round(coalesce(p50_wait_us, 0), 3) AS p50_wait_us,
-  round(coalesce(p90_wait_us, 0), 3) AS p90_wait_us, round(coalesce(p99_wait_us, 0), 3) AS p99_wait_us, lost_intervals
+  round(coalesce(mean_wait_us, 0), 2) AS mean_wait_us, round(coalesce(p50_wait_us, 0), 2) AS p50_wait_us,
+  round(coalesce(p90_wait_us, 0), 2) AS p90_wait_us, round(coalesce(p99_wait_us, 0), 2) AS p99_wait_us, lost_intervals
 FROM g LEFT JOIN p USING ({keys}) WHERE {where}"""
 
 
-def _precise(t, **options):
-    return sched.thread_cpu_precise(t["cswitch"], duration_us=F.lit(30 * DAY), slice_us=DAY, **options)
+def _precise(t, table=None, **options):
+    rows = t["cswitch"] if table is None else table
+    result = sched.thread_cpu_precise(rows, duration_us=F.lit(30 * DAY), slice_us=DAY, **options)
+    # waits of days in microseconds: interpolated values carry two exact decimals
+    return result.withColumns({
+        c: F.round(c, 2) for c in ("mean_wait_us", "p50_wait_us", "p90_wait_us", "p99_wait_us")
+    })
 
 
 @query("thread_cpu_precise", _precise_sql("thread"), digits=3)
@@ -367,7 +372,7 @@ def _(t):
 
 @query("thread_cpu_precise_by_reason", _precise_sql("thread", wait="rs <> '' AND rs <> 'WrPreempted'"), digits=3)
 def _(t):
-    return sched.thread_cpu_precise(t["cswitch"].drop("old_state"), duration_us=F.lit(30 * DAY), slice_us=DAY)
+    return _precise(t, t["cswitch"].drop("old_state"))
 
 
 @query("thread_cpu_precise_top", _precise_sql("thread") + " ORDER BY g.switch_ins DESC, g.trace_id, g.pid, g.process_name, g.tid LIMIT 10", digits=3)
