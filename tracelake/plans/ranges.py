@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BIN_BITS = 20
+BIN_BITS = 16
 
 
 def containing_interval(
@@ -43,17 +43,16 @@ def containing_interval(
             ),
         )
     )
-    hits = (
-        points.withColumn("_bin", F.expr(f"`{point}` div {width}"))
-        .join(listed, [*keys, "_bin"], "left")
-        .withColumn(
-            "_inside",
-            (F.col(point) >= F.col("_start")) & (F.col(point) < F.col("_start") + F.col("_length")),
-        )
-    )
+    binned = points.withColumn("_bin", F.expr(f"`{point}` div {width}"))
+    listed = listed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"), "_start", "_length", *payload)
+    matches = (F.col("_bin") == F.col("_k_bin")) & (F.col(point) >= F.col("_start"))
+    matches = matches & (F.col(point) < F.col("_start") + F.col("_length"))
+    for k in keys:
+        matches = matches & (F.col(k) == F.col(f"_k_{k}"))
+    hits = binned.select(*keys, point, "_bin").join(listed, matches, "left")
     best = F.max_by(
         F.struct(*payload, F.col("_start").alias("_found")),
-        F.when(F.col("_inside"), F.struct("_start", *payload)),
+        F.when(F.col("_start").isNotNull(), F.struct("_start", *payload)),
     )
     return (
         hits.groupBy(*keys, point)
