@@ -11,6 +11,7 @@ from ..functions.labels import (
 )
 from ..plans.lookup import lookup
 from ..plans.ranges import containing_interval
+from ..session import durable
 
 ENDS = ("local_addr", "local_port", "remote_addr", "remote_port")
 
@@ -106,7 +107,7 @@ def resolve_addresses(addresses: DataFrame, image: DataFrame, symbols: DataFrame
     """``(trace_id, address) -> module, function, symbol_source`` for the distinct addresses."""
     located = modules_of(addresses, image)
     if symbols is not None:
-        named = symbols_of(located, symbols)
+        named = symbols_of(durable(located), symbols)
     else:
         named = located.select(
             "trace_id", "_at", "module", F.lit("").alias("function"), F.lit("unknown").alias("symbol_source")

@@ -14,6 +14,7 @@ from ..functions.classes import utilisation_role
 from ..functions.times import MICROS, time_bucket
 from ..plans.lookup import lookup
 from ..plans.quantiles import exact_quantiles, with_share
+from ..session import durable
 from .attribution import resolve_addresses, with_owner, with_process_name
 from .filters import any_module_substring, apply_filters, cpu_predicate
 from .grouping import group_and_sum, top
@@ -48,9 +49,10 @@ def attributed_samples(
     raw = samples.groupBy("trace_id", *keep, "pid", "tid", "payload_tid", "address").agg(
         F.sum(sample_weight()).alias("weight"), F.count(F.lit(1)).alias("samples")
     )
-    owned = with_owner(raw, thread).groupBy("trace_id", *keep, "pid", "address").agg(
+    # both the names and the places below start from these sums
+    owned = durable(with_owner(raw, thread).groupBy("trace_id", *keep, "pid", "address").agg(
         F.sum("weight").alias("weight"), F.sum("samples").alias("samples")
-    )
+    ))
     named = with_process_name(owned, process)
     places = resolve_addresses(owned, image, symbols)
     return (
