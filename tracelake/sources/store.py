@@ -119,7 +119,7 @@ def file_statistics(df: DataFrame) -> DataFrame:
 
 
 def record_statistics(spark: SparkSession, root: str, event_class: str) -> DataFrame:
-    """Store the file statistics of a class as the reference for :func:`validate`."""
+    """Store the file statistics of a class for :func:`validate` to compare with."""
     name = canonical_event_class(event_class)
     target = f"{root.rstrip('/')}/{STATISTICS}/{name}"
     file_statistics(spark.read.parquet(class_path(root, name))).write.mode("overwrite").parquet(target)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import process_field_name, process_field_pid
 from ..operators.packets import path_index
+from ..plans.lookup import lookup
 from ..plans.sequence import fill_forward, with_neighbours, with_running
 
 FILE = ["trace_id"]
@@ -127,7 +128,7 @@ def utilisation_text(lines: DataFrame) -> DataFrame:
     )
     names = F.transform(F.split("_head", ","), lambda x: F.trim(x))
     fields = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("double"))
-    rows = lines.join(header, FILE).where(F.col("line_no") > F.col("_at"))
+    rows = lookup(lines, header, FILE, spread=ORDER).where(F.col("line_no") > F.col("_at"))
     rows = rows.withColumns({"_n": names, "_v": fields})
 
     def named(name: str) -> Column:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import cpu, filters, grouping, interrupts, sched
+from ..operators import cpu, filters, interrupts, sched
 from ..operators.attribution import (
-    modules_of, pair_stacks, orphan_stacks, resolve_addresses, with_debug_identity, with_owner,
-    with_process_name, with_symbol_label,
+    orphan_stacks, pair_stacks, resolve_addresses, with_debug_identity, with_owner, with_process_name,
 )
 from .derive import DAY
 from .registry import query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import app, attribution, filters, flows
+from ..operators import app, attribution, flows
 from .derive import DAY
 from .registry import query
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.classes import number_text, percent_text
-from ..operators import cpu, filters, grouping, interrupts, report, sched
+from ..operators import filters, grouping, interrupts, report, sched
 from ..plans.quantiles import exact_quantiles
 from ..sources.normalise import class_of, normalise, union_opcodes, with_start_tick
 from ..sources.store import select_events
-from .cpu_queries import BUCKETS, DAY_S, RATE, TIMELINE, _timeline
+from .cpu_queries import BUCKETS, DAY_S, TIMELINE, _timeline
 from .derive import DAY
 from .registry import query
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import cpu, filters, stacks
 from ..sources.export import chain_table
 from .cpu_queries import DAY_S, RATE
