@@ -9,12 +9,12 @@ from tracelake.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tracelake-tests", "local[4]",
         **{
             "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
-            "spark.driver.memory": "6g", "spark.sql.codegen.wholeStage": "true",
+            "spark.driver.memory": "6g", "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")), "spark.sql.codegen.wholeStage": "true",
         },
     )
     session.sparkContext.setLogLevel("ERROR")

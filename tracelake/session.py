@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +24,37 @@ def build_session(app: str = "tracelake", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names.
+    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` must point at storage every executor can reach; only a session
-    that leaves it unset, such as a test session, gets a temporary folder.
+    A local session that leaves it unset gets a folder inside its warehouse; on a cluster a
+    missing setting is an error, as executors share no local folder.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tracelake-checkpoint-"))
+        if not folder:
+            if not context.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tracelake"
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def folder_of(spark: SparkSession, name: str):
+    """The file system and path object of ``name``, in whatever store it lies."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once as a table in the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors and gives the planner real sizes.
+    Cuts the lineage, survives lost executors and gives the planner real sizes. The table is
+    removed when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    files, place = folder_of(spark, path)
+    files.deleteOnExit(place)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
