@@ -1,4 +1,4 @@
 """All queries of the text operators."""
 
-from . import simhash  # noqa: F401
+from . import mixing, simhash  # noqa: F401
 from .common import CHECKS, QUERIES  # noqa: F401
