@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,16 @@ def keep(df: DataFrame) -> DataFrame:
     files.deleteOnExit(place)
     df.write.parquet(path)
     _kept.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def discard(kept: DataFrame) -> None:
+    """Remove a kept table that nothing will read again."""
+    files, place = folder_of(kept.sparkSession, kept.kept_at)
+    files.delete(place, True)
+    _kept.remove(kept.kept_at)
 
 
 def release(spark: SparkSession) -> None:
@@ -55,6 +65,18 @@ def release(spark: SparkSession) -> None:
         files.delete(place, True)
 
 
+@contextmanager
+def filtered_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark may filter the large side of a join by a Bloom filter of the small side, at any table size."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; a lone surrogate becomes a question mark, as in the JVM."""
     return (text or "").encode("utf-8", "replace")
