@@ -1,4 +1,4 @@
 """All queries of the text operators."""
 
-from . import lines, mixing, simhash  # noqa: F401
+from . import decontaminate, lines, mixing, simhash  # noqa: F401
 from .common import CHECKS, QUERIES  # noqa: F401

@@ -94,4 +94,4 @@ def lower_ascii(text: Column) -> Column:
 
 def words_of(text: Column) -> Column:
     """Words between ASCII white space, in order; an empty array for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
