@@ -1,4 +1,4 @@
 """All queries of the text operators."""
 
-from . import decontaminate, language, lines, mixing, quality, simhash, topk, warc  # noqa: F401
+from . import decontaminate, language, license, lines, mixing, quality, simhash, topk, warc  # noqa: F401
 from .common import CHECKS, QUERIES  # noqa: F401
