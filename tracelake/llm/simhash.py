@@ -30,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BinaryType, LongType
 
-from .common import keep, lower_words, query, table
+from .common import filtered_joins, keep, lower_words, query, table
 from .graph import components
 
 RADIUS = 3
@@ -258,6 +258,93 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _spread_prints(words: list[bytes], spaces: int) -> np.ndarray:
+    """Independent SimHashes of the distinct words, one per space."""
+    distinct = list(dict.fromkeys(words))
+    base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct))
+    return np.array([bit_majority(_mixed(base + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(spaces)], np.uint64)
+
+
+def _sketched(spaces: int):
+    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            node, prints = [], []
+            for text in rows["text"]:
+                words = lower_words(text)
+                node.append(xxhash.xxh3_128_digest(b" ".join(words)))
+                prints.append(_spread_prints(words, spaces).view(np.int64))
+            yield pd.DataFrame({"doc": rows["doc"], "node": node, "prints": prints})
+
+    return sketch
+
+
+def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Distinct five-word shingles of the texts whose word sequence is the wanted one."""
+    for rows in batches:
+        out = []
+        for node, text in zip(rows["node"], rows["text"], strict=True):
+            words = lower_words(text)
+            if xxhash.xxh3_128_digest(b" ".join(words)) == bytes(node):
+                out.append((bytes(node), np.unique(shingle_hashes(words, 5)).view(np.int64)))
+        yield pd.DataFrame(out, columns=["node", "shingles"])
+
+
+def one_of_each_group(docs: DataFrame, spaces: int = 8, radius: int = RADIUS, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
+
+    Near copies share ``threshold`` of their five-word shingles (Jaccard); groups are connected. Equal
+    word sequences are one node. A change of a few words moves a single fingerprint by more bits than
+    a table of pivot distances can search, so each node has ``spaces`` independent fingerprints of its
+    distinct words, and a pair that meets in any of them is a candidate for the exact comparison.
+    Texts without a word are equal to each other. Rows with a null doc_id come last; of rows that
+    share the kept doc_id and word sequence one stays.
+    """
+    last = F.lit((1 << 63) - 1)
+    doc = F.coalesce(F.col("doc_id").cast("long"), last)
+    plain = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = keep(plain.mapInPandas(_sketched(spaces), "doc long, node binary, prints array<long>"))
+    nodes = keep(rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("prints").alias("prints")))
+    spaced = nodes.select("node", F.posexplode("prints").alias("space", "fp")).withColumn("space", F.col("space").cast("long"))
+    heads = keep(spaced.groupBy("space", "fp").agg(F.min("node").alias("head")))
+    links = fingerprint_links(heads, radius)
+    a = heads.select("space", F.col("fp").alias("a"), F.col("head").alias("x"))
+    b = heads.select("space", F.col("fp").alias("b"), F.col("head").alias("y"))
+    pairs = (
+        spaced.join(heads, ["space", "fp"]).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
+        .union(links.join(a, ["space", "a"]).join(b, ["space", "b"]).select("x", "y"))
+        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+    )
+    pairs = keep(pairs)
+    wanted = keep(
+        pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(nodes.select("node", "doc"), "node"))
+    with filtered_joins(docs.sparkSession):
+        shingles = keep(plain.join(wanted.where("doc > -9223372036854775808"), "doc").select("node", "text")
+                        .mapInPandas(_shingled, "node binary, shingles array<long>").dropDuplicates(["node"]))
+    shared = F.size(F.array_intersect("p", "q"))
+    near = (
+        pairs.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("p")), "x")
+        .join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("q")), "y")
+        .where(shared >= threshold * (F.size("p") + F.size("q") - shared))
+    )
+    labels = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    grouped = nodes.select("node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    winners = grouped.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("w")).select("w.doc", "w.node")
+    repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("repeated"))
+    chosen = keep(winners.groupBy("doc").agg(F.collect_set("node").alias("nodes")).join(repeated, "doc", "left"))
+    kept = docs.withColumn("_doc", doc).join(chosen.withColumnsRenamed({"doc": "_doc", "nodes": "_nodes", "repeated": "_again"}), "_doc")
+    single = kept.where("_again is null").select(*docs.columns)
+    if chosen.where("repeated").isEmpty():
+        return single
+
+    @pandas_udf(BinaryType())
+    def node_of(texts: pd.Series) -> pd.Series:
+        return pd.Series([xxhash.xxh3_128_digest(b" ".join(lower_words(t))) for t in texts], dtype="object")
+
+    again = kept.where("_again").withColumn("_node", node_of(F.coalesce("text", F.lit(""))))
+    again = again.where(F.array_contains("_nodes", F.col("_node"))).dropDuplicates(["_doc", "_node"]).select(*docs.columns)
+    return single.union(again)
+
+
 @query("op2_simhash_near_duplicates")
 def op2(spark, folder):
     return near_duplicates(table(spark, folder, "documents"))
