@@ -77,6 +77,17 @@ def filtered_joins(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until ``df`` has no such column, in any case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def utf8(text: str | None) -> bytes:
     """UTF-8 of a text; a lone surrogate becomes a question mark, as in the JVM."""
     return (text or "").encode("utf-8", "replace")

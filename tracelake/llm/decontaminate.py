@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered_joins, keep, lower_ascii, query, table, words_of
+from .common import filtered_joins, fresh, keep, lower_ascii, query, table, words_of
 
 SHINGLE = 5
 RADIUS = 12
@@ -115,8 +115,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, th
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage; null doc_ids are compared as equal."""
-    hit = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc")).distinct()
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(hit, "_doc", "left_anti").select(*docs.columns)
+    (doc,) = fresh(docs, "doc")
+    hit = contaminated(docs, benchmark).select(F.coalesce("doc_id", F.lit(LAST)).alias(doc)).distinct()
+    return docs.withColumn(doc, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).join(hit, doc, "left_anti").select(*docs.columns)
 
 
 @query("op6_decontaminate")

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType, LongType
 
-from .common import filtered_joins, keep, lower_words, query, table
+from .common import filtered_joins, fresh, keep, lower_words, query, table
 from .graph import components
 
 RADIUS = 3
@@ -40,6 +40,7 @@ LAYOUTS = (5, 8, 16)
 PIVOTS = 24
 SMALL = 32
 WHOLE = 4096
+REFERENCES = 64
 _HASHES = 1 << 15
 
 
@@ -321,18 +322,33 @@ def one_of_each_group(docs: DataFrame, spaces: int = 8, radius: int = RADIUS, th
         shingles = keep(plain.join(wanted.where("doc > -9223372036854775808"), "doc").select("node", "text")
                         .mapInPandas(_shingled, "node binary, shingles array<long>").dropDuplicates(["node"]))
     shared = F.size(F.array_intersect("p", "q"))
-    near = (
-        pairs.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("p")), "x")
-        .join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("q")), "y")
-        .where(shared >= threshold * (F.size("p") + F.size("q") - shared))
-    )
-    labels = components(near.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    def verified(candidates: DataFrame) -> DataFrame:
+        return (
+            candidates.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("p")), "x")
+            .join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("q")), "y")
+            .where(shared >= threshold * (F.size("p") + F.size("q") - shared))
+            .select(F.col("x").alias("a"), F.col("y").alias("b"))
+        )
+
+    near = keep(verified(pairs))
+    labels = components(near)
+    # a long run gave a forest, not all links: nodes outside the largest verified group of their
+    # candidates are compared with up to ``REFERENCES`` members spread over that group
+    around = components(pairs.toDF("a", "b")).withColumnRenamed("label", "all")
+    placed = keep(around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    main = placed.groupBy("all", "label").agg(F.count("*").alias("n")).groupBy("all").agg(F.max(F.struct("n", "label")).alias("m")).where("m.n > 1")
+    told = keep(placed.join(main.select("all", F.col("m.label").alias("main")), "all"))
+    references = told.where("label = main").groupBy("all", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("k")).agg(F.min("node").alias("y"))
+    more = told.where("label <> main").select("all", F.col("node").alias("x")).join(references, "all").select("x", "y")
+    labels = components(near.union(verified(more)))
     grouped = nodes.select("node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     winners = grouped.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("w")).select("w.doc", "w.node")
     repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("repeated"))
     chosen = keep(winners.groupBy("doc").agg(F.collect_set("node").alias("nodes")).join(repeated, "doc", "left"))
-    kept = docs.withColumn("_doc", doc).join(chosen.withColumnsRenamed({"doc": "_doc", "nodes": "_nodes", "repeated": "_again"}), "_doc")
-    single = kept.where("_again is null").select(*docs.columns)
+    at, wanted_nodes, again, its_node = fresh(docs, "doc", "nodes", "again", "node")
+    kept = docs.withColumn(at, doc).join(chosen.toDF("doc", "nodes", "repeated").withColumnsRenamed({"doc": at, "nodes": wanted_nodes, "repeated": again}), at)
+    single = kept.where(F.col(again).isNull()).select(*docs.columns)
     if chosen.where("repeated").isEmpty():
         return single
 
@@ -340,9 +356,9 @@ def one_of_each_group(docs: DataFrame, spaces: int = 8, radius: int = RADIUS, th
     def node_of(texts: pd.Series) -> pd.Series:
         return pd.Series([xxhash.xxh3_128_digest(b" ".join(lower_words(t))) for t in texts], dtype="object")
 
-    again = kept.where("_again").withColumn("_node", node_of(F.coalesce("text", F.lit(""))))
-    again = again.where(F.array_contains("_nodes", F.col("_node"))).dropDuplicates(["_doc", "_node"]).select(*docs.columns)
-    return single.union(again)
+    more_rows = kept.where(again).withColumn(its_node, node_of(F.coalesce("text", F.lit(""))))
+    more_rows = more_rows.where(F.array_contains(wanted_nodes, F.col(its_node))).dropDuplicates([at, its_node]).select(*docs.columns)
+    return single.union(more_rows)
 
 
 @query("op2_simhash_near_duplicates")
