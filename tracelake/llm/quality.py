@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, ridge:
     marks = labels.where("doc_id is not null AND quality is not null").groupBy("doc_id").agg(F.round(F.avg("quality")).alias("quality"))
     taught = marks.where(F.crc32(F.col("doc_id").cast("string")) % FOLDS != 0)
     chosen = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    rows = keep(docs.select("doc_id", "text").join(chosen, "doc_id").repartition(_PARTS, F.xxhash64("doc_id"))
+    # broadcast: TRAIN_ROWS ids and marks of 16 bytes at most, so that no text is shuffled but the sample's
+    rows = keep(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").repartition(_PARTS, F.xxhash64("doc_id"))
                 .select("quality", _statistics(F.coalesce("text", F.lit(""))).alias("stats")))
     moments = _summed(rows, lambda x, y: np.concatenate([[len(x), y.sum()], x.sum(0), (x * x).sum(0)]))
     if not len(moments):
