@@ -243,6 +243,8 @@ def test_class_names():
 def test_filters():
     assert filters.parse_cpu_filter("18-20, 4") == [4, 18, 19, 20] and filters.parse_cpu_filter(" ") is None
     assert filters.parse_flow_selector("1.2.3.4:5 -> [fe80::1]:9/TCP") == {"src": "1.2.3.4", "src_port": 5, "dst": "fe80::1", "dst_port": 9, "proto": "tcp"}
+    assert filters.parse_flow_selector("10.0.0.1:1 <-> 10.0.0.2:2/tcp") == {"src": "10.0.0.1", "src_port": 1, "dst": "10.0.0.2", "dst_port": 2, "proto": "tcp"}
+    assert filters.parse_flow_selector("fe80::1 <- :443")["src"] == "fe80::1" and filters.parse_flow_selector("x") is None
     assert filters.parse_flow_selector("a:1-b:2")["dst_port"] == 2 and filters.parse_flow_selector("a:1 b")["dst"] == "b"
     assert filters.module_regex([]) == r"(?!x)x" and filters.resolve_module_set(replace_modules=["x"]) == {"x"}
 
@@ -263,6 +265,7 @@ def test_store_round_trip(spark, tmp_path):
     assert store.scan(spark, root, "sampled_profile", meta=meta, start_time=0.0001, end_time=0.0002).count() == 11
     assert store.open_events(spark, "cswitch", root=root).count() == 0
     assert store.open_events(spark, "cswitch", tables={"CSwitch": rows}).count() == 100
+    assert store.open_events(spark, "cswitch", tables={"CSwitch": rows}, columns=["seq"], include_time=False).columns == ["seq"]
     store.write_events(rows, root, "SampledProfile")
     assert {r.problem for r in store.validate(spark, root, "sampled_profile").collect()} == {"stray file"}
     listed = store.list_traces(spark, root + "/sampled_profile/trace_id=a", "*.parquet").collect()
@@ -295,9 +298,8 @@ def test_text_files(spark, tmp_path):
         (100, 12, 7, 3, "10.0.0.1", 5000, 1460, 9), (200, 12, -1, -1, "", 0, 10, 0)]
     pool = tmp_path / "pool.txt"
     pool.write_text("Paged Pool:\nImage, Tag\nndis.sys, NDnd, 5, 6.5, 1, 0.5\nNX Non-Paged Pool\nx.sys, T, 1, 1, 1, 1\nbad, T, x, 1, 1, 1\n")
-    for small in (True, False):
-        got = text_reports.pool_text(text_reports.read_ordered_lines(spark, str(pool), small=small))
-        assert sorted((r.pool_type, r.module, r.allocs) for r in got.collect()) == [("NX NonPaged", "x.sys", 1), ("Paged", "ndis.sys", 5)]
+    got = text_reports.pool_text(text_reports.read_ordered_lines(spark, str(pool)))
+    assert sorted((r.pool_type, r.module, r.allocs) for r in got.collect()) == [("NX NonPaged", "x.sys", 1), ("Paged", "ndis.sys", 5)]
 
 
 def test_loose_csv_and_export(spark, tmp_path):

@@ -167,7 +167,7 @@ def contention_site(stack_text: Column) -> Column:
     first = F.get(hits, F.lit(0))
     caller = F.coalesce(F.trim(F.get(frames, first + 1)), F.lit("?"))
     return (
-        F.when(~several, F.substring(stack_text, 1, 80))
+        F.when(~several, stack_text)
         .when(first.isNotNull(), F.concat(F.trim(F.get(frames, first)), F.lit(" <- "), caller))
         .otherwise(F.trim(F.get(frames, F.lit(0))))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ids import unsigned
@@ -86,14 +86,22 @@ def modules_of(addresses: DataFrame, image: DataFrame) -> DataFrame:
 def symbols_of(located: DataFrame, symbols: DataFrame) -> DataFrame:
     """Function per distinct located address from ``symbols(module, start, size, name, source)``.
 
-    ``start`` is relative to the image. Unresolved addresses keep ``+0x<offset>`` as function.
+    ``start`` is relative to the image. The symbol with the greatest start up to an address names
+    it, as export symbols have no size; of symbols that start together the longest does. Addresses
+    before the first symbol keep ``+0x<offset>`` as function.
     """
     rva = (F.col("_at") - F.col("image_start")).cast("bigint")
-    points = located.where(F.col("module").isNotNull()).select("module", rva.alias("_rva")).distinct()
-    found = containing_interval(
-        points, symbols.withColumn("module", F.lower("module")), ["module"],
-        point="_rva", start="start", length="size", payload=["name", "source"], bin_bits=12,
-    ).select("module", "_rva", "name", "source")
+    points = located.where(F.col("module").isNotNull()).select(
+        "module", rva.alias("_rva"), F.lit(1).alias("_asks"), F.lit(None).cast("struct<name:string,source:string>").alias("_s"))
+    marks = symbols.where("start is not null").groupBy(F.lower("module").alias("module"), F.col("start").cast("bigint").alias("_rva")).agg(
+        F.min(F.struct((-F.coalesce("size", F.lit(0))).alias("z"), "name", "source")).alias("_m")
+    ).select("module", "_rva", F.lit(0).alias("_asks"), F.struct("_m.name", "_m.source").alias("_s"))
+    # distinct addresses and symbol starts of one image: bounded by the image, not by the trace
+    upto = Window.partitionBy("module").orderBy("_rva", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = (
+        points.distinct().unionByName(marks)
+        .withColumn("_s", F.last("_s", ignorenulls=True).over(upto)).where("_asks = 1").select("module", "_rva", "_s.name", "_s.source")
+    )
     joined = located.withColumn("_rva", rva).join(found, ["module", "_rva"], "left")
     fallback = F.concat(F.lit("+0x"), F.lower(F.hex("_rva")))
     return joined.select(

@@ -345,8 +345,9 @@ def hop_latency(sightings: DataFrame, journeys: DataFrame | None = None) -> Data
     )
 
 
-def slowest_journeys(journeys: DataFrame, *, limit: int = 10) -> DataFrame:
+def slowest_journeys(journeys: DataFrame, *, limit: int | None = None) -> DataFrame:
     """The journeys with the longest total latency among those of several stages."""
-    return journeys.where(F.col("stages") > 1).orderBy(
+    ordered = journeys.where(F.col("stages") > 1).orderBy(
         F.col("total_us").desc(), "trace_id", "direction", "journey"
-    ).limit(limit)
+    )
+    return ordered if limit is None else ordered.limit(limit)

@@ -229,7 +229,7 @@ def thread_cpu_precise(
     return result.select(*identity, *SORTABLE, "lost_intervals")
 
 
-def precise_report(result: DataFrame, *, sort_by: str = "running_ms", limit: int = 50) -> DataFrame:
+def precise_report(result: DataFrame, *, sort_by: str = "running_ms", limit: int | None = None) -> DataFrame:
     """The largest rows by a sortable column; an unknown name means running time."""
     order = sort_by if sort_by in SORTABLE else "running_ms"
     tie = ["trace_id", "pid", "process_name"] + (["tid"] if "tid" in result.columns else [])
@@ -333,17 +333,19 @@ def with_switch_names(cswitch: DataFrame, process: DataFrame) -> DataFrame:
 
 
 def wait_chain(
-    cswitch: DataFrame, ready: DataFrame, threads: DataFrame, *, busiest: int = 5,
+    cswitch: DataFrame, ready: DataFrame, threads: DataFrame, *, busiest: int | None = None,
     max_window_us: int = 1_000_000,
 ) -> dict[str, DataFrame]:
-    """Wait picture of the busiest threads of a process.
+    """Wait picture of the threads of a process, of the ``busiest`` ones where a number is given.
 
     ``threads`` comes from :func:`threads_of_process` (or names one thread). Returns the chosen
     threads, their wait reasons and their wake-up waits.
     """
-    # one row per thread of the matching processes, ranked per trace
-    ranked = Window.partitionBy("trace_id").orderBy(F.col("switch_ins").desc(), F.col("tid"))
-    chosen = threads.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= busiest).drop("_rank")
+    chosen = threads
+    if busiest is not None:
+        # one row per thread of the matching processes, ranked per trace
+        ranked = Window.partitionBy("trace_id").orderBy(F.col("switch_ins").desc(), F.col("tid"))
+        chosen = threads.withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= busiest).drop("_rank")
     keys = chosen.select("trace_id", "tid")
     switched = cswitch.join(keys.withColumnRenamed("tid", "new_tid"), ["trace_id", "new_tid"], "left_semi")
     woken = ready.withColumn("tid", F.coalesce("readied_tid", "tid")).join(keys, ["trace_id", "tid"], "left_semi")

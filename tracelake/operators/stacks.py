@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -237,13 +238,14 @@ def _key(module: str, function: str) -> Column:
 def walk_stack(
     weights: DataFrame, edges: DataFrame, function_filter: str, *, module_filter: str | None = None,
     direction: str = "callers", branch_policy: str = "dominant", branch_threshold_pct: float = 5.0,
-    max_depth: int = 64, stop_at_modules: Sequence[str] = (),
+    max_depth: int | None = None, stop_at_modules: Sequence[str] = (),
 ) -> DataFrame:
     """Breadth-first walk over call edges from the best matching function.
 
     A frame is not visited twice on one path. ``dominant`` follows the heaviest edge, ``threshold``
     the edges with at least the given share, ``all`` every edge. One distributed join per level;
-    each level is written so that a lost executor costs no more than that level.
+    each level is written so that a lost executor costs no more than that level. The walk ends
+    when a level has no row, or at ``max_depth`` where one is given.
     """
     if branch_policy not in POLICIES:
         raise ValueError("branch_policy must be one of: " + ", ".join(POLICIES))
@@ -282,7 +284,7 @@ def walk_stack(
     columns = root.columns
     level, levels = root, [root]
     stops = [m.lower() for m in stop_at_modules]
-    for depth in range(max_depth):
+    for depth in count() if max_depth is None else range(max_depth):
         at = level
         if depth > 0 and stops:
             at = at.where(~F.lower("module").isin(stops))

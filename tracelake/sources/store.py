@@ -101,14 +101,14 @@ def open_events(
     name = canonical_event_class(event_class)
     for key, table in (tables or {}).items():
         if canonical_event_class(key) == name:
-            return table
+            return select_events(table, **options)
     if root is not None:
         try:
             return scan(spark, root, name, **options)
         except AnalysisException as error:
             if "PATH_NOT_FOUND" not in (error.getCondition() or ""):
                 raise
-    return empty_events(spark, name)
+    return select_events(empty_events(spark, name), **options)
 
 
 def file_statistics(df: DataFrame) -> DataFrame:

@@ -155,7 +155,7 @@ def _capture(e: DataFrame) -> DataFrame:
         .when(event.rlike("send|transmit|[/_]tx"), F.lit("Send")).otherwise(F.lit("Unknown"))
     )
     numbered = F.transform(
-        F.slice(F.col("_f"), 6, 1_000_000),
+        F.slice(F.col("_f"), 6, F.size("_f")),
         lambda x, i: F.struct(i.alias("i"), F.trim(x).alias("raw"), clean_hex(x).alias("hex")),
     )
     frames = F.filter(F.col("_t"), lambda x: F.length(x["hex"]) >= 24)
@@ -180,7 +180,7 @@ def _capture(e: DataFrame) -> DataFrame:
 
 
 def _http_recv(e: DataFrame) -> DataFrame:
-    tail = F.array_join(F.slice(F.col("_f"), 9, 1_000_000), ",")
+    tail = F.array_join(F.slice(F.col("_f"), 9, F.size("_f")), ",")
     url = F.when(F.size("_f") > 8, F.regexp_replace(F.trim(tail), '^"+|"+$', "")).otherwise(F.lit(""))
     return e.select(
         *_header(), _id(5).alias("request_id"), _id(6).alias("connection_id"), _bare(7).alias("verb"), url.alias("url")

@@ -16,22 +16,14 @@ from ..plans.sequence import fill_forward, with_neighbours, with_running
 
 FILE = ["trace_id"]
 ORDER = ["line_no"]
-BLOCK_LINES = 100_000
 
 
-def read_ordered_lines(spark: SparkSession, path: str, *, small: bool = True) -> DataFrame:
+def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with their order; the trace id is the file path.
 
-    Small files are read whole. Larger ones are split by the reader; their lines are ordered by
-    the start of the split and the position the reader met them in.
+    The reader splits files; a split is a block. Blocks are ordered by where they start in the
+    file, lines within a block by the position the reader met them in.
     """
-    if small:
-        whole = spark.read.option("wholetext", "true").text(path)
-        rows = whole.select(
-            F.col("_metadata.file_path").alias("trace_id"),
-            F.posexplode(F.split(F.regexp_replace("value", "\r\n", "\n"), "\n")).alias("line_no", "value"),
-        )
-        return rows.withColumn("block", F.expr(f"line_no div {BLOCK_LINES}"))
     return spark.read.text(path).select(
         F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line_no"), "value",
@@ -44,7 +36,7 @@ def profile_detail(lines: DataFrame) -> DataFrame:
     rows = lines.where(~F.ltrim("value").startswith("Process Name")).withColumn("_f", parts)
     weight, pct = F.trim(F.get("_f", F.lit(1))).try_cast("bigint"), F.trim(F.get("_f", F.lit(2))).try_cast("double")
     rows = rows.where((F.size("_f") >= 4) & weight.isNotNull() & pct.isNotNull())
-    place = F.trim(F.array_join(F.slice("_f", 4, 1_000_000), ","))
+    place = F.trim(F.array_join(F.slice("_f", 4, F.size("_f")), ","))
     named = place.contains("!")
 
     def bare(x: Column) -> Column:

@@ -28,13 +28,13 @@ NAMES = """pnames AS (
     SELECT trace_id, pid, arg_max(image_file_name, seq) AS pname FROM process
     WHERE image_file_name <> '' GROUP BY ALL)"""
 PLACED = """placed AS (
-    SELECT a.trace_id, a.address, coalesce(regexp_extract(lower(i.file_name), '([^/]+)$', 1), '<unknown>') AS module,
-           CASE WHEN i.image_base IS NULL THEN '' ELSE coalesce(y.name, '+0x' || lower(to_hex(a.address - i.image_base))) END AS function,
+    SELECT a.trace_id, a.address, coalesce(a.file, '<unknown>') AS module,
+           CASE WHEN a.rva IS NULL THEN '' ELSE coalesce(y.name, '+0x' || lower(to_hex(a.rva))) END AS function,
            coalesce(y.source, 'unknown') AS symbol_source
-    FROM (SELECT DISTINCT trace_id, address FROM samples) a
-    LEFT JOIN image i ON i.trace_id = a.trace_id AND i.image_base = a.address - a.address % 4096
-    LEFT JOIN symbols y ON y.module = regexp_extract(lower(i.file_name), '([^/]+)$', 1)
-         AND y.start <= a.address - i.image_base AND a.address - i.image_base < y.start + y.size)"""
+    FROM (SELECT d.trace_id, d.address, regexp_extract(lower(i.file_name), '([^/]+)$', 1) AS file, d.address - i.image_base AS rva
+          FROM (SELECT DISTINCT trace_id, address FROM samples) d
+          LEFT JOIN image i ON i.trace_id = d.trace_id AND i.image_base = d.address - d.address % 4096) a
+    ASOF LEFT JOIN symbols y ON y.module = a.file AND a.rva >= y.start)"""
 SAMPLING = f"""{OWNED}, {NAMES}, {PLACED}, table_ AS (
     SELECT o.trace_id, coalesce(n.pname, '<unknown>') AS process_name, o.own_pid AS pid, p.module, p.function,
            p.symbol_source, CAST(sum({WEIGHT}) AS BIGINT) AS weight
@@ -461,7 +461,7 @@ def _(t):
 def _chain(t):
     return sched.wait_chain(
         t["switch_in"], t["ready"], sched.threads_of_process(t["process"], t["thread"], t["switch_in"], "proc1"),
-        max_window_us=WINDOW,
+        busiest=5, max_window_us=WINDOW,
     )
 
 

@@ -59,7 +59,7 @@ DERIVED: dict[str, str] = {
     "module_parts": """
         SELECT concat(replace(p_name, ' ', '_'), '.sys') AS module, @each(0, 1, 2) AS i FROM part""",
     "symbols": """
-        SELECT DISTINCT module, CAST(i * 1024 AS BIGINT) AS start, CAST(1024 AS BIGINT) AS size, concat('fn', i) AS name,
+        SELECT DISTINCT module, CAST(512 + i * 1024 AS BIGINT) AS start, CAST(CASE i WHEN 1 THEN 0 ELSE 512 END AS BIGINT) AS size, concat('fn', i) AS name,
                CASE i WHEN 0 THEN 'pdb' WHEN 1 THEN 'export' ELSE 'mismatched' END AS source
         FROM module_parts""",
     # labelled samples for the reports that start from names

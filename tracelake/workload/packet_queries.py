@@ -188,7 +188,7 @@ WITH {STAGES} SELECT trace_id, direction, journey, stages, complete, total_us, p
 FROM jn WHERE stages > 1 ORDER BY total_us DESC, trace_id, direction, journey LIMIT 10""")
 def _(t):
     journeys = packets.journey_summary(packets.packet_journeys(_layers(t)))
-    return packets.slowest_journeys(journeys).drop("fingerprint", "flow")
+    return packets.slowest_journeys(journeys, limit=10).drop("fingerprint", "flow")
 
 
 @query("flow_selector", f"""
