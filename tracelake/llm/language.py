@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,86 +30,147 @@ LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
 SMOOTH = 0.5
 UNKNOWN = "und"
-_FLUSH = 200_000
+_FLUSH, _HELD = 300_000, 50_000_000  # pieces counted and characters read before counts leave a task
+_SEEN, _SHORT = 200_000, 64  # pieces remembered while predicting, and their length
 
 _RUN = re.compile(r"[^\W\d_]+")
 
 
-def letters_of(text: str | None) -> list[str]:
-    """Runs of letters of a whole text, lower-cased."""
-    return _RUN.findall((text or "").lower())
-
-
 def grams_of(word: str, size: int) -> list[str]:
     """Runs of ``size`` characters of a word between borders."""
     padded = f"<{word}>"
     return [padded[i:i + size] for i in range(len(padded) - size + 1)]
 
 
+def pieces_of(text: str | None) -> Counter:
+    """What stands between white space in a whole text, lower-cased, with counts.
+
+    A word is a run of letters and never crosses white space, so each distinct piece is searched
+    for words once, however often it occurs.
+    """
+    return Counter((text or "").lower().split())
+
+
 _COUNTS = "lang string, size int, piece string, n long"
 
 
-def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words (size 0) and n-grams within a partition, flushed before they grow large."""
-    words: dict[str, Counter] = {}
-
-    def out() -> pd.DataFrame:
-        rows = []
-        for lang, counts in words.items():
-            pieces: Counter = Counter()
-            for word, n in counts.items():
-                pieces[(0, word)] += n
-                for size in range(1, LONGEST + 1):
-                    for gram in grams_of(word, size):
-                        pieces[(size, gram)] += n
-            rows += [(lang, size, piece, n) for (size, piece), n in pieces.items()]
-        return pd.DataFrame(rows, columns=["lang", "size", "piece", "n"])
+def _counts_of(pieces: dict[str, Counter]) -> pd.DataFrame:
+    """Rows of words (size 0) and n-grams for counted pieces per language."""
+    langs, sizes, found, numbers = [], [], [], []
+    for lang, counts in pieces.items():
+        words: dict[str, int] = defaultdict(int)
+        for piece, n in counts.items():
+            for word in _RUN.findall(piece):
+                words[word] += n
+        by_size = [words]
+        for size in range(1, LONGEST + 1):
+            grams: dict[str, int] = defaultdict(int)
+            for word, n in words.items():
+                for gram in grams_of(word, size):
+                    grams[gram] += n
+            by_size.append(grams)
+        for size, grams in enumerate(by_size):
+            langs += [lang] * len(grams)
+            sizes += [size] * len(grams)
+            found += grams.keys()
+            numbers += grams.values()
+    return pd.DataFrame({
+        "lang": pd.Series(langs, dtype="object"), "size": pd.Series(sizes, dtype="int32"),
+        "piece": pd.Series(found, dtype="object"), "n": pd.Series(numbers, dtype="int64")})
+
 
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts within a partition, flushed before they grow large."""
+    pieces: dict[str, Counter] = {}
+    held = 0
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            words.setdefault(lang, Counter()).update(letters_of(text))
-            if sum(map(len, words.values())) > _FLUSH:
-                yield out()
-                words = {}
-    if words:
-        yield out()
+            pieces.setdefault(lang, Counter()).update(text.lower().split())
+            held += len(text)
+            if held > _HELD or sum(map(len, pieces.values())) > _FLUSH:
+                yield _counts_of(pieces)
+                pieces, held = {}, 0
+    if pieces:
+        yield _counts_of(pieces)
 
 
 @dataclass
 class Model:
-    """Log frequencies per language of known words and n-grams."""
+    """Log frequencies per language: a row of ``logs`` for each known word and n-gram."""
 
     langs: list[str] = field(default_factory=list)
-    words: dict[str, np.ndarray] = field(default_factory=dict)
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-
-    def of_word(self, word: str) -> np.ndarray:
-        """Log frequencies of a word, or the mean of the longest known n-grams at its places."""
-        known = self.words.get(word)
-        if known is not None:
-            return known
-        padded, found = f"<{word}>", []
-        for i in range(len(padded)):
-            for size in range(min(LONGEST, len(padded) - i), 0, -1):
-                gram = self.grams.get(padded[i:i + size])
-                if gram is not None:
-                    found.append(gram)
-                    break
-        return np.mean(found, axis=0) if found else np.zeros(len(self.langs))
+    words: dict[str, int] = field(default_factory=dict)
+    grams: dict[str, int] = field(default_factory=dict)
+    logs: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))
+
+
+class Reader:
+    """Applies a model to texts and remembers what words and short pieces add, up to a bound."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        # log frequencies of a piece and number of its words; the model's own rows come first
+        self.sums = np.hstack([model.logs, np.ones((len(model.logs), 1))]) if model.langs else model.logs
+        self._forget()
+
+    def _forget(self) -> None:
+        self.at, self.longest, self.used = dict(self.model.words), {}, len(self.model.logs)
+
+    def _row(self, values: np.ndarray | float) -> int:
+        if self.used == len(self.sums):
+            self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
+        self.sums[self.used] = values
+        self.used += 1
+        return self.used - 1
+
+    def _gram(self, window: str) -> int | None:
+        """The longest known n-gram at the start of a window of ``LONGEST`` or fewer characters."""
+        if window not in self.longest:
+            known = self.model.grams
+            self.longest[window] = next((known[window[:n]] for n in range(len(window), 0, -1) if window[:n] in known), None)
+        return self.longest[window]
+
+    def _word(self, word: str) -> int:
+        """Row of a word: its own, or a new one with the mean of the longest known n-grams at its places."""
+        at = self.at.get(word)
+        if at is None:
+            padded = f"<{word}>"
+            found = [self._gram(padded[i:i + LONGEST]) for i in range(len(padded))]
+            found = [gram for gram in found if gram is not None]
+            at = self._row(self.sums[found].sum(axis=0) / len(found) if found else [0.0] * len(self.model.langs) + [1.0])
+            if len(word) <= _SHORT:
+                self.at[word] = at
+        return at
+
+    def _piece(self, piece: str) -> int:
+        words = _RUN.findall(piece)
+        if len(words) == 1:
+            at = self._word(words[0])
+        else:
+            rows = [self._word(word) for word in words]
+            at = self._row(self.sums[rows].sum(axis=0) if rows else 0.0)
+        if len(piece) <= _SHORT:
+            self.at[piece] = at
+        return at
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the posterior; ``und`` and 0 for a text without a letter."""
-        counts = Counter(letters_of(text))
-        if not counts or not self.langs:
+        counts = pieces_of(text)
+        if not counts or not self.model.langs:
+            return UNKNOWN, 0.0
+        if self.used > len(self.model.logs) + _SEEN or len(self.longest) + len(self.at) > len(self.model.words) + 4 * _SEEN:
+            self._forget()
+        rows = list(map(self.at.get, counts))
+        if None in rows:
+            rows = [self._piece(piece) if at is None else at for piece, at in zip(counts, rows, strict=True)]
+        *total, words = np.fromiter(counts.values(), float, len(counts)) @ self.sums[rows]
+        if not words:
             return UNKNOWN, 0.0
-        total = np.zeros(len(self.langs))
-        for word, n in counts.items():
-            total += n * self.of_word(word)
         # words of a text depend on each other: the evidence of a text grows with the root of its length
-        total /= math.sqrt(sum(counts.values()))
+        total = np.array(total) / math.sqrt(words)
         odds = np.exp(total - total.max())
         best = int(np.argmax(total))
-        return self.langs[best], float(odds[best] / odds.sum())
+        return self.model.langs[best], float(odds[best] / odds.sum())
 
 
 def fit(docs: DataFrame) -> Model:
@@ -123,7 +184,7 @@ def fit(docs: DataFrame) -> Model:
     if not langs:
         return Model()
     at = {lang: i for i, lang in enumerate(langs)}
-    model = Model(langs)
+    model, logs = Model(langs), []
     for size in range(LONGEST + 1):
         base = np.full(len(langs), 1.0)
         for r in totals:
@@ -139,7 +200,9 @@ def fit(docs: DataFrame) -> Model:
             n = np.full(len(langs), SMOOTH)
             for lang, c in r["by"].items():
                 n[at[lang]] += c
-            target[r["piece"]] = np.log(n / base)
+            target[r["piece"]] = len(logs)
+            logs.append(np.log(n / base))
+    model.logs = np.array(logs).reshape(-1, len(langs))
     return model
 
 
@@ -150,8 +213,10 @@ def predicted(text: Column, model: Model) -> Column:
     """``struct(lang_pred, score)`` of a whole text. The model travels with the function; its parameters bound its size."""
 
     @pandas_udf(_SAID)
-    def say(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    def say(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        reader = Reader(model)
+        for texts in batches:
+            yield pd.DataFrame([reader.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     return say(text)
 
