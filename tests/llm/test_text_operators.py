@@ -127,6 +127,26 @@ def test_one_of_each_group(spark, odd_docs, no_docs):
     assert left == {0, 1000}
 
 
+def test_one_of_each_group_is_exact_at_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    texts = []
+    for k in range(12):  # a tenth of the words replaced or added at one end
+        base = [f"g{k}w{x}" for x in range(40 + 10 * k)]
+        cut = len(base) // 10
+        texts += [base, base[cut:], base + [f"g{k}n{x}" for x in range(cut)], [f"g{k}m{x}" for x in range(cut)] + base[cut:]]
+    for k in range(3):  # groups over the same set of words, in other orders
+        bag = [f"s{x}" for x in range(60)]
+        for _ in range(20):
+            rng.shuffle(bag)
+            texts += [list(bag), [*bag[2:], *bag[:2]]]
+    texts = [" ".join(t) for t in texts]
+    shingles = [frozenset(tuple(w[i:i + 5]) for i in range(len(w) - 4)) for w in map(words, texts)]
+    near = [(i, j) for j, b in enumerate(shingles) for i, a in enumerate(shingles[:j]) if len(a & b) >= 0.8 * len(a | b)]
+    want = {min(j for j, g in enumerate(found) if g == r) for found in [groups(len(texts), near)] for r in found}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
+
+
 # lines
 
 

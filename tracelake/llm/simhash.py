@@ -15,11 +15,15 @@ Fingerprints within ``radius`` bits are found without comparing all pairs:
 Rows of a key stream through a task in order, so no key is held beyond ``WHOLE`` rows. Longer
 runs go to a finer layout of blocks, where a key holds fewer distinct fingerprints; in the
 finest one it fixes all but 12 bits, so that a run cannot exceed 4096. Runs up to ``SMALL`` rows
-give all their links, longer ones the links of a spanning forest.
+give all their links, longer ones the links of a spanning forest; components need no more.
+
+Near copies by five-word shingles (``one_of_each_group``) do not use fingerprints, which miss
+pairs close to the threshold; they meet in an exact prefix join.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
@@ -27,10 +31,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import BinaryType, LongType
+from pyspark.sql.types import LongType
 
 from .common import filtered_joins, fresh, keep, lower_words, query, table
 from .graph import components
@@ -40,7 +44,9 @@ LAYOUTS = (5, 8, 16)
 PIVOTS = 24
 SMALL = 32
 WHOLE = 4096
-REFERENCES = 64
+SHINGLE = 5
+SAMPLED = 16  # one text in so many tells which shingles are frequent
+COMMON = 1 << 17
 _HASHES = 1 << 15
 
 
@@ -259,24 +265,52 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _spread_prints(words: list[bytes], spaces: int) -> np.ndarray:
-    """Independent SimHashes of the distinct words, one per space."""
-    distinct = list(dict.fromkeys(words))
-    base = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in distinct), np.uint64, len(distinct))
-    return np.array([bit_majority(_mixed(base + np.uint64(0x9E3779B97F4A7C15 * (k + 1) % (1 << 64)))) for k in range(spaces)], np.uint64)
+def _shingles(text: str | None) -> tuple[bytes, np.ndarray]:
+    """Digest of the word sequence of a text, and its distinct five-word shingles."""
+    words = lower_words(text)
+    return xxhash.xxh3_128_digest(b" ".join(words)), np.unique(shingle_hashes(words, SHINGLE))
+
+
+def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for rows in batches:
+        yield pd.DataFrame({"shingles": [_shingles(text)[1].view(np.int64) for text in rows["text"]]})
+
+
+def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several texts of a sample have, in order of their hash, and their place in order of frequency.
+
+    They only move frequent shingles to the end of the order of all shingles; any order keeps the join exact.
+    """
+    sample = plain.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0)
+    counts = (
+        sample.mapInPandas(_listed, "shingles array<long>").select(F.explode("shingles").alias("shingle"))
+        .groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON)
+    )
+    known = np.array([r["shingle"] for r in counts.collect()], np.int64).view(np.uint64)  # a fixed number of rows
+    order = np.argsort(known)
+    return known[order], len(known) - order
 
 
-def _sketched(spaces: int):
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _prefixed(common: tuple[np.ndarray, np.ndarray], threshold: float):
+    """Per text its digest, the number of its shingles and the rarest of them, the prefix that a match must share."""
+    known, place = common
+
+    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            node, prints = [], []
+            node, size, keys = [], [], []
             for text in rows["text"]:
-                words = lower_words(text)
-                node.append(xxhash.xxh3_128_digest(b" ".join(words)))
-                prints.append(_spread_prints(words, spaces).view(np.int64))
-            yield pd.DataFrame({"doc": rows["doc"], "node": node, "prints": prints})
+                digest, shingles = _shingles(text)
+                late = np.zeros(len(shingles), np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, shingles), len(known) - 1)
+                    late = np.where(known[at] == shingles, place[at], 0)
+                wanted = len(shingles) - math.ceil(threshold * len(shingles) - 1e-9) + 1
+                node.append(digest)
+                size.append(len(shingles))
+                keys.append(shingles[np.argsort(late, kind="stable")[:wanted]].view(np.int64))
+            yield pd.DataFrame({"doc": rows["doc"], "mark": rows["mark"], "node": node, "size": np.array(size, np.int32), "keys": keys})
 
-    return sketch
+    return prefix
 
 
 def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -284,81 +318,105 @@ def _shingled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for rows in batches:
         out = []
         for node, text in zip(rows["node"], rows["text"], strict=True):
-            words = lower_words(text)
-            if xxhash.xxh3_128_digest(b" ".join(words)) == bytes(node):
-                out.append((bytes(node), np.unique(shingle_hashes(words, 5)).view(np.int64)))
+            digest, shingles = _shingles(text)
+            if digest == bytes(node):
+                out.append((digest, shingles.view(np.int64)))
         yield pd.DataFrame(out, columns=["node", "shingles"])
 
 
-def one_of_each_group(docs: DataFrame, spaces: int = 8, radius: int = RADIUS, threshold: float = 0.8) -> DataFrame:
-    """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
+def _may_match(x: str, y: str, threshold: float) -> Column:
+    """Length and positional filter of two nodes at a key: what stands before it in one may be missing in the other."""
+    nx, ny, ax, ay = (F.col(c) for c in (f"{x}.size", f"{y}.size", f"{x}.at", f"{y}.at"))
+    shared = F.least(ax, ay) + F.least(nx - ax, ny - ay)
+    return shared * (1 + threshold) >= (nx + ny) * threshold - 1e-6
 
-    Near copies share ``threshold`` of their five-word shingles (Jaccard); groups are connected. Equal
-    word sequences are one node. A change of a few words moves a single fingerprint by more bits than
-    a table of pivot distances can search, so each node has ``spaces`` independent fingerprints of its
-    distinct words, and a pair that meets in any of them is a candidate for the exact comparison.
-    Texts without a word are equal to each other. Rows with a null doc_id come last; of rows that
-    share the kept doc_id and word sequence one stays.
+
+def near_copy_groups(plain: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(rows, nodes, labels)`` of ``plain(doc, mark, text)``: one node per word sequence, one label per group.
+
+    An exact prefix join. Shingles are ordered by rarity; two nodes that reach the threshold share
+    one of the first ``n - ceil(threshold n) + 1`` of either. At each key, nodes are first compared
+    with the one that meets most others; then all pairs of a key that do not lie in one group yet,
+    so that groups are those of all pairs. Nodes of one group need no comparison.
     """
-    last = F.lit((1 << 63) - 1)
-    doc = F.coalesce(F.col("doc_id").cast("long"), last)
-    plain = docs.select(doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = keep(plain.mapInPandas(_sketched(spaces), "doc long, node binary, prints array<long>"))
-    nodes = keep(rows.groupBy("node").agg(F.min("doc").alias("doc"), F.first("prints").alias("prints")))
-    spaced = nodes.select("node", F.posexplode("prints").alias("space", "fp")).withColumn("space", F.col("space").cast("long"))
-    heads = keep(spaced.groupBy("space", "fp").agg(F.min("node").alias("head")))
-    links = fingerprint_links(heads, radius)
-    a = heads.select("space", F.col("fp").alias("a"), F.col("head").alias("x"))
-    b = heads.select("space", F.col("fp").alias("b"), F.col("head").alias("y"))
-    pairs = (
-        spaced.join(heads, ["space", "fp"]).where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
-        .union(links.join(a, ["space", "a"]).join(b, ["space", "b"]).select("x", "y"))
-        .select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x <> y").distinct()
+    rows = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, keys array<long>"))
+    first = F.min(F.struct("doc", "mark")).alias("first")
+    nodes = rows.groupBy("node").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"))
+    nodes = keep(nodes.select("node", "first.doc", "first.mark", "size", "keys"))
+    same = Window.partitionBy("key")
+    met = keep(
+        nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
+        .withColumn("met", F.count("*").over(same)).where("met > 1")
     )
-    pairs = keep(pairs)
-    wanted = keep(
-        pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct().join(nodes.select("node", "doc"), "node"))
-    with filtered_joins(docs.sparkSession):
-        shingles = keep(plain.join(wanted.where("doc > -9223372036854775808"), "doc").select("node", "text")
+    central = keep(met.groupBy("node").agg(F.sum("met").alias("central")))
+    place = F.struct("central", "node", "size", "at")
+    shared = keep(met.join(central, "node").withColumn("head", F.max(place).over(same)).select("node", "size", "at", "key", "head"))
+
+    def paired(candidates: DataFrame) -> DataFrame:
+        return candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+    m, h = F.struct("node", "size", "at").alias("m"), F.col("head").alias("h")
+    stars = keep(paired(
+        shared.select(m, h).where((F.col("m.node") != F.col("h.node")) & _may_match("m", "h", threshold))
+        .select(F.col("m.node").alias("x"), F.col("h.node").alias("y"))
+    ))
+    wanted = keep(central.select("node").join(nodes.select("node", "doc", "mark"), "node").select("doc", "mark", "node"))
+    with filtered_joins(plain.sparkSession):
+        shingles = keep(plain.join(wanted.where("doc > -9223372036854775808"), ["doc", "mark"]).select("node", "text")
                         .mapInPandas(_shingled, "node binary, shingles array<long>").dropDuplicates(["node"]))
-    shared = F.size(F.array_intersect("p", "q"))
+    both = F.size(F.array_intersect("p", "q"))
 
     def verified(candidates: DataFrame) -> DataFrame:
         return (
             candidates.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("p")), "x")
             .join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("q")), "y")
-            .where(shared >= threshold * (F.size("p") + F.size("q") - shared))
+            .where(both >= threshold * (F.size("p") + F.size("q") - both))
             .select(F.col("x").alias("a"), F.col("y").alias("b"))
         )
 
-    near = keep(verified(pairs))
+    near = keep(verified(stars))
     labels = components(near)
-    # a long run gave a forest, not all links: nodes outside the largest verified group of their
-    # candidates are compared with up to ``REFERENCES`` members spread over that group
-    around = components(pairs.toDF("a", "b")).withColumnRenamed("label", "all")
-    placed = keep(around.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    main = placed.groupBy("all", "label").agg(F.count("*").alias("n")).groupBy("all").agg(F.max(F.struct("n", "label")).alias("m")).where("m.n > 1")
-    told = keep(placed.join(main.select("all", F.col("m.label").alias("main")), "all"))
-    references = told.where("label = main").groupBy("all", F.pmod(F.xxhash64("node"), F.lit(REFERENCES)).alias("k")).agg(F.min("node").alias("y"))
-    more = told.where("label <> main").select("all", F.col("node").alias("x")).join(references, "all").select("x", "y")
-    labels = components(near.union(verified(more)))
-    grouped = nodes.select("node", "doc").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    winners = grouped.groupBy("label").agg(F.min(F.struct("doc", "node")).alias("w")).select("w.doc", "w.node")
-    repeated = rows.groupBy("doc").agg(F.count("*").alias("n")).where("n > 1").select("doc", F.lit(True).alias("repeated"))
-    chosen = keep(winners.groupBy("doc").agg(F.collect_set("node").alias("nodes")).join(repeated, "doc", "left"))
-    at, wanted_nodes, again, its_node = fresh(docs, "doc", "nodes", "again", "node")
-    kept = docs.withColumn(at, doc).join(chosen.toDF("doc", "nodes", "repeated").withColumnsRenamed({"doc": at, "nodes": wanted_nodes, "repeated": again}), at)
+    placed = shared.drop("head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    most = F.max(F.struct("n", "label")).over(same)
+    apart = keep(
+        placed.withColumn("n", F.count("*").over(Window.partitionBy("key", "label")))
+        .withColumn("main", most["label"])
+        .withColumn("several", F.min("label").over(same) != F.max("label").over(same)).where("several")
+        .select("node", "size", "at", "key", "label", (F.col("label") == F.col("main")).alias("inside"))
+    )
+    x, y = apart.where("not inside").alias("u"), apart.alias("v")
+    once = F.col("v.inside") | (F.col("u.node") < F.col("v.node"))
+    rest = keep(
+        paired(
+            x.join(y, (F.col("u.key") == F.col("v.key")) & (F.col("u.label") != F.col("v.label")) & once & _may_match("u", "v", threshold))
+            .select(F.col("u.node").alias("x"), F.col("v.node").alias("y"))
+        ).join(stars, ["x", "y"], "left_anti")
+    )
+    return rows, nodes, components(near.union(verified(rest)))
+
+
+def one_of_each_group(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """``docs`` with one document of each group of near copies, the one with the smallest doc_id.
+
+    Near copies share ``threshold`` of their five-word shingles (Jaccard); groups are connected. Equal
+    word sequences are one node. Texts without a word are equal to each other. Rows with a null
+    doc_id come last; of rows that share the kept doc_id and word sequence one stays.
+    """
+    last = F.lit((1 << 63) - 1)
+    doc = F.coalesce(F.col("doc_id").cast("long"), last)
+    mark = F.xxhash64(F.coalesce("text", F.lit("")))  # tells rows of one doc_id, or of none, apart
+    plain = docs.select(doc.alias("doc"), mark.alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
+    rows, nodes, labels = near_copy_groups(plain, threshold)
+    grouped = nodes.select("node", "doc", "mark").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    winners = grouped.groupBy("label").agg(F.min(F.struct("doc", "node", "mark")).alias("w")).select("w.doc", "w.mark")
+    repeated = rows.groupBy("doc", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc", "mark", F.lit(True).alias("repeated"))
+    chosen = keep(winners.join(repeated, ["doc", "mark"], "left"))
+    at, its_mark, again = fresh(docs, "doc", "mark", "again")
+    kept = docs.withColumn(at, doc).withColumn(its_mark, mark).join(chosen.toDF(at, its_mark, again), [at, its_mark])
     single = kept.where(F.col(again).isNull()).select(*docs.columns)
     if chosen.where("repeated").isEmpty():
         return single
-
-    @pandas_udf(BinaryType())
-    def node_of(texts: pd.Series) -> pd.Series:
-        return pd.Series([xxhash.xxh3_128_digest(b" ".join(lower_words(t))) for t in texts], dtype="object")
-
-    more_rows = kept.where(again).withColumn(its_node, node_of(F.coalesce("text", F.lit(""))))
-    more_rows = more_rows.where(F.array_contains(wanted_nodes, F.col(its_node))).dropDuplicates([at, its_node]).select(*docs.columns)
-    return single.union(more_rows)
+    return single.union(kept.where(again).dropDuplicates([at, its_mark]).select(*docs.columns))
 
 
 @query("op2_simhash_near_duplicates")
