@@ -214,6 +214,33 @@ def test_contaminated_matches_all_windows(sample):
     assert got == pytest.approx(want) and want
 
 
+def test_contaminated_finds_every_full_window(spark):
+    rng = np.random.default_rng(2)
+    items, docs = [], []
+    for i in range(60):
+        item = [f"w{x}" for x in rng.integers(0, 3000, rng.integers(22, 120))]
+        cut, mid = len(item) // 11, len(item) // 2
+        added = [f"a{x}" for x in rng.integers(0, 3000, cut)]
+        around = [[f"r{x}" for x in rng.integers(0, 3000, 150)] for _ in range(2)]
+        copies = [[*added, *item[cut:]], [*item[:len(item) - cut], *added], [*added[:cut // 2], *item[cut // 2:mid], *added, *item[mid:-1], "x"]]
+        items.append((i, " ".join(item)))
+        docs += [(3 * i + k, " ".join([*around[0], *copy, *around[1]])) for k, copy in enumerate(copies)]
+
+    def bag(w):
+        return Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+
+    want = {}
+    for d, text in docs:
+        w, (i, item) = words(text), items[d // 3]
+        b = bag(words(item))
+        size = sum(b.values()) + 4
+        best = max(sum((bag(w[s:s + size]) & b).values()) for s in range(len(w) - size + 1))
+        if best >= 0.8 * (2 * size - 8 - best):
+            want[(d, i)] = best / (2 * size - 8 - best)
+    got = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == pytest.approx(want) and len(want) > 100
+
+
 def test_contaminated_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick BROWN fox jumps over the lazy dog"), (None, "café"), (3, None), (4, ""), (5, "word")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd_docs, items).collect()}

@@ -1,15 +1,17 @@
-"""Benchmark decontamination: SimHash windows of item size, Hamming blocks, exact shingle similarity.
+"""Benchmark decontamination: windows of item size, exact weighted shingle similarity.
 
 1. Words of items and documents are A-Z lower-cased and cut at ASCII white space; a shingle is five
    words (a shorter item is one shingle). A window of a document is as long as an item, and can only
-   reach the similarity if it shares a shingle with it; so windows are laid where a document's
-   shingle is one of the benchmark's, aligned with the item it comes from.
-2. Each window gets a 64-bit SimHash of its words, as items do. Fingerprints within ``RADIUS`` bits
-   agree on at least one of ``RADIUS + 1`` blocks: windows meet items of their size on
-   (block number, block bits), which guarantees all fingerprints within the radius.
-3. Pairs within the radius are verified by the weighted Jaccard similarity of their shingle counts.
-
-All counts and joins are DataFrame operations; nothing depends on the number of matches.
+   reach the similarity if it shares shingles with it: a document meets the items of its shingles,
+   and is dropped for an item if fewer of its places hold the item's shingles than a match has.
+2. Windows are laid where a shared shingle stands at the same place in window and item. If words
+   were added or left out, shared shingles ask for several places; then a window is also laid with
+   each shared shingle as its first and as its last one, if enough others fit into it. The shared
+   count of any other window of full length is reached by one of these, so none needs a look.
+3. Every window is verified by the weighted Jaccard similarity of its shingle counts to the item's.
+
+No fingerprint decides, so the result is that of all windows at every length and similarity. All
+counts and joins are DataFrame operations.
 """
 
 from __future__ import annotations
@@ -20,7 +22,6 @@ from pyspark.sql import functions as F
 from .common import filtered_joins, fresh, keep, lower_ascii, query, table, words_of
 
 SHINGLE = 5
-RADIUS = 12
 THRESHOLD = 0.8
 SMALL_TABLE = 1_000_000  # shingles of 24 bytes: a hash table of some tens of MB
 LAST = (1 << 63) - 1
@@ -45,65 +46,61 @@ def _bag(words: Column) -> Column:
     return F.transform(hashes, lambda h, i: F.xxhash64(h, F.size(F.filter(F.slice(hashes, 1, i), lambda x: x == h))))
 
 
-def _fingerprinted(df: DataFrame, keys: list[str]) -> DataFrame:
-    """``keys`` with ``fp``: bits that over half of the word hashes of ``words`` have set."""
-    hashed = df.select(*keys, F.explode("words").alias("word")).withColumn("h", F.xxhash64("word"))
-    sums = [F.sum(F.getbit("h", F.lit(i)).cast("int")).alias(f"b{i}") for i in range(64)]
-    counted = hashed.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
-    bits = F.lit(0).cast("long")
-    for i in range(64):
-        value = (1 << i) if i < 63 else -(1 << 63)
-        bits = bits.bitwiseOR(F.when(F.col(f"b{i}") * 2 > F.col("n"), F.lit(value).cast("long")).otherwise(F.lit(0).cast("long")))
-    return counted.select(*keys, bits.alias("fp"))
-
-
-def _blocks(fp: Column, radius: int) -> Column:
-    edges = [round(64 * i / (radius + 1)) for i in range(radius + 2)]
-    return F.array(*[F.shiftrightunsigned(fp, low).bitwiseAND(F.lit((1 << (high - low)) - 1)) for low, high in zip(edges, edges[1:], strict=False)])
+def _spots(hits: DataFrame, threshold: float) -> DataFrame:
+    """``doc, mark, start, length, item_key`` per window to verify, of ``hits`` of shingles."""
+    keys = ["doc", "mark", "n", "item_key", "length"]
+    places, m = F.col("places"), F.greatest(F.col("length") - (SHINGLE - 1), F.lit(1))
+    met = keep(
+        hits.groupBy(*keys).agg(F.sort_array(F.collect_set("at")).alias("places"), F.collect_set(F.col("at") - F.col("offset")).alias("starts"))
+        .where(F.size("places") >= F.ceil(threshold * m - 1e-9))
+    )
+    aligned = met.select(*keys, F.explode("starts").alias("start")).withColumn("start", F.greatest("start", F.lit(0)))
+    # a window of full length has as many shingles as the item, and shares at least so many of them
+    least = F.ceil(2 * threshold / (1 + threshold) * m - 1e-9).cast("int")
+    moved = met.where(F.size("starts") > 1).withColumn("m", m).withColumn("least", least)
+    as_first = F.transform(places, lambda p, i: F.when(F.get(F.col("places"), i + F.col("least") - 1) < p + F.col("m"), p))
+    as_last = F.transform(places, lambda p, i: F.when(F.get(F.col("places"), i - F.col("least") + 1) > p - F.col("m"), F.greatest(p - F.col("m") + 1, F.lit(0))))
+    moved = moved.select(*keys, F.explode(F.concat(as_first, as_last)).alias("start")).where(F.col("start") + F.col("length") <= F.col("n"))
+    return aligned.union(moved).select("doc", "mark", "start", "length", "item_key").distinct()
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, item_id, at_word, similarity``: the best window per document and benchmark item.
 
     ``at_word`` is the window's first word, from 0; of equally similar windows the first counts.
     Items and documents without a word match nothing. Rows that share a doc_id are judged as one
     document; equal items each get a row. Null ids are kept as such. Other columns are ignored.
     """
-    items = keep(benchmark.select(
-        F.coalesce(F.col("item_id").cast("long"), F.lit(LAST)).alias("item"), words_of(lower_ascii(F.col("text"))).alias("words"))
-        .where(F.size("words") > 0).withColumn("length", F.size("words")))
-    known = keep(_shingles(items, ["length"]).select("shingle", "length", F.col("at").alias("offset")).distinct())
-    placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), words_of(lower_ascii(F.col("text"))).alias("words"))
+    items = keep(
+        benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(LAST)).alias("item"), words_of(lower_ascii(F.col("text"))).alias("words"))
+        .where(F.size("words") > 0).withColumn("length", F.size("words")).withColumn("item_key", F.xxhash64("item", "words"))
+        .dropDuplicates(["item_key"]))
+    known = keep(_shingles(items, ["item_key", "length"]).select("shingle", "item_key", "length", F.col("at").alias("offset")))
+    # texts tell rows of one doc_id, or of none, apart
+    placed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("mark"),
+                         words_of(lower_ascii(F.col("text"))).alias("words")).withColumn("n", F.size("words"))
     # short items can be found at any place only by their own, shorter run of words
     short = items.where(F.col("length") < SHINGLE)
     lookup = F.broadcast(known) if known.count() <= SMALL_TABLE else known
-    hits = _shingles(placed, ["doc"]).join(lookup, "shingle").select("doc", F.greatest(F.lit(0), F.col("at") - F.col("offset")).alias("start"), "length")
+    hits = _shingles(placed, ["doc", "mark", "n"]).join(lookup, "shingle").select("doc", "mark", "n", "item_key", "length", "at", "offset")
+    spots = _spots(hits, threshold)
     if not short.isEmpty():
         for size in range(1, SHINGLE):
-            same = short.where(F.col("length") == size).select(F.xxhash64("words").alias("run"), "length").distinct()
+            same = short.where(F.col("length") == size).select(F.xxhash64("words").alias("run"), "length", "item_key").distinct()
             runs = placed.where(F.size("words") >= size).select(
-                "doc", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i, size=size: F.xxhash64(F.slice("words", i, size)))).alias("start", "run"))
-            hits = hits.union(runs.join(same, "run").select("doc", "start", "length"))
-    spots = keep(hits.distinct())
+                "doc", "mark", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i, size=size: F.xxhash64(F.slice("words", i, size)))).alias("start", "run"))
+            spots = spots.union(runs.join(same, "run").select("doc", "mark", "start", "length", "item_key"))
+    spots = keep(spots.distinct())
+    window = ["doc", "mark", "start", "length"]
     with filtered_joins(docs.sparkSession):
         windows = keep(
-            placed.join(spots.where("start > -1"), "doc")
-            .select("doc", "start", "length", F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
-            .where(F.size("words") > 0)
+            placed.join(spots.where("start > -1").select(*window).distinct(), ["doc", "mark"])
+            .select(*window, F.slice("words", F.col("start") + 1, F.col("length")).alias("words"))
+            .where(F.size("words") > 0).select(*window, _bag(F.col("words")).alias("a"))
         )
-    window_prints = _fingerprinted(windows, ["doc", "start", "length"])
-    item_prints = _fingerprinted(items, ["item", "length"])
-    near = (
-        window_prints.select("doc", "start", "length", "fp", F.posexplode(_blocks(F.col("fp"), radius)).alias("block", "bits"))
-        .join(item_prints.select("item", "length", F.col("fp").alias("item_fp"), F.posexplode(_blocks(F.col("fp"), radius)).alias("block", "bits")),
-              ["length", "block", "bits"])
-        .where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
-        .select("doc", "start", "length", "item").distinct()
-    )
     shared = F.size(F.array_intersect("a", "b"))
     verified = (
-        near.join(windows.select("doc", "start", "length", _bag(F.col("words")).alias("a")), ["doc", "start", "length"])
-        .join(items.select("item", _bag(F.col("words")).alias("b")).distinct(), "item")
+        spots.join(windows, window).join(items.select("item_key", "item", _bag(F.col("words")).alias("b")), "item_key")
         .withColumn("similarity", shared / (F.size("a") + F.size("b") - shared))
         .where(F.col("similarity") >= threshold)
     )
