@@ -98,6 +98,13 @@ def lower_words(text: str | None) -> list[bytes]:
     return utf8(text).translate(LOWER).split()
 
 
+def sql_crc32(text: str) -> str:
+    """Check SQL for the unsigned CRC-32 of an ASCII text expression."""
+    eight = "list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]), lambda x, i: xor(x >> 1, (x & 1) * 3988292384))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: unicode(x)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {eight}), 4294967295)"
+
+
 def lower_ascii(text: Column) -> Column:
     """``text`` with A-Z lower-cased, null as empty."""
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
