@@ -147,22 +147,25 @@ def block_nodes(conv: np.ndarray, paths: list[str], chars: list, block: int) ->
     return out[_COLUMNS]
 
 
-def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    partition, number = TaskContext.get().partitionId(), 0
-    conv, paths, chars, width = [], [], [], 0
-    for batch in batches:
-        for c, path, sizes in zip(batch["conv_id"], batch["path"], batch["chars"], strict=True):
-            wider = max(width, len(path) // HEX)
-            if conv and (len(conv) + 1) * wider > CELLS:
-                yield block_nodes(np.array(conv, np.int64), paths, chars, partition << 32 | number)
-                conv, paths, chars, wider = [], [], [], len(path) // HEX
-                number += 1
-            conv.append(c)
-            paths.append(path)
-            chars.append(sizes)
-            width = wider
-    if conv:
-        yield block_nodes(np.array(conv, np.int64), paths, chars, partition << 32 | number)
+def _blocks(cells: int):
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        partition, number = TaskContext.get().partitionId(), 0
+        conv, paths, chars, width = [], [], [], 0
+        for batch in batches:
+            for c, path, sizes in zip(batch["conv_id"], batch["path"], batch["chars"], strict=True):
+                wider = max(width, len(path) // HEX)
+                if conv and (len(conv) + 1) * wider > cells:
+                    yield block_nodes(np.array(conv, np.int64), paths, chars, partition << 32 | number)
+                    conv, paths, chars, wider = [], [], [], len(path) // HEX
+                    number += 1
+                conv.append(c)
+                paths.append(path)
+                chars.append(sizes)
+                width = wider
+        if conv:
+            yield block_nodes(np.array(conv, np.int64), paths, chars, partition << 32 | number)
+
+    return cut
 
 
 def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,17 +216,17 @@ def _recombined(parts: DataFrame) -> DataFrame:
     )
 
 
-def prefix_trie(lists: DataFrame) -> DataFrame:
+def prefix_trie(lists: DataFrame, cells: int = CELLS) -> DataFrame:
     """Nodes of the trie of ``conv_id, turns``, conv_id being unique and turns arrays of ``(id, chars)``.
 
     ``conv_id`` smallest member, ``depth``, ``parent_conv_id`` (null at the root), ``n_convs`` members,
     ``n_children``, ``n_leaves`` childless nodes of the subtree, ``saved_tokens`` code points that its nodes
     need not repeat, ``ends_sha256`` of the comma-joined ids that end here. A conversation without
-    turns ends at the root. No conversations, no nodes.
+    turns ends at the root. No conversations, no nodes. A block has at most ``cells`` cells, or one row.
     """
     paths = keep(lists.select(
         "conv_id", F.array_join(F.transform("turns", lambda t: t["id"]), "").alias("path"), F.transform("turns", lambda t: t["chars"]).alias("chars")))
-    found = keep(paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInPandas(_blocks, _PARTS))
+    found = keep(paths.repartitionByRange("path", "conv_id").sortWithinPartitions("path", "conv_id").mapInPandas(_blocks(cells), _PARTS))
     parts = found.where(~F.col("whole"))
     across = keep(_recombined(parts))
     places = parts.select("block", F.col("side").alias("parent_side"), (F.col("depth") + 1).alias("depth"), "key").join(
