@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators.packets import _follow, pair_sends_with_receipts
+from tracelake.plans import replay, scan
 from tracelake.plans.quantiles import exact_quantiles, log_bin
 from tracelake.plans.ranges import containing_interval
 from tracelake.plans.replay import settle
@@ -110,8 +111,25 @@ def fifo(rows, window):
     return sorted(pairs)
 
 
-@pytest.mark.parametrize("seed,slice_us", [(1, 50), (2, 60), (3, 1000), (4, 50)])
-def test_pairing_matches_fifo_loop(spark, seed, slice_us):
+@pytest.mark.parametrize("block", [2, 5, 1024])
+def test_states_before_match_a_loop(spark, block):
+    rng = random.Random(block)
+    rows, found = [], {}
+    for key in "abc":
+        state = 0
+        for at in sorted(rng.sample(range(-40, 60), 37)):
+            k, low = rng.randrange(-3, 5), rng.choice([None, rng.randrange(-5, 20)])
+            high = rng.choice([None, rng.randrange(low if low is not None else 0, 30)])
+            rows.append((key, at, k, low, high))
+            found[key, at] = state
+            state = min(max(state + k, -1000 if low is None else low), 1000 if high is None else high)
+    df = spark.createDataFrame(rows, "key string, at long, _k long, _low long, _high long")
+    assert {(r.key, r["at"]): r._state for r in scan.states_before(df, ["key"], "at", block=block).collect()} == found
+
+
+@pytest.mark.parametrize("seed,slice_us,block", [(1, 50, 3), (2, 60, 1024), (3, 1000, 1024), (4, 50, 16)])
+def test_pairing_matches_fifo_loop(spark, seed, slice_us, block, monkeypatch):
+    monkeypatch.setattr(scan, "BLOCK", block)
     rng = random.Random(seed)
     rows = [
         ("t", rng.choice("aaab"), rng.randrange(0, 4000), i, rng.choice(["Send", "Recv"])) for i in range(600)
@@ -140,8 +158,9 @@ def greedy(rows, window):
     return found
 
 
-@pytest.mark.parametrize("seed,slice_us", [(1, 60), (2, 200), (3, 10_000)])
-def test_settled_slices_match_one_pass(spark, seed, slice_us):
+@pytest.mark.parametrize("seed,slice_us,fan", [(1, 60, 2), (2, 200, 16), (3, 10_000, 16), (4, 51, 3)])
+def test_settled_slices_match_one_pass(spark, seed, slice_us, fan, monkeypatch):
+    monkeypatch.setattr(replay, "FAN", fan)
     rng = random.Random(seed)
     rows = sorted(
         [("t", "Send", rng.choice("aab"), rng.randrange(0, 3000), i, rng.randrange(0, 8), 1, 1, "f", "tcp") for i in range(400)],

@@ -13,6 +13,7 @@ from ..functions.classes import journey_confidence
 from ..functions.packet import decode_packets, tcp_flag_names, with_flow, with_keys
 from ..plans.quantiles import exact_quantiles
 from ..plans.replay import Rows, key_runs, scan_sorted, settle
+from ..plans.scan import FAR, compose, states_before
 from ..plans.sequence import SLICE, slice_of
 from ..session import durable
 from .filters import contains_text, flow_predicate, nearest_event
@@ -78,19 +79,16 @@ def packet_at(packets: DataFrame, target_us: int) -> DataFrame:
 # Receipts take the oldest pending send of their key, and sends expire after the window. With
 # S = sends so far, E = sends already expired and C = sends taken or skipped so far, a receipt
 # moves C to min(max(C, E) + 1, S) and is paired with send number max(C, E) if there is one.
-# Such steps, x -> min(max(x + k, low), high), compose to a step of the same form. So a slice of
-# a busy key is summarised by three numbers, the slices are chained over those, and every slice
-# is then replayed on its own from the right start.
+# Such steps compose (plans.scan), so a slice of a busy key is summarised by three numbers, the
+# states between slices come from a scan over those, and every slice is replayed on its own from
+# the right state. Within a slice sends count from its first own one; those of the slice before
+# have negative numbers.
 
 
-def _moves(base: int, ts: list[int], is_send: list[bool], guest: list[bool], window: int):
-    """Per receipt in a slice: row, sends expired and sends seen, counted over the whole key.
-
-    Guests, which come first, are the sends of the slice before; the last one is number
-    ``base - 1``. Also hands out the rows of the sends and the number of the first of them.
-    """
+def _moves(ts: list[int], is_send: list[bool], guest: list[bool], window: int):
+    """Per receipt in a slice: row, number of the first send not expired, sends seen, rows of the sends and the number of the first."""
     rows = [i for i, g in enumerate(guest) if g]
-    first = base - len(rows)
+    first = -len(rows)
     expired = 0
     for i in range(len(rows), len(ts)):
         if is_send[i]:
@@ -109,7 +107,11 @@ def pair_sends_with_receipts(
 
     A gap of exactly the window pairs; each packet is used once; a send at the time of the
     receipt counts if its ``seq`` is lower. ``packets`` has ``trace_id, ts_us, seq, direction``,
-    the key and the columns to ``keep``, which are those of the send.
+    the key and the columns to ``keep``, which are those of the send. Other directions, and rows
+    without a key or a time, pair with nothing.
+
+    Keys with one send and one receipt, nearly all in a capture, are paired by aggregation; only
+    the packets of other keys with both are put in order and replayed.
     """
     width = slice_us or max(window_us * 100, 1_000_000)
     if width < window_us:
@@ -118,100 +120,86 @@ def pair_sends_with_receipts(
         "trace_id", F.col(key).alias("_key"), F.col("ts_us").cast("bigint").alias("ts_us"),
         F.col("seq").cast("bigint").alias("seq"), F.lower("direction").alias("_way"), *keep,
     ).where(F.col("_way").isin("send", "recv")).withColumn("_send", F.col("_way") == "send").drop("_way")
-    # read three times below; what decoding and key building cost is paid once
+    # read twice below; what decoding and key building cost is paid once
     rows = durable(rows)
-    own = slice_of(F.col("ts_us"), width)
+    carried = list(keep)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    by_key = rows.groupBy("trace_id", "_key").agg(
+        F.count_if("_send").alias("_sends"), F.count_if(~F.col("_send")).alias("_receipts"),
+        F.min(F.when(F.col("_send"), F.struct("ts_us", "seq", *carried))).alias("_s"),
+        F.min(F.when(~F.col("_send"), F.struct("ts_us", "seq"))).alias("_r"),
+    ).where("_sends > 0 AND _receipts > 0")
+    by_key = durable(by_key)
+    gap = F.col("_r.ts_us") - F.col("_s.ts_us")
+    before = (gap > 0) | ((gap == 0) & (F.col("_s.seq") < F.col("_r.seq")))
+    single = by_key.where("_sends = 1 AND _receipts = 1").where(before & (gap <= window_us)).select(
+        "trace_id", *[F.col(f"_s.{c}").alias(c) for c in carried], F.col("_s.ts_us").alias("send_us"), F.col("_r.ts_us").alias("recv_us"),
+        F.col("_s.seq").alias("send_seq"), F.col("_r.seq").alias("recv_seq"),
+    )
+    several = rows.join(by_key.where("_sends + _receipts > 2"), ["trace_id", "_key"], "left_semi")
+    replayed = _replayed(several, window_us, width, carried, kinds)
+    return single.unionByName(replayed).withColumn("latency_us", F.col("recv_us") - F.col("send_us"))
+
+
+def _replayed(rows: DataFrame, window_us: int, width: int, carried: list[str], kinds: dict[str, str]) -> DataFrame:
+    """Pairs of keys with several packets, slice by slice."""
     part = ["trace_id", "_key", SLICE]
+    own = slice_of(F.col("ts_us"), width)
     local = rows.withColumn(SLICE, own).withColumn("_guest", F.lit(False))
     # sends are repeated in the next slice, which may still pair with them
     guests = rows.where("_send").withColumn(SLICE, own + 1).withColumn("_guest", F.lit(True))
-    across = Window.partitionBy("trace_id", "_key").orderBy(SLICE)
-    counts = local.groupBy(*part).agg(F.sum(F.col("_send").cast("bigint")).alias("_n"))
-    bases = counts.select(
-        *part,
-        F.coalesce(F.sum("_n").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_sent"),
-        F.count(F.lit(1)).over(Window.partitionBy("trace_id", "_key")).alias("_slices"),
-    )
-    placed = local.unionByName(guests).join(bases, part)
+    placed = durable(local.unionByName(guests).withColumn("_guest_last", ~F.col("_guest")))
     order = ["_guest_last", "ts_us", "seq"]
-    placed = placed.withColumn("_guest_last", ~F.col("_guest"))
-
-    fields = ["ts_us", "seq", "_send", "_guest", "_sent"]
+    fields = ["ts_us", "seq", "_send", "_guest"]
 
     def summaries(batches):
-        out = Rows([*part, "_k", "_low", "_high"])
+        out = Rows([*part, "_n", "_k", "_low", "_high"])
         for found, run in key_runs(batches, part, fields):
-            k, low, high = 0, None, None
-            for _, expired, seen, _, _ in _moves(
-                run["_sent"][0], run["ts_us"], run["_send"], run["_guest"], window_us
-            ):
-                k += 1
-                low = min(expired + 1 if low is None else max(low + 1, expired + 1), seen)
-                high = seen if high is None else min(max(high + 1, expired + 1), seen)
-            for name, value in zip(out.columns, (*found, k, low, high)):
+            sent = sum(s and not g for s, g in zip(run["_send"], run["_guest"], strict=True))
+            step = (0, -FAR, FAR)
+            for _, expired, seen, _, _ in _moves(run["ts_us"], run["_send"], run["_guest"], window_us):
+                step = compose(step, (1, expired + 1, seen))
+            for name, value in zip(out.columns, (*found, sent, *step), strict=True):
                 out.lists[name].append(value)
             if out.full():
                 yield out.take()
         yield out.take()
 
-    kinds = {f.name: f.dataType.simpleString() for f in placed.schema.fields}
-    part_schema = ", ".join(f"`{p}` {kinds[p]}" for p in part)
-    # only keys that span several slices need the chain
-    chained = scan_sorted(
-        placed.where(F.col("_slices") > 1), part, order, summaries,
-        f"{part_schema}, _k bigint, _low bigint, _high bigint",
-    )
-    # one small row per slice of a key, folded in order into the start of each slice
-    folded = (
-        chained.groupBy("trace_id", "_key")
-        .agg(F.array_sort(F.collect_list(F.struct(SLICE, "_k", "_low", "_high"))).alias("_chain"))
-        .select(
-            "trace_id", "_key",
-            F.explode(F.aggregate(
-                "_chain",
-                F.struct(
-                    F.lit(0).cast("bigint").alias("at"),
-                    F.array().cast(f"array<struct<{SLICE}:{kinds[SLICE]},start:bigint>>").alias("starts"),
-                ),
-                lambda acc, s: F.struct(
-                    F.when(s["_k"] == 0, acc["at"])
-                    .otherwise(F.least(F.greatest(acc["at"] + s["_k"], s["_low"]), s["_high"])).alias("at"),
-                    F.array_append(
-                        acc["starts"], F.struct(s[SLICE].alias(SLICE), acc["at"].alias("start"))
-                    ).alias("starts"),
-                ),
-                lambda acc: acc["starts"],
-            )).alias("_s"),
-        )
-        .select("trace_id", "_key", f"_s.{SLICE}", F.col("_s.start").alias("_start"))
-    )
-    ready = placed.join(folded, part, "left").withColumn("_start", F.coalesce("_start", F.lit(0)).cast("bigint"))
-    carried = list(keep)
+    slice_kind = dict(placed.dtypes)[SLICE]
+    part_schema = f"trace_id {kinds['trace_id']}, _key {kinds['_key']}, {SLICE} {slice_kind}"
+    steps = durable(scan_sorted(placed, part, order, summaries, f"{part_schema}, _n bigint, _k bigint, _low bigint, _high bigint"))
+    keys = ["trace_id", "_key"]
+    unbound = F.lit(None).cast("bigint")
+    sent = states_before(steps.select(*part, F.col("_n").alias("_k"), unbound.alias("_low"), unbound.alias("_high")), keys, SLICE)
+    # numbers within a slice become numbers within the key
+    moved = steps.join(sent.withColumnRenamed("_state", "_sent"), part).select(
+        *part, "_sent", "_k", F.when(F.col("_low") > -FAR, F.col("_low") + F.col("_sent")).alias("_low"),
+        F.when(F.col("_high") < FAR, F.col("_high") + F.col("_sent")).alias("_high"))
+    moved = durable(moved)
+    starts = moved.select(*part, "_sent").join(states_before(moved, keys, SLICE), part).select(
+        *part, (F.col("_state") - F.col("_sent")).alias("_start"))
 
     def pairs(batches):
         out = Rows(["trace_id", *carried, "send_us", "recv_us", "send_seq", "recv_seq"])
         for found, run in key_runs(batches, part, [*fields, "_start", *carried]):
             at, ts, seq = run["_start"][0], run["ts_us"], run["seq"]
-            for i, expired, seen, rows_of, first in _moves(
-                run["_sent"][0], ts, run["_send"], run["_guest"], window_us
-            ):
+            for i, expired, seen, rows_of, first in _moves(ts, run["_send"], run["_guest"], window_us):
                 at = max(at, expired)
                 if at < seen:
                     j = rows_of[at - first]
                     at += 1
                     row = (found[0], *[run[c][j] for c in carried], ts[j], ts[i], seq[j], seq[i])
-                    for name, value in zip(out.columns, row):
+                    for name, value in zip(out.columns, row, strict=True):
                         out.lists[name].append(value)
             if out.full():
                 yield out.take()
         yield out.take()
 
     keep_schema = "".join(f"`{c}` {kinds[c]}, " for c in carried)
-    result = scan_sorted(
-        ready, part, order, pairs,
-        f"trace_id string, {keep_schema}send_us bigint, recv_us bigint, send_seq bigint, recv_seq bigint",
+    return scan_sorted(
+        placed.join(starts, part), part, order, pairs,
+        f"trace_id {kinds['trace_id']}, {keep_schema}send_us bigint, recv_us bigint, send_seq bigint, recv_seq bigint",
     )
-    return result.withColumn("latency_us", F.col("recv_us") - F.col("send_us"))
 
 
 def send_recv_pairs(packets: DataFrame, *, window_us: int = MATCH_WINDOW_US, slice_us: int | None = None) -> DataFrame:

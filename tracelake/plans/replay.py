@@ -2,11 +2,12 @@
 
 Some rules (a greedy match, a queue that empties by time) need the rows of a key in order and
 remember only what happened within a tolerance. ``scan_sorted`` feeds a task the rows of many
-keys in order as Arrow batches and holds one state at a time. ``settle`` makes slices of one key
-independent: every slice is run with the state its predecessor is believed to leave, and slices
-whose entry state turns out different are run again until nothing changes. A slice left empty
-for longer than the tolerance resets the state, so most slices settle in the first round; each
-round fixes at least one more slice of every chain, so the loop ends with the exact result.
+keys in order as Arrow batches and holds one state at a time. ``settle`` runs all slices of a key
+at once from an empty state and then makes them agree: in spans of ``FAN`` slices, then of ``FAN``
+spans and so on, a task goes through a span from its first slice that was entered with another
+state than its predecessor left, and runs again those slices whose entry has changed. After a
+round spans of its width agree within themselves, so the rounds are the logarithm of the slices,
+and the loop ends as soon as all slices agree. An empty slice resets the state, so most do at once.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .sequence import SLICE, slice_of
+from .sequence import SLICE, join_slices, slice_of
 
 ENTRY, EXIT = "_entry", "_exit"
+FAN = 16  # slices of a span, spans of the next wider one
 Step = Callable[[str | None, dict[str, list]], tuple[dict[str, list], str | None]]
 
 
@@ -72,6 +74,10 @@ class Rows:
         return frame
 
 
+def _text(value) -> str | None:
+    return value if isinstance(value, str) else None
+
+
 def settle(
     df: DataFrame,
     keys: Sequence[str],
@@ -101,14 +107,10 @@ def settle(
     key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in part)
     names = [field.strip().split()[0].strip("`") for field in output.split(",")]
 
-    def entry_of(run: dict[str, list]) -> str | None:
-        entry = run[ENTRY][0]
-        return entry if isinstance(entry, str) else None
-
     def states(batches):
         out = Rows([*part, EXIT])
         for key, run in key_runs(batches, part, [ENTRY, *values]):
-            _, left = step(entry_of(run), run)
+            _, left = step(_text(run[ENTRY][0]), run)
             for name, value in zip(out.columns, (*key, left)):
                 out.lists[name].append(value)
             if out.full():
@@ -118,7 +120,7 @@ def settle(
     def results(batches):
         out = Rows([*keys, *names])
         for key, run in key_runs(batches, part, [ENTRY, *values]):
-            made, _ = step(entry_of(run), run)
+            made, _ = step(_text(run[ENTRY][0]), run)
             size = len(made[names[0]])
             for name, value in zip(keys, key):
                 out.lists[name].extend([value] * size)
@@ -128,27 +130,46 @@ def settle(
                 yield out.take()
         yield out.take()
 
-    across = Window.partitionBy(*keys).orderBy(SLICE)
-
-    def entries(exits: DataFrame) -> DataFrame:
-        adjacent = F.lag(SLICE).over(across) == F.col(SLICE) - 1
-        return exits.select(*part, F.when(adjacent, F.lag(EXIT).over(across)).alias(ENTRY))
-
-    def run_states(selected: DataFrame) -> DataFrame:
-        return scan_sorted(selected, part, order, states, f"{key_schema}, {EXIT} string")
+    def rerun(batches):
+        out = Rows([*part, ENTRY, EXIT])
+        before = None  # span and slice just passed, and the state it leaves
+        for key, run in key_runs(batches, [*keys, "_span", SLICE], [ENTRY, EXIT, "_from", *values]):
+            span, at = key[:-1], key[-1]
+            if before is None or before[0] != span:
+                entry = _text(run["_from"][0])  # the first slice to agree with its predecessor
+            else:
+                entry = before[2] if before[1] == at - 1 else None
+            left = _text(run[EXIT][0])
+            if entry != _text(run[ENTRY][0]):
+                _, left = step(entry, run)
+                for name, value in zip(out.columns, (*key[:-2], at, entry, left)):
+                    out.lists[name].append(value)
+            before = (span, at, left)
+            if out.full():
+                yield out.take()
+        yield out.take()
 
-    exits = durable(run_states(rows.withColumn(ENTRY, F.lit(None).cast("string"))))
-    assumed = exits.select(*part, F.lit(None).cast("string").alias("_assumed"))
-    while True:
-        entry = durable(entries(exits))
-        changed = entry.join(assumed, part).where(~F.col(ENTRY).eqNullSafe(F.col("_assumed")))
-        changed = durable(changed.select(*part, ENTRY))
-        if changed.isEmpty():
+    first = scan_sorted(rows.withColumn(ENTRY, F.lit(None).cast("string")), part, order, states, f"{key_schema}, {EXIT} string")
+    runs = durable(first.select(*part, F.lit(None).cast("string").alias(ENTRY), EXIT))
+    low, high = runs.agg(F.min(SLICE), F.max(SLICE)).first()
+    width = 1
+    while low is not None and width <= high - low:
+        left = runs.select(*keys, (F.col(SLICE) + 1).alias(SLICE), F.col(EXIT).alias("_from"))
+        # state that a slice's predecessor leaves, where the two do not agree
+        wrong = durable(join_slices(runs.select(*part, ENTRY), left, part).where(~F.col(ENTRY).eqNullSafe(F.col("_from"))))
+        if wrong.isEmpty():
             break
-        fresh = run_states(rows.join(changed, part))
-        exits = durable(
-            exits.join(changed.select(*part), part, "left_anti").unionByName(fresh)
-        )
-        assumed = entry.withColumnRenamed(ENTRY, "_assumed")
+        width *= FAN
+        span = F.floor((F.col(SLICE) - low) / width)
+        inner = wrong.where((F.col(SLICE) - low) % width > 0).withColumn("_span", span)
+        spans = inner.groupBy(*keys, "_span").agg(F.min(F.struct(SLICE, "_from")).alias("_first")).select(
+            *keys, "_span", F.col(f"_first.{SLICE}").alias("_since"), "_first._from")
+        again = join_slices(rows.withColumn("_span", span), spans, [*keys, "_span"]).where(F.col(SLICE) >= F.col("_since"))
+        again = join_slices(again, runs, part)
+        changed = durable(
+            again.repartition(*keys, "_span").sortWithinPartitions(*keys, "_span", SLICE, *order)
+            .mapInPandas(rerun, f"{key_schema}, {ENTRY} string, {EXIT} string"))
+        same = join_slices(runs, changed.select(*part, F.lit(True).alias("_changed")), part).where("_changed IS NULL").drop("_changed")
+        runs = durable(same.unionByName(changed))
     out_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + output
-    return scan_sorted(rows.join(entry, part, "left"), part, order, results, out_schema)
+    return scan_sorted(join_slices(rows, runs.select(*part, ENTRY), part), part, order, results, out_schema)

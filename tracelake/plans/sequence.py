@@ -24,7 +24,7 @@ def slice_of(ts: Column, slice_us: int) -> Column:
     return F.floor(ts / F.lit(slice_us))
 
 
-def _join_slices(left: DataFrame, right: DataFrame, part: Sequence[str]) -> DataFrame:
+def join_slices(left: DataFrame, right: DataFrame, part: Sequence[str]) -> DataFrame:
     """Left join on the slice columns; null keys are equal."""
     renamed = right.withColumnsRenamed({c: f"_on_{c}" for c in part})
     same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in part]
@@ -68,7 +68,7 @@ def with_neighbours(
     border = df.withColumn(SLICE, cut).groupBy(*part).agg(*edges)
     carried = [F.lag("_tail").over(across).alias("_carry_prev")] if previous else []
     carried += [F.lead("_head").over(across).alias("_carry_next")] if following else []
-    joined = _join_slices(sliced, border.select(*part, *carried), part)
+    joined = join_slices(sliced, border.select(*part, *carried), part)
     out = [F.col(name) for name in df.columns]
     out += [F.coalesce("_prev", "_carry_prev")[name].alias(name) for name in previous]
     out += [F.coalesce("_next", "_carry_next")[name].alias(name) for name in following]
@@ -119,7 +119,7 @@ def with_running(
         *[f"_b{n}" for n in steps],
         *[F.min(F.col(f"_b_s_{o}") + F.col(f"_l_{o}")).over(before).alias(f"_lo_{o}") for o in floored],
     )
-    joined = _join_slices(local, totals, part)
+    joined = join_slices(local, totals, part)
     out = [F.col(name) for name in df.columns]
     out += [(F.col(f"_b_s_{o}") + F.col(f"_s_{o}")).alias(o) for o in sums]
     for o in floored:
@@ -155,6 +155,6 @@ def fill_forward(
     filled = sliced.select(
         "*", *[F.last(c, ignorenulls=True).over(inside).alias(f"_f_{o}") for o, c in fills.items()]
     )
-    return _join_slices(filled, ends, part).select(
+    return join_slices(filled, ends, part).select(
         *df.columns, *[F.coalesce(f"_f_{o}", f"_c_{o}").alias(o) for o in fills]
     )

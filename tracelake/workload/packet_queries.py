@@ -3,6 +3,8 @@ state what decoding them must give."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ def _ip4(a: int, b: int, c: Column, d: Column) -> Column:
     return F.concat(F.lit(f"{a:02x}{b:02x}"), _hex(c, 1), _hex(d, 1))
 
 
-def _frames(t) -> DataFrame:
+def _frames(t, *more: str) -> DataFrame:
     """TCP for status F, UDP for O with the low orders, ICMP for the rest; one in nine tagged."""
     w = t["wire"]
     src = _ip4(10, 0, F.expr("o_custkey div 250"), F.col("o_custkey") % 250 + 1)
@@ -40,7 +42,7 @@ def _frames(t) -> DataFrame:
     way = F.when(F.col("flag") == "A", F.lit("Recv")).when(F.col("flag") == "N", F.lit("Send")).otherwise(F.lit("Unknown"))
     return w.select(
         "trace_id", "ts_us", "seq", "cpu", "process_name", "pid", "tid", way.alias("direction"), F.lit("nic0").alias("miniport"),
-        frame.alias("packet_hex"), "size",
+        frame.alias("packet_hex"), "size", *more,
     )
 
 
@@ -111,83 +113,141 @@ def _(t):
 
 
 def _echo(t) -> DataFrame:
-    """Each line item is sent and received again up to 15 ms later."""
-    base = _frames(t).where("direction <> 'Unknown'")
-    sent = base.withColumn("direction", F.lit("Send"))
-    back = base.withColumns({
-        "direction": F.lit("Recv"), "ts_us": F.col("ts_us") + F.col("size") * 300, "seq": F.col("seq") + F.lit(1 << 50),
-    })
-    return sent.unionByName(back)
+    """Each sent or received line item is sent, some twice, and received up to 15 ms later, some twice; the others stay as they are."""
+    base = _frames(t, "n")
+    known = base.where("direction <> 'Unknown'")
+    gap = F.when(F.col("n") == 1, F.lit(10_000)).when(F.col("n") == 2, F.lit(10_001)).otherwise(F.col("size") * 300)
+
+    def copies(rows: DataFrame, way: str, later: Column, number: int) -> DataFrame:
+        return rows.withColumns({
+            "direction": F.lit(way), "ts_us": F.col("ts_us") + later, "seq": F.col("seq") + F.lit(number << 50)})
+
+    parts = (
+        base.where("direction = 'Unknown'"), copies(known, "Send", F.lit(0), 0), copies(known.where("n = 3"), "Send", F.lit(1000), 1),
+        copies(known, "Recv", gap, 2), copies(known.where("n = 4"), "Recv", gap + 500, 3),
+    )
+    return reduce(DataFrame.unionByName, parts).drop("n")
+
+
+def _fifo(events: str, window: int) -> str:
+    """CTEs from ``trace_id, key, ts_us, seq, flow, sent``: ``fifo`` has the number of the send that each receipt takes."""
+    return f"""
+ev AS ({events}),
+nb AS (SELECT *, sum(sent::INT) OVER (PARTITION BY trace_id, key ORDER BY ts_us, seq) AS seen,
+  coalesce(sum(sent::INT) OVER (PARTITION BY trace_id, key ORDER BY ts_us RANGE BETWEEN UNBOUNDED PRECEDING AND {window + 1} PRECEDING), 0) AS expired,
+  row_number() OVER (PARTITION BY trace_id, key, sent ORDER BY ts_us, seq) AS num FROM ev),
+fifo AS (
+  SELECT DISTINCT trace_id, key, CAST(0 AS BIGINT) AS num, CAST(0 AS BIGINT) AS taken, CAST(NULL AS BIGINT) AS pick FROM nb WHERE NOT sent
+  UNION ALL
+  SELECT f.trace_id, f.key, r.num, CASE WHEN greatest(taken, expired) < seen THEN greatest(taken, expired) + 1 ELSE greatest(taken, expired) END,
+    CASE WHEN greatest(taken, expired) < seen THEN greatest(taken, expired) + 1 END
+  FROM fifo f JOIN nb r ON r.trace_id = f.trace_id AND r.key = f.key AND NOT r.sent AND r.num = f.num + 1),
+paired AS (
+  SELECT s.trace_id, s.flow, s.ts_us AS send_us, r.ts_us AS recv_us, s.seq AS send_seq, r.seq AS recv_seq, r.ts_us - s.ts_us AS latency_us
+  FROM fifo f JOIN nb s ON s.trace_id = f.trace_id AND s.key = f.key AND s.sent AND s.num = f.pick
+  JOIN nb r ON r.trace_id = f.trace_id AND r.key = f.key AND NOT r.sent AND r.num = f.num)"""
+
+
+PAIRS = f"""{PACKETS}, kd AS (SELECT trace_id, ts_us, seq, flow, n, CASE WHEN kind = 6 THEN 'tcp|' || flow || '|' || seq_no WHEN kind = 17 THEN 'udp|' || flow || '|' || seq_no % 60000 END AS key,
+  CASE n WHEN 1 THEN 10000 WHEN 2 THEN 10001 ELSE size * 300 END AS gap FROM pf WHERE NOT cut AND kind <> 1 AND direction <> 'Unknown'),
+""" + _fifo("""SELECT trace_id, key, ts_us, seq, flow, true AS sent FROM kd
+  UNION ALL SELECT trace_id, key, ts_us + 1000, seq + (1::BIGINT << 50), flow, true FROM kd WHERE n = 3
+  UNION ALL SELECT trace_id, key, ts_us + gap, seq + (2::BIGINT << 50), flow, false FROM kd
+  UNION ALL SELECT trace_id, key, ts_us + gap + 500, seq + (3::BIGINT << 50), flow, false FROM kd WHERE n = 4""", packets.MATCH_WINDOW_US)
+
+
+@query("send_recv_pairs", f"WITH RECURSIVE {PAIRS} SELECT * FROM paired")
+def _(t):
+    return packets.send_recv_pairs(_echo(t))
 
 
-PAIRS = f"""{PACKETS}, sd AS (SELECT trace_id, ts_us, seq, flow, CASE WHEN kind = 6 THEN 'tcp|' || flow || '|' || seq_no WHEN kind = 17 THEN 'udp|' || flow || '|' || seq_no % 60000 END AS key, size * 300 AS gap
-  FROM pf WHERE NOT cut AND kind <> 1 AND direction <> 'Unknown'),
--- keys that occur once pair with their own echo; the check covers these
-once AS (SELECT trace_id, key FROM sd GROUP BY ALL HAVING count(*) = 1)"""
+@query("send_recv_latency", f"""WITH RECURSIVE {PAIRS}
+SELECT trace_id, flow, count(*) AS pairs, CAST(min(latency_us) AS DOUBLE) AS min_us, CAST(max(latency_us) AS DOUBLE) AS max_us,
+  {", ".join(f"round(quantile_cont(latency_us, {q}), 4) AS {n}_us" for n, q in (("p50", 0.5), ("p99", 0.99), ("p999", 0.999)))} FROM paired GROUP BY trace_id, flow""")
+def _(t):
+    return packets.send_recv_latency(packets.send_recv_pairs(_echo(t)))
 
 
-@query("send_recv_pairs", f"""
-WITH {PAIRS} SELECT sd.trace_id, flow, ts_us AS send_us, ts_us + gap AS recv_us, seq AS send_seq, seq + (CAST(1 AS BIGINT) << 50) AS recv_seq, gap AS latency_us FROM sd JOIN once USING (trace_id, key) WHERE gap <= 10000""")
-def _(t):
-    rows = with_keys(packets.decoded_flows(_echo(t))).where("match IS NOT NULL")
-    once = rows.where("direction = 'Send'").groupBy("trace_id", "match").count().where("count = 1")
-    return packets.pair_sends_with_receipts(rows.join(once, ["trace_id", "match"], "left_semi"))
+HOURS_10 = 36_000_000_000
 
 
-@query("send_recv_latency")
+@query("send_recv_pairs_of_busy_keys", f"""WITH RECURSIVE {PACKETS},
+{_fifo("SELECT trace_id, process_name AS key, ts_us, seq, flow, direction = 'Send' AS sent FROM pf WHERE direction <> 'Unknown'", HOURS_10)}
+SELECT * FROM paired""")
 def _(t):
-    return packets.send_recv_latency(packets.send_recv_pairs(_echo(t)))
+    # a process as the key: thousands of packets each, over thousands of slices
+    rows = packets.decoded_flows(_frames(t))
+    return packets.pair_sends_with_receipts(rows, key="process_name", window_us=HOURS_10, slice_us=HOURS_10)
 
 
 def _layers(t) -> DataFrame:
-    """Each order's packet on its way through the stack: eight sightings, some missing."""
+    """Packets on their way through the stack, up to eight sightings each, some missing.
+
+    The packets of eight connections look the same and are under way at the same time, so journeys
+    part, join and expire.
+    """
+    group = F.expr("conn_id div 8")
     orders = t["connects"].select(
-        "trace_id", "ts_us", "conn_id", "pid",
-        F.when(F.col("conn_id") % 2 == 0, F.lit("Send")).otherwise(F.lit("Recv")).alias("direction"),
+        "trace_id", "conn_id", group.alias("g"), F.when(group % 2 == 0, F.lit("Send")).otherwise(F.lit("Recv")).alias("direction"),
         F.concat(
-            F.lit("00112233445566778899aabb08004500003400010000400600000a000001c0a80001"), _hex(F.col("conn_id") % 60000, 2), F.lit("01bb"),
-            _hex(F.col("conn_id"), 4), F.lit("00000000501000ff00000000"),
+            F.lit("00112233445566778899aabb08004500003400010000400600000a000001c0a80001"), _hex(group % 60000, 2), F.lit("01bb"),
+            _hex(group, 4), F.lit("00000000501000ff00000000"),
         ).alias("packet_hex"),
     )
     sent = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(e).alias("edge")) for c, e in packets.SEND_PATH])
     received = F.array(*[F.struct(F.lit(c).alias("component"), F.lit(e).alias("edge")) for c, e in packets.RECV_PATH])
     path = F.when(F.col("direction") == "Send", sent).otherwise(received)
-    seen = orders.select("*", F.posexplode(path).alias("i", "_stage")).where("(conn_id + i) % 6 <> 0")
-    rows = seen.select(
-        "trace_id", "direction", "packet_hex", (F.col("ts_us") + F.col("i") * (F.col("conn_id") % 90 + 1)).alias("ts_us"),
-        (F.col("conn_id") * 8 + F.col("i")).alias("seq"), F.lit(52).cast("bigint").alias("size"), "_stage.*",
+    missing = (F.col("conn_id") + F.col("i")) % 6 == 0
+    # a missing sighting is one off the path: seen, but no stage of a journey
+    rows = orders.select("*", F.posexplode(path).alias("i", "_stage")).select(
+        "trace_id", "g", "direction", "packet_hex", (F.col("g") * 200_000 + F.col("conn_id") % 8 * 7_000 + F.col("i") * (F.col("conn_id") % 90 + 1) * 700).alias("ts_us"),
+        (F.col("conn_id") * 8 + F.col("i")).alias("seq"), F.lit(52).cast("bigint").alias("size"), F.when(missing, F.lit(99)).otherwise(F.col("_stage.component")).alias("component"), "_stage.edge",
     )
     return rows.withColumn("path_index", packets.path_index(F.col("direction"), F.col("component"), F.col("edge")))
 
 
-STAGES = f"""st AS (SELECT trace_id, conn_id, CASE WHEN conn_id % 2 = 0 THEN 'Send' ELSE 'Recv' END AS direction, i,
-  ts_us + i * (conn_id % 90 + 1) AS ts_us, conn_id * 8 + i AS seq,
-  CASE WHEN conn_id % 2 = 0 THEN list_extract(['12/1','4/1','4/2','6/1','6/2','2/1','9/1','1/1'], i + 1) ELSE list_extract(['1/1','9/1','2/1','6/2','6/1','4/2','4/1','12/1'], i + 1) END AS stage
-  FROM (SELECT *, unnest([0,1,2,3,4,5,6,7]) AS i FROM connects) WHERE (conn_id + i) % 6 <> 0),
-jn AS (SELECT trace_id, direction, conn_id, min(seq) AS journey, count(*) AS stages, min(i) = 0 AND max(i) = 7 AS complete, max(ts_us) - min(ts_us) AS total_us, string_agg(stage, ' -> ' ORDER BY ts_us) AS path FROM st GROUP BY ALL)"""
+def _journeys(t) -> DataFrame:
+    return packets.packet_journeys(_layers(t), slice_us=100_000)
+
+
+STAGES = f"""st AS (SELECT trace_id, g, CASE WHEN g % 2 = 0 THEN 'Send' ELSE 'Recv' END AS direction, i,
+  g * 200000 + conn_id % 8 * 7000 + i * (conn_id % 90 + 1) * 700 AS ts_us, conn_id * 8 + i AS seq,
+  CASE WHEN g % 2 = 0 THEN list_extract(['12/1','4/1','4/2','6/1','6/2','2/1','9/1','1/1'], i + 1) ELSE list_extract(['1/1','9/1','2/1','6/2','6/1','4/2','4/1','12/1'], i + 1) END AS stage
+  FROM (SELECT *, conn_id // 8 AS g, unnest([0,1,2,3,4,5,6,7]) AS i FROM connects) WHERE (conn_id + i) % 6 <> 0),
+sn AS (SELECT *, row_number() OVER (PARTITION BY trace_id, g ORDER BY ts_us, seq) AS num FROM st),
+walk AS (
+  SELECT DISTINCT trace_id, g, CAST(0 AS BIGINT) AS num, CAST([] AS STRUCT(lvl BIGINT, last BIGINT, first BIGINT, id BIGINT)[]) AS open, CAST(NULL AS BIGINT) AS journey FROM st
+  UNION ALL
+  SELECT trace_id, g, num, CASE WHEN i < 7 THEN list_append(list_filter(open, lambda o: o.id <> coalesce(pick.d, seq)),
+      {{'lvl': i::BIGINT, 'last': ts_us, 'first': coalesce(pick.c, ts_us), 'id': coalesce(pick.d, seq)}}) ELSE list_filter(open, lambda o: o.id <> coalesce(pick.d, seq)) END, coalesce(pick.d, seq)
+  FROM (SELECT w.trace_id, w.g, s.num, s.i, s.ts_us, s.seq, w.open, list_sort(list_transform(list_filter(w.open, lambda o: o.lvl < s.i AND s.ts_us - o.last <= {packets.JOURNEY_WINDOW_US}),
+      lambda o: {{'a': -o.lvl, 'b': -o.last, 'c': o.first, 'd': o.id}}))[1] AS pick
+    FROM walk w JOIN sn s ON s.trace_id = w.trace_id AND s.g = w.g AND s.num = w.num + 1)),
+sj AS (SELECT sn.*, w.journey FROM sn JOIN walk w ON w.trace_id = sn.trace_id AND w.g = sn.g AND w.num = sn.num),
+jn AS (SELECT trace_id, direction, g, journey, count(*) AS stages, min(i) = 0 AND max(i) = 7 AS complete, CAST(max(ts_us) - min(ts_us) AS BIGINT) AS total_us, string_agg(stage, ' -> ' ORDER BY ts_us, seq) AS path FROM sj GROUP BY ALL)"""
 
 
 @query("packet_journeys", f"""
-WITH {STAGES} SELECT trace_id, direction, journey, stages, complete, total_us, path, 'tcp' AS proto, CASE WHEN complete THEN 'high' ELSE 'medium' END AS confidence FROM jn""")
+WITH RECURSIVE {STAGES} SELECT trace_id, direction, journey, stages, complete, total_us, path, 'tcp' AS proto, CASE WHEN complete THEN 'high' ELSE 'medium' END AS confidence FROM jn""")
 def _(t):
-    return packets.journey_summary(packets.packet_journeys(_layers(t))).drop("fingerprint", "flow")
+    return packets.journey_summary(_journeys(t)).drop("fingerprint", "flow")
 
 
 @query("hop_latency", f"""
-WITH {STAGES}, h AS (SELECT st.trace_id, st.direction, lag(stage) OVER w || ' -> ' || stage AS hop, ts_us - lag(ts_us) OVER w AS d, CASE WHEN complete THEN 'high' ELSE 'medium' END AS confidence
-  FROM st JOIN jn USING (trace_id, direction, conn_id) WINDOW w AS (PARTITION BY st.trace_id, conn_id ORDER BY i)),
+WITH RECURSIVE {STAGES}, h AS (SELECT sj.trace_id, sj.direction, lag(stage) OVER w || ' -> ' || stage AS hop, ts_us - lag(ts_us) OVER w AS d, CASE WHEN complete THEN 'high' ELSE 'medium' END AS confidence
+  FROM sj JOIN jn USING (trace_id, direction, g, journey) WINDOW w AS (PARTITION BY sj.trace_id, sj.direction, g, journey ORDER BY ts_us, seq)),
 k AS (SELECT trace_id, direction, hop, confidence, list_sort(list(d)) AS l FROM h WHERE d IS NOT NULL GROUP BY ALL)
 SELECT trace_id, direction, 'tcp' AS proto, hop, confidence, len(l) AS samples, {", ".join(f"CAST(l[CAST(round_even({q} * (len(l) - 1), 0) AS INT) + 1] AS DOUBLE) AS {n}_us" for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)))},
   CAST(l[len(l)] AS DOUBLE) AS max_us FROM k""")
 def _(t):
-    return packets.hop_latency(packets.packet_journeys(_layers(t)))
+    return packets.hop_latency(_journeys(t))
 
 
 @query("slowest_journeys", f"""
-WITH {STAGES} SELECT trace_id, direction, journey, stages, complete, total_us, path, 'tcp' AS proto, CASE WHEN complete THEN 'high' ELSE 'medium' END AS confidence
+WITH RECURSIVE {STAGES} SELECT trace_id, direction, journey, stages, complete, total_us, path, 'tcp' AS proto, CASE WHEN complete THEN 'high' ELSE 'medium' END AS confidence
 FROM jn WHERE stages > 1 ORDER BY total_us DESC, trace_id, direction, journey LIMIT 10""")
 def _(t):
-    journeys = packets.journey_summary(packets.packet_journeys(_layers(t)))
+    journeys = packets.journey_summary(_journeys(t))
     return packets.slowest_journeys(journeys, limit=10).drop("fingerprint", "flow")
 
 
