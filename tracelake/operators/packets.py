@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.classes import journey_confidence
-from ..functions.packet import decode_packets, tcp_flag_names, with_flow, with_keys
+from ..functions.packet import DECODED, decode_packets, tcp_flag_names
 from ..plans.quantiles import exact_quantiles
 from ..plans.replay import Rows, key_runs, scan_sorted, settle
 from ..plans.scan import FAR, compose, states_before
@@ -35,8 +35,12 @@ def path_index(direction: Column, component: Column, edge: Column) -> Column:
     return found
 
 
-def decoded_flows(packets: DataFrame) -> DataFrame:
-    return with_flow(decode_packets(packets))
+ENDS = ("ip_src", "src_port", "ip_dst", "dst_port", "proto")  # what a flow selector looks at
+
+
+def decoded_flows(packets: DataFrame, *fields: str) -> DataFrame:
+    """Packets with the wanted ``fields``, by default all of the headers, and ``proto`` and ``flow``."""
+    return decode_packets(packets, fields=list(dict.fromkeys([*(fields or DECODED), "proto", "flow"])))
 
 
 def capture_summary(packets: DataFrame, *, process_filter: str | None = None) -> DataFrame:
@@ -49,7 +53,7 @@ def capture_summary(packets: DataFrame, *, process_filter: str | None = None) ->
     def of(name: str, value: Column) -> Column:
         return F.sum(F.when(way == name, value).otherwise(F.lit(0)))
 
-    return decoded_flows(rows).groupBy("trace_id", "flow").agg(
+    return decode_packets(rows, fields=["flow"]).groupBy("trace_id", "flow").agg(
         of("recv", F.lit(1)).alias("recv_packets"), of("send", F.lit(1)).alias("send_packets"),
         of("recv", F.col("size")).alias("recv_bytes"), of("send", F.col("size")).alias("send_bytes"),
         F.count(F.lit(1)).alias("packets"), F.sum("size").alias("bytes"),
@@ -61,7 +65,8 @@ def packet_timeline(packets: DataFrame, selector: str, *, limit: int | None = No
     predicate = flow_predicate(selector)
     if predicate is None:
         raise ValueError(f"not a flow selector: {selector!r}")
-    rows = decoded_flows(packets).where(predicate).select(
+    fields = (*ENDS, "flow", "ip_id", "tcp_seq", "tcp_ack", "tcp_flags", "tcp_window", "udp_length")
+    rows = decode_packets(packets, fields=fields).where(predicate).select(
         "trace_id", "ts_us", "seq", "direction", "flow", "size", "ip_id", "tcp_seq", "tcp_ack",
         F.array_join(tcp_flag_names(F.coalesce("tcp_flags", F.lit(0))), "+").alias("tcp_flag_names"),
         "tcp_window", "udp_length",
@@ -204,7 +209,7 @@ def _replayed(rows: DataFrame, window_us: int, width: int, carried: list[str], k
 
 def send_recv_pairs(packets: DataFrame, *, window_us: int = MATCH_WINDOW_US, slice_us: int | None = None) -> DataFrame:
     """Pairs of captured sends and receipts of the same packet."""
-    rows = with_keys(decoded_flows(packets)).where(F.col("match").isNotNull())
+    rows = decode_packets(packets, fields=["flow", "match"])
     return pair_sends_with_receipts(rows, window_us=window_us, slice_us=slice_us)
 
 
@@ -275,12 +280,12 @@ def packet_journeys(
     rows = layers.where(F.col("path_index") >= 0)
     if wanted:
         rows = rows.where(F.col("direction") == wanted)
-    rows = decoded_flows(rows)
-    if flow:
-        predicate = flow_predicate(flow)
-        if predicate is not None:
-            rows = rows.where(predicate)
-    rows = with_keys(rows, F.coalesce("size", F.lit(0))).where(F.col("fingerprint").isNotNull())
+    predicate = flow_predicate(flow) if flow else None
+    fields = dict.fromkeys([*(ENDS if predicate is not None else ()), "ip_proto", "proto", "flow", "fingerprint"])
+    rows = decode_packets(rows, fields=list(fields), size=F.coalesce("size", F.lit(0)))
+    if predicate is not None:
+        rows = rows.where(predicate)
+    rows = rows.where(F.col("fingerprint").isNotNull())
     # protocol label: the transport's name only where its ports were decoded
     label = F.when(F.col("fingerprint").startswith("ip|"), F.concat(F.lit("proto-"), F.col("ip_proto").cast("string"))).otherwise(F.col("proto"))
     rows = rows.withColumn("proto", label)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.packet import tcp_flag_names, with_keys
+from ..functions.packet import decode_packets, tcp_flag_names
 from ..operators import filters, packets
 from .registry import query
 
@@ -72,7 +72,7 @@ def _(t):
 WITH {PACKETS} SELECT trace_id, seq, array_to_string(list_filter(['FIN','SYN','RST','PSH','ACK','URG','ECE','CWR'], lambda x, i: (n * 3) & (1 << (i - 1)) <> 0), '+') AS names
 FROM pf WHERE kind = 6 AND NOT cut""")
 def _(t):
-    rows = packets.decoded_flows(_frames(t)).where("tcp_flags IS NOT NULL")
+    rows = decode_packets(_frames(t), fields=["tcp_flags"]).where("tcp_flags IS NOT NULL")
     return rows.select("trace_id", "seq", F.array_join(tcp_flag_names(F.col("tcp_flags")), "+").alias("names"))
 
 
@@ -84,7 +84,7 @@ WITH {PACKETS} SELECT trace_id, seq,
   CASE WHEN cut OR kind = 1 THEN NULL WHEN kind = 6 THEN 'tcp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no
    ELSE 'udp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no % 60000 END AS match_key FROM pf""")
 def _(t):
-    rows = with_keys(packets.decoded_flows(_frames(t)))
+    rows = decode_packets(_frames(t), fields=["fingerprint", "match"])
     return rows.select("trace_id", "seq", "fingerprint", F.col("match").alias("match_key"))
 
 
@@ -176,7 +176,7 @@ HOURS_10 = 36_000_000_000
 SELECT * FROM paired""")
 def _(t):
     # a process as the key: thousands of packets each, over thousands of slices
-    rows = packets.decoded_flows(_frames(t))
+    rows = decode_packets(_frames(t), fields=["flow"])
     return packets.pair_sends_with_receipts(rows, key="process_name", window_us=HOURS_10, slice_us=HOURS_10)
 
 
@@ -254,5 +254,5 @@ def _(t):
 @query("flow_selector", f"""
 WITH {PACKETS} SELECT trace_id, seq, flow FROM pf WHERE NOT cut AND local_addr = '10.0.0.5' AND kind <> 1 OR (NOT cut AND kind = 1 AND local_addr = '10.0.0.5')""")
 def _(t):
-    rows = packets.decoded_flows(_frames(t))
+    rows = packets.decoded_flows(_frames(t), *packets.ENDS)
     return rows.where(filters.flow_predicate(":443 -> 10.0.0.5:0")).where("ip_src IS NOT NULL").select("trace_id", "seq", "flow")
