@@ -22,7 +22,7 @@ def _ip4(a: int, b: int, c: Column, d: Column) -> Column:
 
 
 def _frames(t, *more: str) -> DataFrame:
-    """TCP for status F, UDP for O with the low orders, ICMP for the rest; one in nine tagged."""
+    """TCP for status F, UDP for O with the low orders, ICMP for the rest; one in nine tagged, one in seven IPv6."""
     w = t["wire"]
     src = _ip4(10, 0, F.expr("o_custkey div 250"), F.col("o_custkey") % 250 + 1)
     dst = _ip4(192, 168, F.lit(0), (F.col("conn_id") - 1) % 50 + 1)
@@ -30,14 +30,20 @@ def _frames(t, *more: str) -> DataFrame:
     tcp = F.concat(ports, _hex(F.col("seq_no"), 4), _hex(F.col("l_orderkey"), 4), F.lit("50"), _hex(F.col("n") * 3, 1), _hex(F.col("size"), 2), F.lit("00000000"))
     udp = F.concat(ports, _hex(F.col("size") + 8, 2), F.lit("0000"))
     icmp = F.concat(F.lit("08"), _hex(F.col("n"), 1), F.lit("0000"))
-    kind = F.when(F.col("status") == "F", F.lit(6)).when(F.col("l_orderkey") % 5 != 0, F.lit(17)).otherwise(F.lit(1))
+    six = F.col("l_orderkey") % 7 == 3
+    kind = F.when(F.col("status") == "F", F.lit(6)).when(F.col("l_orderkey") % 5 != 0, F.lit(17)).otherwise(F.when(six, F.lit(58)).otherwise(F.lit(1)))
     body = F.when(kind == 6, tcp).when(kind == 17, udp).otherwise(icmp)
     head = F.when(kind == 6, F.lit(20)).when(kind == 17, F.lit(8)).otherwise(F.lit(4))
-    ip = F.concat(
+    four = F.concat(
         F.lit("4500"), _hex(head + 20 + F.col("size"), 2), _hex(F.col("seq_no") % 60000, 2), F.lit("4000"), F.lit("40"),
         _hex(kind, 1), F.lit("0000"), src, dst,
     )
-    eth = F.when(F.col("l_orderkey") % 9 == 0, F.lit("00112233445566778899aabb8100000a0800")).otherwise(F.lit("00112233445566778899aabb0800"))
+    prefix = lambda n: F.lit(f"20010db8{0:016x}{n:04x}")
+    ip = F.when(six, F.concat(
+        F.lit("60000000"), _hex(head + F.col("size"), 2), _hex(kind, 1), F.lit("40"), prefix(1), _hex(F.col("o_custkey") % 250 + 1, 2),
+        prefix(2), _hex((F.col("conn_id") - 1) % 50 + 1, 2))).otherwise(four)
+    tag = F.when(F.col("l_orderkey") % 9 == 0, F.lit("8100000a")).otherwise(F.lit(""))
+    eth = F.concat(F.lit("00112233445566778899aabb"), tag, F.when(six, F.lit("86dd")).otherwise(F.lit("0800")))
     frame = F.when(F.col("n") == 6, F.concat(eth, F.substring(ip, 1, 30))).otherwise(F.concat(eth, ip, body))
     way = F.when(F.col("flag") == "A", F.lit("Recv")).when(F.col("flag") == "N", F.lit("Send")).otherwise(F.lit("Unknown"))
     return w.select(
@@ -46,19 +52,23 @@ def _frames(t, *more: str) -> DataFrame:
     )
 
 
-KIND = "CASE WHEN status = 'F' THEN 6 WHEN l_orderkey % 5 <> 0 THEN 17 ELSE 1 END"
-PACKETS = f"""pk AS (SELECT *, {KIND} AS kind, n = 6 AS cut, CASE flag WHEN 'A' THEN 'Recv' WHEN 'N' THEN 'Send' ELSE 'Unknown' END AS direction FROM wire),
-pf AS (SELECT *, CASE WHEN cut THEN 'undecoded' ELSE local_addr || ':' || CASE WHEN kind = 1 THEN 0 ELSE local_port END || ' -> ' || remote_addr || ':' || CASE WHEN kind = 1 THEN 0 ELSE 443 END
-   || '/' || CASE kind WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' ELSE 'icmp' END END AS flow,
-   CASE WHEN cut THEN 'other' WHEN kind = 6 THEN 'tcp' WHEN kind = 17 THEN 'udp' ELSE 'icmp' END AS proto FROM pk)"""
+V6 = "l_orderkey % 7 = 3"
+KIND = f"CASE WHEN status = 'F' THEN 6 WHEN l_orderkey % 5 <> 0 THEN 17 WHEN {V6} THEN 58 ELSE 1 END"
+PACKETS = f"""pk AS (SELECT * REPLACE (CASE WHEN {V6} THEN '2001:db8::1:' || lower(to_hex(o_custkey % 250 + 1)) ELSE local_addr END AS local_addr,
+   CASE WHEN {V6} THEN '2001:db8::2:' || lower(to_hex((conn_id - 1) % 50 + 1)) ELSE remote_addr END AS remote_addr),
+   {KIND} AS kind, {KIND} IN (1, 58) AS icmp, {V6} AS v6, n = 6 AS cut, CASE flag WHEN 'A' THEN 'Recv' WHEN 'N' THEN 'Send' ELSE 'Unknown' END AS direction FROM wire),
+pf AS (SELECT *, CASE WHEN cut THEN 'undecoded' ELSE local_addr || ':' || CASE WHEN icmp THEN 0 ELSE local_port END || ' -> ' || remote_addr || ':' || CASE WHEN icmp THEN 0 ELSE 443 END
+   || '/' || CASE kind WHEN 6 THEN 'tcp' WHEN 17 THEN 'udp' WHEN 58 THEN 'icmpv6' ELSE 'icmp' END END AS flow,
+   CASE WHEN cut THEN 'other' WHEN kind = 6 THEN 'tcp' WHEN kind = 17 THEN 'udp' WHEN kind = 58 THEN 'icmpv6' ELSE 'icmp' END AS proto,
+   CASE WHEN NOT cut AND NOT v6 THEN seq_no % 60000 END AS ip_id, CASE kind WHEN 6 THEN 20 WHEN 17 THEN 8 ELSE 4 END AS head FROM pk)"""
 
 
 @query("decoded_packets", f"""
 WITH {PACKETS} SELECT trace_id, seq, l_orderkey % 9 = 0 AS tagged, CASE WHEN NOT cut THEN local_addr END AS ip_src, CASE WHEN NOT cut THEN remote_addr END AS ip_dst,
-  CASE WHEN NOT cut THEN kind END AS ip_proto, CASE WHEN NOT cut THEN seq_no % 60000 END AS ip_id, CASE WHEN NOT cut THEN size + 20 + CASE kind WHEN 6 THEN 20 WHEN 17 THEN 8 ELSE 4 END END AS ip_length,
-  CASE WHEN NOT cut AND kind <> 1 THEN local_port END AS src_port, CASE WHEN NOT cut AND kind <> 1 THEN 443 END AS dst_port, CASE WHEN NOT cut AND kind = 6 THEN seq_no END AS tcp_seq,
+  CASE WHEN NOT cut THEN kind END AS ip_proto, ip_id, CASE WHEN NOT cut THEN size + CASE WHEN v6 THEN 0 ELSE 20 END + head END AS ip_length,
+  CASE WHEN NOT cut AND NOT icmp THEN local_port END AS src_port, CASE WHEN NOT cut AND NOT icmp THEN 443 END AS dst_port, CASE WHEN NOT cut AND kind = 6 THEN seq_no END AS tcp_seq,
   CASE WHEN NOT cut AND kind = 6 THEN l_orderkey END AS tcp_ack, CASE WHEN NOT cut AND kind = 6 THEN n * 3 END AS tcp_flags, CASE WHEN NOT cut AND kind = 6 THEN size END AS tcp_window,
-  CASE WHEN NOT cut AND kind = 17 THEN size + 8 END AS udp_length, CASE WHEN NOT cut AND kind = 1 THEN 8 END AS icmp_type, CASE WHEN NOT cut AND kind = 1 THEN n END AS icmp_code,
+  CASE WHEN NOT cut AND kind = 17 THEN size + 8 END AS udp_length, CASE WHEN NOT cut AND icmp THEN 8 END AS icmp_type, CASE WHEN NOT cut AND icmp THEN n END AS icmp_code,
   CASE WHEN cut THEN 'ip' END AS truncated_at, flow, proto FROM pf""")
 def _(t):
     return packets.decoded_flows(_frames(t)).select(
@@ -78,10 +88,10 @@ def _(t):
 
 @query("packet_keys", f"""
 WITH {PACKETS} SELECT trace_id, seq,
-  CASE WHEN cut THEN NULL WHEN kind = 6 THEN 'tcp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no || '|' || l_orderkey || '|' || n * 3 || '|' || size || '|' || CASE WHEN seq_no % 60000 = 0 THEN -1 ELSE seq_no % 60000 END || '|' || size
-   WHEN kind = 17 THEN 'udp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || (size + 8) || '|' || CASE WHEN seq_no % 60000 = 0 THEN -1 ELSE seq_no % 60000 END || '|' || size
-   ELSE 'ip|' || local_addr || '|' || remote_addr || '|1|' || CASE WHEN seq_no % 60000 = 0 THEN -1 ELSE seq_no % 60000 END || '|' || (size + 4) || '|' || size END AS fingerprint,
-  CASE WHEN cut OR kind = 1 THEN NULL WHEN kind = 6 THEN 'tcp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no
+  CASE WHEN cut THEN NULL WHEN kind = 6 THEN 'tcp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no || '|' || l_orderkey || '|' || n * 3 || '|' || size || '|' || coalesce(nullif(ip_id, 0), -1) || '|' || size
+   WHEN kind = 17 THEN 'udp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || (size + 8) || '|' || coalesce(nullif(ip_id, 0), -1) || '|' || size
+   ELSE 'ip|' || local_addr || '|' || remote_addr || '|' || kind || '|' || coalesce(nullif(ip_id, 0), -1) || '|' || (size + 4) || '|' || size END AS fingerprint,
+  CASE WHEN cut OR icmp OR (v6 AND kind = 17) THEN NULL WHEN kind = 6 THEN 'tcp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no
    ELSE 'udp|' || local_addr || '|' || remote_addr || '|' || local_port || '|443|' || seq_no % 60000 END AS match_key FROM pf""")
 def _(t):
     rows = decode_packets(_frames(t), fields=["fingerprint", "match"])
@@ -97,7 +107,7 @@ def _(t):
 
 
 @query("packet_timeline", f"""
-WITH {PACKETS} SELECT trace_id, ts_us, seq, direction, flow, size, seq_no % 60000 AS ip_id, CASE WHEN kind = 6 THEN seq_no END AS tcp_seq, CASE WHEN kind = 6 THEN l_orderkey END AS tcp_ack,
+WITH {PACKETS} SELECT trace_id, ts_us, seq, direction, flow, size, ip_id, CASE WHEN kind = 6 THEN seq_no END AS tcp_seq, CASE WHEN kind = 6 THEN l_orderkey END AS tcp_ack,
   CASE WHEN kind = 6 THEN array_to_string(list_filter(['FIN','SYN','RST','PSH','ACK','URG','ECE','CWR'], lambda x, i: (n * 3) & (1 << (i - 1)) <> 0), '+') ELSE '' END AS tcp_flag_names,
   CASE WHEN kind = 6 THEN size END AS tcp_window, CASE WHEN kind = 17 THEN size + 8 END AS udp_length
 FROM pf WHERE NOT cut AND kind = 6 AND remote_addr = '192.168.0.7'""")
@@ -148,8 +158,8 @@ paired AS (
   JOIN nb r ON r.trace_id = f.trace_id AND r.key = f.key AND NOT r.sent AND r.num = f.num)"""
 
 
-PAIRS = f"""{PACKETS}, kd AS (SELECT trace_id, ts_us, seq, flow, n, CASE WHEN kind = 6 THEN 'tcp|' || flow || '|' || seq_no WHEN kind = 17 THEN 'udp|' || flow || '|' || seq_no % 60000 END AS key,
-  CASE n WHEN 1 THEN 10000 WHEN 2 THEN 10001 ELSE size * 300 END AS gap FROM pf WHERE NOT cut AND kind <> 1 AND direction <> 'Unknown'),
+PAIRS = f"""{PACKETS}, kd AS (SELECT trace_id, ts_us, seq, flow, n, CASE WHEN kind = 6 THEN 'tcp|' || flow || '|' || seq_no WHEN kind = 17 THEN 'udp|' || flow || '|' || ip_id END AS key,
+  CASE n WHEN 1 THEN 10000 WHEN 2 THEN 10001 ELSE size * 300 END AS gap FROM pf WHERE NOT cut AND NOT icmp AND (kind = 6 OR NOT v6) AND direction <> 'Unknown'),
 """ + _fifo("""SELECT trace_id, key, ts_us, seq, flow, true AS sent FROM kd
   UNION ALL SELECT trace_id, key, ts_us + 1000, seq + (1::BIGINT << 50), flow, true FROM kd WHERE n = 3
   UNION ALL SELECT trace_id, key, ts_us + gap, seq + (2::BIGINT << 50), flow, false FROM kd
