@@ -254,7 +254,6 @@ def test_store_round_trip(spark, tmp_path):
     raw = spark.createDataFrame([(i, 1000 + i * 10, i % 4, 1, 2, 3, i, 1) for i in range(100)], "EventSequence long, TimeStampQpc long, CPU int, ProcessId long, ThreadId long, PayloadThreadId long, InstructionPointer long, Weight long")
     rows = normalise.normalise(raw, "SampledProfile").withColumn("trace_id", F.lit("a"))
     store.write_events(rows, root, "SampledProfile")
-    store.record_statistics(spark, root, "sampled_profile")
     assert store.validate(spark, root, "sampled_profile").count() == 0
     # frequency 1 MHz: microseconds since tick 1000
     got = store.scan(spark, root, "sampled_profile", timebase=(1000, 1_000_000), start_time=0.0001, end_time=0.0002, columns=["seq"])
@@ -267,23 +266,57 @@ def test_store_round_trip(spark, tmp_path):
     assert store.open_events(spark, "cswitch", tables={"CSwitch": rows}).count() == 100
     assert store.open_events(spark, "cswitch", tables={"CSwitch": rows}, columns=["seq"], include_time=False).columns == ["seq"]
     store.write_events(rows, root, "SampledProfile")
-    assert {r.problem for r in store.validate(spark, root, "sampled_profile").collect()} == {"stray file"}
-    listed = store.list_traces(spark, root + "/sampled_profile/trace_id=a", "*.parquet").collect()
+    assert store.validate(spark, root, "sampled_profile").count() == 0 and store.scan(spark, root, "sampled_profile").count() == 200
+    store.write_events(rows, root, "SampledProfile", mode="overwrite")
+    assert store.scan(spark, root, "sampled_profile").count() == 100
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in store.stored_traces(spark, root).collect()] == [("a", "sampled_profile", 100, 1000, 1990)]
+    listed = store.list_traces(spark, root + "/sampled_profile/*", "*.parquet").collect()
     assert listed and all(r.trace_id.startswith("trace_") and r.bytes > 0 for r in listed)
 
 
-def test_damaged_file_is_reported(spark, tmp_path):
+def test_zones_choose_files(spark, tmp_path):
+    root = str(tmp_path / "store")
+    # trace b runs a day later on its own clock
+    rows = spark.range(4000).select(F.when(F.col("id") % 4 == 0, "b").otherwise("a").alias("trace_id"), F.col("id").alias("seq"), (F.col("id") * 10 + F.when(F.col("id") % 4 == 0, 10**9).otherwise(0)).alias("qpc"), F.lit(1).alias("cpu"))
+    zones = store.write_events(rows, root, "cswitch", file_bytes=4000)
+    assert zones.select("file").distinct().count() > 5
+    meta = spark.createDataFrame([("a", 0, 1000), ("b", 10**9, 1000)], "trace_id string, origin long, freq long")
+    got = store.scan(spark, root, "cswitch", meta=meta, start_time=10.0, end_time=11.0, columns=["trace_id", "seq"])
+    assert sorted(r.seq for r in got.collect()) == list(range(1000, 1101))
+    assert 0 < len(got.inputFiles()) < zones.select("file").distinct().count() / 2
+    one = store.scan(spark, root, "cswitch", meta=meta, start_time=10.0, end_time=11.0, traces=["b"])
+    assert one.count() == 26 and len(one.inputFiles()) < len(got.inputFiles())
+    assert store.scan(spark, root, "cswitch", meta=meta, start_time=500.0).count() == 0
+    assert "GreaterThanOrEqual(qpc,1000010000)" in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_damaged_missing_and_stray_files_are_reported(spark, tmp_path):
     import glob
+    import os
 
     root = str(tmp_path / "store")
-    rows = spark.range(50).select(F.lit("a").alias("trace_id"), F.col("id").alias("seq"), F.col("id").alias("qpc"))
-    store.write_events(rows, root, "cswitch")
-    store.record_statistics(spark, root, "cswitch")
-    victim = glob.glob(root + "/cswitch/trace_id=a/*.parquet")[0]
-    with open(victim, "r+b") as f:
+    rows = spark.range(5000).select(F.lit("a").alias("trace_id"), F.col("id").alias("seq"), F.col("id").alias("qpc"))
+    store.write_events(rows, root, "cswitch", file_bytes=8000)
+    data = sorted(glob.glob(root + "/cswitch/*/*.parquet"))
+    assert len(data) > 3
+
+    def problems():
+        spark.catalog.refreshByPath(root)
+        return sorted((r.problem, r.detail.split("/")[-1]) for r in store.validate(spark, root, "cswitch").collect())
+
+    assert problems() == []
+    with open(data[0], "r+b") as f:
         f.truncate(20)
-    spark.catalog.refreshByPath(root)
-    assert "missing or damaged file" in {r.problem for r in store.validate(spark, root, "cswitch").collect()}
+    os.remove(data[1])
+    with open(data[2], "rb") as f, open(os.path.dirname(data[2]) + "/stray.parquet", "wb") as g:
+        g.write(f.read())
+    with open(data[2], "rb") as f, open(data[3], "wb") as g:
+        g.write(f.read())
+    for crc in glob.glob(root + "/cswitch/*/.*.crc"):
+        os.remove(crc)
+    name = os.path.basename
+    assert problems() == sorted([
+        ("missing or damaged file", name(data[0])), ("missing or damaged file", name(data[1])), ("stray file", "stray.parquet"), ("rows or ticks", name(data[3]))])
 
 
 def test_text_files(spark, tmp_path):

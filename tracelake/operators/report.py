@@ -254,10 +254,10 @@ def largest_changes(compared: DataFrame, delta: str, keys: Sequence[str], limit:
 
 def consolidated_report(
     *, meta: DataFrame, timeline: DataFrame, sampling: DataFrame, histogram: DataFrame,
-    modules: str | None = None, functions: int = 15,
+    modules: str | None = None, functions: int | None = None,
 ) -> DataFrame:
     """System, CPU bands, hot functions, symbol gaps and interrupt health as
-    ``trace_id, section, metric, value`` rows."""
+    ``trace_id, section, metric, value`` rows; ``functions`` keeps the hottest of each trace."""
 
     def long(df: DataFrame, section: str, metrics: dict[str, Column]) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in metrics.items()])
@@ -283,7 +283,9 @@ def consolidated_report(
     rank = F.row_number().over(
         Window.partitionBy("trace_id").orderBy(F.col("weight").desc(), "module", "function")
     )
-    ranked = hot_functions(sampling, modules=modules).withColumn("_rank", rank).where(F.col("_rank") <= functions)
+    ranked = hot_functions(sampling, modules=modules)
+    if functions is not None:
+        ranked = ranked.withColumn("_rank", rank).where(F.col("_rank") <= functions)
     hot_rows = ranked.select(
         "trace_id", F.lit("hot_functions").alias("section"),
         F.concat("module", F.lit("!"), "function").alias("metric"), F.col("denominator_pct").alias("value"),

@@ -53,8 +53,14 @@ def durable(df: DataFrame) -> DataFrame:
     removed when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
-    files, place = folder_of(spark, path)
-    files.deleteOnExit(place)
+    path = scratch(spark, "tables")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder for files of this application, which are removed when it ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/{kind}/{uuid.uuid4().hex}"
+    files, place = folder_of(spark, path)
+    files.deleteOnExit(place)
+    return path

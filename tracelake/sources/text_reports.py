@@ -1,7 +1,7 @@
 """Text reports whose lines depend on the lines before them, and loose CSV.
 
-An ordered lines table has ``trace_id, block, line_no, value``: ``line_no`` increases along a
-file and ``block`` cuts a file into stretches that are processed in parallel.
+An ordered lines table has ``trace_id, block, line_no, value``: ``block`` cuts a report into stretches
+that are processed in parallel, in ascending order, and ``line_no`` increases along a block.
 """
 
 from __future__ import annotations
@@ -15,21 +15,34 @@ from ..plans.lookup import lookup
 from ..plans.sequence import fill_forward, with_neighbours, with_running
 
 FILE = ["trace_id"]
-ORDER = ["line_no"]
+ORDER = ["block", "line_no"]
 
 
 def read_ordered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their order; the trace id is the file path.
+    """Lines with their order.
 
-    The reader splits files; a split is a block. Blocks are ordered by where they start in the
-    file, lines within a block by the position the reader met them in.
+    The reader splits files; a split is a block, and lines within it stand as the reader met them. The
+    trace id is the ``trace_id=...`` folder of a file, whose part files follow each other by number, or else
+    the path of the file. A part may have up to 16 TB.
     """
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("block"),
+    lines = spark.read.text(path)
+    part = F.coalesce(F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("bigint"), F.lit(0))
+    trace = F.col("trace_id").cast("string") if "trace_id" in lines.columns else F.col("_metadata.file_path")
+    number = part if "trace_id" in lines.columns else F.lit(0).cast("bigint")
+    return lines.select(
+        trace.alias("trace_id"), (F.shiftleft(number, 44) + F.col("_metadata.file_block_start")).alias("block"),
         F.monotonically_increasing_id().alias("line_no"), "value",
     )
 
 
+def write_ordered_lines(lines: DataFrame, path: str) -> None:
+    """Write an ordered lines table as text that :func:`read_ordered_lines` reads back, in parts by range."""
+    (
+        lines.repartitionByRange("trace_id", *ORDER).sortWithinPartitions("trace_id", *ORDER)
+        .select("trace_id", "value").write.partitionBy("trace_id").text(path)
+    )
+
+
 def profile_detail(lines: DataFrame) -> DataFrame:
     """``name (pid), weight, percent, module!function`` lines; needs no order."""
     parts = F.split(F.trim("value"), ",")
@@ -81,15 +94,15 @@ def ready_thread_stacks(lines: DataFrame) -> DataFrame:
     frame = F.when(text.startswith("Stack,"), F.trim(F.regexp_extract(text, r"^(?:[^,]*,){5}(.*)$", 1)))
     full_frame = text.startswith("Stack,") & (F.size(F.split(text, ",")) >= 6)
     rows = grouped.where(F.col("_group") > 0).select(
-        *FILE, "_group", "line_no", F.when(F.col("_event") == 1, text).alias("_head"),
+        *FILE, "_group", F.struct(*ORDER).alias("_at"), F.when(F.col("_event") == 1, text).alias("_head"),
         F.when(full_frame, frame).alias("_frame"),
     )
     # the lines of one event: its own line and as many as its stack is deep
     events = rows.groupBy(*FILE, "_group").agg(
-        F.max("_head").alias("_head"), F.min("line_no").alias("line_no"),
+        F.max("_head").alias("_head"), F.min("_at")["line_no"].alias("line_no"),
         F.array_join(
             F.transform(
-                F.array_sort(F.collect_list(F.when(F.col("_frame").isNotNull(), F.struct("line_no", "_frame")))),
+                F.array_sort(F.collect_list(F.when(F.col("_frame").isNotNull(), F.struct("_at", "_frame")))),
                 lambda x: x["_frame"],
             ), " / ",
         ).alias("stack_text"),
@@ -116,11 +129,11 @@ def utilisation_text(lines: DataFrame) -> DataFrame:
     """``StartTime, EndTime, Cpu 0, Cpu 1, ...`` tables as long rows; the header may come late."""
     is_header = F.col("value").contains("StartTime") & F.col("value").contains("Cpu")
     header = lines.where(is_header).groupBy(*FILE).agg(
-        F.min_by("value", "line_no").alias("_head"), F.min("line_no").alias("_at")
+        F.min_by("value", F.struct(*ORDER)).alias("_head"), F.min(F.struct(*ORDER)).alias("_at")
     )
     names = F.transform(F.split("_head", ","), lambda x: F.trim(x))
     fields = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("double"))
-    rows = lookup(lines, header, FILE, spread=ORDER).where(F.col("line_no") > F.col("_at"))
+    rows = lookup(lines, header, FILE, spread=ORDER).where(F.struct(*ORDER) > F.col("_at"))
     rows = rows.withColumns({"_n": names, "_v": fields})
 
     def named(name: str) -> Column:

@@ -227,7 +227,7 @@ def _(t):
     return grouping.key_union(*_sides(t), ["module", "function"])
 
 
-@query("consolidated_report", f"""
+REPORT = f"""
 WITH {TIMELINE}, {BUCKETS}, pc AS (SELECT trace_id, cpu, avg(util_pct) AS a FROM tl GROUP BY ALL),
 bands AS (SELECT trace_id, count(CASE WHEN a >= 80 THEN 1 END) AS saturated, count(CASE WHEN a >= 10 AND a < 80 THEN 1 END) AS active, count(CASE WHEN a >= 2 AND a < 10 THEN 1 END) AS low, count(CASE WHEN a < 2 THEN 1 END) AS idle, count(*) AS cpus FROM pc GROUP BY trace_id),
 hf AS (SELECT trace_id, module || '!' || function AS metric, sum(weight) AS w, row_number() OVER (PARTITION BY trace_id ORDER BY sum(weight) DESC, module, function) AS rk FROM sampling WHERE {HOT} GROUP BY trace_id, module, function),
@@ -238,10 +238,13 @@ UNION ALL SELECT trace_id, 'cpu', 'saturated', saturated FROM bands UNION ALL SE
 UNION ALL SELECT trace_id, 'cpu', 'idle', idle FROM bands UNION ALL SELECT trace_id, 'cpu', 'cpus', cpus FROM bands
 UNION ALL SELECT hf.trace_id, 'hot_functions', metric, round(w * 100.0 / total, 4) FROM hf JOIN tw ON tw.trace_id = hf.trace_id WHERE rk <= 15
 UNION ALL SELECT trace_id, 'symbols', 'unresolved_pct', round(gap * 100.0 / total, 4) FROM tw
-UNION ALL SELECT trace_id, 'interrupts', 'above_16us_pct', round(e, 4) FROM hl UNION ALL SELECT trace_id, 'interrupts', 'warning', CASE WHEN e > 1 THEN 1.0 ELSE 0.0 END FROM hl""")
+UNION ALL SELECT trace_id, 'interrupts', 'above_16us_pct', round(e, 4) FROM hl UNION ALL SELECT trace_id, 'interrupts', 'warning', CASE WHEN e > 1 THEN 1.0 ELSE 0.0 END FROM hl"""
+
+
+@query("consolidated_report", REPORT)
 def _(t):
     return report.consolidated_report(
-        meta=t["meta"], timeline=_timeline(t), sampling=t["sampling"], histogram=interrupts.duration_histogram(t["dpc"]),
+        meta=t["meta"], timeline=_timeline(t), sampling=t["sampling"], histogram=interrupts.duration_histogram(t["dpc"]), functions=15,
     )
 
 

@@ -3,9 +3,12 @@ the check can state the typed rows they must give."""
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch
 from ..sources import text_events, text_reports
 from .registry import query
 
@@ -219,10 +222,7 @@ def _(t):
     return text_reports.profile_detail(s.select("trace_id", line.alias("value")))
 
 
-@query("histogram_text", """
-SELECT trace_id, CASE WHEN l_orderkey % 7 = 0 THEN '(all)' ELSE 'm' || l_orderkey END AS module, n AS low_us, n + 1 AS high_us, size AS events, CAST(0.25 AS DOUBLE) AS pct
-FROM (SELECT trace_id, l_orderkey, n, size, row_number() OVER (PARTITION BY l_orderkey, n ORDER BY l_partkey, size) AS rk FROM wire) WHERE rk = 1 AND l_orderkey % 5 <> 0""")
-def _(t):
+def _histogram_lines(t) -> DataFrame:
     # one order's lines under its header; every fifth order's block was closed before
     one = t["wire"].groupBy("trace_id", "l_orderkey", "n").agg(F.min_by("size", F.struct("l_partkey", "size")).alias("size"))
     head = F.when(F.col("l_orderkey") % 5 == 0, F.lit("Total, 5")).when(F.col("l_orderkey") % 7 == 0, F.lit("Total = 12")).otherwise(
@@ -230,46 +230,34 @@ def _(t):
     heads = one.select("trace_id", (F.col("l_orderkey") * 16).alias("line_no"), head.alias("value")).distinct()
     lines = one.select("trace_id", (F.col("l_orderkey") * 16 + F.col("n")).alias("line_no"), F.concat(
         F.lit(" Elapsed Time, >  "), "n", F.lit(" usecs AND <=  "), F.col("n") + 1, F.lit(" usecs, "), "size", F.lit(", or 0.25%")).alias("value"))
-    return text_reports.duration_histogram_text(heads.unionByName(lines).withColumn("block", F.expr("line_no div 4096")))
+    return heads.unionByName(lines).withColumn("block", F.expr("line_no div 4096"))
 
 
-@query("ready_stack_text", """
-SELECT trace_id, seq * 16 AS seq, ts_us, 'p' || pid AS process_name, pid, tid, 'r' || cpu AS readying_process, cpu AS readying_pid, 5 AS readying_tid, '0' AS adjust_reason, '1' AS in_dpc,
-  CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 3 = 1 THEN 'a!f,x' ELSE 'a!f,x / b!g' || cpu END AS stack_text FROM ready""")
-def _(t):
+def _ready_stack_lines(t) -> DataFrame:
     r = t["ready"]
     head = F.concat(F.lit("ReadyThread, "), "ts_us", F.lit(', "p'), "pid", F.lit('" ( '), "pid", F.lit("), "), "tid", F.lit(', "r'), "cpu", F.lit('" ( '), "cpu", F.lit("), 5, 0, 0, 1"))
     one = F.when(F.col("seq") % 3 > 0, F.lit("    Stack, 1, 2, 1, 0x0, a!f,x"))
     two = F.when(F.col("seq") % 3 > 1, F.concat(F.lit("    Stack, 1, 2, 2, 0x0, b!g"), "cpu"))
-    return text_reports.ready_thread_stacks(_ordered(r, F.col("seq"), head, F.when(F.col("seq") % 3 == 1, F.lit("")), one, two))
+    return _ordered(r, F.col("seq"), head, F.when(F.col("seq") % 3 == 1, F.lit("")), one, two)
 
 
-@query("utilisation_text", """
-SELECT trace_id, seq * 10 AS start_us, seq * 10 + 10 AS end_us, unnest([0, 1]) AS cpu, unnest([CAST(k AS DOUBLE), CAST(pid AS DOUBLE)]) AS util_pct FROM base""")
-def _(t):
+def _utilisation_lines(t) -> DataFrame:
     b = t["base"]
     rows = _ordered(b, F.col("seq") + 1, F.concat_ws(", ", F.col("seq") * 10, F.col("seq") * 10 + 10, F.col("k"), F.col("pid")))
     heads = b.select("trace_id").distinct().select("trace_id", F.lit(1).cast("bigint").alias("line_no"), F.lit("StartTime, EndTime, Cpu 0, Cpu  1").alias("value"))
-    return text_reports.utilisation_text(rows.unionByName(heads.withColumn("block", F.lit(0).cast("bigint"))))
+    return rows.unionByName(heads.withColumn("block", F.lit(0).cast("bigint")))
 
 
-@query("pool_text", """
-SELECT trace_id, CASE p_type_ WHEN 0 THEN 'Paged' WHEN 1 THEN 'NonPaged' ELSE 'NX NonPaged' END AS pool_type, 'm' || seq AS module, 'T' || k AS tag, k AS allocs, CAST(pid AS DOUBLE) AS alloc_kb, pid AS outstanding, CAST(0.5 AS DOUBLE) AS outstanding_kb
-FROM (SELECT *, seq // 9 % 3 AS p_type_ FROM base)""")
-def _(t):
+def _pool_lines(t) -> DataFrame:
     kind = F.expr("seq div 9 % 3")
     head = F.when(kind == 0, F.lit("Paged Pool:")).when(kind == 1, F.lit("Non-Paged Pool:")).otherwise(F.lit("NX Non-Paged Pool:"))
     # the section line heads every run of nine rows, of which a trace has three
     first = F.when(F.col("seq") % 9 < 3, head)
     row = F.concat(F.lit(" m"), "seq", F.lit(", T"), "k", F.lit(", "), "k", F.lit(", "), "pid", F.lit(", "), "pid", F.lit(", 0.5"))
-    return text_reports.pool_text(_ordered(t["base"], F.col("seq"), first, F.lit("Image, Tag, ..."), row, F.lit("---")))
+    return _ordered(t["base"], F.col("seq"), first, F.lit("Image, Tag, ..."), row, F.lit("---"))
 
 
-@query("monitor_text", """
-SELECT trace_id, seq * 16 AS seq, '10:00:00.5' AS clock, CASE WHEN k % 2 = 0 THEN 'Send' ELSE 'Recv' END AS direction, CAST(CASE WHEN k % 2 = 0 THEN 12 ELSE 9 END AS INT) AS component, CAST(1 AS INT) AS edge,
-  k AS packet_group, seq AS packet_number, 1 AS appearance, pid AS size, pid AS captured_size, 'IPv4, length ' || k || ': 1.2.3.4.80 > 5.6.7.8.9: tcp' AS detail, k % 2 = 0 AS boundary, CAST(CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS INT) AS path_index
-FROM base WHERE k % 5 <> 0 AND k % 7 <> 0""")
-def _(t):
+def _monitor_lines(t) -> DataFrame:
     b = t["base"]
     drop = F.when(F.col("k") % 5 == 0, F.lit("Drop: ")).otherwise(F.lit(""))
     head = F.concat(
@@ -278,12 +266,48 @@ def _(t):
         F.lit(", Filter 1, OriginalSize "), "pid", F.lit(", LoggedSize "), "pid",
     )
     below = F.concat(F.when(F.col("k") % 7 == 0, F.lit("")).otherwise(F.lit("\t")), F.lit("IPv4, length "), "k", F.lit(": 1.2.3.4.80 > 5.6.7.8.9: tcp"))
-    return text_reports.packet_monitor_text(_ordered(b, F.col("seq"), head, below))
+    return _ordered(b, F.col("seq"), head, below)
 
 
-@query("monitor_boundary_text", """
-SELECT trace_id, seq * 16 AS seq, 'Send' AS direction, '1.2.3.4:80 -> 5.6.7.8:' || pid || '/udp' AS flow, k AS size FROM base""")
-def _(t):
+def _monitor_boundary_lines(t) -> DataFrame:
     head = F.concat(F.lit("10:00:00.5 PktGroupId 1, PktNumber 2, Appearance 1, Direction Tx , Type Ethernet , Component 12, Edge 1, OriginalSize "), "k", F.lit(", LoggedSize 9"))
     below = F.concat(F.lit("\tIPv4, length 9: 1.2.3.4.80 > 5.6.7.8."), "pid", F.lit(": UDP, more"))
-    return text_reports.packet_monitor_text(_ordered(t["base"], F.col("seq"), head, below), boundary_only=True)
+    return _ordered(t["base"], F.col("seq"), head, below)
+
+
+# name: the lines, the parser and the rows expected; ``seq`` is the number of a line, which a file does not keep
+REPORTS = {
+    "histogram_text": (_histogram_lines, text_reports.duration_histogram_text, """
+SELECT trace_id, CASE WHEN l_orderkey % 7 = 0 THEN '(all)' ELSE 'm' || l_orderkey END AS module, n AS low_us, n + 1 AS high_us, size AS events, CAST(0.25 AS DOUBLE) AS pct
+FROM (SELECT trace_id, l_orderkey, n, size, row_number() OVER (PARTITION BY l_orderkey, n ORDER BY l_partkey, size) AS rk FROM wire) WHERE rk = 1 AND l_orderkey % 5 <> 0"""),
+    "ready_stack_text": (_ready_stack_lines, text_reports.ready_thread_stacks, """
+SELECT trace_id, seq * 16 AS seq, ts_us, 'p' || pid AS process_name, pid, tid, 'r' || cpu AS readying_process, cpu AS readying_pid, 5 AS readying_tid, '0' AS adjust_reason, '1' AS in_dpc,
+  CASE WHEN seq % 3 = 0 THEN '' WHEN seq % 3 = 1 THEN 'a!f,x' ELSE 'a!f,x / b!g' || cpu END AS stack_text FROM ready"""),
+    "utilisation_text": (_utilisation_lines, text_reports.utilisation_text, """
+SELECT trace_id, seq * 10 AS start_us, seq * 10 + 10 AS end_us, unnest([0, 1]) AS cpu, unnest([CAST(k AS DOUBLE), CAST(pid AS DOUBLE)]) AS util_pct FROM base"""),
+    "pool_text": (_pool_lines, text_reports.pool_text, """
+SELECT trace_id, CASE p_type_ WHEN 0 THEN 'Paged' WHEN 1 THEN 'NonPaged' ELSE 'NX NonPaged' END AS pool_type, 'm' || seq AS module, 'T' || k AS tag, k AS allocs, CAST(pid AS DOUBLE) AS alloc_kb, pid AS outstanding, CAST(0.5 AS DOUBLE) AS outstanding_kb
+FROM (SELECT *, seq // 9 % 3 AS p_type_ FROM base)"""),
+    "monitor_text": (_monitor_lines, text_reports.packet_monitor_text, """
+SELECT trace_id, seq * 16 AS seq, '10:00:00.5' AS clock, CASE WHEN k % 2 = 0 THEN 'Send' ELSE 'Recv' END AS direction, CAST(CASE WHEN k % 2 = 0 THEN 12 ELSE 9 END AS INT) AS component, CAST(1 AS INT) AS edge,
+  k AS packet_group, seq AS packet_number, 1 AS appearance, pid AS size, pid AS captured_size, 'IPv4, length ' || k || ': 1.2.3.4.80 > 5.6.7.8.9: tcp' AS detail, k % 2 = 0 AS boundary, CAST(CASE WHEN k % 2 = 0 THEN 0 ELSE 1 END AS INT) AS path_index
+FROM base WHERE k % 5 <> 0 AND k % 7 <> 0"""),
+    "monitor_boundary_text": (_monitor_boundary_lines, partial(text_reports.packet_monitor_text, boundary_only=True), """
+SELECT trace_id, seq * 16 AS seq, 'Send' AS direction, '1.2.3.4:80 -> 5.6.7.8:' || pid || '/udp' AS flow, k AS size FROM base"""),
+}
+
+
+def _register(name: str, lines, parse, check: str) -> None:
+    @query(name, check)
+    def of_table(t):
+        return parse(lines(t))
+
+    @query(f"{name}_files", f"SELECT * EXCLUDE (seq) FROM ({check})" if " AS seq" in check else check)
+    def of_files(t):
+        folder = scratch(t.spark, "reports")
+        text_reports.write_ordered_lines(lines(t), folder)
+        return parse(text_reports.read_ordered_lines(t.spark, folder)).drop("seq")
+
+
+for _name, (_lines, _parse, _rows) in REPORTS.items():
+    _register(_name, _lines, _parse, _rows)
