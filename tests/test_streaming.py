@@ -31,7 +31,7 @@ def test_live_pairs_match_batch(spark, tmp_path):
     df = spark.createDataFrame(rows, schema)
     flush = spark.createDataFrame([("z", "z", 10_000 * SECOND, 9999, "Send")], schema)
     stream = stream_of(spark, str(tmp_path / "p"), df, flush)
-    got = live.run_available(live.live_send_recv(stream, window_us=50_000, delay="2000 seconds"))
+    got = live.run_available(live.live_send_recv(stream, window_us=50_000, delay="2000 seconds"), pairs=True)
     found = sorted((r.opened_seq, r.closed_seq, r.latency_us) for r in got.collect())
     batch = pair_sends_with_receipts(df.withColumn("flow", F.col("match")), window_us=50_000)
     assert found == sorted((r.send_seq, r.recv_seq, r.latency_us) for r in batch.collect())
@@ -46,7 +46,7 @@ def test_live_waits_match_batch(spark, tmp_path):
     stream = stream_of(spark, str(tmp_path / "w"), df, spark.createDataFrame([("z", 9, 10_000 * SECOND, 9999, True)], schema))
     ready = stream.where("is_ready").withColumn("readied_tid", F.col("tid"))
     switches = stream.where("NOT is_ready").withColumn("new_tid", F.col("tid"))
-    got = live.run_available(live.live_ready_waits(ready, switches, window_us=100_000, delay="4000 seconds"))
+    got = live.run_available(live.live_ready_waits(ready, switches, window_us=100_000, delay="4000 seconds"), pairs=True)
     found = sorted((r.opened_seq, r.closed_seq, r.wait_us) for r in got.collect())
     r = df.where("is_ready").select("trace_id", "ts_us", "seq", F.lit(0).alias("cpu"), "tid", F.col("tid").alias("readied_tid"))
     s = df.where("NOT is_ready").select("trace_id", "ts_us", "seq", F.lit(0).alias("cpu"), F.col("tid").alias("new_tid"), F.lit(0).alias("old_tid"))
@@ -65,3 +65,28 @@ def test_candidates_hold_every_switch_in_window(spark, tmp_path):
         stream.where("NOT is_ready").withColumn("new_tid", F.col("tid")),
     ))
     assert sorted((r.ready_seq, r.switch_seq) for r in got.collect()) == [(0, 1), (0, 2)]
+
+
+def test_batches_seen_again_count_once(spark, tmp_path):
+    write = live.write_batch(str(tmp_path / "t"), "append")
+    for number, rows in ((0, [1, 2]), (1, [3]), (0, [1, 2]), (1, [3])):
+        write(spark.createDataFrame([(x,) for x in rows], "x long"), number)
+    assert sorted(r.x for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [1, 2, 3]
+
+
+def test_state_store_is_put_back(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    with live.state_store(spark):
+        assert spark.conf.get(name) == live.ROCKSDB
+    assert spark.conf.get(name) == before
+
+
+def test_updates_replace_earlier_ones(spark, tmp_path):
+    schema = "trace_id string, module string, duration_us double, ts_us long"
+    for part in ([("t", "a", 3.0, 0)], [("t", "a", 3.0, 1), ("t", "b", 3.0, 2)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "u"))
+        time.sleep(1.1)
+    stream = live.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "u")))
+    got = live.run_available(live.live_histogram(stream), mode="update", keys=("trace_id", "module", "low_us", "high_us", "start_us"))
+    assert sorted((r.module, r.events) for r in got.collect()) == [("a", 2), ("b", 1)]

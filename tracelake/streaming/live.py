@@ -6,16 +6,17 @@ its batch form and returns a streaming DataFrame; ``delay`` is how late rows may
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..functions.classes import bucket_high, bucket_low, duration_bucket
-from ..session import shared_folder
+from ..session import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -98,66 +99,74 @@ def deduplicated(events: DataFrame, *, delay: str = "10 seconds") -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Holds rows of a key until the watermark has passed them, then works them off in order.
 
-    State is what the watermark delay and the pairing window let in: rows not yet due and
-    openers not yet paired or expired.
+    State is what the watermark delay and the pairing window let in: rows not yet due, in a map from
+    stretch of time to its rows, and openers not yet paired or expired. A batch sets one timer per
+    key, for its last row; a timer reads only the stretches that are due.
     """
 
     FIELDS = ("ts_us", "seq", "closes")
-    SCHEMA = "ts_us bigint, seq bigint, closes boolean"
+    ROW = "ts_us:bigint,seq:bigint,closes:boolean"
+    OUT = ("opened_us", "closed_us", "opened_seq", "closed_seq")
 
     def __init__(self, window_us: int, shared_close: bool):
         self.window_us, self.shared_close = window_us, shared_close
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.SCHEMA)
+        self.waiting = handle.getMapState("waiting", "stretch bigint", f"rows array<struct<{self.ROW}>>")
         self.open = handle.getListState("open", "ts_us bigint, seq bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due = set()
+        arrived: dict[int, list] = {}
         for frame in rows:
-            values = list(zip(*[frame[f].tolist() for f in self.FIELDS]))
-            if values:
-                self.waiting.appendList([(int(t), int(s), bool(c)) for t, s, c in values])
-                due.update((int(t) + ZERO_US) // 1000 + 1 for t, _, _ in values)
-        for when in due:
-            self.handle.registerTimer(when)
-        yield pd.DataFrame({"opened_us": [], "closed_us": [], "opened_seq": [], "closed_seq": []}, dtype="int64")
+            for t, s, c in zip(*[frame[f].tolist() for f in self.FIELDS]):
+                arrived.setdefault(int(t) // self.window_us, []).append((int(t), int(s), bool(c)))
+        for stretch, found in arrived.items():
+            held = self.waiting.getValue((stretch,)) if self.waiting.containsKey((stretch,)) else None
+            self.waiting.updateValue((stretch,), ([tuple(r) for r in held[0]] + found if held else found,))
+        if arrived:
+            last = max(arrived[max(arrived)])[0]
+            self.handle.registerTimer((last + ZERO_US) // 1000 + 1)
+        yield self._frame({n: [] for n in self.OUT})
+
+    @staticmethod
+    def _frame(columns: dict[str, list]) -> pd.DataFrame:
+        return pd.DataFrame(columns, dtype="int64")
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 - ZERO_US
-        waiting = sorted(self.waiting.get()) if self.waiting.exists() else []
-        ready = [r for r in waiting if r[0] < limit]
-        later = [r for r in waiting if r[0] >= limit]
-        pending = list(self.open.get()) if self.open.exists() else []
-        out = {"opened_us": [], "closed_us": [], "opened_seq": [], "closed_seq": []}
+        due = sorted(k[0] for k in self.waiting.keys() if k[0] * self.window_us < limit)
+        pending = [tuple(p) for p in self.open.get()] if due and self.open.exists() else []
+        out = {n: [] for n in self.OUT}
         # openers come before closers at the same time only where one closer serves them all
         order = (lambda r: (r[0], r[2], r[1])) if self.shared_close else (lambda r: (r[0], r[1]))
-        for ts, seq, closes in sorted(ready, key=order):
-            pending = [p for p in pending if ts - p[0] <= self.window_us]
-            if not closes:
-                pending.append((ts, seq))
-                continue
-            taken, pending = (pending, []) if self.shared_close else (pending[:1], pending[1:])
-            for opened in taken:
-                for name, value in zip(out, (opened[0], ts, opened[1], seq)):
-                    out[name].append(value)
-        if later:
-            self.waiting.put(later)
-        else:
-            self.waiting.clear()
+        for stretch in due:
+            rows = [tuple(r) for r in self.waiting.getValue((stretch,))[0]]
+            later = [r for r in rows if r[0] >= limit]
+            for ts, seq, closes in sorted((r for r in rows if r[0] < limit), key=order):
+                pending = [p for p in pending if ts - p[0] <= self.window_us]
+                if not closes:
+                    pending.append((ts, seq))
+                    continue
+                taken, pending = (pending, []) if self.shared_close else (pending[:1], pending[1:])
+                for opened in taken:
+                    for name, value in zip(out, (opened[0], ts, opened[1], seq)):
+                        out[name].append(value)
+            if later:
+                self.waiting.updateValue((stretch,), (later,))
+            else:
+                self.waiting.removeKey((stretch,))
         if pending:
             self.open.put(pending)
-        else:
+        elif due:
             self.open.clear()
-        yield pd.DataFrame(out, dtype="int64")
+        yield self._frame(out)
 
     def close(self) -> None:
         pass
 
 
 def _paired(rows: DataFrame, keys: list[str], window_us: int, shared_close: bool, delay: str) -> DataFrame:
-    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     class Keyed(_InOrder):
@@ -213,22 +222,52 @@ def ready_wait_candidates(
     )).drop("_t", "new_tid")
 
 
-def run_available(stream: DataFrame, *, mode: str = "append") -> DataFrame:
+@contextmanager
+def state_store(spark: SparkSession, provider: str = ROCKSDB) -> Iterator[None]:
+    """Streams that start inside keep their state in ``provider``; pairing needs RocksDB."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, provider)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def write_batch(table: str, mode: str):
+    """A sink that may see a batch again: a batch has a folder of its own, which a replay replaces.
+
+    Results of ``complete`` mode replace all earlier ones.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        target = table if mode == "complete" else f"{table}/_batch={number}"
+        batch.write.mode("overwrite").parquet(target)
+
+    return write
+
+
+def run_available(stream: DataFrame, *, mode: str = "append", keys: tuple[str, ...] = (), pairs: bool = False) -> DataFrame:
     """Run a stream over the data there is and read back what it wrote.
 
-    ``complete`` and ``update`` results are kept whole as of the last micro-batch of each kind.
+    ``append`` rows are final. Of ``update`` results the last one per ``keys`` counts. ``pairs`` is for
+    the pairing operators, whose state is in RocksDB.
     """
     spark: SparkSession = stream.sparkSession
-    root = f"{shared_folder(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    root = scratch(spark, "streams")
     table = f"{root}/table"
-
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(table)
-
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write)
-        .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    )
+    with state_store(spark) if pairs else nullcontext():
+        query = (
+            stream.writeStream.outputMode(mode).foreachBatch(write_batch(table, mode))
+            .option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        )
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(table)
-
+    batch = [] if mode == "complete" else [T.StructField("_batch", T.LongType())]
+    rows = spark.read.schema(T.StructType([*stream.schema.fields, *batch])).parquet(table)
+    if mode != "update":
+        return rows.select(*stream.columns)
+    if not keys:
+        raise ValueError("update results need the keys that an update replaces")
+    rest = [c for c in stream.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*stream.columns)
