@@ -229,7 +229,7 @@ def enrich_by_connection(
     """
     out = df
     if dimension is not None and key is not None:
-        out = lookup(out, dimension, ["trace_id", key], spread=spread)
+        out = lookup(out, dimension, ["trace_id", key])
     else:
         for name in ("pid", "process_name", *ENDS):
             kind = "bigint" if name == "pid" or name.endswith("port") else "string"
@@ -248,7 +248,7 @@ def enrich_by_connection(
     filled["pid"] = F.when(is_known_pid(F.col("pid")), F.col("pid")).otherwise(F.coalesce("dim_pid", "pid"))
     out = out.withColumns(filled)
     if process is not None:
-        out = lookup(out, process_names(process), ["trace_id", "pid"], spread=spread)
+        out = lookup(out, process_names(process), ["trace_id", "pid"])
     else:
         out = out.withColumn("known_process", F.lit(None).cast("string"))
     name = F.coalesce(

@@ -156,7 +156,7 @@ def cpu_timeline(
     """Utilisation per time bucket and CPU, every bucket and CPU present, at most 100 %."""
     width = int(bucket_seconds * MICROS)
     counted = (
-        lookup(samples, meta.select("trace_id", "duration_s"), ["trace_id"], spread=["ts_us"])
+        lookup(samples, meta.select("trace_id", "duration_s"), ["trace_id"])
         .where(F.col("cpu").isNotNull() & (F.col("ts_us") <= F.col("duration_s") * MICROS))
         .withColumn("bucket", F.floor(F.greatest(F.col("ts_us"), F.lit(0)) / F.lit(width)))
         .groupBy("trace_id", "bucket", "cpu").agg(F.count(F.lit(1)).alias("samples"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.classes import PREEMPTION_REASONS, WAIT_STATES
 from ..functions.labels import contention_site, mentions_lock
 from ..functions.times import MICROS
-from ..plans.lookup import counted_lookup, lookup
+from ..plans.lookup import lookup
 from ..plans.quantiles import exact_quantiles, null_safe_join, quantiles_of_counts, with_share
 from ..plans.sequence import DEFAULT_SLICE_US, slice_of, with_neighbours
 from ..session import durable
@@ -48,7 +48,7 @@ def with_relative_time(df: DataFrame, meta: DataFrame, *, column: str = "qpc") -
     value = F.when(
         F.col("is_ticks"), (F.col(column) - F.col("_min")) * float(MICROS) / F.col("_freq")
     ).otherwise(F.col(column).cast("double"))
-    joined = lookup(df, unit.withColumnRenamed("freq", "_freq"), ["trace_id"], spread=[column])
+    joined = lookup(df, unit.withColumnRenamed("freq", "_freq"), ["trace_id"])
     return joined.withColumn("ts_us", F.bround(value).cast("bigint")).drop("_min", "_freq", "is_ticks")
 
 
@@ -91,7 +91,7 @@ def thread_intervals(
         F.max(F.coalesce(F.length(F.trim("old_state")) > 0, F.lit(False))).alias("has_state"),
         F.max(window_end).alias("window_end"),
     )
-    events = counted_lookup(_thread_events(switches), has_state, ["trace_id"], spread=["ts_us", "seq"])
+    events = lookup(_thread_events(switches), has_state, ["trace_id"])
     state, reason = F.lower(F.coalesce("state", F.lit(""))), F.lower(F.coalesce("reason", F.lit("")))
     is_wait = (F.col("kind") == 1) & F.when(F.col("has_state"), state.isin(*WAIT_STATES)).otherwise(
         (reason != "") & ~reason.isin(*PREEMPTION_REASONS)
@@ -105,16 +105,6 @@ def thread_intervals(
     )
 
 
-def thread_identities(cswitch: DataFrame) -> DataFrame:
-    """Process of each thread: that of its first switch-in with a known process."""
-    rows = _ensure(cswitch, new_pid="bigint", new_process="string").where(F.col("new_tid") > 0)
-    order = F.struct("ts_us", "seq")
-    return rows.groupBy("trace_id", F.col("new_tid").alias("tid")).agg(
-        F.min_by("new_pid", F.when(F.col("new_pid") > 0, order)).alias("own_pid"),
-        F.min_by("new_process", F.when(F.length("new_process") > 0, order)).alias("own_process"),
-    )
-
-
 def thread_cpu_precise(
     cswitch: DataFrame,
     *,
@@ -167,20 +157,17 @@ def thread_cpu_precise(
         "_whole_wait": F.col("is_wait") & F.coalesce(F.col("next_kind") == 0, F.lit(False))
         & (t >= F.col("_w0")) & (following <= F.col("_w1")),
     })
-    e = counted_lookup(e, thread_identities(rows), ["trace_id", "tid"], spread=["ts_us", "seq"]).withColumns({
-        "pid": F.coalesce("own_pid", "pid", F.lit(0).cast("bigint")),
-        "process_name": F.coalesce("own_process", "process_name", F.lit("")),
-    })
     keys = ["trace_id", "pid", "process_name"] if group_by == "process" else ["trace_id", "tid"]
 
     def total(flag: Column) -> Column:
         return F.sum(F.when(flag, F.col("_dur")).otherwise(F.lit(0.0)))
 
-    # events become one row per thread and distinct length of a whole wait, written once; sums
-    # and quantiles both start from there
-    first = F.struct("ts_us", "seq", "kind")
+    # events become one row per thread, process named by the event and distinct length of a whole
+    # wait, written once; identities, sums and quantiles all start from there
+    at = F.struct("ts_us", "seq")
+    started = F.col("kind") == 0
     reduced = durable(
-        e.groupBy("trace_id", "tid", *(keys[1:] if group_by == "process" else []),
+        e.groupBy("trace_id", "tid", *(["pid", "process_name"] if group_by == "process" else []),
                   F.when(F.col("_whole_wait"), F.col("_dur")).alias("_v"))
         .agg(
             total(F.col("_run")).alias("_running"),
@@ -191,11 +178,24 @@ def thread_cpu_precise(
             F.count(F.when(F.col("_lost"), True)).alias("lost_intervals"),
             F.max(F.col("_w1") - F.col("_w0")).alias("_window"),
             F.count(F.lit(1)).alias("_n"),
-            *([] if group_by == "process" else [
-                F.min_by(F.struct("pid", "process_name"), first).alias("_who"), F.min(first).alias("_first"),
-            ]),
+            # a thread belongs to the process of its first switch-in that names one
+            F.min(F.when(started & (F.col("pid") > 0), F.struct(at, F.col("pid").alias("id")))).alias("_own_pid"),
+            F.min(F.when(started & (F.length("process_name") > 0), F.struct(at, F.col("process_name").alias("id")))).alias("_own_name"),
+            *([] if group_by == "process" else [F.min(F.struct("ts_us", "seq", "kind", "pid", "process_name")).alias("_who")]),
         )
     )
+
+    def owner(pid: Column, name: Column) -> dict[str, Column]:
+        return {
+            "pid": F.coalesce(F.col("_own_pid.id"), pid, F.lit(0).cast("bigint")),
+            "process_name": F.coalesce(F.col("_own_name.id"), name, F.lit("")),
+        }
+
+    owned = [F.min("_own_pid").alias("_own_pid"), F.min("_own_name").alias("_own_name")]
+    if group_by == "process":
+        threads = reduced.groupBy("trace_id", "tid").agg(*owned)
+        reduced = lookup(reduced.drop("_own_pid", "_own_name"), threads, ["trace_id", "tid"]).withColumns(
+            owner(F.col("pid"), F.col("process_name")))
     summed = ("_running", "_waiting", "_other", "switch_ins", "wait_to_run", "lost_intervals")
     sums = [*[F.sum(c).alias(c) for c in summed], F.max("_window").alias("_window")]
     if group_by == "process":
@@ -203,9 +203,8 @@ def thread_cpu_precise(
             *sums, F.count(F.lit(1)).alias("threads")
         )
     else:
-        sums = reduced.groupBy(*keys).agg(*sums, F.min_by("_who", "_first").alias("_who")).select(
-            "*", "_who.pid", "_who.process_name"
-        )
+        sums = reduced.groupBy(*keys).agg(*sums, *owned, F.min("_who").alias("_who")).withColumns(
+            owner(F.col("_who.pid"), F.col("_who.process_name")))
     waited = reduced.where(F.col("_v").isNotNull()).groupBy(*keys, "_v").agg(F.sum("_n").alias("_n"))
     waits = quantiles_of_counts(
         waited, keys, {"p50_wait_us": 0.5, "p90_wait_us": 0.9, "p99_wait_us": 0.99}, mean="mean_wait_us",

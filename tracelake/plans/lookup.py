@@ -5,53 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..session import durable
 
-SALTS = 16
-BROADCAST_ROWS = 100_000
-
-
-def lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    keys: Sequence[str],
-    *,
-    spread: Sequence[str] | None = None,
-    salts: int = SALTS,
-) -> DataFrame:
+def lookup(facts: DataFrame, dimension: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Left join of facts to a one-row-per-key dimension.
 
-    Spark broadcasts the dimension when its measured size is under the session's threshold.
-    Above that, facts of one hot key would meet in one task, so they are spread over ``salts``
-    buckets by the columns in ``spread`` and the dimension, which has one row per key, is
-    repeated once per bucket.
-    """
-    keys = list(keys)
-    if not spread or salts <= 1:
-        return facts.join(dimension, keys, "left")
-    salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
-    repeated = dimension.withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))
-    )
-    return salted.join(repeated, [*keys, "_salt"], "left").drop("_salt")
-
-
-def counted_lookup(
-    facts: DataFrame,
-    dimension: DataFrame,
-    keys: Sequence[str],
-    *,
-    spread: Sequence[str],
-    rows: int = BROADCAST_ROWS,
-) -> DataFrame:
-    """:func:`lookup` for an aggregated dimension that is usually small.
-
-    The dimension is written once and counted. Up to ``rows`` rows it is broadcast, so the
-    facts are not shuffled; beyond that the salted join takes over.
+    The sides are left to adaptive execution, which knows their bytes when it chooses: a dimension under
+    the session's threshold is broadcast, also one that an aggregation has just made small, and beyond
+    that a partition of facts that a heavy key has filled is split, with the few dimension rows of that
+    partition read by every part. Nothing is counted beforehand and no dimension row is multiplied for
+    keys that are not heavy. Facts with a null key keep null columns.
     """
-    kept = durable(dimension)
-    if kept.count() <= rows:
-        return facts.join(F.broadcast(kept), list(keys), "left")
-    return lookup(facts, kept, keys, spread=spread)
+    return facts.join(dimension, list(keys), "left")

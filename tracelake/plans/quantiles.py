@@ -1,9 +1,10 @@
 """Exact quantiles and shares that never gather a group in one task.
 
 ``F.percentile`` keeps every distinct value of a group in one aggregation buffer. Here equal
-values are counted first, values are binned on a logarithmic scale, running counts over the
-few bins give each bin its first rank, and ranks inside a bin are counted per bin. Only the
-bin table of a group (some thousand rows at most) is ordered in one task.
+values are counted first and binned on a logarithmic scale; running counts over the few bins of a
+group tell which bins hold a wanted rank. Only the values of those go on. Each such bin is cut again
+into ``PARTS`` parts between its own least and greatest value, so values that differ in their last
+digits only spread as well, and the parts that hold a wanted rank are put in order.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS_PER_DOUBLING = 256
+PARTS = 1024
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
@@ -76,43 +78,18 @@ def quantiles_of_counts(
 ) -> DataFrame:
     """:func:`exact_quantiles` of values ``_v`` that occur ``_n`` times, one row per key and value."""
     keys = list(keys)
-    counted = counted.withColumn("_bin", log_bin(F.col("_v")))
-    over_group = Window.partitionBy(*keys)
-    bins = (
-        counted.groupBy(*keys, "_bin").agg(F.sum("_n").alias("_bn"))
-        .withColumn(
-            "_base",
-            F.coalesce(
-                F.sum("_bn").over(
-                    over_group.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-                ),
-                F.lit(0),
-            ),
-        )
-        .withColumn("_total", F.sum("_bn").over(over_group))
-        .drop("_bn")
-    )
-    inside = (
-        Window.partitionBy(*keys, "_bin").orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    ranked = (
-        null_safe_join(counted, bins, [*keys, "_bin"], "inner")
-        .withColumn("_end", F.col("_base") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
-    )
+    n, ranks, result, aggs = F.col("_total"), [], [], []
 
     def at(rank: Column) -> Column:
+        ranks.append(rank)
         return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_end")), F.col("_v")))
 
-    aggs, result = [F.max("_total").alias("_total")], []
     for i, (name, q) in enumerate(quantiles.items()):
-        n = F.col("_total")
         if kind == "linear":
             position = F.lit(float(q)) * (n - 1)
             low = F.floor(position)
             aggs += [at(low).alias(f"_lo{i}"), at(low + 1).alias(f"_hi{i}")]
-            fraction = position - low
+            fraction = F.lit(float(q)) * (F.col("_n") - 1) - F.floor(F.lit(float(q)) * (F.col("_n") - 1))
             result.append(
                 (F.col(f"_lo{i}") + F.when(fraction > 0, (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * fraction)
                  .otherwise(F.lit(0.0))).alias(name)
@@ -125,16 +102,44 @@ def quantiles_of_counts(
             result.append(F.col(f"_lo{i}").alias(name))
         else:
             raise ValueError(f"unknown quantile kind: {kind!r}")
-    for name, column in (
-        (count, F.sum("_n")),
-        (mean, F.sum(F.col("_v") * F.col("_n")) / F.sum("_n")),
-        (minimum, F.min("_v")),
-        (maximum, F.max("_v")),
-    ):
+
+    def holds(first: str, size: str) -> Column:
+        wanted = F.array(*[r.cast("bigint") for r in ranks])
+        return F.exists(wanted, lambda r: (r >= F.col(first)) & (r < F.col(first) + F.col(size)))
+
+    group = Window.partitionBy(*keys)
+    earlier = Window.unboundedPreceding, -1
+    of_group = {"_total": F.sum("_bn").over(group)}
+    for name, column in ((mean, F.sum("_weight").over(group)), (minimum, F.min("_least").over(group)), (maximum, F.max("_most").over(group))):
         if name:
-            aggs.append(column.alias(f"_x_{name}"))
-            result.append(F.col(f"_x_{name}").alias(name))
-    return ranked.groupBy(*keys).agg(*aggs).select(*keys, *result)
+            of_group[f"_x_{name}"] = column
+    binned = counted.withColumn("_bin", log_bin(F.col("_v")))
+    bins = binned.groupBy(*keys, "_bin").agg(
+        F.sum("_n").alias("_bn"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.sum(F.col("_v") * F.col("_n")).alias("_weight"),
+    ).withColumns({"_base": F.coalesce(F.sum("_bn").over(group.orderBy("_bin").rowsBetween(*earlier)), F.lit(0)), **of_group})
+    carried = list(of_group)
+    wanted = bins.where(holds("_base", "_bn")).select(*keys, "_bin", "_base", "_least", "_most", *carried)
+
+    share = (F.col("_v") - F.col("_least")) / F.nullif(F.col("_most") - F.col("_least"), F.lit(0.0))
+    inner = null_safe_join(binned, wanted, [*keys, "_bin"], "inner").withColumn(
+        "_part", F.coalesce(F.least(F.floor(share * PARTS), F.lit(PARTS - 1)), F.lit(0)).cast("int"))
+    bin_ = [*keys, "_bin"]
+    parts = inner.groupBy(*bin_, "_part").agg(F.sum("_n").alias("_pn"), F.max("_base").alias("_base"), F.max("_total").alias("_total")).withColumn(
+        "_first", F.col("_base") + F.coalesce(F.sum("_pn").over(Window.partitionBy(*bin_).orderBy("_part").rowsBetween(*earlier)), F.lit(0)))
+    chosen = parts.where(holds("_first", "_pn")).select(*bin_, "_part", "_first")
+    inside = Window.partitionBy(*bin_, "_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = (
+        null_safe_join(inner, chosen, [*bin_, "_part"], "inner")
+        .withColumn("_end", F.col("_first") + F.sum("_n").over(inside))
+        .withColumn("_start", F.col("_end") - F.col("_n"))
+    )
+    out = ranked.groupBy(*keys).agg(F.max("_total").alias("_n"), *aggs, *[F.max(c).alias(c) for c in carried if c != "_total"])
+    if count:
+        result.append(F.col("_n").alias(count))
+    if mean:
+        result.append((F.col(f"_x_{mean}") / F.col("_n")).alias(mean))
+    result += [F.col(f"_x_{c}").alias(c) for c in (minimum, maximum) if c]
+    return out.select(*keys, *result)
 
 
 def with_share(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:

@@ -49,29 +49,26 @@ def with_neighbours(
     """
     previous, following = dict(previous or {}), dict(following or {})
     cut = F.col(slice_by) if slice_by else slice_of(F.col(ts), slice_us)
-    sliced = df.withColumn(SLICE, cut)
-    part = [*keys, SLICE]
-    inside = Window.partitionBy(*part).orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy(SLICE)
-    position = F.struct(*order)
+    inside = Window.partitionBy(*keys, SLICE).orderBy(*order)
 
     def packed(names: Mapping[str, str]) -> Column:
         return F.struct(*[F.col(source).alias(out) for out, source in names.items()])
 
-    edges = []
-    if previous:
-        sliced = sliced.withColumn("_prev", F.lag(packed(previous)).over(inside))
-        edges.append(F.max_by(packed(previous), position).alias("_tail"))
-    if following:
-        sliced = sliced.withColumn("_next", F.lead(packed(following)).over(inside))
-        edges.append(F.min_by(packed(following), position).alias("_head"))
-    border = df.withColumn(SLICE, cut).groupBy(*part).agg(*edges)
-    carried = [F.lag("_tail").over(across).alias("_carry_prev")] if previous else []
-    carried += [F.lead("_head").over(across).alias("_carry_next")] if following else []
-    joined = join_slices(sliced, border.select(*part, *carried), part)
+    # first and last rows of a slice are those that lack a neighbour inside it
+    wanted = {"_prev": F.lag(packed(previous)).over(inside)} if previous else {}
+    wanted |= {"_next": F.lead(packed(following)).over(inside)} if following else {}
+    sliced = df.withColumn(SLICE, cut).withColumns({
+        **wanted, "_border": F.lag(F.lit(1)).over(inside).isNull() | F.lead(F.lit(1)).over(inside).isNull()})
+    # both parts read one shuffle; the few border rows find their neighbours among themselves
+    across = Window.partitionBy(*keys).orderBy(SLICE, *order)
+    border = sliced.where("_border").withColumns({
+        **({"_prev": F.coalesce("_prev", F.lag(packed(previous)).over(across))} if previous else {}),
+        **({"_next": F.coalesce("_next", F.lead(packed(following)).over(across))} if following else {}),
+    })
+    joined = sliced.where("NOT _border").unionByName(border)
     out = [F.col(name) for name in df.columns]
-    out += [F.coalesce("_prev", "_carry_prev")[name].alias(name) for name in previous]
-    out += [F.coalesce("_next", "_carry_next")[name].alias(name) for name in following]
+    out += [F.col("_prev")[name].alias(name) for name in previous]
+    out += [F.col("_next")[name].alias(name) for name in following]
     return joined.select(*out)
 
 

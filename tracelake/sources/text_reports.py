@@ -133,7 +133,7 @@ def utilisation_text(lines: DataFrame) -> DataFrame:
     )
     names = F.transform(F.split("_head", ","), lambda x: F.trim(x))
     fields = F.transform(F.split("value", ","), lambda x: F.trim(x).try_cast("double"))
-    rows = lookup(lines, header, FILE, spread=ORDER).where(F.struct(*ORDER) > F.col("_at"))
+    rows = lookup(lines, header, FILE).where(F.struct(*ORDER) > F.col("_at"))
     rows = rows.withColumns({"_n": names, "_v": fields})
 
     def named(name: str) -> Column:
