@@ -238,15 +238,19 @@ def _key(module: str, function: str) -> Column:
 def walk_stack(
     weights: DataFrame, edges: DataFrame, function_filter: str, *, module_filter: str | None = None,
     direction: str = "callers", branch_policy: str = "dominant", branch_threshold_pct: float = 5.0,
-    max_depth: int | None = None, stop_at_modules: Sequence[str] = (),
+    max_depth: int | None = None, max_rows: int | None = None, stop_at_modules: Sequence[str] = (),
 ) -> DataFrame:
     """Breadth-first walk over call edges from the best matching function.
 
     A frame is not visited twice on one path. ``dominant`` follows the heaviest edge, ``threshold``
     the edges with at least the given share, ``all`` every edge. One distributed join per level;
     each level is written so that a lost executor costs no more than that level. The walk ends
-    when a level has no row, or at ``max_depth`` where one is given.
+    when a level has no row, or at ``max_depth`` where one is given. Paths of ``dominant`` are at most as
+    long as there are functions; those of the other policies may be as many as there are orders of
+    them, so these need ``max_depth`` or ``max_rows``, and a walk of more rows than that is an error.
     """
+    if branch_policy != "dominant" and max_depth is None and max_rows is None:
+        raise ValueError("a walk that branches needs max_depth or max_rows")
     if branch_policy not in POLICIES:
         raise ValueError("branch_policy must be one of: " + ", ".join(POLICIES))
     if direction not in ("callers", "callees"):
@@ -271,10 +275,10 @@ def walk_stack(
         links = links.where(F.col("_rank") == 1)
     elif branch_policy == "threshold":
         links = links.where(F.col("_share") >= branch_threshold_pct)
-    links = links.select(
+    links = durable(links.select(  # read by every level
         *node, "module", "function", "frame_hits", "siblings",
         F.when(F.col("parent_pct") > 0, F.col("parent_pct")).otherwise(F.col("_share")).alias("parent_pct"),
-    )
+    ))
     root = best_node(weights, function_filter, module_filter).select(
         "trace_id", F.lit(0).alias("depth"), "module", "function",
         F.col("inclusive").cast("bigint").alias("frame_hits"), F.lit(100.0).alias("parent_pct"),
@@ -282,7 +286,7 @@ def walk_stack(
         F.array(_key("module", "function")).alias("_path"),
     )
     columns = root.columns
-    level, levels = root, [root]
+    level, levels, seen = root, [root], 0
     stops = [m.lower() for m in stop_at_modules]
     for depth in count() if max_depth is None else range(max_depth):
         at = level
@@ -303,9 +307,13 @@ def walk_stack(
             )
         ).select(*columns)
         level = durable(level)
-        if level.isEmpty():
+        found = level.count()
+        if found == 0:
             break
         levels.append(level)
+        seen += found
+        if max_rows is not None and seen > max_rows:
+            raise ValueError(f"the walk has more than {max_rows} rows; raise max_rows or the threshold, or give max_depth")
     rows = reduce(DataFrame.unionByName, levels)
     return rows.select(
         "trace_id", "depth", "module", "function", "frame_hits", "parent_pct",

@@ -82,8 +82,11 @@ SELECT i.trace_id, i.seq, s.g AS pdb_guid, s.a AS pdb_age, s.n AS pdb_name
 FROM image i LEFT JOIN shifted s ON s.trace_id = i.trace_id AND s.image_base = i.image_base""")
 def _(t):
     image = t["image"]
-    rsds = image.where("seq % 4 <> 1 AND (seq % 4 <> 2 OR pid <> 0)").select(
-        "trace_id", "seq", "qpc", F.expr("CASE WHEN seq % 4 = 0 THEN pid ELSE pid + 10 END").alias("pid"), "image_base",
+    # records of no image lie one byte further
+    lone = "seq % 4 = 1 OR (seq % 4 = 2 AND pid = 0)"
+    rsds = image.select(
+        "trace_id", "seq", "qpc", F.expr("CASE WHEN seq % 4 = 0 THEN pid ELSE pid + 10 END").alias("pid"),
+        F.expr(f"image_base + CASE WHEN {lone} THEN 1 ELSE 0 END").alias("image_base"),
         F.concat(F.lit("g"), "seq").alias("pdb_guid"), (F.col("seq") % 5).alias("pdb_age"),
         F.concat(F.lit("n"), F.col("seq") % 7).alias("pdb_name"),
     )
@@ -95,8 +98,10 @@ SELECT b.trace_id, b.seq, CASE WHEN seq % 3 = 0 THEN 'thread' WHEN seq % 3 = 1 T
        CASE WHEN seq % 3 < 2 THEN CAST(k AS BIGINT) END AS leaf
 FROM base b""")
 def _(t):
-    stacks = t["base"].where("seq % 3 < 2").select(
-        "trace_id", "seq", "qpc", F.expr("CASE WHEN seq % 3 = 0 THEN tid ELSE tid + 100000 END").alias("tid"),
+    # a third of the stacks come from another thread, a third also at a time of no event
+    stacks = t["base"].select(
+        "trace_id", "seq", F.expr("qpc + CASE WHEN seq % 3 = 2 THEN 3 ELSE 0 END").alias("qpc"),
+        F.expr("CASE WHEN seq % 3 = 0 THEN tid ELSE tid + 100000 END").alias("tid"),
         F.array("k", F.col("k") + 1).alias("stack"),
     )
     paired = pair_stacks(t["base"], stacks)
@@ -107,7 +112,7 @@ def _(t):
 SELECT trace_id, count(*) AS orphan_stacks FROM base WHERE event_type = 'error' GROUP BY trace_id""")
 def _(t):
     base = t["base"]
-    events = base.where("event_type <> 'error'")
+    events = base.withColumn("qpc", F.expr("qpc + CASE WHEN event_type = 'error' THEN 3 ELSE 0 END"))
     return orphan_stacks(events, base.select("trace_id", "seq", "qpc", "tid", F.array("k").alias("stack")))
 
 
@@ -572,7 +577,9 @@ NET = "lower(module) IN ('tcpip.sys','ndis.sys','xdp.sys','afd.sys','ws2_32.dll'
 
 
 def _served(t):
-    return interrupts.network_cpus(interrupts.dpc_per_cpu(t["dpc"].where("seq % 2 = 0 AND cpu < 5"), t["meta"]))
+    # on the other CPUs, and half of the time, no network module runs
+    module = F.expr("CASE WHEN seq % 2 = 0 AND cpu < 5 THEN module ELSE 'storport.sys' END")
+    return interrupts.network_cpus(interrupts.dpc_per_cpu(t["dpc"].withColumn("module", module), t["meta"]))
 
 
 @query("network_cpus", f"WITH {SERVED} SELECT * FROM sv")

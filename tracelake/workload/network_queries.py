@@ -200,12 +200,12 @@ def _(t):
 
 @query("socket_affinity", """
 WITH c AS (SELECT trace_id, tid AS h, CASE WHEN tid % 2 = 0 AND n < 7 THEN 1 ELSE cpu END AS cpu, count(*) AS n, min((ts_us, seq)) AS f, arg_min(process_name, (ts_us, seq)) AS pn, arg_min(pid, (ts_us, seq)) AS pd
-  FROM wire WHERE flag = 'A' AND n <> 3 AND tid <> 0 GROUP BY ALL),
+  FROM wire WHERE flag = 'A' AND tid <> 0 GROUP BY ALL),
 x AS (SELECT trace_id, h, arg_min(pn, f) AS process_name, arg_min(pd, f) AS pid, CAST(sum(n) AS BIGINT) AS events, arg_max(cpu, (n, -cpu)) AS top_cpu, max(n) AS top_n, count(*) AS distinct_cpus FROM c GROUP BY ALL)
 SELECT trace_id, h AS socket_handle, process_name, pid, events, top_cpu, round(top_n * 100.0 / events, 4) AS top_cpu_pct, distinct_cpus,
   CASE WHEN events < 10 THEN 'low confidence' WHEN top_n * 100.0 / events >= 90 THEN 'affinity working' ELSE 'affinity not working' END AS status FROM x""")
 def _(t):
-    recv = t["wire"].where("flag = 'A' AND n <> 3").select(
+    recv = t["wire"].where("flag = 'A'").select(
         "trace_id", "ts_us", "seq", F.col("tid").alias("socket_handle"), "process_name", "pid",
         F.expr("CASE WHEN tid % 2 = 0 AND n < 7 THEN 1 ELSE cpu END").alias("cpu"),
     )

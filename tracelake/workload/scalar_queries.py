@@ -91,11 +91,14 @@ def _(t):
     return t["quic_created"].where("cid <> ''").select("connection_id", ids.fnv1a_32(ids.cid_bytes(dressed)).alias("hash"))
 
 
-@query("enum_names", """
-SELECT seq, CASE WHEN k = 0 THEN 'Executive' WHEN k = 15 THEN 'WrQueue' WHEN k = 39 THEN 'WrPhysicalFault' ELSE CAST(k AS VARCHAR) END AS reason, CASE k % 3 WHEN 0 THEN 'KernelMode' WHEN 1 THEN 'UserMode' ELSE '2' END AS mode
-FROM base WHERE k IN (0, 15, 39) OR k >= 40""")
+# numbers are names up to the last one known
+REASONS = ", ".join(f"'{name}'" for name in classes.WAIT_REASONS)
+
+
+@query("enum_names", f"""
+SELECT seq, coalesce(list_extract([{REASONS}], k + 1), CAST(k AS VARCHAR)) AS reason, CASE k % 3 WHEN 0 THEN 'KernelMode' WHEN 1 THEN 'UserMode' ELSE '2' END AS mode FROM base""")
 def _(t):
-    return t["base"].where("k IN (0, 15, 39) OR k >= 40").select(
+    return t["base"].select(
         "seq", classes.enum_name(F.col("k"), classes.WAIT_REASONS).alias("reason"), classes.enum_name(F.col("k") % 3, classes.WAIT_MODES).alias("mode"))
 
 

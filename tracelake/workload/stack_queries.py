@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import cpu, filters, stacks
 from ..sources.export import chain_table
 from .cpu_queries import DAY_S, RATE
@@ -113,7 +115,6 @@ def _(t):
     return stacks.function_relations(_aggregates(t)[1], "red", module_filter="Brand#1", direction="callees")
 
 
-# frames in a ring of functions, so that walks are long but narrow
 WALK = f"""
 WITH RECURSIVE {EDGES}, root AS (SELECT trace_id, arg_max(module, (inclusive, module, function)) AS module, arg_max(function, (inclusive, module, function)) AS function, max(inclusive) AS inclusive
    FROM sw WHERE function ILIKE '%bolt%' GROUP BY trace_id),
@@ -133,47 +134,51 @@ walk AS (
 WALKED = "SELECT trace_id, depth, module, function, frame_hits, parent_pct, CAST(round_even(hits, 0) AS BIGINT) AS chain_hits, siblings, array_to_string(path, ' < ') AS path FROM walk"
 
 
-@query("walk_stack_dominant", WALK.format(rank=1, depth=4) + WALKED)
+# walks without a limit of depth; the names of the second form are few
+ALL_DEPTHS = 1_000_000
+FEW = WALK.replace("frame_names", "few_names").replace("%bolt%", "%fn3%")
+THRESHOLD = FEW.replace(
+    "row_number() OVER (PARTITION BY trace_id, target_module, target_function ORDER BY weight DESC, caller_module, caller_function) AS rk",
+    "CASE WHEN weight * 100.0 / sum(weight) OVER (PARTITION BY trace_id, target_module, target_function) >= 16.0 THEN 1 ELSE 2 END AS rk")
+
+
+def _few(t):
+    return stacks.stack_aggregates(_samples(t), t["few_names"], keep=True)
+
+
+@query("walk_stack_dominant", WALK.format(rank=1, depth=ALL_DEPTHS) + WALKED)
 def _(t):
     weights, edges = stacks.stack_aggregates(_samples(t), t["frame_names"], keep=True)
-    return stacks.walk_stack(weights, edges, "bolt", max_depth=4)
+    return stacks.walk_stack(weights, edges, "bolt")
 
 
-@query("walk_stack_all", WALK.format(rank=1000000, depth=2) + WALKED)
+@query("walk_stack_all", FEW.format(rank=1000000, depth=ALL_DEPTHS) + WALKED)
 def _(t):
-    weights, edges = stacks.stack_aggregates(_samples(t), t["frame_names"], keep=True)
-    return stacks.walk_stack(weights, edges, "bolt", branch_policy="all", max_depth=2)
+    return stacks.walk_stack(*_few(t), "fn3", branch_policy="all", max_rows=100_000)
 
 
-@query("walk_stack_threshold", (WALK.replace(
-    "row_number() OVER (PARTITION BY trace_id, target_module, target_function ORDER BY weight DESC, caller_module, caller_function) AS rk",
-    "CASE WHEN weight * 100.0 / sum(weight) OVER (PARTITION BY trace_id, target_module, target_function) >= 1.0 THEN 1 ELSE 2 END AS rk",
-)).format(rank=1, depth=2) + WALKED)
+@query("walk_stack_threshold", THRESHOLD.format(rank=1, depth=ALL_DEPTHS) + WALKED)
 def _(t):
-    weights, edges = stacks.stack_aggregates(_samples(t), t["frame_names"], keep=True)
-    return stacks.walk_stack(weights, edges, "bolt", branch_policy="threshold", branch_threshold_pct=1.0, max_depth=2)
+    return stacks.walk_stack(*_few(t), "fn3", branch_policy="threshold", branch_threshold_pct=16.0, max_rows=100_000)
 
 
-@query("call_chain", WALK.format(rank=1, depth=3) + """
+@query("call_chain", FEW.format(rank=1, depth=ALL_DEPTHS) + """
 SELECT w.trace_id, depth, module, function, frame_hits, parent_pct, CAST(round_even(hits, 0) AS BIGINT) AS chain_hits, siblings, array_to_string(path, ' < ') AS path,
   'callers' AS direction, round(total / 2.0, 4) AS denominator, round(frame_hits / (total / 2.0) * 100.0, 4) AS denominator_pct FROM walk w JOIN tot ON tot.trace_id = w.trace_id""")
 def _(t):
-    weights, edges = stacks.stack_aggregates(_samples(t), t["frame_names"], keep=True)
-    # half of the CPUs of the sampled traces idle throughout
-    busy = t["base"].where("cpu < 4").unionByName(t["base"].where("false"))
-    timeline = cpu.cpu_timeline(busy, t["meta"], bucket_seconds=DAY_S, sample_rate_hz=RATE)
-    usage = cpu.cpu_usage_scalars(timeline, t["meta"])
-    return stacks.call_chain(weights, edges, "bolt", usage=usage, max_depth=3)
+    # twice as many CPUs as had samples: half of them idle throughout
+    meta = t["meta"].withColumn("cpu_count", F.col("cpu_count") * 2)
+    timeline = cpu.cpu_timeline(t["base"], meta, bucket_seconds=DAY_S, sample_rate_hz=RATE)
+    return stacks.call_chain(*_few(t), "fn3", usage=cpu.cpu_usage_scalars(timeline, meta))
 
 
-@query("call_chain_table", WALK.format(rank=1, depth=2) + """
+@query("call_chain_table", FEW.format(rank=1, depth=ALL_DEPTHS) + """
 SELECT trace_id, depth AS "Depth", module || '!' || function AS "Frame", frame_hits AS "Frame Hits",
   CASE WHEN parent_pct >= 10 THEN printf('%.1f%%', parent_pct) WHEN parent_pct >= 0.01 THEN printf('%.2f%%', parent_pct) ELSE printf('%.4f%%', parent_pct) END AS "% Parent",
   CAST(round_even(hits, 0) AS BIGINT) AS "Chain Hits",
   CASE WHEN depth = 0 THEN 'root' WHEN siblings > 1 THEN 'dominant; ' || siblings || ' siblings' ELSE 'dominant' END AS "Branch" FROM walk""")
 def _(t):
-    weights, edges = stacks.stack_aggregates(_samples(t), t["frame_names"], keep=True)
-    return chain_table(stacks.walk_stack(weights, edges, "bolt", max_depth=2))
+    return chain_table(stacks.walk_stack(*_few(t), "fn3"))
 
 
 EDGE = """(SELECT trace_id, max(weight) AS w, arg_max(parent_pct, (weight, parent_pct)) AS p FROM edges_ WHERE direction = 'caller'
