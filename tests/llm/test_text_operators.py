@@ -188,6 +188,16 @@ def test_remove_repeated_lines_odd_rows(odd_docs, no_docs):
     assert lines.remove_repeated_lines(no_docs).count() == 0
 
 
+def test_rows_without_an_id_of_their_own_keep_clean_lines(spark):
+    once, clean = "one two three four five six seven", "a line that nobody else has at all"
+    rows = [(None, f"{once}\n{clean} 1"), (None, f"{clean[::-1]}\nx y z"), (7, once), (7, "p q r s"), (None, f"{once} eight"), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["text"] or "" for r in lines.remove_repeated_lines(docs).collect()) == sorted(["", "", f"{clean} 1", rows[1][1], once, "p q r s"])
+    items = spark.createDataFrame([(1, once)], "item_id long, text string")
+    kept = decontaminate.without_contaminated(docs, items)
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted(["", rows[1][1], "p q r s"])
+
+
 # decontamination
 
 
@@ -241,13 +251,26 @@ def test_contaminated_finds_every_full_window(spark):
     assert {(r["doc_id"], r["item_id"]): r["similarity"] for r in got.collect()} == pytest.approx(want) and len(want) > 100
 
 
+def test_passages_beyond_the_radius_are_met_too(spark):
+    # a tenth of the words changed at one end: some fingerprints differ by more than the radius, all are found
+    rng = np.random.default_rng(8)
+    items = [[f"w{x}" for x in rng.integers(0, 500, 60)] for _ in range(80)]
+    docs = [[*item[5:], *[f"n{x}" for x in rng.integers(0, 500, 5)]] for item in items]
+    frame = lambda rows, name: spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], f"{name} long, text string")
+    by_radius = {
+        radius: {(r["doc"], r["item"], r["start"], r["similarity"]) for r in decontaminate._contaminated(frame(docs, "doc_id"), frame(items, "item_id"), 0.8, radius).collect()}
+        for radius in (1, 12, 31)}
+    assert len(by_radius[12]) == 80 and by_radius[1] == by_radius[12] == by_radius[31]
+
+
 def test_contaminated_odd_rows(spark, odd_docs, no_docs):
     items = spark.createDataFrame([(1, "quick BROWN fox jumps over the lazy dog"), (None, "café"), (3, None), (4, ""), (5, "word")], "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(odd_docs, items).collect()}
     assert got == {(0, 1), (1, 1), (None, 1), (7, None), (5, 5)}
     clean = decontaminate.without_contaminated(odd_docs, items)
     assert clean.columns == odd_docs.columns
-    assert {r["doc_id"] for r in clean.collect()} == {2, 3, 4, 6, 8}
+    # of the rows that share id 1 or have none, those without a passage stay
+    assert sorted(str(r["doc_id"]) for r in clean.collect()) == sorted(map(str, [1, 2, 3, 4, 6, 8, None]))
     assert decontaminate.contaminated(no_docs, items).count() == 0
     assert decontaminate.contaminated(odd_docs, items.limit(0)).count() == 0
 

@@ -31,12 +31,12 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import LongType
 
-from .common import filtered_joins, fresh, keep, lower_words, query, table
+from .common import discard, filtered_joins, fresh, keep, lower_words, query, table
 from .graph import components
 
 RADIUS = 3
@@ -286,7 +286,8 @@ def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         sample.mapInPandas(_listed, "shingles array<long>").select(F.explode("shingles").alias("shingle"))
         .groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON)
     )
-    known = np.array([r["shingle"] for r in counts.collect()], np.int64).view(np.uint64)  # a fixed number of rows
+    # cut to the fixed number of rows by executors before the driver sees them
+    known = np.array([r["shingle"] for r in keep(counts).collect()], np.int64).view(np.uint64)
     order = np.argsort(known)
     return known[order], len(known) - order
 
@@ -331,68 +332,84 @@ def _may_match(x: str, y: str, threshold: float) -> Column:
     return shared * (1 + threshold) >= (nx + ny) * threshold - 1e-6
 
 
+def _shingles_of(pairs: DataFrame, nodes: DataFrame, plain: DataFrame) -> DataFrame:
+    """``num, shingles`` of the nodes in pairs ``x, y``, read again from one text of each."""
+    both = pairs.select(F.col("x").alias("num")).union(pairs.select(F.col("y").alias("num"))).distinct()
+    wanted = keep(both.join(nodes.select("num", "node", "doc", "mark"), "num"))
+    with filtered_joins(plain.sparkSession):
+        found = keep(
+            plain.join(wanted.where("doc > -9223372036854775808").select("doc", "mark", "node"), ["doc", "mark"]).select("node", "text")
+            .mapInPandas(_shingled, "node binary, shingles array<long>").dropDuplicates(["node"]).select(F.xxhash64("node").alias("num"), "shingles"))
+    discard(wanted)
+    return found
+
+
+def _verified(candidates: DataFrame, nodes: DataFrame, plain: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of the candidates ``x, y`` whose shingles reach the threshold."""
+    shingles = _shingles_of(candidates, nodes, plain)
+    both = F.size(F.array_intersect("p", "q"))
+    near = keep(
+        candidates.join(shingles.select(F.col("num").alias("x"), F.col("shingles").alias("p")), "x")
+        .join(shingles.select(F.col("num").alias("y"), F.col("shingles").alias("q")), "y")
+        .where(both >= threshold * (F.size("p") + F.size("q") - both))
+        .select(F.col("x").alias("a"), F.col("y").alias("b")))
+    discard(shingles)
+    return near
+
+
 def near_copy_groups(plain: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, nodes, labels)`` of ``plain(doc, mark, text)``: one node per word sequence, one label per group.
 
     An exact prefix join. Shingles are ordered by rarity; two nodes that reach the threshold share
-    one of the first ``n - ceil(threshold n) + 1`` of either. At each key, nodes are first compared
-    with the one that meets most others; then all pairs of a key that do not lie in one group yet,
-    so that groups are those of all pairs. Nodes of one group need no comparison.
+    one of the first ``n - ceil(threshold n) + 1`` of either. Keys alone are counted first, and only those of
+    several nodes carry more. At each key, nodes are first compared with the one that meets most
+    others; then all pairs of a key that do not lie in one group yet, so that groups are those of all
+    pairs. Nodes of one group need no comparison. Past the grouping of equal word sequences, nodes go by a
+    64-bit hash of their digest.
     """
-    rows = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, keys array<long>"))
+    wide = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, keys array<long>"))
     first = F.min(F.struct("doc", "mark")).alias("first")
-    nodes = rows.groupBy("node").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    nodes = keep(nodes.select("node", "first.doc", "first.mark", "size", "keys"))
-    same = Window.partitionBy("key")
-    met = keep(
-        nodes.select("node", "size", F.posexplode("keys").alias("at", "key"))
-        .withColumn("met", F.count("*").over(same)).where("met > 1")
-    )
-    central = keep(met.groupBy("node").agg(F.sum("met").alias("central")))
-    place = F.struct("central", "node", "size", "at")
-    shared = keep(met.join(central, "node").withColumn("head", F.max(place).over(same)).select("node", "size", "at", "key", "head"))
+    keyed = wide.groupBy("node").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"))
+    keyed = keep(keyed.select(F.xxhash64("node").alias("num"), "node", "first.doc", "first.mark", "size", "keys"))
+    rows = keep(wide.select("doc", "mark"))
+    discard(wide)
+    often = keep(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("met")).where("met > 1"))
+    with filtered_joins(plain.sparkSession):
+        shared = keep(keyed.select("num", "size", F.posexplode("keys").alias("at", "key")).join(often.where("met > 1"), "key"))
+    discard(often)
+    nodes = keep(keyed.drop("keys"))
+    discard(keyed)
 
     def paired(candidates: DataFrame) -> DataFrame:
         return candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
-    m, h = F.struct("node", "size", "at").alias("m"), F.col("head").alias("h")
+    central = shared.groupBy("num").agg(F.sum("met").alias("central"))
+    heads = shared.join(central, "num").groupBy("key").agg(F.max(F.struct("central", "num", "size", "at")).alias("h"))
     stars = keep(paired(
-        shared.select(m, h).where((F.col("m.node") != F.col("h.node")) & _may_match("m", "h", threshold))
-        .select(F.col("m.node").alias("x"), F.col("h.node").alias("y"))
+        shared.select("key", F.struct("num", "size", "at").alias("m")).join(heads, "key")
+        .where((F.col("m.num") != F.col("h.num")) & _may_match("m", "h", threshold))
+        .select(F.col("m.num").alias("x"), F.col("h.num").alias("y"))
     ))
-    wanted = keep(central.select("node").join(nodes.select("node", "doc", "mark"), "node").select("doc", "mark", "node"))
-    with filtered_joins(plain.sparkSession):
-        shingles = keep(plain.join(wanted.where("doc > -9223372036854775808"), ["doc", "mark"]).select("node", "text")
-                        .mapInPandas(_shingled, "node binary, shingles array<long>").dropDuplicates(["node"]))
-    both = F.size(F.array_intersect("p", "q"))
-
-    def verified(candidates: DataFrame) -> DataFrame:
-        return (
-            candidates.join(shingles.select(F.col("node").alias("x"), F.col("shingles").alias("p")), "x")
-            .join(shingles.select(F.col("node").alias("y"), F.col("shingles").alias("q")), "y")
-            .where(both >= threshold * (F.size("p") + F.size("q") - both))
-            .select(F.col("x").alias("a"), F.col("y").alias("b"))
-        )
-
-    near = keep(verified(stars))
+    near = _verified(stars, nodes, plain, threshold)
     labels = components(near)
-    placed = shared.drop("head").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    most = F.max(F.struct("n", "label")).over(same)
-    apart = keep(
-        placed.withColumn("n", F.count("*").over(Window.partitionBy("key", "label")))
-        .withColumn("main", most["label"])
-        .withColumn("several", F.min("label").over(same) != F.max("label").over(same)).where("several")
-        .select("node", "size", "at", "key", "label", (F.col("label") == F.col("main")).alias("inside"))
-    )
+    placed = shared.select("key", "num", "size", "at").join(labels.withColumnsRenamed({"node": "num"}), "num", "left").withColumn("label", F.coalesce("label", "num"))
+    # keys whose nodes lie in several groups, and the group that has most of them
+    several = (
+        placed.groupBy("key", "label").agg(F.count("*").alias("n"))
+        .groupBy("key").agg(F.max(F.struct("n", "label"))["label"].alias("main"), F.count("*").alias("groups")).where("groups > 1").select("key", "main"))
+    apart = keep(placed.join(several, "key").select("num", "size", "at", "key", "label", (F.col("label") == F.col("main")).alias("inside")))
+    discard(shared)
     x, y = apart.where("not inside").alias("u"), apart.alias("v")
-    once = F.col("v.inside") | (F.col("u.node") < F.col("v.node"))
+    once = F.col("v.inside") | (F.col("u.num") < F.col("v.num"))
     rest = keep(
         paired(
             x.join(y, (F.col("u.key") == F.col("v.key")) & (F.col("u.label") != F.col("v.label")) & once & _may_match("u", "v", threshold))
-            .select(F.col("u.node").alias("x"), F.col("v.node").alias("y"))
+            .select(F.col("u.num").alias("x"), F.col("v.num").alias("y"))
         ).join(stars, ["x", "y"], "left_anti")
     )
-    return rows, nodes, components(near.union(verified(rest)))
+    discard(apart)
+    discard(stars)
+    return rows, nodes, components(near.union(_verified(rest, nodes, plain, threshold)))
 
 
 def one_of_each_group(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
@@ -407,8 +424,8 @@ def one_of_each_group(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     mark = F.xxhash64(F.coalesce("text", F.lit("")))  # tells rows of one doc_id, or of none, apart
     plain = docs.select(doc.alias("doc"), mark.alias("mark"), F.coalesce("text", F.lit("")).alias("text"))
     rows, nodes, labels = near_copy_groups(plain, threshold)
-    grouped = nodes.select("node", "doc", "mark").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    winners = grouped.groupBy("label").agg(F.min(F.struct("doc", "node", "mark")).alias("w")).select("w.doc", "w.mark")
+    grouped = nodes.select("num", "doc", "mark").join(labels.withColumnsRenamed({"node": "num"}), "num", "left").withColumn("label", F.coalesce("label", "num"))
+    winners = grouped.groupBy("label").agg(F.min(F.struct("doc", "mark")).alias("w")).select("w.doc", "w.mark")
     repeated = rows.groupBy("doc", "mark").agg(F.count("*").alias("n")).where("n > 1").select("doc", "mark", F.lit(True).alias("repeated"))
     chosen = keep(winners.join(repeated, ["doc", "mark"], "left"))
     at, its_mark, again = fresh(docs, "doc", "mark", "again")
