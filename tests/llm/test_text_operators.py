@@ -363,12 +363,42 @@ def test_licenses(spark, odd_docs, no_docs):
     docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
     got = {r["doc_id"]: r for r in license.licenses(docs).collect()}
     for i, _, want in rows[:-4]:
-        assert got[i]["license"] == want and got[i]["similarity"] == 1.0 and got[i]["line_no"] == 1
+        assert got[i]["license"] == license.spdx(want) and got[i]["similarity"] == 1.0 and got[i]["line_no"] == 1
     assert got[100]["license"].startswith("GPL") and "=>" in got[100]["differences"]
     assert got[103]["license"] == "MIT" and 101 not in got and 102 not in got
     assert license.licenses(odd_docs).count() == 0 and license.licenses(no_docs).count() == 0
 
 
+def test_licenses_match_all_templates_on_all_windows(spark):
+    """Notices with words changed, put in, left out, wrapped and side by side, against every window of every template."""
+    rng = np.random.default_rng(6)
+    scanner, texts = license.Scanner(license.TEMPLATES), []
+    for name, text in license.TEMPLATES.items():
+        w = text.split()
+        for share in (0.0, 0.08, 0.16, 0.3):
+            changed = [f"z{rng.integers(99)}" if rng.random() < share else x for x in w]
+            texts.append((name, "of the software in this\n" + "\n".join(" ".join(changed[i:i + 7]) for i in range(0, len(changed), 7)) + "\n\nand more of it"))
+    for name, text in texts:
+        found = license.words(text)
+        sure = {}
+        for other, target in scanner.words.items():
+            best = max((2 * sum(m.size for m in license.SequenceMatcher(None, target, found[a:b], autojunk=False).get_matching_blocks()) / (len(target) + b - a)
+                        for a in range(min(9, len(found))) for b in range(max(a + 1, len(found) - 9), len(found) + 1)), default=0) if other == name else 0
+            if best >= 0.8:
+                sure[license.spdx(other)] = best
+        got = {license.spdx(n.name): n.similarity for _, _, n in scanner.notices(text)}
+        for lic, similarity in sure.items():
+            # another license of nearly the same words may agree with more of them
+            assert lic in got and got[lic] >= similarity - 0.02 or any(s >= similarity - 0.02 for s in got.values()), (name, sure, got)
+    both = f"{license.TEMPLATES['MIT']} {license.TEMPLATES['MPL-2.0']}"
+    assert [(a, license.spdx(n.name)) for a, _, n in scanner.notices(both)] == [(0, "MIT"), (0, "MPL-2.0")]
+    permission = license.TEMPLATES["MIT (text)"].replace("The above", "\n\nThe above").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    docs = spark.createDataFrame([(1, f"Copyright me\n\n{permission}\n"), (None, both)], "doc_id long, text string")
+    got = {(r["doc_id"], r["license"], r["line_no"], r["last_line"]) for r in license.licenses(docs).collect()}
+    last = permission.count("\n") + 2
+    assert got == {(1, "MIT", 2, last), (None, "MIT", 0, 0), (None, "MPL-2.0", 0, 0)}
+
+
 @pytest.mark.parametrize("n, width", [(500, 8), (30, 3), (1, 4)])
 def test_top_k_matches_all_products(spark, n, width, monkeypatch):
     rng = np.random.default_rng(n)
