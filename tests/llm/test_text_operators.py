@@ -51,6 +51,15 @@ def test_mix_shares_excess_again(spark):
     assert out[2]["target"] == pytest.approx(780 * 2 / 3) and out[3]["target"] == pytest.approx(780 / 3)
 
 
+def test_mix_reaches_targets_of_tiny_sources(spark):
+    rows = [(i, "big" if i % 2 else "large", "w " * 20_000) for i in range(100)] + [(200, "tiny", "w " * 10), (201, "wee", "w " * 6), (202, "xs", "w")]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string")).toPandas()
+    names = {r[0]: r[1] for r in rows}
+    by = out.assign(source=out["doc_id"].map(names)).groupby("source").agg(target=("target", "first"), taken=("taken", "sum"))
+    assert (abs(by["taken"] - by["target"]) <= 1).all() and (out["taken"] <= 3 * out["size"]).all()
+    assert by.loc["tiny", "taken"] == 30 and by.loc["wee", "taken"] == 18 and by.loc["xs", "taken"] == 3
+
+
 def test_mix_odd_rows(odd_docs, no_docs):
     first, again = (sorted(map(str, mixing.mix(odd_docs).collect())) for _ in range(2))
     assert first == again and len(first) == odd_docs.count()
@@ -301,6 +310,60 @@ def test_language_on_held_out_documents(sample, odd_docs, no_docs):
 # pages
 
 
+def plain_language(taught, text):
+    """The prediction by loops over words, without memory of any."""
+    import math
+    import re
+
+    def words_of(t):
+        return re.findall("[^\\W\\d_]+", "".join(c if c.isalpha() or not c.isalnum() else " " for c in t.lower()).replace("_", " "))
+
+    langs = sorted(taught)
+    counts = [{lang: Counter() for lang in langs} for _ in range(5)]
+    for lang, texts in taught.items():
+        for word in (w for t in texts for w in words_of(t)):
+            counts[0][lang][word] += 1
+            for size in range(1, 5):
+                padded = f"<{word}>"
+                counts[size][lang].update(padded[i:i + size] for i in range(len(padded) - size + 1))
+    base = [{lang: sum(c.values()) + 0.5 * len(c) for lang, c in by.items()} for by in counts]
+    logs = lambda size, piece: [math.log((counts[size][lang][piece] + 0.5) / base[size][lang]) for lang in langs]
+    known = lambda size, piece: any(piece in c for c in counts[size].values())
+    words_, total = words_of(text or ""), np.zeros(len(langs))
+    if not words_:
+        return "und"
+    for word in words_:
+        if known(0, word):
+            total += logs(0, word)
+            continue
+        padded = f"<{word}>"
+        sizes = [next((n for n in range(min(4, len(padded) - i), 0, -1) if known(n, padded[i:i + n])), 0) for i in range(len(padded))]
+        found = [logs(n, padded[i:i + n]) for i, n in enumerate(sizes) if n]
+        total += np.mean(found, axis=0) if found else 0
+    return langs[int(np.argmax(total / math.sqrt(len(words_))))]
+
+
+def test_language_matches_plain_loops(spark, sample):
+    rows = sample("documents").limit(60).collect()
+    taught = defaultdict(list)
+    for r in rows[:40]:
+        if r["lang"] and r["text"]:
+            taught[r["lang"]].append(r["text"])
+    model = language.fit(spark.createDataFrame([(lang, t) for lang, ts in taught.items() for t in ts], "lang string, text string"))
+    reader = language.Reader(model)
+    for text in [r["text"] for r in rows] + ["½ ² Ⅷ ①", "", None, "12 ½x", "zzz qqq", "Ⅷabc", "der the le"]:
+        assert reader.predict(text)[0] == plain_language(taught, text), text
+    assert reader.predict("½ ² Ⅷ ①") == ("und", 0.0)
+
+
+def test_small_languages_keep_their_pieces(spark, monkeypatch):
+    monkeypatch.setattr(language, "WORDS", 30)
+    big = [("aa", " ".join(f"w{c}{d}" for c in "abcdefgh" for d in "ijklmnop").replace("w", "q"))] * 50
+    model = language.fit(spark.createDataFrame([*big, ("bb", "rare words only here")], "lang string, text string"))
+    assert {"rare", "words", "only", "here"} <= set(model.words) and len(model.words) == 34
+    assert language.Reader(model).predict("rare words")[0] == "bb"
+
+
 def test_html_main_text(spark, sample):
     pages = sample("pages")
     model = html.fit(pages)

@@ -1,8 +1,9 @@
 """Language identification: known words first, shorter and shorter character n-grams for the others.
 
 Training counts words and character n-grams per language over all documents it may learn from,
-in Spark. A model keeps the ``WORDS`` most frequent words and the ``GRAMS`` most frequent n-grams
-of each length, over all languages: that bounds its size, not the documents it counts. A word
+in Spark. A model keeps, of each language, the ``WORDS`` most frequent words and the ``GRAMS`` most
+frequent n-grams of each length, with their frequencies in all languages: that bounds its size per language,
+not the documents it counts, and a small language keeps its own pieces however large others grow. A word
 that the model knows adds its log frequency in each language. An unknown word falls back to its
 n-grams: at each place the longest known one counts, from ``LONGEST`` down to 1 letters.
 """
@@ -17,14 +18,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import keep, query, table
 
-WORDS = 50_000
+WORDS = 20_000
 GRAMS = 5_000
 LONGEST = 4
 FOLDS, HELD_OUT = 4, 2
@@ -36,6 +37,14 @@ _SEEN, _SHORT = 200_000, 64  # pieces remembered while predicting, and their len
 _RUN = re.compile(r"[^\W\d_]+")
 
 
+def words_in(piece: str) -> list[str]:
+    """Runs of letters of a piece; numerals such as fractions and Roman numbers are no letters."""
+    found = _RUN.findall(piece)
+    if all(map(str.isalpha, found)):
+        return found
+    return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
+
+
 def grams_of(word: str, size: int) -> list[str]:
     """Runs of ``size`` characters of a word between borders."""
     padded = f"<{word}>"
@@ -60,7 +69,7 @@ def _counts_of(pieces: dict[str, Counter]) -> pd.DataFrame:
     for lang, counts in pieces.items():
         words: dict[str, int] = defaultdict(int)
         for piece, n in counts.items():
-            for word in _RUN.findall(piece):
+            for word in words_in(piece):
                 words[word] += n
         by_size = [words]
         for size in range(1, LONGEST + 1):
@@ -143,7 +152,7 @@ class Reader:
         return at
 
     def _piece(self, piece: str) -> int:
-        words = _RUN.findall(piece)
+        words = words_in(piece)
         if len(words) == 1:
             at = self._word(words[0])
         else:
@@ -190,13 +199,14 @@ def fit(docs: DataFrame) -> Model:
         for r in totals:
             if r["size"] == size:
                 base[at[r["lang"]]] = r["n"] + SMOOTH * r["kinds"]
-        kept = (
-            counts.where(F.col("size") == size).groupBy("piece")
-            .agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-            .orderBy(F.desc("total"), "piece").limit(WORDS if size == 0 else GRAMS)
-        )
+        rows = counts.where(F.col("size") == size)
+        # each task cuts its pieces to the wanted number of each language before any move
+        ranked = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "piece"))
+        wanted = rows.withColumn("rank", ranked).where(F.col("rank") <= (WORDS if size == 0 else GRAMS)).select("piece").distinct()
+        kept = keep(
+            rows.join(wanted, "piece").groupBy("piece").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")).orderBy("piece"))
         target = model.words if size == 0 else model.grams
-        for r in kept.collect():  # the model: a fixed number of rows
+        for r in kept.collect():  # the model: a fixed number of rows per language
             n = np.full(len(langs), SMOOTH)
             for lang, c in r["by"].items():
                 n[at[lang]] += c

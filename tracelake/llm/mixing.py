@@ -4,7 +4,9 @@
    no more than ``most`` times their own words. Excess is shared again by weight until no source
    is above its limit (computed in closed form over sources in order of limit by weight).
 2. A schedule of slots walks a golden-ratio sequence through the cumulative shares; the source
-   whose interval holds the slot's point is drawn. Slots are ranked per source.
+   whose interval holds the slot's point is drawn. Slots are ranked per source. A source that the walk
+   draws too seldom, as its share is a few blocks or its passes end in short ones, gets the slots that
+   are missing at the end of the schedule.
 3. The documents of a source, shuffled by a digest of their id, form a stream of words that is cut
    into blocks of equal size. A slot takes the block of its rank, starting over after the last
    one; the slot that reaches the source's target takes only the rest.
@@ -25,7 +27,7 @@ from .common import WORD, keep, query, table
 WEIGHTS = (5, 2, 1)
 MOST = 3
 BLOCKS_PER_DOCUMENT = 4
-SLICES = 256
+SLICES, ROWS_PER_SLICE = 256, 50_000
 CELLS = 1024
 GOLDEN = 1_327_217_885  # odd number next to 2^31 divided by the golden ratio
 TURN = 1 << 31
@@ -102,12 +104,29 @@ def schedule(targets: DataFrame, slots: int) -> DataFrame:
     return _carried(drawn, "rank", "cut", "one", ["slot"], "turn").select("rank", "slot", "turn")
 
 
+def completed(drawn: DataFrame, targets: DataFrame, block: int) -> DataFrame:
+    """``rank, turn`` of the schedule, with the turns added that a source needs to reach its goal.
+
+    Whole passes have ``ceil(source_size / block)`` blocks each, the last pass as many as its rest takes.
+    """
+    per_pass = F.ceil(F.col("source_size") / block)
+    needed = F.floor(F.col("goal") / F.col("source_size")) * per_pass + F.ceil((F.col("goal") % F.col("source_size")) / block)
+    had = drawn.groupBy("rank").agg(F.count("*").alias("had"))
+    short = (
+        targets.where("source_size > 0").select("rank", needed.alias("needed")).join(had, "rank", "left")
+        .withColumn("had", F.coalesce("had", F.lit(0))).where("needed > had")
+    )
+    # in two steps, so that no row lists more than a slice
+    cuts = short.withColumn("cut", F.explode(F.sequence(F.floor(F.col("had") / SLOT_SLICE), F.floor((F.col("needed") - 1) / SLOT_SLICE))))
+    first, last = F.greatest("had", F.col("cut") * SLOT_SLICE), F.least("needed", (F.col("cut") + 1) * SLOT_SLICE) - 1
+    return drawn.select("rank", "turn").union(cuts.select("rank", F.explode(F.sequence(first, last)).alias("turn")))
+
+
 def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` per document of ``docs``.
 
-    ``taken`` counts the words the mix takes from the document, repeats included. It reaches the
-    source's target in whole words, but for sources whose share is a few blocks, and never exceeds
-    ``most`` times a document's size by more than the pass that is cut. A null text has size 0 and
+    ``taken`` counts the words the mix takes from the document, repeats included. Over a source it is
+    the target in whole words, and it never exceeds ``most`` times a document's size. A null text has size 0 and
     takes nothing; null sources form one source, ranked last. Rows with the same doc_id and size
     share their place in the stream's order, which only decides among equals. Other columns are
     ignored. An empty table gives an empty result.
@@ -120,11 +139,15 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     block = max(1, total["words"] // max(1, total["n"] * BLOCKS_PER_DOCUMENT))
     # a quarter more slots than words ask for: what exceeds a source's goal is cut by rank
     slots = 64 + (total["words"] // block) * 5 // 4
-    digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    # rows without an id spread by their size
+    digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.col("size")))
+    slices = SLICES
+    while slices < 1 << 16 and total["n"] > slices * ROWS_PER_SLICE:
+        slices *= 2
     streamed = sized.join(targets.select("source", "rank", "source_size", "target"),
                           sized["source"].eqNullSafe(targets["source"])).drop("source")
     streamed = streamed.withColumn("digest", digest).withColumn(
-        "cut", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") % SLICES)
+        "cut", F.conv(F.substring("digest", 1, 4), 16, 10).cast("int") % slices)
     placed = _carried(streamed, "rank", "cut", "size", ["digest", "doc_id", "size"], "start")
     pieces = (
         placed.where("size > 0")
@@ -134,7 +157,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     )
     per_pass = F.floor((F.col("source_size") + (block - 1)) / block)
     taken_slots = (
-        schedule(targets, slots).join(targets.where("source_size > 0"), "rank")
+        completed(keep(schedule(targets, slots)), targets, block).join(targets.where("source_size > 0"), "rank")
         .withColumn("block", F.col("turn") % per_pass)
         .withColumn("length", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block))
         .withColumn("got", F.col("goal") - (F.floor(F.col("turn") / per_pass) * F.col("source_size") + F.col("block") * block))
@@ -156,8 +179,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
 
 
 CHECK = f"""
-WITH sized AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size,
-    md5(coalesce(doc_id::VARCHAR, '')) AS digest FROM documents),
+WITH sized AS (SELECT doc_id, source, size, md5(coalesce(doc_id::VARCHAR, '') || ':' || size) AS digest FROM (
+    SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::BIGINT AS size FROM documents)),
 totals AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM sized GROUP BY source),
 weighed AS (SELECT *, [5, 2, 1][((rank - 1) % 3 + 1)::INTEGER]::BIGINT AS weight FROM totals),
 ratios AS (SELECT *, (source_size * {MOST}) / weight AS ratio FROM weighed),
@@ -174,8 +197,11 @@ slots AS (SELECT block, 64 + (words // block) * 5 // 4 AS slots FROM plan, sums)
 shares AS (SELECT rank, floor((high - goal) / everything * {TURN})::BIGINT AS low, floor(high / everything * {TURN})::BIGINT AS high FROM (
     SELECT rank, goal, sum(goal) OVER (ORDER BY rank)::BIGINT AS high, sum(goal) OVER ()::BIGINT AS everything FROM goals WHERE goal > 0)),
 points AS (SELECT slot, slot % {TURN} * {GOLDEN} % {TURN} AS point FROM (SELECT unnest(range(slots)) AS slot FROM slots)),
-drawn AS (SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn
+walked AS (SELECT rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS turn
     FROM points JOIN shares ON point >= low AND point < high),
+needs AS (SELECT g.rank, any_value(goal // source_size * ((source_size + block - 1) // block) + (goal % source_size + block - 1) // block) AS needed, count(w.rank) AS had
+    FROM goals g CROSS JOIN plan LEFT JOIN walked w ON w.rank = g.rank WHERE source_size > 0 GROUP BY g.rank),
+drawn AS (SELECT rank, turn FROM walked UNION ALL SELECT rank, unnest(range(had, needed)) FROM needs WHERE needed > had),
 placed AS (SELECT s.doc_id, s.size, t.rank, t.source_size, t.target, s.digest,
     coalesce(sum(s.size) OVER (PARTITION BY t.rank ORDER BY ('0x' || s.digest[1:4])::INTEGER % {SLICES}, s.digest, s.doc_id, s.size
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
