@@ -1,10 +1,11 @@
 """WARC archives as a PySpark data source, and their writer.
 
-A file is a row of gzip members, one record each. The extra field ``sl`` of a member's gzip header
+Our files are rows of gzip members, one record each. The extra field ``sl`` of a member's gzip header
 holds its packed and unpacked length, so a reader jumps from record to record: it unpacks a record
 only as far as its headers and leaves the rest packed unless the payload is wanted and the record
-passes the pushed filters. One partition reads one file; writers start a new file every
-``FILE_BYTES``.
+passes the pushed filters. Other archives are read as well: gzip members without lengths, one for many
+records, and plain files; their records stream past, in pieces, and payloads are kept only where
+they are wanted. One partition reads one file; writers start a new file every ``FILE_BYTES``.
 
 Reading::
 
@@ -17,6 +18,7 @@ Paths may lie in any store that ``pyarrow.fs`` reaches; folders are shared by al
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import io
 import struct
@@ -33,13 +35,13 @@ from pyspark.sql.datasource import (
 )
 
 from ..session import folder_of, shared_folder
-from .common import keep, query, table, utf8
+from .common import fresh, keep, query, table, utf8
 
 FILE_BYTES = 128 << 20
-SMALL_TABLE = 500_000  # repeated digests of some 60 bytes: a hash table of some tens of MB
 SCHEMA = "record_id string, record_type string, target_uri string, page_id long, refers_to long, payload_bytes long, payload_digest string, payload binary"
 _NAMES = ("record_id", "record_type", "target_uri", "page_id", "refers_to", "payload_bytes", "payload_digest", "payload")
 _HEAD = 2048
+_PIECE = 1 << 20
 _BREAK = b"\r\n"
 
 
@@ -93,15 +95,43 @@ def _unpacked(packed: bytes, need: int | None) -> bytes:
     return unpacker.decompress(packed) if need is None else unpacker.decompress(packed, need)
 
 
+def _fields(head: bytes) -> dict[str, str]:
+    """Header fields by lower-case name; a line that starts with white space goes on with the one before."""
+    fields, last = {}, None
+    for line in head.decode("utf-8", "replace").split("\r\n")[1:]:
+        if line[:1] in (" ", "\t") and last:
+            fields[last] += " " + line.strip()
+        else:
+            name, _, value = line.partition(":")
+            last = name.strip().lower()
+            fields[last] = value.strip()
+    return fields
+
+
+def _row(field: dict[str, str]) -> list:
+    """A row of ``SCHEMA`` from header fields; what a record does not say is null."""
+    number = lambda name: int(field[name]) if field.get(name, "").lstrip("-").isdigit() else None
+    named = field.get("warc-record-id", "").strip("<>")
+    uri = field.get("warc-target-uri")
+    return [
+        named.removeprefix("urn:uuid:") or None, field.get("warc-type"), uri.strip("<>") if uri is not None else None, number("x-page-id"),
+        number("x-refers-to-page"), number("x-payload-length"), field.get("warc-payload-digest", "").removeprefix("sha1:") or None, None,
+    ]
+
+
 def records(handle, wanted, payload: bool) -> Iterator[tuple]:
     """Rows of ``SCHEMA`` of one file whose header fields pass ``wanted``."""
     while True:
         start = handle.tell()
         head = handle.read(24)
-        if len(head) < 24:
+        if not head:
+            return
+        if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl" or len(head) < 24:
+            # an archive of others, or one that others have added to
+            handle.seek(start)
+            stream = io.BufferedReader(gzip.GzipFile(fileobj=handle, mode="rb"), _PIECE) if head[:2] == b"\x1f\x8b" else handle
+            yield from streamed(stream, wanted, payload)
             return
-        if head[:4] != b"\x1f\x8b\x08\x04" or head[12:14] != b"sl":
-            raise ValueError(f"no record with lengths at byte {start}")
         size = struct.unpack("<I", head[16:20])[0]
         body, need = handle.read(min(size - 24, _HEAD)), _HEAD
         data = _unpacked(body, need)
@@ -111,13 +141,7 @@ def records(handle, wanted, payload: bool) -> Iterator[tuple]:
             data = _unpacked(body, need)
             if need > (size << 11):
                 raise ValueError(f"headers do not end in the record at byte {start}")
-        lines = data[:data.index(b"\r\n\r\n")].decode("utf-8", "replace").split("\r\n")
-        field = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
-        number = lambda name: int(field[name]) if field.get(name) else None
-        row = [
-            field["WARC-Record-ID"][10:-1], field["WARC-Type"], field["WARC-Target-URI"], number("X-Page-ID"),
-            number("X-Refers-To-Page"), number("X-Payload-Length"), field["WARC-Payload-Digest"].removeprefix("sha1:"), None,
-        ]
+        row = _row(_fields(data[:data.index(b"\r\n\r\n")]))
         if wanted(dict(zip(_NAMES, row, strict=True))):
             if payload and row[1] == "response":
                 handle.seek(start + 24)
@@ -128,6 +152,60 @@ def records(handle, wanted, payload: bool) -> Iterator[tuple]:
         handle.seek(start + size)
 
 
+def _block(stream, length: int, http: bool, keep_: bool) -> tuple[int, str, bytes | None]:
+    """Bytes, digest and, if kept, content of a record's payload, read in pieces.
+
+    The payload of an HTTP message is what follows its headers; without their end there is none.
+    """
+    head, total, digest, parts = b"", 0, hashlib.sha1(), []
+    left, inside = length, not http
+    while left:
+        piece = stream.read(min(left, _PIECE))
+        if not piece:
+            raise ValueError("the archive ends within a record")
+        left -= len(piece)
+        if not inside:
+            head += piece
+            end = head.find(b"\r\n\r\n")
+            if end < 0:
+                continue
+            piece, head, inside = head[end + 4:], b"", True
+        total += len(piece)
+        digest.update(piece)
+        if keep_:
+            parts.append(piece)
+    return total, base64.b32encode(digest.digest()).decode(), b"".join(parts) if keep_ else None
+
+
+def streamed(stream, wanted, payload: bool) -> Iterator[tuple]:
+    """Rows of records that follow each other in an unpacked stream.
+
+    Length and digest of a payload are taken from it where the headers do not tell them, so filters
+    on these see records after they have been read. A revisit has no payload of its own.
+    """
+    while True:
+        line = stream.readline()
+        while line in (b"\r\n", b"\n"):
+            line = stream.readline()
+        if not line:
+            return
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"not a record: {line[:40]!r}")
+        lines = [line.rstrip(b"\r\n")]
+        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
+            lines.append(line.rstrip(b"\r\n"))
+        field = _fields(b"\r\n".join(lines))
+        row = _row(field)
+        http, own = field.get("content-type", "").lower().startswith("application/http"), row[1] != "revisit"
+        size, digest, content = _block(stream, int(field["content-length"]), http, payload and own)
+        if own:
+            row[5] = size if row[5] is None else row[5]
+            row[6] = digest if row[6] is None else row[6]
+            row[7] = content
+        if wanted(dict(zip(_NAMES, row, strict=True))):
+            yield tuple(row)
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -168,7 +246,7 @@ class WarcReader(DataSourceReader):
         from pyarrow.fs import FileSelector
 
         found = store.get_file_info(FileSelector(path, allow_not_found=True))
-        names = sorted(x.path for x in found if x.is_file and x.path.endswith(".warc.gz"))
+        names = sorted(x.path for x in found if x.is_file and x.path.endswith((".warc.gz", ".warc")))
         return [_File(name) for name in names] or [_File("")]
 
     def read(self, partition: _File):
@@ -240,14 +318,13 @@ def with_revisits(pages: DataFrame, at_least: int = 0) -> DataFrame:
     Rows that share the largest page_id and payload are all responses; so is a payload whose rows
     have no page_id, and rows with a null page_id refer to the response of their payload.
     """
-    marked = pages.withColumn("_sum", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    named = marked.select("_sum", "page_id").groupBy("_sum").agg(F.max("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1")
-    named = keep(named)
-    small = named.count() <= SMALL_TABLE
-    linked = marked.join(F.broadcast(named) if small else named, "_sum", "left")
+    sum_, first, n = fresh(pages, "sum", "first", "n")
+    marked = pages.withColumn(sum_, F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
+    named = keep(marked.groupBy(sum_).agg(F.max("page_id").alias(first), F.count("*").alias(n)).where(F.col(n) > 1).drop(n))
+    linked = marked.join(named, sum_, "left")
     long = F.octet_length(F.coalesce("html", F.lit(""))) >= at_least
-    other = F.col("_first").isNotNull() & ~F.col("_first").eqNullSafe(F.col("page_id")) & long
-    return linked.withColumn("refers_to", F.when(other, F.col("_first"))).drop("_sum", "_first", "_n")
+    other = F.col(first).isNotNull() & ~F.col(first).eqNullSafe(F.col("page_id")) & long
+    return linked.withColumn("refers_to", F.when(other, F.col(first))).drop(sum_, first)
 
 
 def read_warc(spark: SparkSession, folder: str, payload: bool = True) -> DataFrame:
