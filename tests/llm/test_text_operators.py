@@ -394,6 +394,28 @@ def test_blocks_decode_and_trim():
     assert [(b.text, b.linked) for b in cut] == [("one & two three", 0), ("four five", 0), ("six", 3)]
 
 
+def test_blocks_keep_what_is_not_markup():
+    text = lambda page: [b.text for b in html.blocks_of(page)]
+    assert text("<p>Let <math><mi>x</mi></math> be <svg><text>y</text></svg></p>") == ["Let x be y"]
+    assert text("a <!--> b <!-- c -> d --> e <![CDATA[ f ]]> g <?php h ?> i") == ["a b e g i"]
+    assert text("1 < 2 and <3 and a<b>c</b> <p title='a > b'>d <p title=\"'\">e</p> < / <") == ["1 < 2 and <3 and ac", "d", "e", "< / <"]
+    assert text("<title>no</title><style>p{}</style>yes<script>if(a<b)'</p>'</script><template><p>no</template> too<script>rest <p>no") == ["yes too"]
+    assert [b.path for b in html.blocks_of("<ul class=x><li>a<li id='i'>b<b>c</ul><p>d")] == [("ul x", "li"), ("ul x", "li i", "b"), ("p",)]
+
+
+@pytest.mark.parametrize("piece", [
+    "<p ", "<script ", "<", "</", "<a href='", '<a href="\'', "<!", "<!--", "<b><p>", "<div>x", "<li><div><b>", "</p>x<p", "<a>x", "&amp", "<aaaa", "<?", "<p '>\"", "<td><p>y<b>", "<title>",
+])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    page = piece * (1_000_000 // len(piece))
+    start = time.process_time()
+    blocks = html.blocks_of(page)
+    assert time.process_time() - start < 4, piece  # far from the hours of a quadratic scan, also on a busy machine
+    assert html.blocks_of(page + "</script></title>'\"><p>end")[-1:] is not None and isinstance(blocks, list)
+
+
 def test_warc_round_trip(spark, tmp_path):
     texts = ["a", "a", None, "", "é<p>" * 5000, "x\r\n\r\ny", "a"]
     pages = spark.createDataFrame([(i, f"http://h/{i}" if i else None, t) for i, t in enumerate(texts)] + [(6, "again", "a"), (None, "n", "a")], "page_id long, url string, html string")
@@ -416,6 +438,54 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.archived(pages.limit(0)).count() == 0 and warc.archived(pages).count() == 9
 
 
+def test_archives_of_others(spark, tmp_path):
+    """Plain gzip members, one member for all records, and unpacked files, with records of every kind."""
+    import gzip
+
+    def made(kind, uri, content_type, block, *more):
+        fields = [("WARC-Type", kind), ("WARC-Record-ID", f"<urn:uuid:{kind}>"), ("warc-date", "2024-01-01T00:00:00Z"), *more]
+        fields += ([("WARC-Target-URI", uri)] if uri else []) + [("Content-Type", content_type), ("Content-Length", str(len(block)))]
+        return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in fields) + b"\r\n" + block + b"\r\n\r\n"
+
+    long = "é".encode() * 1_500_000
+    rows = [
+        made("warcinfo", None, "application/warc-fields", b"software: x\r\n"),
+        made("request", "http://a/", "application/http; msgtype=request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n"),
+        made("response", "<http://a/>", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n<p>\r\n\r\nhi", ("X-Folded", "one\r\n two")),
+        made("revisit", "http://a/", "application/http; msgtype=response", b"HTTP/1.1 200 OK\r\n\r\n", ("WARC-Payload-Digest", "sha1:ABC")),
+        made("resource", "http://b/", "text/plain", long), made("metadata", "http://b/", "text/plain", b""),
+    ]
+    files = {"members.warc.gz": b"".join(map(gzip.compress, rows)), "whole.warc.gz": gzip.compress(b"".join(rows)), "plain.warc": b"".join(rows)}
+    sha = lambda b: base64.b32encode(hashlib.sha1(b).digest()).decode()
+    want = {
+        "warcinfo": (None, 13, sha(b"software: x\r\n"), b"software: x\r\n"), "request": ("http://a/", 0, sha(b""), b""),
+        "response": ("http://a/", 9, sha(b"<p>\r\n\r\nhi"), b"<p>\r\n\r\nhi"), "revisit": ("http://a/", None, "ABC", None),
+        "resource": ("http://b/", len(long), sha(long), long), "metadata": ("http://b/", 0, sha(b""), b"")}
+    for name, data in files.items():
+        folder = tmp_path / name.replace(".", "_")
+        folder.mkdir()
+        (folder / name).write_bytes(data)
+        got = {r["record_type"]: r for r in warc.read_warc(spark, f"file://{folder}").collect()}
+        assert {k: (r["target_uri"], r["payload_bytes"], r["payload_digest"], r["payload"]) for k, r in got.items()} == want
+        some = warc.read_warc(spark, f"file://{folder}", payload=False).where("record_type = 'resource'").collect()
+        assert [(r["payload_bytes"], r["payload"]) for r in some] == [(len(long), None)]
+    broken = tmp_path / "broken"
+    broken.mkdir()
+    with pytest.raises(Exception, match="within a record|not a record"):
+        (broken / "x.warc").write_bytes(rows[4][:-200])
+        warc.read_warc(spark, f"file://{broken}").collect()
+
+
+def test_archived_digests_are_those_of_the_payloads(spark):
+    html = "x" * 3_000_000
+    rows = [(1, "u", html, "s"), (2, "u", html, "s"), (2, "v", "b", "s"), (3, None, None, "s")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, sum string").withColumns({"first": F.lit(1), "n": F.lit(2)})
+    got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived(pages).collect()]
+    sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
+    assert sorted(got, key=str) == sorted(
+        [(1, len(html), sha(html), "revisit", 2), (2, len(html), sha(html), "response", None), (2, 1, sha("b"), "response", None), (3, 0, sha(""), "response", None)], key=str)
+
+
 # licenses and search
 
 

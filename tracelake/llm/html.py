@@ -15,7 +15,9 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,10 +45,12 @@ BLOCK = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>script|style|template|title|svg|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.DOTALL | re.IGNORECASE)
+RAW = frozenset("script style template title".split())  # what they hold is no text of the page
+DEEPEST = 256  # elements nested deeper count as children of the innermost one, as browsers limit it too
+
+_RAW_END = {tag: re.compile(rf"</{tag}\s*>", re.IGNORECASE) for tag in RAW}
+_NAME_END = re.compile(r"[\s/>]")
+_SPECIAL = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _PIECE = re.compile(r"[a-z]+")
 
@@ -60,19 +64,83 @@ class Block:
     linked: int
 
 
+def _tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """``start, end, tag, closes, rest`` of what is not text: comments, raw elements (no tag), tags.
+
+    Every character is looked at a fixed number of times, also where tags, quotes or comments are not
+    closed: where a tag ends is known for all places at once, from the last one backwards.
+    """
+    at, size = 0, len(html)
+    specials = ends = name_ends = None
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        following = html[at:at + 1]
+        if following in ("!", "?"):
+            if html.startswith("<!--", start):
+                end = html.find("-->", start + 2)
+                end = size if end < 0 else end + 3
+            elif html[start:start + 9].upper() == "<![CDATA[":
+                end = html.find("]]>", start)
+                end = size if end < 0 else end + 3
+            else:
+                end = html.find(">", start) + 1
+                if not end:
+                    at = html.find("<!--", at)  # where no tag ends any more, only a comment can follow
+                    if at < 0:
+                        return
+                    continue
+            yield start, end, None, False, ""
+            at = end
+            continue
+        closes = following == "/"
+        first = start + 2 if closes else start + 1
+        if not html[first:first + 1].isascii() or not html[first:first + 1].isalpha():
+            continue
+        if ends is None:
+            specials = [m.start() for m in _SPECIAL.finditer(html, start)]
+            ends, later = [0] * (len(specials) + 1), {}
+            ends[-1] = -1
+            for i in range(len(specials) - 1, -1, -1):
+                mark = html[specials[i]]
+                if mark == ">":
+                    ends[i] = specials[i] + 1
+                else:
+                    ends[i] = ends[later[mark] + 1] if mark in later else -1
+                    later[mark] = i
+            name_ends = [m.start() for m in _NAME_END.finditer(html, start)]
+        n = bisect_left(name_ends, first)
+        if n == len(name_ends):
+            continue
+        stop = name_ends[n]
+        end = ends[bisect_left(specials, stop)]
+        if end < 0:
+            continue
+        tag = html[first:stop].lower()
+        if tag in RAW and not closes:
+            match = _RAW_END[tag].search(html, end)
+            at = match.end() if match else size
+            yield start, at, None, False, ""
+            continue
+        yield start, end, tag, closes, html[stop:end - 1]
+        at = end
+
+
 def blocks_of(html: str | None) -> list[Block]:
     """Leaf blocks of a page in order; none for null or empty."""
     html = html or ""
     out: list[Block] = []
-    open_tags: list[tuple[str, str]] = []
+    labels: list[str] = []  # the open elements
+    tags: list[str] = []
+    open_blocks: list[int] = []  # places of the block elements among them
+    count: Counter[str] = Counter()
     parts: list[str] = []
-    linked = depth = at = 0
+    linked = at = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, tuple(label for _, label in open_tags), linked))
+            out.append(Block(text, tuple(labels), linked))
         parts.clear()
         linked = 0
 
@@ -81,38 +149,44 @@ def blocks_of(html: str | None) -> list[Block]:
         if raw:
             text = entities.unescape(raw)
             parts.append(text)
-            if depth:
+            if count["a"]:
                 linked += len(text)
 
-    for token in _TOKEN.finditer(html):
-        say(html[at:token.start()])
-        at = token.end()
-        tag = token["tag"]
+    def close(place: int) -> None:
+        for tag in tags[place:]:
+            count[tag] -= 1
+        del tags[place:], labels[place:]
+        while open_blocks and open_blocks[-1] >= place:
+            open_blocks.pop()
+
+    for start, end, tag, closes, rest in _tokens(html):
+        say(html[at:start])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag == "br":
             parts.append(" ")
             continue
         if tag in BLOCK:
             flush()
-        if token["end"]:
-            for i in range(len(open_tags) - 1, -1, -1):
-                if open_tags[i][0] == tag:
-                    del open_tags[i:]
-                    break
+        if closes:
+            if count[tag]:
+                close(len(tags) - 1 - tags[::-1].index(tag) if tags[-1] != tag else len(tags) - 1)
         elif tag not in VOID:
             if tag in CLOSES:
-                for i in range(len(open_tags) - 1, -1, -1):
-                    if open_tags[i][0] in CLOSES[tag]:
-                        del open_tags[i:]
+                for place in reversed(open_blocks):
+                    if tags[place] in CLOSES[tag]:
+                        close(place)
                         break
-                    if open_tags[i][0] in BLOCK and open_tags[i][0] != "p":
+                    if tags[place] != "p":
                         break
-            names = " ".join(a or b or c for a, b, c in _NAMED.findall(token["rest"])) if "=" in token["rest"] else ""
-            if not token["rest"].endswith("/"):
-                open_tags.append((tag, f"{tag} {names}" if names else tag))
-        depth = sum(t == "a" for t, _ in open_tags) if tag == "a" or depth else 0
+            if not rest.endswith("/") and len(tags) < DEEPEST:
+                names = " ".join(a or b or c for a, b, c in _NAMED.findall(rest)) if "=" in rest else ""
+                if tag in BLOCK:
+                    open_blocks.append(len(tags))
+                tags.append(tag)
+                labels.append(f"{tag} {names}" if names else tag)
+                count[tag] += 1
     say(html[at:])
     flush()
     return out
@@ -148,12 +222,12 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     for i, b in enumerate(blocks):
         words = b.text.split()
         out[i, :PATH] = _path_vector(b.path)
-        for word, n in Counter(words[:400] + words[-20:]).items():
+        for word, n in Counter(words).items():
             out[i, PATH + _slot(word, WORDS)] += n
         out[i, PATH:PATH + WORDS] /= max(1.0, float(np.linalg.norm(out[i, PATH:PATH + WORDS])))
         n = max(len(b.text), 1)
         out[i, PATH + WORDS:] = (
-            np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked / n, sum(c in ".,;:!?" for c in b.text[:2000]) / min(n, 2000) * 10,
+            np.log1p(n) / 8, np.log1p(len(words)) / 6, b.linked / n, sum(map(b.text.count, ".,;:!?")) / n * 10,
             b.text[-1] in ".!?\"'", i / max(len(blocks) - 1, 1), 1.0 if i == 0 else 0.0, min(len(b.path), 12) / 12)
     return out
 
