@@ -246,7 +246,13 @@ def test_filters():
     assert filters.parse_flow_selector("10.0.0.1:1 <-> 10.0.0.2:2/tcp") == {"src": "10.0.0.1", "src_port": 1, "dst": "10.0.0.2", "dst_port": 2, "proto": "tcp"}
     assert filters.parse_flow_selector("fe80::1 <- :443")["src"] == "fe80::1" and filters.parse_flow_selector("x") is None
     assert filters.parse_flow_selector("a:1-b:2")["dst_port"] == 2 and filters.parse_flow_selector("a:1 b")["dst"] == "b"
-    assert filters.module_regex([]) == r"(?!x)x" and filters.resolve_module_set(replace_modules=["x"]) == {"x"}
+    assert filters.module_set(instead=["x", " "]) == {"x"} and "ndis.sys" in filters.module_set(extra=["y"]) >= {"y"}
+
+
+def test_several_modules(spark):
+    df = spark.createDataFrame([("a.SYS",), ("b.sys",), (None,)], "module string")
+    kept = lambda names: sorted(r[0] for r in df.where(filters.matches_module(F.col("module"), names)).collect())
+    assert kept({"a.sys", "zz"}) == ["a.SYS"] and kept([]) == [] and kept("a.sys|B") == ["a.SYS", "b.sys"]
 
 
 def test_store_round_trip(spark, tmp_path):

@@ -155,19 +155,10 @@ def mentions_lock(stack_text: Column) -> Column:
 
 
 def contention_site(stack_text: Column) -> Column:
-    """``lock frame <- caller`` for the first lock frame, else the first frame."""
-    frames = F.when(stack_text.contains(" / "), F.split(stack_text, " / ")).when(
-        stack_text.contains("\n"), F.split(stack_text, "\n")
-    ).otherwise(F.split(stack_text, " <- "))
-    several = stack_text.rlike(r" / |\n| <- ")
-    hits = F.filter(
-        F.sequence(F.lit(0), F.size(frames) - 1),
-        lambda i: F.get(frames, i).rlike("(?i)" + "|".join(LOCK_SITES)),
-    )
-    first = F.get(hits, F.lit(0))
-    caller = F.coalesce(F.trim(F.get(frames, first + 1)), F.lit("?"))
-    return (
-        F.when(~several, stack_text)
-        .when(first.isNotNull(), F.concat(F.trim(F.get(frames, first)), F.lit(" <- "), caller))
-        .otherwise(F.trim(F.get(frames, F.lit(0))))
-    )
+    """``lock frame <- caller`` for the first lock frame, else the first frame; a lone frame as it is."""
+    frames = F.transform(F.split(stack_text, r" / |\n| <- "), lambda frame: F.trim(frame))
+    # the last frame has no caller
+    calls = F.zip_with(frames, F.slice(frames, 2, F.size(frames)), lambda frame, caller: F.struct(frame.alias("frame"), F.coalesce(caller, F.lit("?")).alias("caller")))
+    lock = F.get(F.filter(calls, lambda call: call["frame"].rlike("(?i)" + "|".join(LOCK_SITES))), 0)
+    return F.when(F.size(frames) == 1, stack_text).otherwise(
+        F.coalesce(F.concat(lock["frame"], F.lit(" <- "), lock["caller"]), F.get(frames, 0)))

@@ -64,7 +64,7 @@ def dpc_summary(histogram: DataFrame, *, module_filter: str | None = None) -> Da
     ``mid_pct`` holds the 8 to 16 µs bucket only, as bucket bounds must lie in 5 to 20.
     """
     rows = histogram.where(F.col("module") != ALL_MODULES)
-    if module_filter:
+    if module_filter not in (None, ""):
         rows = rows.where(matches_module(F.col("module"), module_filter))
     return rows.groupBy("trace_id", "module").agg(
         F.sum("events").alias("events"),
@@ -114,7 +114,7 @@ def dpc_per_cpu(events: DataFrame, meta: DataFrame) -> DataFrame:
 def dpc_cpu_report(per_cpu: DataFrame, *, module_filter: str | None = None) -> DataFrame:
     """Per module: total time, CPUs that served it and the busiest of them."""
     rows = per_cpu
-    if module_filter:
+    if module_filter not in (None, ""):
         rows = rows.where(matches_module(F.col("module"), module_filter))
     busiest = F.max_by(F.struct("cpu", "dpc_us"), F.struct(F.col("dpc_us"), -F.col("cpu")))
     return rows.groupBy("trace_id", "module").agg(

@@ -367,7 +367,7 @@ def lock_events(
         waits, cpu_filter=cpu_filter, cpu="ready_cpu", start_time=start_time, end_time=end_time,
         ts="ready_us",
     )
-    if module_filter:
+    if module_filter not in (None, ""):
         rows = rows.where(matches_module(F.col("stack_text"), module_filter))
     if function_filter:
         rows = rows.where(contains_text(F.col("stack_text"), function_filter))

@@ -161,7 +161,7 @@ def hot_stacks(
         base="_all", denominator=denominator, lps=lps, seconds=seconds,
     ).select("trace_id", "denominator")
     rows = weights
-    if module_filter:
+    if module_filter not in (None, ""):
         rows = rows.where(matches_module(F.col("module"), module_filter))
     if function_filter:
         rows = rows.where(contains_text(F.col("function"), function_filter))
@@ -180,7 +180,7 @@ def flat_stacks(
     """Exclusive weights from plain samples, for traces without stacks."""
     totals = samples.groupBy("trace_id").agg(F.sum("weight").cast("double").alias("denominator"))
     rows = samples
-    if module_filter:
+    if module_filter not in (None, ""):
         rows = rows.where(contains_text(F.col("module"), module_filter))
     if function_filter:
         rows = rows.where(contains_text(F.col("function"), function_filter))
@@ -192,7 +192,7 @@ def flat_stacks(
 def best_node(weights: DataFrame, function_filter: str, module_filter: str | None = None) -> DataFrame:
     """Per trace, the function with the highest inclusive weight that matches the text."""
     rows = weights.where(contains_text(F.col("function"), function_filter))
-    if module_filter:
+    if module_filter not in (None, ""):
         rows = rows.where(matches_module(F.col("module"), module_filter))
     return rows.groupBy("trace_id").agg(
         F.max_by(F.struct("module", "function", "inclusive"), F.struct("inclusive", "module", "function")).alias("_n")

@@ -301,7 +301,7 @@ def _(t):
 
 @query("network_hot_functions", _hot_sql(where="lower(module) IN ('tcpip.sys','ndis.sys','xdp.sys','afd.sys','ws2_32.dll')"))
 def _(t):
-    modules = sorted(filters.resolve_module_set())
+    modules = sorted(filters.module_set())
     return cpu.hot_functions(t["labelled"], modules=modules)
 
 
@@ -420,7 +420,7 @@ WITH {WAITS}, x AS (SELECT trace_id, count(*) AS switches, count(CASE WHEN {LOCK
   CAST(max(CASE WHEN {LOCKS} THEN wait_us END) AS DOUBLE) AS max_wait_us FROM w WHERE stack_text LIKE '%drv!%' OR stack_text LIKE '%fs!%' GROUP BY trace_id)
 SELECT *, round(lock_switches * 100.0 / switches, 4) AS lock_pct, CASE WHEN lock_switches * 100.0 / switches > 10 THEN 'alert' WHEN lock_switches * 100.0 / switches > 5 THEN 'moderate' ELSE 'healthy' END AS level FROM x""")
 def _(t):
-    modules = filters.module_regex(filters.resolve_module_set(replace_modules=["drv!", "fs!"]))
+    modules = filters.module_set(instead=["drv!", "fs!"])
     return sched.lock_contention(sched.lock_events(_waits(t), module_filter=modules))
 
 
@@ -524,7 +524,7 @@ def _(t):
 
 @query("network_dpc_summary", _dpc_sql("module IN ('mlx5.sys', 'NDIS.SYS', 'tcpip.sys')"))
 def _(t):
-    names = filters.module_regex(filters.resolve_module_set())
+    names = filters.module_set()
     return interrupts.dpc_summary(interrupts.duration_histogram(t["dpc"]), module_filter=names)
 
 

@@ -286,7 +286,7 @@ def _(t):
     m = F.col("module")
     return t["labelled"].groupBy(
         "module", filters.matches_module(m, "TCPIP|XDP").alias("as_pattern"), filters.matches_module(m, ".SYS").alias("as_text"),
-        filters.in_modules(m, filters.resolve_module_set(extra_modules=["net.sys"])).alias("in_set"),
+        filters.in_modules(m, filters.module_set(extra=["net.sys"])).alias("in_set"),
         filters.receive_path(m, F.col("function")).alias("receive_path"),
     ).agg(F.count(F.lit(1)).alias("n"))
 

@@ -73,7 +73,7 @@ def _(t):
 @query("network_hot_stacks", f"WITH {WEIGHTS} {HOT} WHERE (module ILIKE '%brand#2%' OR module ILIKE '%brand#7%') AND inclusive >= total * 0.3 / 100")
 def _(t):
     weights = stacks.stack_weights(_samples(t), t["frame_names"])
-    names = filters.module_regex(filters.resolve_module_set(replace_modules=["brand#2", "brand#7"]))
+    names = filters.module_set(instead=["brand#2", "brand#7"])
     return stacks.hot_stacks(weights, module_filter=names, min_weight_pct=0.3)
 
 
