@@ -52,10 +52,16 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def discard(kept: DataFrame) -> None:
-    """Remove a kept table that nothing will read again."""
-    files, place = folder_of(kept.sparkSession, kept.kept_at)
+    """Remove a kept table that nothing will read again, and let Spark drop the shuffles behind tables already written.
+
+    Spark's cleaner removes a shuffle's files once the driver's memory no longer refers to it, so the driver is
+    asked to collect garbage; otherwise the files of all steps of a long job lie side by side.
+    """
+    spark = kept.sparkSession
+    files, place = folder_of(spark, kept.kept_at)
     files.delete(place, True)
     _kept.remove(kept.kept_at)
+    spark.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
@@ -65,16 +71,24 @@ def release(spark: SparkSession) -> None:
         files.delete(place, True)
 
 
+# a filter of at most 16 MB, for up to so many keys; of more keys it lets more rows through, which the join then drops
+_FILTERS = {
+    "applicationSideScanSizeThreshold": "0", "creationSideThreshold": "256MB", "maxNumItems": "16000000", "maxNumBits": "134217728",
+}
+
+
 @contextmanager
 def filtered_joins(spark: SparkSession) -> Iterator[None]:
     """Inside, Spark may filter the large side of a join by a Bloom filter of the small side, at any table size."""
-    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "0")
+    names = {f"spark.sql.optimizer.runtime.bloomFilter.{k}": v for k, v in _FILTERS.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
