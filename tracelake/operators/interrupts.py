@@ -126,6 +126,18 @@ def dpc_cpu_report(per_cpu: DataFrame, *, module_filter: str | None = None) -> D
     )
 
 
+def dpc_from_samples(sampling: DataFrame, *, module_filter: str | None = None) -> DataFrame:
+    """Weight and share per module from CPU samples, for traces without interrupt events.
+
+    An approximation: samples do not say whether a module ran as a deferred call.
+    """
+    rows = sampling
+    if module_filter not in (None, ""):
+        rows = rows.where(contains_text(F.col("module"), module_filter))
+    sums = rows.groupBy("trace_id", "module").agg(F.sum("weight").alias("weight"))
+    return with_share(sums, ["trace_id"], "weight", "pct")
+
+
 def network_cpus(per_cpu: DataFrame, modules: Iterable[str] = NETWORK_KERNEL_MODULES) -> DataFrame:
     """CPUs on which a network module's calls ran."""
     return per_cpu.where(in_modules(F.col("module"), modules)).select("trace_id", "cpu").distinct()

@@ -255,9 +255,18 @@ def largest_changes(compared: DataFrame, delta: str, keys: Sequence[str], limit:
 def consolidated_report(
     *, meta: DataFrame, timeline: DataFrame, sampling: DataFrame, histogram: DataFrame,
     modules: str | None = None, functions: int | None = None,
+    start_time: float | None = None, end_time: float | None = None,
 ) -> DataFrame:
     """System, CPU bands, hot functions, symbol gaps and interrupt health as
-    ``trace_id, section, metric, value`` rows; ``functions`` keeps the hottest of each trace."""
+    ``trace_id, section, metric, value`` rows; ``functions`` keeps the hottest of each trace.
+
+    A range in seconds holds for the CPU bands, by the buckets that lie within it; the other tables
+    have no time.
+    """
+    if start_time is not None:
+        timeline = timeline.where(F.col("start_us") >= F.lit(start_time * 1e6))
+    if end_time is not None:
+        timeline = timeline.where(F.col("end_us") <= F.lit(end_time * 1e6))
 
     def long(df: DataFrame, section: str, metrics: dict[str, Column]) -> DataFrame:
         rows = F.array(*[F.struct(F.lit(n).alias("metric"), c.cast("double").alias("value")) for n, c in metrics.items()])

@@ -200,12 +200,15 @@ def best_node(weights: DataFrame, function_filter: str, module_filter: str | Non
 
 
 def function_relations(
-    edges: DataFrame, function_filter: str, *, module_filter: str | None = None, direction: str = "callers"
+    edges: DataFrame, function_filter: str, *, module_filter: str | None = None, direction: str = "callers",
+    weights: DataFrame | None = None, denominator: str = "trace", usage: DataFrame | None = None,
+    lps: int | None = None, seconds: float | None = None,
 ) -> DataFrame:
     """Callers or callees of the matching functions, as shares of the relation's total.
 
     Functions that match as a target are used; a trace without one is searched for the text on
-    the other end of its edges (``matched_as`` tells which).
+    the other end of its edges (``matched_as`` tells which). With the ``weights`` of the functions each
+    edge also has its share of a ``denominator``; a CPU filter enters through ``usage``.
     """
     kinds = {"callers": ["caller"], "callees": ["callee"], "both": ["caller", "callee"]}[direction]
 
@@ -223,12 +226,17 @@ def function_relations(
         .where(F.col("direction").isin(kinds))
     )
     totals = rows.groupBy("trace_id").agg(F.sum("weight").alias("relation_weight"))
-    return rows.join(totals, "trace_id").withColumn(
-        "relation_pct", F.col("weight") / F.col("relation_weight") * 100.0
-    ).select(
+    shared = rows.join(totals, "trace_id").withColumn("relation_pct", F.col("weight") / F.col("relation_weight") * 100.0).select(
         "trace_id", "target_module", "target_function", "direction", "caller_module",
         "caller_function", "weight", "relation_weight", "relation_pct", "matched_as",
     )
+    if weights is None:
+        return shared
+    whole = with_denominator(
+        weights.groupBy("trace_id").agg(F.sum("exclusive").alias("_all")), usage,
+        base="_all", denominator=denominator, lps=lps, seconds=seconds,
+    ).select("trace_id", "denominator")
+    return shared.join(whole, "trace_id").withColumn("denominator_pct", F.col("weight") / F.col("denominator") * 100.0)
 
 
 def _key(module: str, function: str) -> Column:

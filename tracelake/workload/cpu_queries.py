@@ -68,6 +68,23 @@ def _(t):
     return places.select("trace_id", "address", "module")
 
 
+@query("address_modules_of_overlapping_images", """
+SELECT a.trace_id, a.address, coalesce(regexp_extract(lower(arg_max(i.file_name, i.image_base)), '([^/]+)$', 1), '<unknown>') AS module
+FROM (SELECT DISTINCT trace_id, address FROM samples) a
+LEFT JOIN image i ON i.trace_id = a.trace_id AND i.image_base <= a.address AND a.address < i.image_base + CASE WHEN i.seq % 6 = 1 THEN 12288 ELSE 4096 END GROUP BY ALL""")
+def _(t):
+    # every sixth image reaches over the two that follow it: the one that begins last counts
+    image = t["image"].withColumn("image_size", F.expr("CAST(CASE WHEN seq % 6 = 1 THEN 12288 ELSE 4096 END AS BIGINT)"))
+    return resolve_addresses(t["samples"], image).select("trace_id", "address", "module")
+
+
+@query("dpc_from_samples", """
+WITH s AS (SELECT trace_id, module, CAST(sum(weight) AS BIGINT) AS weight FROM sampling WHERE module ILIKE '%.sys%' GROUP BY ALL)
+SELECT *, round(weight * 100.0 / sum(weight) OVER (PARTITION BY trace_id), 4) AS pct FROM s""")
+def _(t):
+    return interrupts.dpc_from_samples(t["sampling"], module_filter=".SYS")
+
+
 @query("address_functions", f"""
 WITH {PLACED} SELECT trace_id, address, module, function, symbol_source FROM placed""")
 def _(t):

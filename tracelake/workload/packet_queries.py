@@ -266,3 +266,24 @@ WITH {PACKETS} SELECT trace_id, seq, flow FROM pf WHERE NOT cut AND local_addr =
 def _(t):
     rows = packets.decoded_flows(_frames(t), *packets.ENDS)
     return rows.where(filters.flow_predicate(":443 -> 10.0.0.5:0")).where("ip_src IS NOT NULL").select("trace_id", "seq", "flow")
+
+
+# a selector of every form, and the packets it stands for; packets without addresses match where no protocol is named
+SELECTORS = {
+    "192.168.0.7:443 -> :0/tcp": "kind = 6 AND NOT cut AND remote_addr = '192.168.0.7'",
+    ":0 <-> 192.168.0.7:443/udp": "kind = 17 AND NOT cut AND remote_addr = '192.168.0.7'",
+    "192.168.0.7:443 <- :0/UDP": "kind = 17 AND NOT cut AND remote_addr = '192.168.0.7'",
+    "10.0.0.5:0-192.168.0.7:0": "cut OR (local_addr = '10.0.0.5' AND remote_addr = '192.168.0.7')",
+    "10.0.0.5:0 192.168.0.7": "cut OR (local_addr = '10.0.0.5' AND remote_addr = '192.168.0.7')",
+    "[2001:db8::1:5]:0 -> :443/tcp": "kind = 6 AND NOT cut AND local_addr = '2001:db8::1:5'",
+    "2001:db8::2:7 <- :0/icmpv6": "kind = 58 AND NOT cut AND remote_addr = '2001:db8::2:7'",
+}
+
+
+@query("flow_selectors", f"WITH {PACKETS} " + " UNION ALL ".join(
+    f"SELECT trace_id, '{text}' AS selector, count(*) AS packets FROM pf WHERE {rows} GROUP BY trace_id" for text, rows in SELECTORS.items()))
+def _(t):
+    rows = packets.decoded_flows(_frames(t), *packets.ENDS)
+    counts = [F.count_if(filters.flow_predicate(text)).alias(f"n{i}") for i, text in enumerate(SELECTORS)]
+    listed = F.explode(F.array(*[F.struct(F.lit(text).alias("selector"), F.col(f"n{i}").alias("packets")) for i, text in enumerate(SELECTORS)]))
+    return rows.groupBy("trace_id").agg(*counts).select("trace_id", listed.alias("s")).select("trace_id", "s.*").where("packets > 0")

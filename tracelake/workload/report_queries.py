@@ -248,6 +248,14 @@ def _(t):
     )
 
 
+@query("consolidated_report_of_range", REPORT.replace("FROM tl GROUP BY ALL)", f"FROM tl WHERE start_us >= {2 * DAY} AND end_us <= {9 * DAY} GROUP BY ALL)", 1))
+def _(t):
+    return report.consolidated_report(
+        meta=t["meta"], timeline=_timeline(t), sampling=t["sampling"], histogram=interrupts.duration_histogram(t["dpc"]), functions=15,
+        start_time=2 * DAY_S, end_time=9 * DAY_S,
+    )
+
+
 @query("percentile_summary", """
 SELECT trace_id, cpu, count(*) AS count, CAST(min(value) AS DOUBLE) AS min, max(value) AS max, round(avg(value), 4) AS mean, round(quantile_cont(value, 0.5), 4) AS p50,
   round(quantile_cont(value, 0.95), 4) AS p95, round(quantile_cont(value, 0.99), 4) AS p99, round(quantile_cont(value, 0.999), 4) AS p999 FROM base GROUP BY ALL""")

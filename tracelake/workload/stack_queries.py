@@ -115,6 +115,17 @@ def _(t):
     return stacks.function_relations(_aggregates(t)[1], "red", module_filter="Brand#1", direction="callees")
 
 
+@query("function_relations_of_active_cpus", f"""SELECT m.*, round(total / 2.0, 4) AS denominator, round(weight / (total / 2.0) * 100.0, 4) AS denominator_pct
+FROM ({_relations('caller').replace("AND direction = 'caller'", "AND direction IN ('caller', 'callee')")}) m JOIN (WITH {WEIGHTS} SELECT * FROM tot) t ON t.trace_id = m.trace_id""")
+def _(t):
+    weights, edges = _aggregates(t)
+    # twice as many CPUs as had samples: half of them idle throughout
+    meta = t["meta"].withColumn("cpu_count", F.col("cpu_count") * 2)
+    usage = cpu.cpu_usage_scalars(cpu.cpu_timeline(t["base"], meta, bucket_seconds=DAY_S, sample_rate_hz=RATE), meta)
+    return stacks.function_relations(
+        edges, "red", module_filter="Brand#1", direction="both", weights=weights, denominator="active_cpus", usage=usage)
+
+
 WALK = f"""
 WITH RECURSIVE {EDGES}, root AS (SELECT trace_id, arg_max(module, (inclusive, module, function)) AS module, arg_max(function, (inclusive, module, function)) AS function, max(inclusive) AS inclusive
    FROM sw WHERE function ILIKE '%bolt%' GROUP BY trace_id),
