@@ -95,6 +95,13 @@ def test_interval_join_matches_loop(spark):
         assert found[a] == (max(inside, key=lambda i: (i[1], i[3]))[3] if inside else None)
 
 
+def test_damaged_intervals_are_an_error(spark):
+    points = spark.createDataFrame([("t", 5)], "trace_id string, a long")
+    images = spark.createDataFrame([("t", 0, 1 << 50, "x")], "trace_id string, base long, size long, module string")
+    with pytest.raises(Exception, match="is 1125899906842624 long"):
+        containing_interval(points, images, ["trace_id"], point="a", start="base", length="size", payload=["module"]).collect()
+
+
 def fifo(rows, window):
     """The pairing rule as a loop."""
     pairs, pending = [], {}

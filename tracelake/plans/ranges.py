@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BIN_BITS = 16
+MOST_BINS = 1 << 20  # of one interval: 64 GB at the width above
 
 
 def containing_interval(
@@ -25,23 +26,18 @@ def containing_interval(
 
     Intervals are listed under every ``2**bin_bits`` wide bin they touch and meet the points in
     an equi-join on the bin, so a task holds the points of one bin only. ``points`` must be
-    distinct on ``keys`` and ``point``; points outside every interval keep null payload.
+    distinct on ``keys`` and ``point``; points outside every interval keep null payload. An interval of
+    more than ``MOST_BINS`` bins, such as a damaged size makes, is an error, not a job without end.
     """
     keys = list(keys)
     width = 2**bin_bits
 
+    first, last = F.expr(f"_start div {width}"), F.expr(f"(_start + _length - 1) div {width}")
+    too_long = F.raise_error(F.format_string("an interval at %d is %d long", "_start", "_length")).cast("array<bigint>")
     listed = (
         intervals.where(F.col(length) > 0)
         .select(*keys, F.col(start).alias("_start"), F.col(length).alias("_length"), *payload)
-        .withColumn(
-            "_bin",
-            F.explode(
-                F.sequence(
-                    F.expr(f"_start div {width}"),
-                    F.expr(f"(_start + _length - 1) div {width}"),
-                )
-            ),
-        )
+        .withColumn("_bin", F.explode(F.when(F.col("_length") / width > MOST_BINS, too_long).otherwise(F.sequence(first, last))))
     )
     binned = points.withColumn("_bin", F.expr(f"`{point}` div {width}"))
     listed = listed.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_bin").alias("_k_bin"), "_start", "_length", *payload)
