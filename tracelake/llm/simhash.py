@@ -383,16 +383,19 @@ def near_copy_groups(plain: DataFrame, threshold: float) -> tuple[DataFrame, Dat
     def paired(candidates: DataFrame) -> DataFrame:
         return candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
+    # most keys have two nodes, which meet in their key's aggregate; only the others need a join
+    node, more = F.struct("num", "size", "at"), shared.where("met > 2")
+    twos = shared.where("met = 2").groupBy("key").agg(F.min(node).alias("m"), F.max(node).alias("h")).select("m", "h")
     central = shared.groupBy("num").agg(F.sum("met").alias("central"))
-    heads = shared.join(central, "num").groupBy("key").agg(F.max(F.struct("central", "num", "size", "at")).alias("h"))
+    heads = more.join(central, "num").groupBy("key").agg(F.max(F.struct("central", "num", "size", "at")).alias("h"))
+    several = more.select("key", node.alias("m")).join(heads.select("key", F.struct("h.num", "h.size", "h.at").alias("h")), "key").select("m", "h")
     stars = keep(paired(
-        shared.select("key", F.struct("num", "size", "at").alias("m")).join(heads, "key")
-        .where((F.col("m.num") != F.col("h.num")) & _may_match("m", "h", threshold))
+        twos.union(several).where((F.col("m.num") != F.col("h.num")) & _may_match("m", "h", threshold))
         .select(F.col("m.num").alias("x"), F.col("h.num").alias("y"))
     ))
     near = _verified(stars, nodes, plain, threshold)
     labels = components(near)
-    placed = shared.select("key", "num", "size", "at").join(labels.withColumnsRenamed({"node": "num"}), "num", "left").withColumn("label", F.coalesce("label", "num"))
+    placed = more.select("key", "num", "size", "at").join(labels.withColumnsRenamed({"node": "num"}), "num", "left").withColumn("label", F.coalesce("label", "num"))
     # keys whose nodes lie in several groups, and the group that has most of them
     several = (
         placed.groupBy("key", "label").agg(F.count("*").alias("n"))
