@@ -220,12 +220,10 @@ def connection_dimension(tables: list[DataFrame], key: str, *, need_endpoint: bo
 
 def enrich_by_connection(
     df: DataFrame, dimension: DataFrame | None, key: str | None, process: DataFrame | None,
-    *, spread: tuple[str, ...] = ("seq",),
 ) -> DataFrame:
     """Fill blank endpoints, process ids and names from the connection and process records.
 
-    Only blanks are filled. A hot connection is spread over salts when its facts meet a
-    dimension too large to broadcast.
+    Only blanks are filled.
     """
     out = df
     if dimension is not None and key is not None:

@@ -69,7 +69,7 @@ def traffic(
         F.sum(count).alias("retransmits"), F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us"),
     )
     if dimension is not None or process is not None:
-        sums = enrich_by_connection(sums, dimension, "conn_id" if dimension is not None else None, process, spread=("first_us",))
+        sums = enrich_by_connection(sums, dimension, "conn_id" if dimension is not None else None, process)
     return sums
 
 
