@@ -548,3 +548,11 @@ def test_top_k_matches_all_products(spark, n, width, monkeypatch):
     got = topk.top_inner_products(df.union(odd), F.col("vec_id") % 20 == 0)
     assert {tuple(r) for r in got.collect()} == want
     assert topk.top_inner_products(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_top_k_of_repeated_rows(spark):
+    rows = [(0, [1.0, 2.0]), (0, [0.5, 9.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (2, [3.0, 0.0]), (None, [1.0, 1.0]), (3, None), (4, [float("nan"), 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "row": F.lit(2), "vec": F.lit("x"), "asks": F.lit(3)})
+    got = [tuple(r) for r in topk.top_inner_products(df, F.col("vec_id") == 0, 3).collect()]
+    assert sorted(got) == [(0, 1, 1, 32 * 64 + 576 * 64), (0, 2, 1, 32 * 64 + 576 * 64), (0, 3, 2, 32 * 192)]
+    assert topk.top_inner_products(df.limit(0), F.col("vec_id") == 0).count() == 0

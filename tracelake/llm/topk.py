@@ -93,21 +93,21 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = 20, scale:
 
     Components become ``floor(scale * x)``. Rows with a null id, a null vector, or a null or
     non-finite component take no part. A shorter vector counts as padded by zeros. Rows that share
-    the query's id are its own and no candidates; a repeated query row is searched once, repeated
-    candidate rows each count. With fewer candidates than k, all are returned.
+    the query's id are its own and no candidates; a repeated query id is searched once, with the least of its
+    vectors, repeated candidate rows each count, and are dealt over shards like others. With fewer candidates than k, all are returned.
     """
     x = F.col("embedding")
     whole = keep(
         vectors.where(x.isNotNull() & F.col("vec_id").isNotNull())
         .select(F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("asks"), x.cast("array<double>").alias("x"))
         .where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))))
-        .select("vec_id", "asks", F.transform("x", lambda v: F.floor(v * scale)).alias("vec"))
+        .select("vec_id", "asks", F.transform("x", lambda v: F.floor(v * scale)).alias("vec"), F.monotonically_increasing_id().alias("row"))
     )
-    asking = whole.where("asks").select("vec_id", "vec").dropDuplicates(["vec_id"])
+    asking = whole.where("asks").groupBy("vec_id").agg(F.min("vec").alias("vec"))
     n, n_queries = whole.count(), asking.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-n_queries // BLOCK))
     pairs = [F.sequence(F.lit(0), F.lit(blocks - 1)), F.sequence(F.lit(0), F.lit(shards - 1))]
-    ours = whole.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(shards)).cast("int").alias("shard"), F.explode(pairs[0]).alias("block"))
+    ours = whole.select("vec_id", "vec", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int").alias("shard"), F.explode(pairs[0]).alias("block"))
     theirs = asking.select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(pairs[1]).alias("shard"))
     found = theirs.groupBy("block", "shard").cogroup(ours.groupBy("block", "shard")).applyInPandas(_searched(k), _FOUND)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
