@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,9 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
-_kept: list[str] = []
+# tables written and not removed yet, by the caller they are kept for
+_kept: dict[str, list[str]] = defaultdict(list)
+_caller: ContextVar[str] = ContextVar("caller", default="")
 
 
 def query(name: str, check: str | None = None):
@@ -39,15 +43,18 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back; ``release`` or the end of the application removes it."""
+    """Write ``df`` once to the shared folder and read it back.
+
+    ``discard``, ``release`` of the caller it is kept for, or the end of the application removes it.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/text/{uuid.uuid4().hex}"
     files, place = folder_of(spark, path)
     files.deleteOnExit(place)
     df.write.parquet(path)
-    _kept.append(path)
+    _kept[_caller.get()].append(path)
     out = spark.read.schema(df.schema).parquet(path)
-    out.kept_at = path
+    out.kept_at, out.kept_for = path, _caller.get()
     return out
 
 
@@ -60,14 +67,24 @@ def discard(kept: DataFrame) -> None:
     spark = kept.sparkSession
     files, place = folder_of(spark, kept.kept_at)
     files.delete(place, True)
-    _kept.remove(kept.kept_at)
+    _kept[kept.kept_for].remove(kept.kept_at)
     spark.sparkContext._jvm.System.gc()
 
 
-def release(spark: SparkSession) -> None:
-    """Remove all kept tables. Only for a caller who has written every result that reads them."""
-    while _kept:
-        files, place = folder_of(spark, _kept.pop())
+@contextmanager
+def keeping_for(caller: str) -> Iterator[None]:
+    """Tables kept inside are those of ``caller``, who may release them without touching others'."""
+    token = _caller.set(caller)
+    try:
+        yield
+    finally:
+        _caller.reset(token)
+
+
+def release(spark: SparkSession, caller: str) -> None:
+    """Remove the tables kept for a caller, who has written every result that reads them."""
+    while _kept[caller]:
+        files, place = folder_of(spark, _kept[caller].pop())
         files.delete(place, True)
 
 
