@@ -127,6 +127,16 @@ def test_repair_of_odd_rows(turns):
     assert repair.repaired_conversations(turns.limit(0)).count() == 0
 
 
+def test_repair_keeps_large_numbers(spark):
+    big = (1 << 62) + 1
+    rows = [(big, big, "user", "a."), (big, -big, "assistant", "b."), (big, None, "user", "c."), (None, 1, "user", "d."), (big + 1, 5, "user", "e.")]
+    out = {r["conv_id"]: r for r in repair.repaired_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(out) == {big, big + 1, None}
+    small = [(big, 1 << 60, "user", "a."), (big, 3, "assistant", "b."), (None, 1, "user", "d.")]
+    got = {r["conv_id"]: r["gaps"] for r in repair.repaired_conversations(spark.createDataFrame(small, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {big: (1 << 60) - 3 + 1 - 2, None: 0}
+
+
 def test_repair_without_rows_left(spark):
     gone = next(c for c in range(100) if zlib.crc32(f"{c}:0".encode()) % 20 == 0)
     df = spark.createDataFrame([(gone, 0, "user", "hello.")], "conv_id long, turn long, role string, text string")

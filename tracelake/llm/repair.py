@@ -34,6 +34,7 @@ from .common import query, sql_crc32, table
 
 STRIDE = 64
 _INFINITE = 1 << 60
+MOST = (1 << 63) - 1
 DELETE, INSERT, REROLE, TRUNCATED = 4, 3, 3, 3
 
 # places: nothing yet, after a system turn, after a user turn, after an assistant turn
@@ -161,13 +162,18 @@ class _Conversation:
             self.turns += 1
 
     def row(self) -> tuple:
-        gaps = 0 if self.low is None else self.high - self.low + 1 - self.turns
+        gaps = 0 if self.low is None else min(self.high - self.low + 1 - self.turns, MOST)
         cost, audit = cheapest_repair(self.rows)
         return (self.conv, gaps, *self.counts.values(), self.illegal, cost, audit)
 
 
-def _null(value):
-    return None if pd.isna(value) else int(value)
+def _number(text: str | None) -> int | None:
+    """Whole numbers travel as text: with nulls beside them, pandas would round large ones."""
+    return None if text is None else int(text)
+
+
+def _as_text(*names: str) -> dict[str, Column]:
+    return {name: F.col(name).cast("string") for name in names}
 
 
 def _framed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
@@ -181,13 +187,13 @@ def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for conv, turn, gone, digest, initial, blank, open_end in zip(
                 batch["conv_id"], batch["turn"], batch["gone"], batch["digest"], batch["initial"], batch["blank"],
                 batch["open_end"], strict=True):
-            conv = _null(conv)
+            conv = _number(conv)
             if now is None or now.conv != conv:
                 if now is not None:
                     out.append(now.row())
                 now = _Conversation(conv)
             if not gone:
-                now.add(_null(turn), bytes(digest), initial, blank, open_end)
+                now.add(_number(turn), bytes(digest), initial, blank, open_end)
         yield _framed(out, _NAMES)
     if now is not None:
         yield _framed([now.row()], _NAMES)
@@ -241,7 +247,7 @@ def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if now is not None:
                 out.append(now.row())
-            now = _Repaired(tuple(map(_null, fact[:-1])) + (fact[-1],))
+            now = _Repaired(tuple(map(_number, fact[:-1])) + (fact[-1],))
         yield _framed(out, [*_NAMES, "repaired_sha256"])
     if now is not None:
         yield _framed([now.row()], [*_NAMES, "repaired_sha256"])
@@ -260,7 +266,7 @@ def repaired_conversations(rows: DataFrame) -> DataFrame:
     there, but their conversation is still reported, with zeros, no edits and the hash of nothing if
     no row is left. Null role or text is one space. Rows stand in order of turn, nulls first; rows of
     one turn in order of a digest of role and text, so equal rows are neighbours. Rows with a null
-    conv_id are one conversation. Further columns are not read.
+    conv_id are one conversation. Gaps beyond a long are its largest value. Further columns are not read.
     """
     text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
     gone = F.coalesce("gone", F.lit(False)) if "gone" in rows.columns else F.lit(False)
@@ -273,7 +279,8 @@ def repaired_conversations(rows: DataFrame) -> DataFrame:
         "conv_id", "turn", "gone", "digest", F.substring("role", 1, 1).alias("initial"), blank.alias("blank"),
         (~blank & ~F.substring(trimmed, -1, 1).isin(".", "!", "?")).alias("open_end"))
     order = ["conv_id", F.asc_nulls_first("turn"), "digest"]
-    judged = small.repartition("conv_id").sortWithinPartitions(*order).mapInPandas(_judged, _FACTS)
+    in_order = small.repartition("conv_id").sortWithinPartitions(*order).withColumns(_as_text("conv_id", "turn"))
+    judged = in_order.mapInPandas(_judged, _FACTS)
 
     types = dict(c.split() for c in _FACTS.split(", ")) | {"turn": "long", "digest": "binary", "role": "string", "text": "string"}
     empty = lambda *names: [F.lit(None).cast(types[c]).alias(c) for c in names]
@@ -281,6 +288,7 @@ def repaired_conversations(rows: DataFrame) -> DataFrame:
     body = ready.where(~F.col("gone")).select("conv_id", *empty(*_NAMES[1:]), F.lit(1).alias("kind"), "turn", "digest", "role", "text")
     return (
         head.union(body).repartition("conv_id").sortWithinPartitions("conv_id", "kind", F.asc_nulls_first("turn"), "digest")
+        .select(*_as_text(*_NAMES[:-1]).values(), "audit", "role", "text").toDF(*_NAMES, "role", "text")
         .mapInPandas(_hashed, f"{_FACTS}, repaired_sha256 string")
     )
 
