@@ -177,7 +177,7 @@ def _as_text(*names: str) -> dict[str, Column]:
 
 
 def _framed(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype(dict.fromkeys(_NAMES[:-1], "Int64"))
+    return pd.DataFrame(rows, columns=names, dtype=object).astype(dict.fromkeys(_NAMES[:-1], "Int64"))
 
 
 def _judged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
