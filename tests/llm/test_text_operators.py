@@ -478,12 +478,14 @@ def test_archives_of_others(spark, tmp_path):
 
 def test_archived_digests_are_those_of_the_payloads(spark):
     html = "x" * 3_000_000
-    rows = [(1, "u", html, "s"), (2, "u", html, "s"), (2, "v", "b", "s"), (3, None, None, "s")]
+    big = (1 << 62) + 1
+    rows = [(1, "u", html, "s"), (2, "u", html, "s"), (2, "v", "b", "s"), (3, None, None, "s"), (big, "w", "c", "s"), (None, "w", "c", "s")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, sum string").withColumns({"first": F.lit(1), "n": F.lit(2)})
     got = [(r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.archived(pages).collect()]
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     assert sorted(got, key=str) == sorted(
-        [(1, len(html), sha(html), "revisit", 2), (2, len(html), sha(html), "response", None), (2, 1, sha("b"), "response", None), (3, 0, sha(""), "response", None)], key=str)
+        [(1, len(html), sha(html), "revisit", 2), (2, len(html), sha(html), "response", None), (2, 1, sha("b"), "response", None), (3, 0, sha(""), "response", None),
+         (big, 1, sha("c"), "response", None), (None, 1, sha("c"), "revisit", big)], key=str)
 
 
 # licenses and search
@@ -526,6 +528,9 @@ def test_licenses_match_all_templates_on_all_windows(spark):
     both = f"{license.TEMPLATES['MIT']} {license.TEMPLATES['MPL-2.0']}"
     assert [(a, license.spdx(n.name)) for a, _, n in scanner.notices(both)] == [(0, "MIT"), (0, "MPL-2.0")]
     permission = license.TEMPLATES["MIT (text)"].replace("The above", "\n\nThe above").replace("THE SOFTWARE IS", "\n\nTHE SOFTWARE IS")
+    big = (1 << 62) + 1
+    ids = license.licenses(spark.createDataFrame([(big, both), (None, both)], "doc_id long, text string")).select("doc_id").distinct().collect()
+    assert {r["doc_id"] for r in ids} == {big, None}
     docs = spark.createDataFrame([(1, f"Copyright me\n\n{permission}\n"), (None, both)], "doc_id long, text string")
     got = {(r["doc_id"], r["license"], r["line_no"], r["last_line"]) for r in license.licenses(docs).collect()}
     last = permission.count("\n") + 2

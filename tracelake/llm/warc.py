@@ -284,14 +284,12 @@ def write_warc(pages: DataFrame, folder: str) -> int:
         store.create_dir(root, recursive=True)
         out, name, n, size = None, "", 0, 0
         for batch in batches:
-            ids = batch["page_id"].astype("Int64")
-            links = batch["refers_to"].astype("Int64")
-            for page_id, url, html, link in zip(ids, batch["url"], batch["html"], links, strict=True):
+            for page_id, url, html, link in zip(batch["page_id"], batch["url"], batch["html"], batch["refers_to"], strict=True):
                 if out is None:
                     name = f"{uuid.uuid4().hex}.part"
                     out = store.open_output_stream(f"{root}/{name}", compression=None)
                     n = size = 0
-                page, target = (None if pd.isna(x) else int(x) for x in (page_id, link))
+                page, target = (None if x is None else int(x) for x in (page_id, link))
                 packed = record(page, url, utf8(html), target, str(uuid.uuid4()))
                 out.write(packed)
                 n, size = n + 1, size + len(packed)
@@ -306,7 +304,9 @@ def write_warc(pages: DataFrame, folder: str) -> int:
     total = 0
     store, root = store_of(folder)
     store.create_dir(root, recursive=True)
-    for row in pages.select("page_id", "url", "html", "refers_to").mapInPandas(write, "name string, n long").collect():  # one row per file
+    # ids as text: beside nulls, pandas would round large numbers
+    given = pages.selectExpr("CAST(page_id AS STRING) AS page_id", "url", "html", "CAST(refers_to AS STRING) AS refers_to")
+    for row in given.mapInPandas(write, "name string, n long").collect():  # one row per file
         store.move(f"{root}/{row['name']}", f"{root}/{row['name'].removesuffix('.part')}.warc.gz")
         total += row["n"]
     return total
