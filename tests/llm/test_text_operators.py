@@ -156,6 +156,17 @@ def test_one_of_each_group_is_exact_at_the_threshold(spark):
     assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
 
 
+@pytest.mark.parametrize("n, m", [(1, 1), (3, 900), (200, 260), (5000, 4600), (0, 4)])
+def test_parity_maps_never_differ_by_more_than_the_sets(n, m):
+    rng = np.random.default_rng(n)
+    for shared in {0, min(n, m) // 2, min(n, m)}:
+        both = np.unique(rng.integers(0, 1 << 63, n + m, dtype=np.uint64))
+        a, b = both[:n], np.concatenate([both[:shared], both[n:n + m - shared]])
+        total = simhash._close(0.8).func(*(__import__("pandas").Series([x]) for x in (simhash.parity(a), simhash.parity(b), len(a), len(b))))
+        reaches = 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b))
+        assert total[0] or not reaches
+
+
 # lines
 
 

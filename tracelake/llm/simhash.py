@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import LongType
+from pyspark.sql.types import BooleanType, LongType
 
 from .common import discard, filtered_joins, fresh, keep, lower_words, query, table
 from .graph import components
@@ -292,13 +292,46 @@ def _common(plain: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return known[order], len(known) - order
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for every slot, some two a shingle, that an odd number of shingles falls into."""
+    slots = 256
+    while slots < 2 * len(shingles):
+        slots *= 2
+    return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def _close(threshold: float):
+    """Whether two parity maps leave it open that sets of such sizes reach the threshold.
+
+    Maps differ in no more bits than the sets in members, which are at most ``(1 - t) / (1 + t)`` of both sizes.
+    The larger map is folded to the size of the smaller one.
+    """
+    most = (1 - threshold) / (1 + threshold)
+
+    def folded(a: np.ndarray, size: int) -> np.ndarray:
+        while len(a) > size:
+            a = a[:len(a) // 2] ^ a[len(a) // 2:]
+        return a
+
+    @pandas_udf(BooleanType())
+    def close(p: pd.Series, q: pd.Series, n: pd.Series, m: pd.Series) -> pd.Series:
+        out = []
+        for a, b, total in zip(p, q, n + m, strict=True):
+            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+            size = min(len(a), len(b))
+            out.append(int(np.bitwise_count(folded(a, size) ^ folded(b, size)).sum()) <= total * most + 1e-6)
+        return pd.Series(out, dtype=bool)
+
+    return close
+
+
 def _prefixed(common: tuple[np.ndarray, np.ndarray], threshold: float):
-    """Per text its digest, the number of its shingles and the rarest of them, the prefix that a match must share."""
+    """Per text its digest, the number and parity map of its shingles and the rarest of them, the prefix that a match must share."""
     known, place = common
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            node, size, keys = [], [], []
+            node, size, bits, keys = [], [], [], []
             for text in rows["text"]:
                 digest, shingles = _shingles(text)
                 late = np.zeros(len(shingles), np.int64)
@@ -308,8 +341,9 @@ def _prefixed(common: tuple[np.ndarray, np.ndarray], threshold: float):
                 wanted = len(shingles) - math.ceil(threshold * len(shingles) - 1e-9) + 1
                 node.append(digest)
                 size.append(len(shingles))
+                bits.append(parity(shingles))
                 keys.append(shingles[np.argsort(late, kind="stable")[:wanted]].view(np.int64))
-            yield pd.DataFrame({"doc": rows["doc"], "mark": rows["mark"], "node": node, "size": np.array(size, np.int32), "keys": keys})
+            yield pd.DataFrame({"doc": rows["doc"], "mark": rows["mark"], "node": node, "size": np.array(size, np.int32), "bits": bits, "keys": keys})
 
     return prefix
 
@@ -345,15 +379,22 @@ def _shingles_of(pairs: DataFrame, nodes: DataFrame, plain: DataFrame) -> DataFr
 
 
 def _verified(candidates: DataFrame, nodes: DataFrame, plain: DataFrame, threshold: float) -> DataFrame:
-    """``a, b`` of the candidates ``x, y`` whose shingles reach the threshold."""
-    shingles = _shingles_of(candidates, nodes, plain)
+    """``a, b`` of the candidates ``x, y`` whose shingles reach the threshold.
+
+    Parity maps, a few bytes a shingle less, leave few but true pairs; only their shingles are read again.
+    """
+    of_x = nodes.select(F.col("num").alias("x"), F.col("size").alias("n"), F.col("bits").alias("p"))
+    of_y = nodes.select(F.col("num").alias("y"), F.col("size").alias("m"), F.col("bits").alias("q"))
+    open_ = keep(candidates.join(of_x, "x").join(of_y, "y").where(_close(threshold)("p", "q", "n", "m")).select("x", "y"))
+    shingles = _shingles_of(open_, nodes, plain)
     both = F.size(F.array_intersect("p", "q"))
     near = keep(
-        candidates.join(shingles.select(F.col("num").alias("x"), F.col("shingles").alias("p")), "x")
+        open_.join(shingles.select(F.col("num").alias("x"), F.col("shingles").alias("p")), "x")
         .join(shingles.select(F.col("num").alias("y"), F.col("shingles").alias("q")), "y")
         .where(both >= threshold * (F.size("p") + F.size("q") - both))
         .select(F.col("x").alias("a"), F.col("y").alias("b")))
     discard(shingles)
+    discard(open_)
     return near
 
 
@@ -367,10 +408,10 @@ def near_copy_groups(plain: DataFrame, threshold: float) -> tuple[DataFrame, Dat
     pairs. Nodes of one group need no comparison. Past the grouping of equal word sequences, nodes go by a
     64-bit hash of their digest.
     """
-    wide = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, keys array<long>"))
+    wide = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, bits binary, keys array<long>"))
     first = F.min(F.struct("doc", "mark")).alias("first")
-    keyed = wide.groupBy("node").agg(first, F.first("size").alias("size"), F.first("keys").alias("keys"))
-    keyed = keep(keyed.select(F.xxhash64("node").alias("num"), "node", "first.doc", "first.mark", "size", "keys"))
+    keyed = wide.groupBy("node").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
+    keyed = keep(keyed.select(F.xxhash64("node").alias("num"), "node", "first.doc", "first.mark", "size", "bits", "keys"))
     rows = keep(wide.select("doc", "mark"))
     discard(wide)
     often = keep(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("met")).where("met > 1"))
