@@ -112,6 +112,8 @@ def test_walks(spark, butterfly):
     assert [(r.function, r.chain_hits) for r in walk] == [("lock", 1000), ("resolve", 700), ("interrupt", 630)]
     wide = stacks.walk_stack(weights, edges, "lock", branch_policy="threshold", branch_threshold_pct=20)
     assert {r.function for r in wide.collect()} == {"lock", "resolve", "recv", "interrupt"}
+    with pytest.raises(ValueError, match="more than 2 rows"):
+        stacks.walk_stack(weights, edges, "lock", branch_policy="threshold", branch_threshold_pct=20, max_rows=2)
     assert one(stacks.count_stacks(weights, edges, ["lock", "resolve"])).matching == 700
     table = export.chain_table(stacks.walk_stack(weights, edges, "lock", max_depth=1), dialect="wpa")
     assert table.columns == ["trace_id", "Level", "Function", "Inclusive Hits", "Parent %", "Chain Hits", "Branch"]

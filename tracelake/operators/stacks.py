@@ -243,10 +243,13 @@ def _key(module: str, function: str) -> Column:
     return F.concat(F.lower(module), F.lit("!"), F.lower(function))
 
 
+WALK_ROWS = 10_000_000
+
+
 def walk_stack(
     weights: DataFrame, edges: DataFrame, function_filter: str, *, module_filter: str | None = None,
     direction: str = "callers", branch_policy: str = "dominant", branch_threshold_pct: float = 5.0,
-    max_depth: int | None = None, max_rows: int | None = None, stop_at_modules: Sequence[str] = (),
+    max_depth: int | None = None, max_rows: int | None = WALK_ROWS, stop_at_modules: Sequence[str] = (),
 ) -> DataFrame:
     """Breadth-first walk over call edges from the best matching function.
 
@@ -255,10 +258,8 @@ def walk_stack(
     each level is written so that a lost executor costs no more than that level. The walk ends
     when a level has no row, or at ``max_depth`` where one is given. Paths of ``dominant`` are at most as
     long as there are functions; those of the other policies may be as many as there are orders of
-    them, so these need ``max_depth`` or ``max_rows``, and a walk of more rows than that is an error.
+    them, so a walk of more than ``max_rows`` rows is an error.
     """
-    if branch_policy != "dominant" and max_depth is None and max_rows is None:
-        raise ValueError("a walk that branches needs max_depth or max_rows")
     if branch_policy not in POLICIES:
         raise ValueError("branch_policy must be one of: " + ", ".join(POLICIES))
     if direction not in ("callers", "callees"):
