@@ -350,6 +350,19 @@ def archived(pages: DataFrame) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-@query("op5_warc")
+# the digest's 160 bits, five at a time from three hex digits
+CHECK = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS digest FROM pages),
+named AS (SELECT *, max(page_id) OVER (PARTITION BY digest) AS first FROM payloads),
+told AS (SELECT *, first IS NOT NULL AND page_id IS DISTINCT FROM first AS revisit FROM named)
+SELECT page_id, strlen(body)::BIGINT AS payload_bytes,
+    array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+        (((('0x' || substr(digest || '00', 5 * i // 4 + 1, 3))::BIGINT >> (7 - 5 * i % 4)) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+    CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN revisit THEN first END AS refers_to
+FROM told
+"""
+
+
+@query("op5_warc", CHECK)
 def op5(spark, folder):
     return archived(table(spark, folder, "pages"))
