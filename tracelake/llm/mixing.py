@@ -157,7 +157,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, most: int = MOST) ->
     )
     per_pass = F.floor((F.col("source_size") + (block - 1)) / block)
     taken_slots = (
-        completed(keep(schedule(targets, slots)), targets, block).join(targets.where("source_size > 0"), "rank")
+        completed(schedule(targets, slots), targets, block).join(targets.where("source_size > 0"), "rank")
         .withColumn("block", F.col("turn") % per_pass)
         .withColumn("length", F.least(F.lit(block).cast("long"), F.col("source_size") - F.col("block") * block))
         .withColumn("got", F.col("goal") - (F.floor(F.col("turn") / per_pass) * F.col("source_size") + F.col("block") * block))
