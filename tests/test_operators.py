@@ -378,3 +378,16 @@ def test_fnv(spark):
     cases = {"deadbeef": bytes.fromhex("deadbeef"), "0xCAFE-BABE": bytes.fromhex("cafebabe"), "xyz": b"xyz", "abc": b"abc"}
     rows = spark.createDataFrame([(c,) for c in cases], "c string").select("c", ids.fnv1a_32(ids.cid_bytes(F.col("c"))).alias("h")).collect()
     assert {r.c: r.h for r in rows} == {c: fnv(b) for c, b in cases.items()}
+
+
+def test_call_chain_walks_over_all_frame_names(spark, tmp_path):
+    from tracelake.workload.catalogue import QUERIES
+
+    write = lambda rows, columns, name: spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    write([(i, i, f"{'bolt' if i == 1 else 'gear'} {i}", "Brand#1") for i in range(1, 10)], "i int, p_partkey long, p_name string, p_brand string", "part")
+    write([(3, i, i, 1.0, 1.0) for i in range(1, 10)], "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double", "lineitem")
+    sample = spark.sql("SELECT 0L AS event_id, timestamp_micros(1704067201000000) AS ts, 1L AS user_id, 'view' AS event_type, 1.0D AS value, '{\"k\": 1}' AS props")
+    sample.write.parquet(f"{tmp_path}/events.parquet")
+    rows = QUERIES["call_chain"](spark, str(tmp_path)).orderBy("depth").collect()
+    assert [r["function"] for r in rows] == ["bolt_1", *(f"gear_{i}" for i in range(2, 10))]
+    assert [r["depth"] for r in rows] == list(range(9)) and {r["chain_hits"] for r in rows} == {4}

@@ -173,14 +173,15 @@ def _(t):
     return stacks.walk_stack(*_few(t), "fn3", branch_policy="threshold", branch_threshold_pct=16.0, max_rows=100_000)
 
 
-@query("call_chain", FEW.format(rank=1, depth=ALL_DEPTHS) + """
+@query("call_chain", WALK.format(rank=1, depth=ALL_DEPTHS) + """
 SELECT w.trace_id, depth, module, function, frame_hits, parent_pct, CAST(round_even(hits, 0) AS BIGINT) AS chain_hits, siblings, array_to_string(path, ' < ') AS path,
   'callers' AS direction, round(total / 2.0, 4) AS denominator, round(frame_hits / (total / 2.0) * 100.0, 4) AS denominator_pct FROM walk w JOIN tot ON tot.trace_id = w.trace_id""")
 def _(t):
     # twice as many CPUs as had samples: half of them idle throughout
     meta = t["meta"].withColumn("cpu_count", F.col("cpu_count") * 2)
     timeline = cpu.cpu_timeline(t["base"], meta, bucket_seconds=DAY_S, sample_rate_hz=RATE)
-    return stacks.call_chain(*_few(t), "fn3", usage=cpu.cpu_usage_scalars(timeline, meta))
+    weights, edges = stacks.stack_aggregates(_samples(t), t["frame_names"], keep=True)
+    return stacks.call_chain(weights, edges, "bolt", usage=cpu.cpu_usage_scalars(timeline, meta))
 
 
 @query("call_chain_table", FEW.format(rank=1, depth=ALL_DEPTHS) + """
