@@ -548,6 +548,39 @@ def test_licenses_match_all_templates_on_all_windows(spark):
     assert got == {(1, "MIT", 2, last), (None, "MIT", 0, 0), (None, "MPL-2.0", 0, 0)}
 
 
+def test_wording_is_aligned_by_the_best_way_of_all():
+    def agree(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + (x == y), new[-1], row[j + 1]))
+            row = new
+        return row[-1]
+
+    rng = np.random.default_rng(4)
+    for _ in range(150):
+        target, found = (rng.choice(list("abcdef"), rng.integers(1, most)).tolist() for most in (9, 14))
+        best = max(2 * agree(target, found[i:j]) / (len(target) + j - i) for i in range(len(found)) for j in range(i + 1, len(found) + 1))
+        start, end, n, similarity = license.aligned(target, found)
+        assert similarity == pytest.approx(best) and n == agree(target, found[start:end])
+        for least in (0.5, 0.8):
+            assert license.aligned(target, found, least)[3] == pytest.approx(best if best >= least else 0)
+    # the longest run of equal words is not on the best way
+    assert license.aligned(list("abcxyabc"), list("abxcyzabc"))[2:] == (7, pytest.approx(14 / 17))
+    assert license.differences(list("abcd"), list("axcde")) == "b => x;  => e"
+
+
+def test_blocks_are_compressed_and_ranked_before_wording_is_compared(monkeypatch):
+    scanner, tried, compare = license.Scanner(license.TEMPLATES), [], license.aligned
+    monkeypatch.setattr(license, "aligned", lambda target, found, least=0.0: tried.append((target, found)) or compare(target, found, least))
+    text = "we ship words under the " + license.TEMPLATES["MIT (text)"] + " more " + license.TEMPLATES["MPL-2.0"] + " and much more of the software"
+    assert [license.spdx(n.name) for _, _, n in scanner.notices(text)] == ["MIT", "MPL-2.0"]
+    name = {tuple(ws): name for name, ws in scanner.words.items()}
+    savings = [scanner.saving(" ".join(block), name[tuple(target)]) for target, block in tried]
+    assert len(savings) > 2 and savings == sorted(savings, reverse=True)
+
+
 @pytest.mark.parametrize("n, width", [(500, 8), (30, 3), (1, 4)])
 def test_top_k_matches_all_products(spark, n, width, monkeypatch):
     rng = np.random.default_rng(n)

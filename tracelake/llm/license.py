@@ -5,8 +5,8 @@ A notice that reaches ``SIMILARITY`` shares runs of words with its template: of
 lines, and the stretches that hold so many of a template's pairs are its candidate blocks; a text without
 them cannot hold the notice. Each block is compressed by zstandard on its own and with its template as
 a raw dictionary; templates are ranked by how much the dictionary saves, as a share of the block's own
-compressed size. All that save anything are confirmed by a word-by-word alignment: the similarity is the
-share of words that agree, and the differences are listed. Of notices that overlap the one with most
+compressed size. In that order all that save anything are confirmed by the best word-by-word alignment of any part of
+the block: the similarity is the share of words that agree, and the differences are listed. Of notices that overlap the one with most
 agreeing words stays, so a line may hold several notices and a notice may run over many lines.
 """
 
@@ -139,19 +139,68 @@ class Notice:
     differences: str
 
 
-def aligned(target: list[str], found: list[str]) -> tuple[int, int, int, float]:
-    """``start, end, agree, similarity`` of the part of ``found`` that agrees best with ``target``."""
-    runs = [m for m in SequenceMatcher(None, target, found, autojunk=False).get_matching_blocks() if m.size]
-    best = (0, 0, 0, 0.0)
-    for i, first in enumerate(runs):
-        agree = 0
-        for last in runs[i:]:
-            agree += last.size
-            start, end = first.b, last.b + last.size
-            similarity = 2 * agree / (len(target) + end - start)
-            if (similarity, agree) > (best[3], best[2]):
-                best = (start, end, agree, similarity)
-    return best
+def _scores(target: list[str], found: list[str], price: float) -> np.ndarray:
+    """Best ``2 agree - price * words`` of a part of ``found`` that ends before word j, over the first i words of ``target``.
+
+    Words of ``target`` that are left out cost nothing; a part may begin anywhere.
+    """
+    number: dict[str, int] = {}
+    a, b = (np.array([number.setdefault(w, len(number)) for w in ws], np.int64) for ws in (target, found))
+    slope = price * np.arange(len(found) + 1)
+    scores = np.zeros((len(target) + 1, len(found) + 1))
+    for i, word in enumerate(a):
+        row = scores[i].copy()
+        np.maximum(row[1:], np.where(b == word, scores[i, :-1] + 2 - price, 0), out=row[1:])
+        scores[i + 1] = np.maximum.accumulate(row + slope) - slope
+    return scores
+
+
+def _agreeing(target: list[str], found: list[str], scores: np.ndarray, price: float) -> list[tuple[int, int]]:
+    """Word pairs that agree in the best part, in order; of equal ways the one that ends last."""
+    i, j = len(target), int(scores[-1].argmax())
+    pairs = []
+    while i and scores[i, j] > 1e-9:
+        if scores[i, j] <= scores[i - 1, j] + 1e-9:
+            i -= 1
+        elif j and target[i - 1] == found[j - 1] and scores[i, j] <= scores[i - 1, j - 1] + 2 - price + 1e-9:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        else:
+            j -= 1
+    return pairs[::-1]
+
+
+def aligned(target: list[str], found: list[str], least: float = 0.0) -> tuple[int, int, int, float]:
+    """``start, end, agree, similarity`` of the part of ``found`` that agrees best with ``target``; zeros if none reaches ``least``.
+
+    The similarity is ``2 agree / (words of both)`` of the best alignment of the best part: while some part
+    exceeds the similarity reached, at that price of a word, its similarity is the next price.
+    """
+    best, price = (0, 0, 0, 0.0), max(least - 1e-6, 0.0)
+    # no more words can agree than both hold, in whatever order
+    common = round(SequenceMatcher(None, target, found, autojunk=False).quick_ratio() * (len(target) + len(found)) / 2)
+    if 2 * common < price * (len(target) + common):
+        return best
+    while True:
+        scores = _scores(target, found, price)
+        if scores[-1].max() <= price * len(target) + 1e-9:
+            return best
+        pairs = _agreeing(target, found, scores, price)
+        if not pairs:
+            return best
+        start, end = pairs[0][1], pairs[-1][1] + 1
+        similarity = 2 * len(pairs) / (len(target) + end - start)
+        if similarity <= best[3]:
+            return best
+        best, price = (start, end, len(pairs), similarity), similarity
+
+
+def differences(target: list[str], part: list[str]) -> str:
+    """Words of ``target`` and what stands for them in ``part``, wherever the two do not agree."""
+    pairs = [(-1, -1), *_agreeing(target, part, _scores(target, part, 1e-6), 1e-6), (len(target), len(part))]
+    return "; ".join(
+        f"{' '.join(target[a + 1:c])} => {' '.join(part[b + 1:d])}"
+        for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False) if c > a + 1 or d > b + 1)
 
 
 class Scanner:
@@ -211,21 +260,21 @@ class Scanner:
         """``first line, last line, notice`` of a whole text, in order."""
         low = text.lower()
         found = _WORD.findall(low)
+        ranked = sorted(((self.saving(" ".join(found[first:last]), name), name, first, last) for name, first, last in self.stretches(found)), key=lambda r: (-r[0], *r[1:]))
         confirmed = []
-        for name, first, last in self.stretches(found):
-            start, end, agree, similarity = aligned(self.words[name], found[first:last])
+        for saving, name, first, last in ranked:
+            start, end, agree, similarity = aligned(self.words[name], found[first:last], SIMILARITY)
             if similarity < SIMILARITY:
                 continue
             start, end = first + start, first + end
-            saving = self.saving(" ".join(found[start:end]), name)
-            if saving > 0:
-                confirmed.append(Notice(name, start, end, agree, similarity, saving, ""))
+            # a short notice may save only without the words around it
+            own = self.saving(" ".join(found[start:end]), name)
+            if max(saving, own) > 0:
+                confirmed.append(Notice(name, start, end, agree, similarity, own if own > 0 else saving, ""))
         kept: list[Notice] = []
         for notice in sorted(confirmed, key=lambda c: (-c.agree, -c.similarity, -c.saving, c.name)):
             if all(notice.end <= k.start or notice.start >= k.end for k in kept):
-                target, part = self.words[notice.name], found[notice.start:notice.end]
-                changes = SequenceMatcher(None, target, part, autojunk=False).get_opcodes()
-                notice.differences = "; ".join(f"{' '.join(target[a:b])} => {' '.join(part[c:d])}" for op, a, b, c, d in changes if op != "equal")
+                notice.differences = differences(self.words[notice.name], found[notice.start:notice.end])
                 kept.append(notice)
         spans = [m.span() for m in _WORD.finditer(low)] if kept else []
         lines = lambda at: low.count("\n", 0, at)
