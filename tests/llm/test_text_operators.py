@@ -156,6 +156,26 @@ def test_one_of_each_group_is_exact_at_the_threshold(spark):
     assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == want
 
 
+def test_near_copies_are_linked_by_fingerprints_first(spark, monkeypatch):
+    rng, tried, verify = np.random.default_rng(3), [], simhash._verified
+    base = [f"w{x}" for x in rng.integers(0, 9000, 400)]
+    texts = [base, [*base, "more"], base[40:], [f"v{x}" for x in range(90)]]  # the third shares 0.9: beyond the radius
+    prints = [simhash.bit_majority(simhash._shingles(" ".join(t))[1]) for t in texts]
+    assert (prints[0] ^ prints[1]).bit_count() <= 3 < min((prints[2] ^ p).bit_count() for p in prints[:2])
+
+    def verified(candidates, nodes, plain, threshold):
+        docs = {r["num"]: r["doc"] for r in nodes.collect()}
+        tried.append({frozenset((docs[r["x"]], docs[r["y"]])) for r in candidates.collect()})
+        return verify(candidates, nodes, plain, threshold)
+
+    monkeypatch.setattr(simhash, "_verified", verified)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()} == {0, 3}
+    # the exact way goes on with what fingerprints left apart
+    assert tried[0] == {frozenset((0, 1))} and not any(frozenset((0, 1)) in t for t in tried[1:])
+    assert tried[1] and tried[1] <= {frozenset((0, 2)), frozenset((1, 2))}
+
+
 @pytest.mark.parametrize("n, m", [(1, 1), (3, 900), (200, 260), (5000, 4600), (0, 4)])
 def test_parity_maps_never_differ_by_more_than_the_sets(n, m):
     rng = np.random.default_rng(n)

@@ -17,8 +17,9 @@ runs go to a finer layout of blocks, where a key holds fewer distinct fingerprin
 finest one it fixes all but 12 bits, so that a run cannot exceed 4096. Runs up to ``SMALL`` rows
 give all their links, longer ones the links of a spanning forest; components need no more.
 
-Near copies by five-word shingles (``one_of_each_group``) do not use fingerprints, which miss
-pairs close to the threshold; they meet in an exact prefix join.
+Near copies by five-word shingles (``one_of_each_group``) are found by fingerprints of these shingles in the
+same way and verified on the shingles. Pairs close to the threshold lie beyond the radius; they meet in an
+exact prefix join of what fingerprints have not put into one group.
 """
 
 from __future__ import annotations
@@ -326,12 +327,12 @@ def _close(threshold: float):
 
 
 def _prefixed(common: tuple[np.ndarray, np.ndarray], threshold: float):
-    """Per text its digest, the number and parity map of its shingles and the rarest of them, the prefix that a match must share."""
+    """Per text its digest, the number, parity map and fingerprint of its shingles and the rarest of them, the prefix that a match must share."""
     known, place = common
 
     def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
-            node, size, bits, keys = [], [], [], []
+            node, size, bits, prints, keys = [], [], [], [], []
             for text in rows["text"]:
                 digest, shingles = _shingles(text)
                 late = np.zeros(len(shingles), np.int64)
@@ -342,8 +343,9 @@ def _prefixed(common: tuple[np.ndarray, np.ndarray], threshold: float):
                 node.append(digest)
                 size.append(len(shingles))
                 bits.append(parity(shingles))
+                prints.append(bit_majority(shingles))
                 keys.append(shingles[np.argsort(late, kind="stable")[:wanted]].view(np.int64))
-            yield pd.DataFrame({"doc": rows["doc"], "mark": rows["mark"], "node": node, "size": np.array(size, np.int32), "bits": bits, "keys": keys})
+            yield pd.DataFrame({"doc": rows["doc"], "mark": rows["mark"], "node": node, "size": np.array(size, np.int32), "bits": bits, "fp": np.array(prints, np.uint64).view(np.int64), "keys": keys})
 
     return prefix
 
@@ -398,43 +400,68 @@ def _verified(candidates: DataFrame, nodes: DataFrame, plain: DataFrame, thresho
     return near
 
 
+def _by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """Pairs ``x, y`` of nodes whose fingerprints lie within the radius: heads of linked ones, and the others of an equal one with its head."""
+    heads = keep(nodes.groupBy("fp").agg(F.min("num").alias("head")))
+    links = fingerprint_links(heads.select(F.lit(0).cast("long").alias("space"), "fp"))
+    of_a = heads.select(F.col("fp").alias("a"), F.col("head").alias("x"))
+    of_b = heads.select(F.col("fp").alias("b"), F.col("head").alias("y"))
+    equal = nodes.select("fp", "num").join(heads, "fp").where("num <> head").select(F.col("head").alias("x"), F.col("num").alias("y"))
+    pairs = keep(_paired(equal.union(links.join(of_a, "a").join(of_b, "b").select("x", "y"))))
+    discard(heads)
+    return pairs
+
+
+def _paired(candidates: DataFrame) -> DataFrame:
+    return candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``x, y`` that do not lie in one group yet."""
+    of_x = labels.select(F.col("node").alias("x"), F.col("label").alias("p"))
+    of_y = labels.select(F.col("node").alias("y"), F.col("label").alias("q"))
+    return pairs.join(of_x, "x", "left").join(of_y, "y", "left").where(F.coalesce("p", "x") != F.coalesce("q", "y")).select("x", "y")
+
+
 def near_copy_groups(plain: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(rows, nodes, labels)`` of ``plain(doc, mark, text)``: one node per word sequence, one label per group.
 
-    An exact prefix join. Shingles are ordered by rarity; two nodes that reach the threshold share
+    Nodes whose fingerprints are linked come first, verified on their shingles. Then an exact prefix join
+    finds what lies beyond the radius. Shingles are ordered by rarity; two nodes that reach the threshold share
     one of the first ``n - ceil(threshold n) + 1`` of either. Keys alone are counted first, and only those of
     several nodes carry more. At each key, nodes are first compared with the one that meets most
     others; then all pairs of a key that do not lie in one group yet, so that groups are those of all
     pairs. Nodes of one group need no comparison. Past the grouping of equal word sequences, nodes go by a
     64-bit hash of their digest.
     """
-    wide = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, bits binary, keys array<long>"))
+    wide = keep(plain.mapInPandas(_prefixed(_common(plain), threshold), "doc long, mark long, node binary, size int, bits binary, fp long, keys array<long>"))
     first = F.min(F.struct("doc", "mark")).alias("first")
-    keyed = wide.groupBy("node").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"))
-    keyed = keep(keyed.select(F.xxhash64("node").alias("num"), "node", "first.doc", "first.mark", "size", "bits", "keys"))
+    keyed = wide.groupBy("node").agg(first, F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    keyed = keep(keyed.select(F.xxhash64("node").alias("num"), "node", "first.doc", "first.mark", "size", "bits", "fp", "keys"))
     rows = keep(wide.select("doc", "mark"))
     discard(wide)
+    alike = _by_fingerprint(keyed)
+    by_print = _verified(alike, keyed, plain, threshold)
+    discard(alike)
+    grouped = components(by_print)
     often = keep(keyed.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("met")).where("met > 1"))
     with filtered_joins(plain.sparkSession):
         shared = keep(keyed.select("num", "size", F.posexplode("keys").alias("at", "key")).join(often.where("met > 1"), "key"))
     discard(often)
-    nodes = keep(keyed.drop("keys"))
+    nodes = keep(keyed.drop("fp", "keys"))
     discard(keyed)
 
-    def paired(candidates: DataFrame) -> DataFrame:
-        return candidates.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
-
     # most keys have two nodes, which meet in their key's aggregate; only the others need a join
     node, more = F.struct("num", "size", "at"), shared.where("met > 2")
     twos = shared.where("met = 2").groupBy("key").agg(F.min(node).alias("m"), F.max(node).alias("h")).select("m", "h")
     central = shared.groupBy("num").agg(F.sum("met").alias("central"))
     heads = more.join(central, "num").groupBy("key").agg(F.max(F.struct("central", "num", "size", "at")).alias("h"))
     several = more.select("key", node.alias("m")).join(heads.select("key", F.struct("h.num", "h.size", "h.at").alias("h")), "key").select("m", "h")
-    stars = keep(paired(
+    stars = keep(_apart(_paired(
         twos.union(several).where((F.col("m.num") != F.col("h.num")) & _may_match("m", "h", threshold))
         .select(F.col("m.num").alias("x"), F.col("h.num").alias("y"))
-    ))
-    near = _verified(stars, nodes, plain, threshold)
+    ), grouped))
+    near = by_print.union(_verified(stars, nodes, plain, threshold))
     labels = components(near)
     placed = more.select("key", "num", "size", "at").join(labels.withColumnsRenamed({"node": "num"}), "num", "left").withColumn("label", F.coalesce("label", "num"))
     # keys whose nodes lie in several groups, and the group that has most of them
@@ -446,7 +473,7 @@ def near_copy_groups(plain: DataFrame, threshold: float) -> tuple[DataFrame, Dat
     x, y = apart.where("not inside").alias("u"), apart.alias("v")
     once = F.col("v.inside") | (F.col("u.num") < F.col("v.num"))
     rest = keep(
-        paired(
+        _paired(
             x.join(y, (F.col("u.key") == F.col("v.key")) & (F.col("u.label") != F.col("v.label")) & once & _may_match("u", "v", threshold))
             .select(F.col("u.num").alias("x"), F.col("v.num").alias("y"))
         ).join(stars, ["x", "y"], "left_anti")
