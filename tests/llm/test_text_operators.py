@@ -387,6 +387,26 @@ def test_language_matches_plain_loops(spark, sample):
     assert reader.predict("½ ² Ⅷ ①") == ("und", 0.0)
 
 
+def test_counts_and_unknown_words_match_plain_loops():
+    counts = language._counts_of({"aa": {"ab-abc": 2, "x": 1, "12": 3}, "bb": {"abcdef": 1}})
+    got = {(r.lang, r.size, r.piece): r.n for r in counts.itertuples(index=False)}
+    wanted = {}
+    for lang, word, n in (("aa", "ab", 2), ("aa", "abc", 2), ("aa", "x", 1), ("bb", "abcdef", 1)):
+        wanted[lang, 0, word] = n
+        for size in range(1, language.LONGEST + 1):
+            for i in range(len(word) + 3 - size):
+                gram = (lang, size, f"<{word}>"[i:i + size])
+                wanted[gram] = wanted.get(gram, 0) + n
+    assert got == wanted
+    model = language.Model(["aa", "bb"], {"abc": 0}, {"x": 1, "<": 2, "xy": 3}, np.array([[-1., -2], [-3, -5], [-7, -9], [-11, -13]]))
+    reader = language.Reader(model)
+    far = "q" * (language._SHORT + 1)
+    rows = reader._pieces(["xyx", "abc-x", "12", far])
+    assert reader.sums[rows["xyx"]].tolist() == [-21 / 3, -27 / 3, 1]  # < xy x
+    assert reader.sums[rows["abc-x"]].tolist() == [-1 - 10 / 2, -2 - 14 / 2, 2] and not reader.sums[rows["12"]].any()
+    assert reader.sums[rows[far]].tolist() == [-7, -9, 1] and far not in reader.at and "xyx" in reader.at
+
+
 def test_small_languages_keep_their_pieces(spark, monkeypatch):
     monkeypatch.setattr(language, "WORDS", 30)
     big = [("aa", " ".join(f"w{c}{d}" for c in "abcdefgh" for d in "ijklmnop").replace("w", "q"))] * 50

@@ -15,6 +15,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -45,10 +46,10 @@ def words_in(piece: str) -> list[str]:
     return [w for run in found for w in "".join(c if c.isalpha() else " " for c in run).split()]
 
 
-def grams_of(word: str, size: int) -> list[str]:
-    """Runs of ``size`` characters of a word between borders."""
+def windows_of(word: str) -> list[str]:
+    """``LONGEST`` or, at the end, fewer characters from each place of a word between borders."""
     padded = f"<{word}>"
-    return [padded[i:i + size] for i in range(len(padded) - size + 1)]
+    return [padded[i:i + LONGEST] for i in range(len(padded))]
 
 
 def pieces_of(text: str | None) -> Counter:
@@ -71,13 +72,15 @@ def _counts_of(pieces: dict[str, Counter]) -> pd.DataFrame:
         for piece, n in counts.items():
             for word in words_in(piece):
                 words[word] += n
-        by_size = [words]
-        for size in range(1, LONGEST + 1):
-            grams: dict[str, int] = defaultdict(int)
-            for word, n in words.items():
-                for gram in grams_of(word, size):
-                    grams[gram] += n
-            by_size.append(grams)
+        # n-grams of all lengths are the starts of the windows at each place: words touch one count a place
+        windows: dict[str, int] = defaultdict(int)
+        for word, n in words.items():
+            for window in windows_of(word):
+                windows[window] += n
+        by_size = [words, *(defaultdict(int) for _ in range(LONGEST))]
+        for window, n in windows.items():
+            for size in range(1, len(window) + 1):
+                by_size[size][window[:size]] += n
         for size, grams in enumerate(by_size):
             langs += [lang] * len(grams)
             sizes += [size] * len(grams)
@@ -125,12 +128,21 @@ class Reader:
     def _forget(self) -> None:
         self.at, self.longest, self.used = dict(self.model.words), {}, len(self.model.logs)
 
-    def _row(self, values: np.ndarray | float) -> int:
-        if self.used == len(self.sums):
+    def _rows(self, parts: list[list[int]], mean: bool, none: list[float]) -> range:
+        """New rows, each the sum or mean of the rows of a part; ``none`` for a part of no rows."""
+        first = self.used
+        self.used += len(parts)
+        while self.used > len(self.sums):
             self.sums = np.concatenate([self.sums, np.zeros_like(self.sums)])
-        self.sums[self.used] = values
-        self.used += 1
-        return self.used - 1
+        new = np.tile(np.array(none), (len(parts), 1))
+        sizes = np.fromiter(map(len, parts), int, len(parts))
+        full = sizes > 0
+        if full.any():
+            starts = (np.cumsum(sizes) - sizes)[full]
+            found = np.add.reduceat(self.sums[list(chain.from_iterable(parts))], starts, axis=0)
+            new[full] = found / sizes[full, None] if mean else found
+        self.sums[first:self.used] = new
+        return range(first, self.used)
 
     def _gram(self, window: str) -> int | None:
         """The longest known n-gram at the start of a window of ``LONGEST`` or fewer characters."""
@@ -139,28 +151,26 @@ class Reader:
             self.longest[window] = next((known[window[:n]] for n in range(len(window), 0, -1) if window[:n] in known), None)
         return self.longest[window]
 
-    def _word(self, word: str) -> int:
-        """Row of a word: its own, or a new one with the mean of the longest known n-grams at its places."""
-        at = self.at.get(word)
-        if at is None:
-            padded = f"<{word}>"
-            found = [self._gram(padded[i:i + LONGEST]) for i in range(len(padded))]
-            found = [gram for gram in found if gram is not None]
-            at = self._row(self.sums[found].sum(axis=0) / len(found) if found else [0.0] * len(self.model.langs) + [1.0])
-            if len(word) <= _SHORT:
-                self.at[word] = at
-        return at
-
-    def _piece(self, piece: str) -> int:
-        words = words_in(piece)
-        if len(words) == 1:
-            at = self._word(words[0])
-        else:
-            rows = [self._word(word) for word in words]
-            at = self._row(self.sums[rows].sum(axis=0) if rows else 0.0)
-        if len(piece) <= _SHORT:
-            self.at[piece] = at
-        return at
+    def _words(self, words: list[str]) -> dict[str, int]:
+        """Rows of unknown words: the mean of the longest known n-grams at their places."""
+        parts, longest = [], self.longest
+        for word in words:
+            grams = [longest[window] if window in longest else self._gram(window) for window in windows_of(word)]
+            parts.append([gram for gram in grams if gram is not None])
+        return dict(zip(words, self._rows(parts, True, [0.0] * len(self.model.langs) + [1.0]), strict=True))
+
+    def _pieces(self, pieces: list[str]) -> dict[str, int]:
+        """Rows of pieces that were not met yet, found together; short ones are remembered, with their words."""
+        inside = {piece: words_in(piece) for piece in pieces}
+        new = self._words([w for w in dict.fromkeys(chain.from_iterable(inside.values())) if w not in self.at])
+        self.at.update((word, at) for word, at in new.items() if len(word) <= _SHORT)
+        row = lambda word: new[word] if word in new else self.at[word]
+        rows = {piece: row(words[0]) for piece, words in inside.items() if len(words) == 1}
+        others = [piece for piece in pieces if piece not in rows]
+        sums = self._rows([list(map(row, inside[piece])) for piece in others], False, [0.0] * (len(self.model.langs) + 1))
+        rows.update(zip(others, sums, strict=True))
+        self.at.update((piece, at) for piece, at in rows.items() if len(piece) <= _SHORT)
+        return rows
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language and its share of the posterior; ``und`` and 0 for a text without a letter."""
@@ -171,7 +181,8 @@ class Reader:
             self._forget()
         rows = list(map(self.at.get, counts))
         if None in rows:
-            rows = [self._piece(piece) if at is None else at for piece, at in zip(counts, rows, strict=True)]
+            new = self._pieces([piece for piece, at in zip(counts, rows, strict=True) if at is None])
+            rows = [new[piece] if at is None else at for piece, at in zip(counts, rows, strict=True)]
         *total, words = np.fromiter(counts.values(), float, len(counts)) @ self.sums[rows]
         if not words:
             return UNKNOWN, 0.0
