@@ -219,6 +219,27 @@ def test_repeated_lines_match_all_pairs(sample, spark):
     assert {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(made).collect()} == brute_lines(made.collect())
 
 
+def test_repeated_lines_of_four_to_eight_words(spark):
+    # sets of four and five tokens meet on pairs, longer ones on triples
+    rng = np.random.default_rng(5)
+    made = [(i, "\n".join(" ".join(rng.choice([f"w{x}" for x in range(11)], rng.integers(3, 9), replace=False)) for _ in range(3))) for i in range(60)]
+    docs = spark.createDataFrame(made, "doc_id long, text string")
+    assert {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(docs).collect()} == brute_lines(docs.collect())
+
+
+def test_lines_meet_on_few_keys(spark):
+    # no two of these lines match, though any two share single words and many share pairs
+    rng = np.random.default_rng(6)
+    words_used = [f"w{x}" for x in range(100)]
+    texts = [" ".join(rng.choice(words_used, 12, replace=False)) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    split = lines._lines(docs)
+    keys = [set(r["keys"]) for r in lines._signed(split, lines._rarity(split)).collect()]
+    met = sum(bool(a & b) for i, a in enumerate(keys) for b in keys[:i])
+    assert met < 0.01 * len(keys) * (len(keys) - 1) / 2
+    assert lines.repeated_lines(docs).count() == len(brute_lines(docs.collect()))
+
+
 def test_remove_repeated_lines_odd_rows(odd_docs, no_docs):
     out = lines.remove_repeated_lines(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
