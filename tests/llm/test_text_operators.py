@@ -339,6 +339,28 @@ def test_contaminated_odd_rows(spark, odd_docs, no_docs):
 # quality and language
 
 
+def test_statistics_look_at_distinct_characters_only(monkeypatch):
+    looked = []
+
+    class Vowels:
+        """Tells how many characters are looked at, one by one or in a text."""
+
+        def match(self, text):
+            looked.extend(text)
+            return text.lower() in "aeiouä" or None
+
+        def findall(self, text):
+            return [c for c in text if self.match(c)]
+
+    monkeypatch.setattr(quality, "_VOWELS", Vowels())
+    line = "Ähm, THE 12 cats & 3 dogs!\n"
+    got = quality.statistics(line * 500)
+    assert len(looked) <= len(set(line))
+    letters, n = 14 * 500, len(line) * 500
+    assert got[6:10] == pytest.approx([letters / n, 4 / 14, 1500 / n, 1500 / n]) and got[21] == pytest.approx(4 / 14)
+    assert got[16] == pytest.approx(1 / 7) and got[19] == pytest.approx(2 / 7) and got[20] == pytest.approx(1 / 7) and got[23] == pytest.approx(3 / 7)
+
+
 def test_quality_on_held_out_documents(sample, odd_docs, no_docs, spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")

@@ -13,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,37 +32,59 @@ THRESHOLD = 0.3
 FOLDS = 5
 _PARTS = 16
 
-_SYMBOLS = str.maketrans("", "", "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+_SYMBOLS = frozenset(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 _VOWELS = re.compile("[aeiouyäöüáéíóúàèùâêîôûœæ]", re.IGNORECASE)
 STATISTICS = 24
 
 
+@lru_cache(1 << 14)
+def _kinds(c: str) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether a character is a letter, upper case, a digit, a symbol, a vowel."""
+    return c.isalpha(), c.isupper(), c.isdigit(), c in _SYMBOLS, _VOWELS.match(c) is not None
+
+
 def statistics(text: str | None) -> np.ndarray:
-    """Numbers that describe a whole text; defined for null and empty texts."""
+    """Numbers that describe a whole text; defined for null and empty texts.
+
+    Characters and words are counted first, and only distinct ones are looked at.
+    """
     text = text or ""
     words, lines = text.split(), [x for x in text.split("\n") if x.strip()]
     n, n_words, n_lines = max(len(text), 1), max(len(words), 1), max(len(lines), 1)
-    lengths = np.fromiter((len(w) for w in words), np.float64, len(words)) if words else np.zeros(1)
-    letters = sum(map(str.isalpha, text))
-    upper, digits = sum(map(str.isupper, text)), sum(map(str.isdigit, text))
-    symbols = len(text) - len(text.translate(_SYMBOLS))
-    counts, line_counts = Counter(words), Counter(lines)
-    pairs = Counter(zip(words, words[1:], strict=False))
-    triples = Counter(zip(words, words[1:], words[2:], strict=False))
-    top = counts.most_common(1)[0][1] if counts else 0
-    characters = Counter(text)
+    lengths = np.fromiter(map(len, words), np.float64, len(words)) if words else np.zeros(1)
+    characters, counts = Counter(text), Counter(words)
+    letters = upper = digits = symbols = vowels = 0
+    for c, times in characters.items():
+        letter, capital, digit, symbol, vowel = _kinds(c)
+        letters += letter * times
+        upper += capital * times
+        digits += digit * times
+        symbols += symbol * times
+        vowels += vowel * times
+    ends = alphabetic = capitals = edged = 0
+    for w, times in counts.items():
+        if w.isalpha():
+            alphabetic += times
+        else:
+            ends += (w[-1] in ".!?") * times
+            edged += (not w[0].isalnum() or not w[-1].isalnum()) * times
+        if w.isupper():
+            capitals += times
+    following = words[1:]
+    pairs = len(set(zip(words, following, strict=False)))
+    triples = len(set(zip(words, following, words[2:], strict=False)))
+    top = max(counts.values(), default=0)
     p = np.fromiter(characters.values(), np.float64) / n if characters else np.ones(1)
-    tail = [w for w in words if w[-1] in ".!?"]
     return np.array([
         np.log1p(len(text)), np.log1p(len(words)), np.log1p(len(lines)),
         lengths.mean(), lengths.std(), np.log1p(lengths.max()), letters / n, upper / max(letters, 1), digits / n, symbols / n,
         len(counts) / n_words, np.log1p(n_words / max(len(counts), 1)), top / n_words,
-        1 - len(line_counts) / n_lines, 1 - len(pairs) / max(len(words) - 1, 1) if words else 0.0,
-        1 - len(triples) / max(len(words) - 2, 1) if len(words) > 2 else 0.0,
-        len(tail) / n_words, sum(x.rstrip()[-1] in ".!?\"'" for x in lines) / n_lines,
-        np.log1p(len(words) / n_lines), sum(w.isalpha() for w in words) / n_words, sum(w.isupper() for w in words) / n_words,
-        len(_VOWELS.findall(text)) / max(letters, 1), -(p * np.log2(np.maximum(p, 1e-12))).sum(),
-        sum(not w[0].isalnum() or not w[-1].isalnum() for w in words) / n_words,
+        1 - len(set(lines)) / n_lines, 1 - pairs / max(len(words) - 1, 1) if words else 0.0,
+        1 - triples / max(len(words) - 2, 1) if len(words) > 2 else 0.0,
+        ends / n_words, sum(x.rstrip()[-1] in ".!?\"'" for x in lines) / n_lines,
+        np.log1p(len(words) / n_lines), alphabetic / n_words, capitals / n_words,
+        vowels / max(letters, 1), -(p * np.log2(np.maximum(p, 1e-12))).sum(),
+        edged / n_words,
     ])
 
 
