@@ -227,6 +227,14 @@ def test_repeated_lines_of_four_to_eight_words(spark):
     assert {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(docs).collect()} == brute_lines(docs.collect())
 
 
+def test_rarity_is_short_in_plans(spark):
+    # each of 60,000 words four times: most buckets are of one class, which is not zero
+    rows = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 60000), x -> concat('w', x)), ' ')").alias("text"))
+    split = lines._lines(rows)
+    plan = lines._signed(split, lines._rarity(split))._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 4 * lines.BUCKETS
+
+
 def test_lines_meet_on_few_keys(spark):
     # no two of these lines match, though any two share single words and many share pairs
     rng = np.random.default_rng(6)
