@@ -391,3 +391,18 @@ def test_call_chain_walks_over_all_frame_names(spark, tmp_path):
     rows = QUERIES["call_chain"](spark, str(tmp_path)).orderBy("depth").collect()
     assert [r["function"] for r in rows] == ["bolt_1", *(f"gear_{i}" for i in range(2, 10))]
     assert [r["depth"] for r in rows] == list(range(9)) and {r["chain_hits"] for r in rows} == {4}
+
+
+def test_debug_identity_is_not_broadcast(spark):
+    image = spark.createDataFrame(
+        [("t", 1, 10, 100, None), ("t", 2, 11, 100, None), ("t", 3, 10, 200, "own"), ("t", 4, None, 300, "")],
+        "trace_id string, seq long, pid long, image_base long, pdb_guid string",
+    ).withColumns({"pdb_age": F.lit(None).cast("bigint"), "pdb_name": F.lit(None).cast("string")})
+    rsds = spark.createDataFrame(
+        [("t", 2, 2, 10, 100, "late"), ("t", 1, 2, 10, 100, "exact"), ("t", 3, 1, 12, 100, "loose"), ("t", 4, 1, 10, 200, "other")],
+        "trace_id string, seq long, qpc long, pid long, image_base long, pdb_guid string",
+    ).withColumns({"pdb_age": F.lit(1).cast("bigint"), "pdb_name": F.lit("n")})
+    found = attribution.with_debug_identity(image, rsds)
+    assert {r.seq: r.pdb_guid for r in found.collect()} == {1: "exact", 2: "loose", 3: "own", 4: ""}
+    # bytes of well packed files say little about rows: no plan may put those into the driver
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()

@@ -137,7 +137,11 @@ def with_symbol_label(df: DataFrame, label: str = "symbol") -> DataFrame:
 
 
 def with_debug_identity(image: DataFrame, rsds: DataFrame) -> DataFrame:
-    """Fill missing debug identity of images: by process and base, else by base alone."""
+    """Fill missing debug identity of images: by process and base, else by base alone.
+
+    The joins are merge joins at any size: a broadcast that is planned from the bytes of well packed files is not
+    taken back at run time, however many rows there are.
+    """
     fields = ("pdb_guid", "pdb_age", "pdb_name")
 
     def first(keys: list[str], prefix: str) -> DataFrame:
@@ -147,8 +151,8 @@ def with_debug_identity(image: DataFrame, rsds: DataFrame) -> DataFrame:
 
     exact = first(["trace_id", "pid", "image_base"], "_exact")
     loose = first(["trace_id", "image_base"], "_loose")
-    joined = image.join(exact, ["trace_id", "pid", "image_base"], "left").join(
-        loose, ["trace_id", "image_base"], "left"
+    joined = image.join(exact.hint("merge"), ["trace_id", "pid", "image_base"], "left").join(
+        loose.hint("merge"), ["trace_id", "image_base"], "left"
     )
     found = F.coalesce("_exact", "_loose")
     blank = F.coalesce(F.col("pdb_guid"), F.lit("")) == ""
