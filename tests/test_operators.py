@@ -406,3 +406,14 @@ def test_debug_identity_is_not_broadcast(spark):
     assert {r.seq: r.pdb_guid for r in found.collect()} == {1: "exact", 2: "loose", 3: "own", 4: ""}
     # bytes of well packed files say little about rows: no plan may put those into the driver
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_waits_beyond_a_bigint(spark):
+    # three requests wait for 4e18 us each
+    long = 4_000_000_000_000_000_000
+    deliver = spark.createDataFrame([("t", i, i, i + 1, 7) for i in range(3)] + [("t", long, 3, 4, 7)], "trace_id string, ts_us long, seq long, request_id long, url_group_id long")
+    send = spark.createDataFrame([], "trace_id string, ts_us long, seq long, request_id long, status_code long, content_length long")
+    close = spark.createDataFrame([("t", long + 1, 0, 1)], "trace_id string, ts_us long, seq long, request_id long")
+    depth = one(app.queue_depth(deliver, send, close, slice_us=long))
+    assert (depth.peak_depth, depth.deliveries, depth.completions) == (4, 4, 1)
+    assert depth.avg_depth == pytest.approx(3)

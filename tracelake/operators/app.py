@@ -102,7 +102,9 @@ def queue_depth(
     arrangement = ["ts_us", "kind", "request_id"]
     depth = with_running(steps, keys, arrangement, {}, floor_at_zero={"depth": "step"}, slice_us=slice_us)
     timed = with_neighbours(depth, keys, arrangement, following={"next_us": "ts_us"}, slice_us=slice_us)
-    area = F.sum(F.col("depth") * F.coalesce(F.col("next_us") - F.col("ts_us"), F.lit(0)))
+    # beyond a bigint where very many requests wait for years
+    wide = [c.cast("decimal(19,0)") for c in (F.col("depth"), F.coalesce(F.col("next_us") - F.col("ts_us"), F.lit(0)))]
+    area = F.sum(wide[0] * wide[1]).cast("double")
     span = F.max("ts_us") - F.min("ts_us")
     result = timed.groupBy(*keys).agg(
         F.max("depth").alias("peak_depth"),
