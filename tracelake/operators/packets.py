@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
+from functools import reduce
 from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, Window
@@ -236,26 +237,28 @@ def _follow(window: int, last_stage: int):
         ids = []
         for ts, seq, index in zip(columns["ts_us"], columns["seq"], columns["path_index"]):
             journey = None
-            for level in reversed(levels[:index]):
+            at = index
+            while at:
+                at -= 1
+                level = levels[at]
                 while level and ts - level[0][0] > window:
                     level.popleft()
-                if level:
+                if not level:
+                    continue
+                last = level[-1][0]
+                if len(level) == 1 or level[-2][0] != last:
+                    journey = level.pop()
+                else:
                     # of those seen last, the journey that began first
-                    last = level[-1][0]
-                    same = [j for j in takewhile(lambda j: j[0] == last, reversed(level))]
-                    journey = min(same, key=lambda j: (j[1], j[2]))
+                    journey = min(takewhile(lambda j: j[0] == last, reversed(level)), key=lambda j: (j[1], j[2]))
                     level.remove(journey)
-                    break
+                break
             if journey is None:
-                journey = [ts, ts, seq]
+                journey = (ts, ts, seq)
             ids.append(journey[2])
             if index < last_stage:
-                levels[index].append([ts, journey[1], journey[2]])
-        out = {
-            "ts_us": columns["ts_us"], "seq": columns["seq"], "path_index": columns["path_index"],
-            "component": columns["component"], "edge": columns["edge"], "flow": columns["flow"],
-            "proto": columns["proto"], "journey": ids,
-        }
+                levels[index].append((ts, journey[1], journey[2]))
+        out = {**columns, "journey": ids}
         last = columns["ts_us"][-1]
         live = [[j for j in level if last - j[0] <= window] for level in levels]
         return out, json.dumps(live) if any(live) else None
@@ -294,7 +297,7 @@ def packet_journeys(
         _follow(window_us, LAST_STAGE),
         values=["ts_us", "seq", "path_index", "component", "edge", "flow", "proto"],
         output="ts_us bigint, seq bigint, path_index int, component int, edge int, flow string, proto string, journey bigint",
-        tolerance_us=window_us, slice_us=slice_us or max(20 * window_us, 1_000_000),
+        tolerance_us=window_us, slice_us=slice_us or max(20 * window_us, 1_000_000), reads=["ts_us", "seq", "path_index"],
     )
 
 
@@ -322,16 +325,25 @@ def journey_summary(sightings: DataFrame) -> DataFrame:
 
 def hop_latency(sightings: DataFrame, journeys: DataFrame | None = None) -> DataFrame:
     """Latency per hop between consecutive stages: p50, p95, p99 (by index) and the longest."""
-    journeys = journey_summary(sightings) if journeys is None else journeys
-    inside = Window.partitionBy(*JOURNEY).orderBy("ts_us", "seq")
+    whole = Window.partitionBy(*JOURNEY)
+    inside = whole.orderBy("ts_us", "seq")
     before = F.lag(F.struct("ts_us", "component", "edge", "path_index")).over(inside)
-    hops = sightings.withColumn("_before", before).where(F.col("path_index") > F.col("_before.path_index"))
+    hops = sightings.withColumn("_before", before)
+    if journeys is None:
+        # as the summary of journeys has them, from the same pass
+        complete = (F.min("path_index").over(whole) == 0) & (F.max("path_index").over(whole) == LAST_STAGE)
+        first = F.first("proto").over(inside.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        hops = hops.where(reduce(Column.__and__, (F.col(c).isNotNull() for c in JOURNEY)))
+        hops = hops.withColumns({"proto": first, "confidence": journey_confidence(first, complete)})
+    hops = hops.where(F.col("path_index") > F.col("_before.path_index"))
     label = F.concat(
         F.col("_before.component").cast("string"), F.lit("/"), F.col("_before.edge").cast("string"), F.lit(" -> "),
         F.col("component").cast("string"), F.lit("/"), F.col("edge").cast("string"),
     )
-    hops = hops.select(*JOURNEY, label.alias("hop"), (F.col("ts_us") - F.col("_before.ts_us")).alias("hop_us"))
-    hops = hops.join(journeys.select(*JOURNEY, "proto", "confidence"), JOURNEY)
+    told = ["proto", "confidence"] if journeys is None else []
+    hops = hops.select(*JOURNEY, label.alias("hop"), (F.col("ts_us") - F.col("_before.ts_us")).alias("hop_us"), *told)
+    if journeys is not None:
+        hops = hops.join(journeys.select(*JOURNEY, "proto", "confidence"), JOURNEY)
     return exact_quantiles(
         hops, ["trace_id", "direction", "proto", "hop", "confidence"], "hop_us",
         {"p50_us": 0.5, "p95_us": 0.95, "p99_us": 0.99}, kind="index", count="samples", maximum="max_us",
