@@ -227,6 +227,44 @@ def test_repeated_lines_of_four_to_eight_words(spark):
     assert {(r["doc_id"], r["line_no"]) for r in lines.repeated_lines(docs).collect()} == brute_lines(docs.collect())
 
 
+def brute_links(docs, threshold=0.8):
+    """Per line to remove: the most similar earlier line, the similarity and the number of earlier sets of words that match."""
+    first, occurrences = {}, []
+    for r in sorted(docs, key=lambda r: r["doc_id"]):
+        for k, line in enumerate((r["text"] or "").split("\n")):
+            tokens = frozenset(words(line))
+            if tokens:
+                occurrences.append(((r["doc_id"], k), tokens))
+                first.setdefault(tokens, (r["doc_id"], k))
+    found = {}
+    for place, tokens in occurrences:
+        links = [(-len(tokens & x) / len(tokens | x), at) for x, at in first.items() if at < first[tokens] and len(tokens & x) >= threshold * len(tokens | x)]
+        if first[tokens] != place:
+            found[place] = (*first[tokens], 1.0, len(links))
+        elif links:
+            found[place] = (*min(links)[1], -min(links)[0], len(links))
+    return found
+
+
+@pytest.mark.parametrize("pairs", [100, 1 << 20])
+def test_repeated_lines_count_every_link(sample, spark, pairs, monkeypatch):
+    monkeypatch.setattr(lines, "PAIRS", pairs)  # verified in parts, or all at once
+    rare, often = [f"r{i}" for i in range(16)], [f"f{i}" for i in range(4)]
+    # all keys of the third line begin at the first line, but the second one is more similar
+    variants = [[*rare, *often], [*rare, *often[:3]], [*rare, *often[:2]], [*rare, *often[:2]]]
+    rng = np.random.default_rng(8)
+    made = [(i, " ".join(v)) for i, v in enumerate(variants)] + [(10 + i, " ".join([*often, f"other{i}"])) for i in range(9)]
+    made += [(100 + i, " ".join(rng.choice([f"t{x}" for x in range(14)], rng.integers(9, 13), replace=False))) for i in range(80)]
+    made = spark.createDataFrame(made, "doc_id long, text string")
+    for docs in (made, sample("documents")) if pairs > 100 else (made,):
+        want = brute_links(docs.collect())
+        got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"], r["jaccard"], r["links"]) for r in lines.repeated_lines(docs).collect()}
+        assert got.keys() == want.keys()
+        assert {k: v[:2] + v[3:] for k, v in got.items()} == {k: v[:2] + v[3:] for k, v in want.items()}
+        assert all(abs(got[k][2] - want[k][2]) < 1e-12 for k in want)
+    assert brute_links(made.collect())[2, 0] == (1, 0, 18 / 19, 2) and max(v[3] for v in brute_links(made.collect()).values()) > 5
+
+
 def test_rarity_is_short_in_plans(spark):
     # each of 60,000 words four times: most buckets are of one class, which is not zero
     rows = spark.range(4).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 60000), x -> concat('w', x)), ' ')").alias("text"))
