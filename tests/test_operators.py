@@ -1,5 +1,7 @@
 """Exact results on small inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -417,3 +419,25 @@ def test_waits_beyond_a_bigint(spark):
     depth = one(app.queue_depth(deliver, send, close, slice_us=long))
     assert (depth.peak_depth, depth.deliveries, depth.completions) == (4, 4, 1)
     assert depth.avg_depth == pytest.approx(3)
+
+
+def test_stack_weights_per_function_carry_no_stacks(spark, monkeypatch):
+    names = spark.createDataFrame(
+        [("t", 1, "m", "A"), ("t", 2, "m", "A"), ("t", 3, "m", "B"), ("t", 3, "m", "A"), ("t", 4, "<unknown>", ""), ("t", 5, None, "C"), ("u", 1, "m", "A")],
+        "trace_id string, address long, module string, function string")
+    samples = spark.createDataFrame(
+        [("t", 1, [1, 2, 1]), ("t", 2, [3, 1]), ("t", 4, [4, 9, 8]), ("t", 8, [5, 5]), ("t", 1, [1, 2, 1]), ("u", 3, [1, 7]), ("u", 5, []), (None, 9, [1])],
+        "trace_id string, weight long, stack array<long>")
+    plans = []
+    read = stacks.durable
+    monkeypatch.setattr(stacks, "durable", lambda df: plans.append(df) or read(df))
+    found = stacks.stack_weights(samples, names, distinct="function")
+    rows = {(r.trace_id, r.module, r.function): (r.inclusive, r.exclusive) for r in found.collect()}
+    assert rows == {
+        ("t", "m", "A"): (4, 4), ("t", "m", "B"): (2, 2), ("t", "<unknown>", ""): (4, 4), ("t", "<unknown>", "C"): (8, 8),
+        ("u", "m", "A"): (3, 3), ("u", "<unknown>", ""): (3, 0),
+    }
+    # beyond the stacks themselves, no step sends arrays of addresses: they are summed once and read twice
+    assert "stack" in plans[0].columns
+    shuffled = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Aggregate [" in line or "Join " in line]
+    assert shuffled and not any(re.search(r"\bstack#", line.split("], [")[0]) for line in shuffled)

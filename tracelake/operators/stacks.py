@@ -13,11 +13,12 @@ from itertools import count
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import drop_shuffles, durable
 from .cpu import with_denominator
 from .filters import contains_text, matches_module, minimum_share
 from .grouping import top
 
+UNNAMED = ("<unknown>", "")  # module and function of an address without a name
 POLICIES = ("dominant", "all", "threshold")
 
 
@@ -35,11 +36,20 @@ def _named(df: DataFrame, names: DataFrame, address: str, prefix: str = "") -> D
         F.col("module").alias(f"{prefix}module"), F.col("function").alias(f"{prefix}function"),
     )
     return df.join(renamed, ["trace_id", address], "left").withColumns({
-        f"{prefix}module": F.coalesce(f"{prefix}module", F.lit("<unknown>")),
-        f"{prefix}function": F.coalesce(f"{prefix}function", F.lit("")),
+        f"{prefix}module": F.coalesce(f"{prefix}module", F.lit(UNNAMED[0])),
+        f"{prefix}function": F.coalesce(f"{prefix}function", F.lit(UNNAMED[1])),
     })
 
 
+def _numbered(names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Functions with a number each, and the number of the function at each address: null for what has no name."""
+    named = names.select("trace_id", "address", F.coalesce("module", F.lit(UNNAMED[0])).alias("module"), F.coalesce("function", F.lit(UNNAMED[1])).alias("function"))
+    function = ["trace_id", "module", "function"]
+    unnamed = (F.col("module") == UNNAMED[0]) & (F.col("function") == UNNAMED[1])
+    functions = durable(named.where(~unnamed).select(*function).distinct().withColumn("_function", F.monotonically_increasing_id()))
+    return functions, durable(named.join(functions, function, "left").select("trace_id", "address", "_function"))
+
+
 def stack_weights(
     samples: DataFrame, names: DataFrame, *, weight: str = "weight", distinct: str = "address"
 ) -> DataFrame:
@@ -50,11 +60,17 @@ def stack_weights(
     """
     stacks = _whole_stacks(samples, weight)
     if distinct == "function":
-        frames = stacks.withColumn("address", F.explode(F.array_distinct("stack")))
-        once = _named(frames, names, "address").groupBy("trace_id", "stack", "module", "function").agg(
-            F.first("weight").alias("inclusive")
+        # stacks and functions go by number: whole stacks and names with every frame would fill the disk
+        stacks = durable(stacks.withColumn("_stack", F.monotonically_increasing_id()))
+        functions, numbers = _numbered(names)
+        drop_shuffles(stacks.sparkSession)
+        frames = stacks.select("trace_id", "_stack", "weight", F.explode(F.array_distinct("stack")).alias("address"))
+        once = frames.join(numbers, ["trace_id", "address"], "left").select("trace_id", "_stack", "_function", "weight").distinct()
+        per_function = once.groupBy("trace_id", "_function").agg(F.sum("weight").alias("inclusive"))
+        inclusive = per_function.join(functions.drop("trace_id"), "_function", "left").select(
+            "trace_id", F.coalesce("module", F.lit(UNNAMED[0])).alias("module"), F.coalesce("function", F.lit(UNNAMED[1])).alias("function"),
+            "inclusive", F.lit(0).cast("bigint").alias("exclusive"),
         )
-        inclusive = once.select("trace_id", "module", "function", "inclusive", F.lit(0).cast("bigint").alias("exclusive"))
         leaves = stacks.groupBy("trace_id", F.get("stack", F.lit(0)).alias("address")).agg(F.sum("weight").alias("exclusive"))
         exclusive = _named(leaves, names, "address").select(
             "trace_id", "module", "function", F.lit(0).cast("bigint").alias("inclusive"), "exclusive"
