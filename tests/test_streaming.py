@@ -3,6 +3,8 @@
 import random
 import time
 
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake.operators.packets import pair_sends_with_receipts
@@ -90,3 +92,71 @@ def test_updates_replace_earlier_ones(spark, tmp_path):
     stream = live.with_event_time(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "u")))
     got = live.run_available(live.live_histogram(stream), mode="update", keys=("trace_id", "module", "low_us", "high_us", "start_us"))
     assert sorted((r.module, r.events) for r in got.collect()) == [("a", 2), ("b", 1)]
+
+
+class _CountedState:
+    """State of one key in memory; counts the accesses, each of which is a call to another process in a stream."""
+
+    def __init__(self):
+        self.map, self.list, self.accesses, self.timer = {}, [], 0, None
+
+    def getMapState(self, *_):
+        return self
+
+    def getListState(self, *_):
+        state = _CountedState()
+        state.put = lambda rows: setattr(state, "list", list(rows))
+        state.get, state.exists, state.clear = lambda: iter(state.list), lambda: bool(state.list), state.list.clear
+        return state
+
+    def registerTimer(self, at):
+        self.timer = at
+
+    def keys(self):
+        return list(self.map)
+
+    def containsKey(self, key):
+        self.accesses += 1
+        return key in self.map
+
+    def getValue(self, key):
+        self.accesses += 1
+        return self.map[key]
+
+    def updateValue(self, key, value):
+        self.accesses += 1
+        self.map[key] = value
+
+    def removeKey(self, key):
+        self.accesses += 1
+        del self.map[key]
+
+
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_pairing_takes_few_accesses_to_state(piece, monkeypatch):
+    monkeypatch.setattr(live._InOrder, "PIECE", piece, raising=False)
+    rng = random.Random(piece)
+    rows = [(rng.randrange(0, 2000) * 100, i, rng.random() < 0.4) for i in range(600)]
+    state, found = _CountedState(), []
+    worker = live._InOrder(500, True)
+    worker.init(state)
+    frame = lambda part: iter([pd.DataFrame([r for r in part], columns=list(live._InOrder.FIELDS))])
+    expiry = lambda us: type("E", (), {"getExpiryTimeInMs": lambda _: (us + live.ZERO_US) // 1000})()
+    for part, until in ((rows[:300], 60_000), (rows[300:], 120_000), ([], 300_000)):
+        # rows that the watermark has passed do not arrive
+        part = [r for r in part if r[0] >= (60_000 if part and part[0][1] else 0)]
+        list(worker.handleInputRows(("t",), frame(part), None))
+        for out in worker.handleExpiredTimer(("t",), None, expiry(until)):
+            found += list(zip(out["opened_seq"], out["closed_seq"]))
+    kept = rows[:300] + [r for r in rows[300:] if r[0] >= 60_000]
+    want, pending = [], []
+    for ts, seq, closes in sorted(kept, key=lambda r: (r[0], r[2], r[1])):
+        pending = [p for p in pending if ts - p[0] <= 500]
+        if closes:
+            want += [(p[1], seq) for p in pending]
+            pending = []
+        else:
+            pending.append((ts, seq))
+    assert sorted(found) == sorted(want) and len(found) > 50
+    if piece > 600:
+        assert state.accesses < 20  # 600 rows lie in some 300 stretches of a window

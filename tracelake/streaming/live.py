@@ -6,6 +6,8 @@ its batch form and returns a streaming DataFrame; ``delay`` is how late rows may
 
 from __future__ import annotations
 
+import uuid
+from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager, nullcontext
 
@@ -99,35 +101,44 @@ def deduplicated(events: DataFrame, *, delay: str = "10 seconds") -> DataFrame:
 class _InOrder(StatefulProcessor):
     """Holds rows of a key until the watermark has passed them, then works them off in order.
 
-    State is what the watermark delay and the pairing window let in: rows not yet due, in a map from
-    stretch of time to its rows, and openers not yet paired or expired. A batch sets one timer per
-    key, for its last row; a timer reads only the stretches that are due.
+    State is what the watermark delay and the pairing window let in: rows not yet due, packed in pieces of at
+    most ``PIECE`` rows that each came in one batch, in order, and openers not yet paired or expired. Each access
+    to state costs as much as a thousand rows, so a batch writes few pieces and sets one timer per key, for its
+    last row; a timer reads only the pieces that have due rows.
     """
 
     FIELDS = ("ts_us", "seq", "closes")
-    ROW = "ts_us:bigint,seq:bigint,closes:boolean"
     OUT = ("opened_us", "closed_us", "opened_seq", "closed_seq")
+    PIECE = 4096
 
     def __init__(self, window_us: int, shared_close: bool):
         self.window_us, self.shared_close = window_us, shared_close
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "stretch bigint", f"rows array<struct<{self.ROW}>>")
+        self.waiting = handle.getMapState("waiting", "first bigint, name string", "rows binary")
         self.open = handle.getListState("open", "ts_us bigint, seq bigint")
 
+    def _hold(self, rows: list[tuple[int, int, bool]]) -> None:
+        """Keep rows in order of time for later."""
+        for i in range(0, len(rows), self.PIECE):
+            piece = rows[i:i + self.PIECE]
+            packed = array("q", [number for row in piece for number in row]).tobytes()
+            self.waiting.updateValue((piece[0][0], uuid.uuid4().hex), (packed,))
+
+    def _held(self, piece: tuple[int, str]) -> Iterator[tuple[int, int, bool]]:
+        numbers = array("q")
+        numbers.frombytes(bytes(self.waiting.getValue(piece)[0]))
+        return ((ts, seq, bool(closes)) for ts, seq, closes in zip(numbers[0::3], numbers[1::3], numbers[2::3], strict=True))
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, list] = {}
-        for frame in rows:
-            for t, s, c in zip(*[frame[f].tolist() for f in self.FIELDS]):
-                arrived.setdefault(int(t) // self.window_us, []).append((int(t), int(s), bool(c)))
-        for stretch, found in arrived.items():
-            held = self.waiting.getValue((stretch,)) if self.waiting.containsKey((stretch,)) else None
-            self.waiting.updateValue((stretch,), ([tuple(r) for r in held[0]] + found if held else found,))
+        arrived = sorted(
+            (int(t), int(s), bool(c)) for frame in rows for t, s, c in zip(*[frame[f].tolist() for f in self.FIELDS])
+        )
         if arrived:
-            last = max(arrived[max(arrived)])[0]
-            self.handle.registerTimer((last + ZERO_US) // 1000 + 1)
-        yield self._frame({n: [] for n in self.OUT})
+            self._hold(arrived)
+            self.handle.registerTimer((arrived[-1][0] + ZERO_US) // 1000 + 1)
+        return iter(())
 
     @staticmethod
     def _frame(columns: dict[str, list]) -> pd.DataFrame:
@@ -135,32 +146,35 @@ class _InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         limit = expiredTimerInfo.getExpiryTimeInMs() * 1000 - ZERO_US
-        due = sorted(k[0] for k in self.waiting.keys() if k[0] * self.window_us < limit)
+        due = [tuple(k) for k in self.waiting.keys() if k[0] < limit]
         pending = [tuple(p) for p in self.open.get()] if due and self.open.exists() else []
         out = {n: [] for n in self.OUT}
         # openers come before closers at the same time only where one closer serves them all
         order = (lambda r: (r[0], r[2], r[1])) if self.shared_close else (lambda r: (r[0], r[1]))
-        for stretch in due:
-            rows = [tuple(r) for r in self.waiting.getValue((stretch,))[0]]
-            later = [r for r in rows if r[0] >= limit]
-            for ts, seq, closes in sorted((r for r in rows if r[0] < limit), key=order):
+        rows = []
+        for piece in due:
+            rows.extend(self._held(piece))
+            self.waiting.removeKey(piece)
+        self._hold(sorted(r for r in rows if r[0] >= limit))
+        oldest = min((p[0] for p in pending), default=limit)
+        for ts, seq, closes in sorted((r for r in rows if r[0] < limit), key=order):
+            if ts - oldest > self.window_us:
                 pending = [p for p in pending if ts - p[0] <= self.window_us]
-                if not closes:
-                    pending.append((ts, seq))
-                    continue
-                taken, pending = (pending, []) if self.shared_close else (pending[:1], pending[1:])
-                for opened in taken:
-                    for name, value in zip(out, (opened[0], ts, opened[1], seq)):
-                        out[name].append(value)
-            if later:
-                self.waiting.updateValue((stretch,), (later,))
-            else:
-                self.waiting.removeKey((stretch,))
+                oldest = min((p[0] for p in pending), default=limit)
+            if not closes:
+                oldest = min(oldest, ts)
+                pending.append((ts, seq))
+                continue
+            taken, pending = (pending, []) if self.shared_close else (pending[:1], pending[1:])
+            for opened in taken:
+                for name, value in zip(out, (opened[0], ts, opened[1], seq)):
+                    out[name].append(value)
         if pending:
             self.open.put(pending)
         elif due:
             self.open.clear()
-        yield self._frame(out)
+        if out["opened_us"]:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
